@@ -10,16 +10,13 @@ from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .scalars import col
-from .stemming import stem_all
-
-# The usual English stop list of search engines (33 words).
-STOP_WORDS = [
-    "a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into",
-    "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then",
-    "there", "these", "they", "this", "to", "was", "will", "with",
-]
-
-MAX_TOKEN_LENGTH = 255
+from .stemming import (
+    MAX_TOKEN_LENGTH,
+    STOP_WORDS,
+    term_of,
+    terms_in_place,
+    terms_of_words,
+)
 
 # Word characters are letters, marks, digits and underscore. Some marks join two
 # letters (``can't``, ``node.js``) or two digits (``1,000.5``); everywhere else
@@ -36,25 +33,27 @@ SEPARATOR = (
 _HAS_WORD_CHAR = r"[\p{L}\p{N}]"
 
 
-def _is_word(t: Column) -> Column:
-    return (F.length(t) > 0) & t.rlike(_HAS_WORD_CHAR)
+# A text is plain when no run of 256 characters lacks a blank, so that no word
+# can be too long, and no underscore or mark stands without a letter or digit.
+_NOT_PLAIN = (
+    rf"\S{{{MAX_TOKEN_LENGTH + 1}}}|(?<![{_WORD}])[_\p{{M}}]+(?![{_WORD}])"
+)
 
 
 def tokenize(text: Column | str, lower: bool = True) -> Column:
     """The words of a text, in order. Words over 255 characters are cut in pieces."""
     source = F.lower(col(text)) if lower else col(text)
-    words = F.filter(F.split(source, SEPARATOR), _is_word)
-    pieces = F.flatten(
+    plain = F.array_remove(F.split(source, SEPARATOR), "")
+    cut = F.flatten(
         F.transform(
-            words,
+            F.filter(plain, lambda t: t.rlike(_HAS_WORD_CHAR)),
             lambda t: F.transform(
                 F.sequence(F.lit(0), F.floor((F.length(t) - 1) / MAX_TOKEN_LENGTH).cast("int")),
                 lambda i: F.substr(t, i * MAX_TOKEN_LENGTH + 1, F.lit(MAX_TOKEN_LENGTH)),
             ),
         )
     )
-    has_long = F.exists(words, lambda t: F.length(t) > MAX_TOKEN_LENGTH)
-    return F.when(has_long, pieces).otherwise(words)
+    return F.when(col(text).rlike(_NOT_PLAIN), cut).otherwise(plain)
 
 
 def drop_stop_words(words: Column) -> Column:
@@ -64,8 +63,9 @@ def drop_stop_words(words: Column) -> Column:
 
 def analyze(text: Column | str, stem: bool = True) -> Column:
     """Terms by position; null where a stop word stood. Null text has no terms."""
-    kept = drop_stop_words(tokenize(text))
-    return stem_all(kept) if stem else kept
+    if stem:
+        return terms_of_words(F.array_remove(F.split(F.lower(col(text)), SEPARATOR), ""))
+    return drop_stop_words(tokenize(text))
 
 
 def present(terms: Column) -> Column:
@@ -74,34 +74,31 @@ def present(terms: Column) -> Column:
 
 
 def query_terms(spark: SparkSession, text: str, stem: bool = True) -> list[tuple[int, str]]:
-    """Analyze a query on the same expressions: ``(position, term)`` pairs.
+    """Analyze a query by the same rules: ``(position, term)`` pairs.
 
     The one row that comes back holds the caller's own query.
     """
-    row = spark.range(1).select(analyze(F.lit(text), stem).alias("terms")).head()
-    return [(i, t) for i, t in enumerate(row["terms"] or []) if t is not None]
+    words = spark.range(1).select(tokenize(F.lit(text)).alias("words")).head()["words"]
+    return [
+        (i, term_of(w) if stem else w) for i, w in enumerate(words) if w not in STOP_WORDS
+    ]
 
 
-def runs(text: Column | str) -> Column:
+def runs(text: Column) -> Column:
     """The text cut into words and single separators; joined, it is the text again."""
-    marked = F.regexp_replace(col(text), f"({SEPARATOR})", "\u0001$1\u0001")
+    marked = F.regexp_replace(text, f"({SEPARATOR})", "\u0001$1\u0001")
     return F.split(marked, "\u0001")
 
 
 def highlight(text: Column | str, terms: Column, stem: bool = True) -> Column:
-    """The text with every word whose term is in ``terms`` wrapped in ``<em>``.
-
-    Null when no word matches.
-    """
-    pieces = runs(text)
-    normal = drop_stop_words(F.transform(pieces, lambda p: F.lower(p)))
-    analyzed = stem_all(normal) if stem else normal
+    """The text with every word whose term is in ``terms`` wrapped in ``<em>``."""
+    words = runs(F.lower(col(text)))
+    analyzed = terms_in_place(words) if stem else words
     marked = F.transform(
-        F.arrays_zip(pieces.alias("piece"), analyzed.alias("term")),
+        F.arrays_zip(runs(col(text)).alias("piece"), analyzed.alias("term")),
         lambda p: F.when(
-            F.coalesce(F.array_contains(terms, p["term"]), F.lit(False)) & _is_word(p["piece"]),
+            F.coalesce(F.array_contains(terms, p["term"]), F.lit(False)),
             F.concat(F.lit("<em>"), p["piece"], F.lit("</em>")),
         ).otherwise(p["piece"]),
     )
-    out = F.array_join(marked, "")
-    return F.when(F.contains(out, F.lit("<em>")), out)
+    return F.array_join(marked, "")

@@ -44,12 +44,20 @@ def edit_distance(term: Column, query: str, k: int) -> Column:
     count two, so one or both words are also tried with a pair exchanged.
     """
     q = F.lit(query)
-    # a character difference that no k edits can make up costs one comparison
-    near = F.abs(F.length(term) - F.lit(len(query))) <= k
     out = F.when(term == q, 0)
-    if k >= 1:
-        one = _within(term, q, 1) | F.array_contains(_swapped(query), term)
-        out = out.when(near & one, 1)
+    if k == 0:
+        return out
+    # Cheap tests that every word within k edits passes: its length is near, at
+    # most k of its letters are foreign to the query, and, as an exchange is two
+    # plain edits, it is within 2k plain edits.
+    foreign = F.length(F.translate(term, "".join(sorted(set(query))), ""))
+    near = (
+        (F.abs(F.length(term) - F.lit(len(query))) <= k)
+        & (foreign <= k)
+        & _within(term, q, 2 * k)
+    )
+    one = _within(term, q, 1) | F.array_contains(_swapped(query), term)
+    out = out.when(near & one, 1)
     if k >= 2:
         two = (
             _within(term, q, 2)
