@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 
-_ALL = W.partitionBy()
+
+def _all() -> WindowSpec:
+    return W.partitionBy()
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -15,7 +18,7 @@ def _ratio(part: Column, whole: Column) -> Column:
 
 def share_of_total(buckets: DataFrame) -> DataFrame:
     """Pie: percentage of the sum, one decimal, and a bar of up to 20 cells."""
-    share = _ratio(F.col("n"), F.sum("n").over(_ALL))
+    share = _ratio(F.col("n"), F.sum("n").over(_all()))
     return buckets.select(
         "key",
         "n",
@@ -26,7 +29,7 @@ def share_of_total(buckets: DataFrame) -> DataFrame:
 
 def percent_of_max(buckets: DataFrame, width: int = 50) -> DataFrame:
     """Bars: percentage of the largest bucket, one decimal, and the bar length."""
-    share = _ratio(F.col("n"), F.max("n").over(_ALL))
+    share = _ratio(F.col("n"), F.max("n").over(_all()))
     return buckets.select(
         "key",
         "n",
@@ -42,7 +45,7 @@ COOLEST = "#00FF00"
 
 def heat_bands(buckets: DataFrame) -> DataFrame:
     """Heat: value normalised to the maximum, and its colour band."""
-    value = _ratio(F.col("n"), F.max("n").over(_ALL)) * 100
+    value = _ratio(F.col("n"), F.max("n").over(_all())) * 100
     band = None
     for above, colour in HEAT_BANDS:
         cond = value > above
