@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from logloom import schema as S
+from logloom.functions import stemming
 
 
 def quote(text: str) -> str:
@@ -99,15 +100,105 @@ def words(text: str) -> str:
     )
 
 
-def corpus(source: str, key: str, text: str) -> str:
-    """CTEs ``postings(key, pos, term)``, ``lengths(key, dl)`` and ``whole(n, avgdl)``."""
-    return f"""
-tokens AS (SELECT {key} AS k, unnest({words(text)}) AS term,
-                  generate_subscripts({words(text)}, 1) - 1 AS pos FROM {source}),
-postings AS (SELECT * FROM tokens WHERE term NOT IN ({', '.join(map(quote, STOP))})),
-lengths AS (SELECT k, count(*) AS dl FROM postings GROUP BY k),
-whole AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM lengths)""".strip()
+def _measures(p: str) -> str:
+    return f"""{p}lengths AS (SELECT k, count(*) AS dl FROM {p}postings GROUP BY k),
+{p}whole AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM {p}lengths)"""
+
+
+def _tokens(p: str, source: str, key: str, text: str) -> str:
+    return f"""{p}tokens AS (SELECT {key} AS k, unnest({words(text)}) AS term,
+    generate_subscripts({words(text)}, 1) - 1 AS pos FROM {source})"""
+
+
+_NOT_STOP = f"term NOT IN ({', '.join(map(quote, STOP))})"
+
+
+def corpus(source: str, key: str, text: str, p: str = "") -> str:
+    """CTEs ``postings(k, pos, term)``, ``lengths(k, dl)`` and ``whole(n, avgdl)``."""
+    return f"""{_tokens(p, source, key, text)},
+{p}postings AS (SELECT * FROM {p}tokens WHERE {_NOT_STOP}),
+{_measures(p)}"""
+
+
+def stemmed_corpus(source: str, key: str, text: str, p: str = "") -> str:
+    """The same with stems for terms."""
+    return f"""{_tokens(p, source, key, text)},
+{p}raw AS (SELECT * FROM {p}tokens WHERE {_NOT_STOP}),
+{p}vocabulary AS (SELECT DISTINCT term FROM {p}raw),
+{stems(f'{p}vocabulary', p)},
+{p}postings AS (SELECT k, pos, stem AS term FROM {p}raw JOIN {p}stems USING (term)),
+{_measures(p)}"""
 
 
-def ranges(*parts: str) -> str:
-    return ",\n".join(parts)
+_SHORT = "(?:[^aeiouy][aeiouy][^aeiouywxY]|^[aeiouy][^aeiouy])$"
+_REGION = "[^aeiouy]*[aeiouy]+[^aeiouy]"
+
+
+def _case(column: str, table: dict[str, str]) -> str:
+    whens = " ".join(f"WHEN {quote(k)} THEN {quote(v)}" for k, v in table.items())
+    return f"CASE {column} {whens} END"
+
+
+def _in(column: str, values) -> str:
+    return f"{column} IN ({', '.join(map(quote, values))})"
+
+
+def _ending(suffixes) -> str:
+    """The longest of the suffixes ``w`` ends in, or an empty string."""
+    by_length = sorted(suffixes, key=len, reverse=True)
+    return "CASE " + " ".join(
+        f"WHEN ends_with(w, {quote(x)}) THEN {quote(x)}" for x in by_length
+    ) + " ELSE '' END"
+
+
+def stems(vocabulary: str, p: str = "") -> str:
+    """CTEs that end in ``stems(term, stem)`` for a vocabulary of distinct terms."""
+    cut = "w[:length(w) - length(e)]"
+    return f"""
+{p}s0 AS (SELECT term, CASE WHEN regexp_replace(regexp_replace(term, '[’‘＇]', '''', 'g'),
+         '^''|''s''$|''s$|''$', '', 'g') = '' THEN term
+       ELSE regexp_replace(regexp_replace(term, '[’‘＇]', '''', 'g'),
+         '^''|''s''$|''s$|''$', '', 'g') END AS w FROM {vocabulary}),
+{p}s1 AS (SELECT term, regexp_replace(regexp_replace(w, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS w
+  FROM {p}s0),
+{p}s2 AS (SELECT *, length(regexp_extract(w, '^(?:gener|commun|arsen|{_REGION})')) AS h FROM {p}s1),
+{p}s3 AS (SELECT term, w, CASE WHEN h > 0 THEN h ELSE length(w) END AS r1 FROM {p}s2),
+{p}s4 AS (SELECT *, length(regexp_extract(w[r1 + 1:], '^{_REGION}')) AS h FROM {p}s3),
+{p}s5 AS (SELECT term, w, r1, CASE WHEN h > 0 THEN r1 + h ELSE length(w) END AS r2 FROM {p}s4),
+{p}s6 AS (SELECT term, r1, r2, CASE WHEN ends_with(w, 'sses') THEN w[:-3]
+    WHEN ends_with(w, 'ied') OR ends_with(w, 'ies')
+      THEN CASE WHEN length(w) > 4 THEN w[:-3] ELSE w[:-2] END
+    WHEN ends_with(w, 'us') OR ends_with(w, 'ss') THEN w
+    WHEN regexp_matches(w, '[aeiouy].+s$') THEN w[:-2] ELSE w END AS w FROM {p}s5),
+{p}s7 AS (SELECT *, {_in('w', stemming.AFTER_1A)} AS done,
+    {_ending(['eedly', 'ingly', 'edly', 'eed', 'ing', 'ed'])} AS e FROM {p}s6),
+{p}s8 AS (SELECT term, r1, r2, done, e NOT IN ('', 'eed', 'eedly') AND NOT done
+      AND regexp_matches({cut}, '[aeiouy]') AS removed,
+    CASE WHEN done THEN w WHEN e IN ('eed', 'eedly')
+      THEN CASE WHEN length(w) - length(e) >= r1 THEN {cut} || 'ee' ELSE w END
+    WHEN e <> '' AND regexp_matches({cut}, '[aeiouy]') THEN {cut} ELSE w END AS w FROM {p}s7),
+{p}s9 AS (SELECT term, r1, r2, done, CASE WHEN NOT removed THEN w
+    WHEN regexp_matches(w, '(at|bl|iz)$') THEN w || 'e'
+    WHEN regexp_matches(w, '(bb|dd|ff|gg|mm|nn|pp|rr|tt)$') THEN w[:-2]
+    WHEN length(w) <= r1 AND regexp_matches(w, '{_SHORT}') THEN w || 'e' ELSE w END AS w FROM {p}s8),
+{p}s10 AS (SELECT term, r1, r2, done, CASE WHEN NOT done AND regexp_matches(w, '^.+[^aeiouy][yY]$')
+    THEN w[:-2] || 'i' ELSE w END AS w FROM {p}s9),
+{p}s11 AS (SELECT *, {_ending(stemming.STEP2)} AS e FROM {p}s10),
+{p}s12 AS (SELECT term, r1, r2, done, CASE WHEN done OR e = '' OR length(w) - length(e) < r1 THEN w
+    WHEN e = 'ogi' AND NOT ends_with({cut}, 'l') THEN w
+    WHEN e = 'li' AND NOT regexp_matches({cut}, '[cdeghkmnrt]$') THEN w
+    ELSE {cut} || {_case('e', stemming.STEP2)} END AS w FROM {p}s11),
+{p}s13 AS (SELECT *, {_ending(stemming.STEP3)} AS e FROM {p}s12),
+{p}s14 AS (SELECT term, r1, r2, done, CASE WHEN done OR e = ''
+      OR length(w) - length(e) < CASE e WHEN 'ative' THEN r2 ELSE r1 END THEN w
+    ELSE {cut} || {_case('e', stemming.STEP3)} END AS w FROM {p}s13),
+{p}s15 AS (SELECT *, {_ending(stemming.STEP4)} AS e FROM {p}s14),
+{p}s16 AS (SELECT term, r1, r2, done, CASE WHEN done OR e = '' OR length(w) - length(e) < r2 THEN w
+    WHEN e = 'ion' AND NOT regexp_matches({cut}, '[st]$') THEN w ELSE {cut} END AS w FROM {p}s15),
+{p}s17 AS (SELECT term, CASE WHEN done THEN w
+    WHEN ends_with(w, 'e') THEN CASE WHEN length(w) - 1 >= r2 OR (length(w) - 1 >= r1
+      AND NOT regexp_matches(w[:-2], '{_SHORT}')) THEN w[:-2] ELSE w END
+    WHEN ends_with(w, 'll') AND length(w) - 1 >= r2 THEN w[:-2] ELSE w END AS w FROM {p}s16),
+{p}stems AS (SELECT term, CASE WHEN length(term) <= 2 THEN term
+    WHEN {_in('term', stemming.WHOLE_WORDS)} THEN {_case('term', stemming.WHOLE_WORDS)}
+    ELSE replace(w, 'Y', 'y') END AS stem FROM {p}s17)""".strip()
