@@ -1,2 +1,2 @@
-from . import log_queries, text_queries  # noqa: F401
+from . import ingest_queries, log_queries, text_queries  # noqa: F401
 from .registry import ORACLE, QUERIES  # noqa: F401
