@@ -69,8 +69,9 @@ def raw_lines(events: DataFrame) -> DataFrame:
 
 RAW = """
 raw AS (SELECT *, event_type = 'error' AS bad_memory, event_id % 300 > 255 AS bad_ip,
-    value - 100 > 90 AS bad_point,
-    NOT (event_type = 'error' OR event_id % 300 > 255 OR value - 100 > 90) AS fine,
+    (value - 100 > 90 OR value - 100 < -90) AS bad_point,
+    NOT (event_type = 'error' OR event_id % 300 > 255 OR value - 100 > 90
+      OR value - 100 < -90) AS fine,
     CASE WHEN event_type <> 'signup' THEN date_trunc('millisecond', ts) END AS read_ts
   FROM events)""".strip()
 
@@ -151,7 +152,7 @@ def missing_timestamp(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "parse_times",
     """SELECT event_id, epoch_ms(date_trunc('millisecond', ts)) AS from_iso,
-    epoch_ms(ts) AS from_millis, epoch_ms(date_trunc('day', ts)) AS from_day,
+    epoch_us(ts) // 1000 AS from_millis, epoch_ms(date_trunc('day', ts)) AS from_day,
     epoch_ms(date_trunc('second', ts)) - 5400000 AS from_offset FROM events""",
 )
 def parse_times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -344,10 +345,10 @@ def retention_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "format_bytes",
     """SELECT event_id, CASE WHEN b = 0 THEN '0 B'
-      WHEN b >= 1024 ** 4 THEN printf('%.2f TB', b / 1024 ** 4)
-      WHEN b >= 1024 ** 3 THEN printf('%.2f GB', b / 1024 ** 3)
-      WHEN b >= 1024 ** 2 THEN printf('%.2f MB', b / 1024 ** 2)
-      WHEN b >= 1024 THEN printf('%.2f KB', b / 1024) ELSE printf('%.2f B', b) END AS size
+      WHEN b >= 1024 ** 4 THEN printf('%.2f TB', round(b / 1024 ** 4, 2))
+      WHEN b >= 1024 ** 3 THEN printf('%.2f GB', round(b / 1024 ** 3, 2))
+      WHEN b >= 1024 ** 2 THEN printf('%.2f MB', round(b / 1024 ** 2, 2))
+      WHEN b >= 1024 THEN printf('%.2f KB', round(b / 1024, 2)) ELSE printf('%.2f B', b) END AS size
     FROM (SELECT event_id, (event_id * event_id * event_id * 37)::DOUBLE AS b FROM events)""",
 )
 def format_bytes_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -522,7 +523,7 @@ def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "stream_histogram",
     f"""SELECT {iso_ms('b')} AS timestamp, n FROM (
-    SELECT (epoch_ms(ts) // 3600000) * 3600000 AS b, count(*) AS n FROM events GROUP BY 1)
+    SELECT (epoch_us(ts) // 3600000000) * 3600000 AS b, count(*) AS n FROM events GROUP BY 1)
     WHERE b + 3600000 <= (SELECT epoch_ms(max(ts)) - 600000 FROM events)""",
 )
 def stream_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -482,7 +482,7 @@ def env_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _histogram_ctes(step: str, where: str = "true") -> list[str]:
     millis = {"1h": 3_600_000, "2h": 7_200_000, "1d": 86_400_000, "1w": 604_800_000}[step]
     return [
-        f"""counts AS (SELECT (epoch_ms(ts) // {millis}) * {millis} AS b, count(*) AS n
+        f"""counts AS (SELECT (epoch_us(ts) // {millis * 1000}) * {millis} AS b, count(*) AS n
         FROM logs WHERE {where} GROUP BY 1)""",
         f"""series AS (SELECT b, coalesce(n, 0) AS n FROM (
         SELECT unnest(range(min(b), max(b) + 1, {millis})) AS b FROM counts)
@@ -626,7 +626,7 @@ def _dashboard_sql(days: int, sections: str = "true") -> str:
         FROM ({' UNION ALL '.join(parts)}) WHERE {sections}""",
         f"""seen AS (SELECT * FROM logs WHERE ts >= TIMESTAMP '2024-01-30 12:00:00'
         - INTERVAL {days} DAY AND ts < TIMESTAMP '2024-01-30 12:00:00.001')""",
-        f"""counts AS (SELECT (epoch_ms(ts) // {step}) * {step} AS b, count(*) AS n
+        f"""counts AS (SELECT (epoch_us(ts) // {step * 1000}) * {step} AS b, count(*) AS n
         FROM seen GROUP BY 1)""",
         f"""series AS (SELECT b, coalesce(n, 0) AS n FROM (
         SELECT unnest(range(min(b), max(b) + 1, {step})) AS b FROM counts)

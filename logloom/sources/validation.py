@@ -48,6 +48,15 @@ def _failed(path: str, kind: str) -> str:
     return f"failed to parse field [{path}] of type [{kind}]"
 
 
+def _once(df: DataFrame, keep: list[str], made: list[Column]) -> DataFrame:
+    """Add columns that are worked out once per row.
+
+    In a plain projection a later filter on the reasons would be pushed below it
+    and take a second copy of all checks along.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*made))))
+
+
 def _value_and_fault(path: str, kind: str) -> tuple[Column, Column]:
     """The coerced value of a leaf, and whether the mapping refuses it."""
     text = F.col(_name(path))
@@ -105,12 +114,15 @@ def validate(
         "*", F.try_parse_json(F.col(column)).alias("__doc")
     )
     leaves = [(p, k) for p, k in LEAF_TYPES if k not in ("geo_point", "keyword[]")]
-    read = parsed.select(
-        "*",
-        *[_at(p, "string").alias(_name(p)) for p, _ in leaves],
-        *[_at(o, "variant").alias(_name(o)) for o in _OBJECTS],
-        _at("tags", "variant").alias("__tags"),
-        _at("geo.location", "variant").alias("__location"),
+    read = _once(
+        parsed,
+        parsed.columns,
+        [
+            *[_at(p, "string").alias(_name(p)) for p, _ in leaves],
+            *[_at(o, "variant").alias(_name(o)) for o in _OBJECTS],
+            _at("tags", "variant").alias("__tags"),
+            _at("geo.location", "variant").alias("__location"),
+        ],
     )
     values: dict[str, Column] = {}
     faults: list[Column] = []
@@ -147,12 +159,10 @@ def validate(
         return F.when(_present(F.col(_name(name))), fields).alias(name)
 
     kept = [c for c in lines.columns if c != column]
-    return read.select(
-        *kept,
-        *[build(f.name) for f in LOG_SCHEMA],
-        F.array_compact(F.array(*faults)).alias("reject_reasons"),
-        F.col(column).alias("document"),
-    )
+    made = [build(f.name) for f in LOG_SCHEMA]
+    reasons = F.array_compact(F.array(*faults)).alias("reject_reasons")
+    checked = _once(read, [*kept, column], [*made, reasons])
+    return checked.withColumnRenamed(column, "document")
 
 
 def accepted(checked: DataFrame) -> DataFrame:
