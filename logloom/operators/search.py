@@ -112,6 +112,11 @@ def _may_contain(f: TextField, term: str) -> Column:
 # -- what the whole table contributes -----------------------------------------
 
 
+def _average() -> Column:
+    """Mean field length; 1 where no row has the field and so nothing can match."""
+    return F.coalesce(F.try_divide(F.col("total"), F.col("n")), F.lit(1.0))
+
+
 def _exact_weights(df: DataFrame, f: TextField, words: list[str]) -> DataFrame:
     """One row: average length and the weight of each query term."""
     terms = df.select(_terms(df, f).alias("terms"))
@@ -135,7 +140,7 @@ def _exact_weights(df: DataFrame, f: TextField, words: list[str]) -> DataFrame:
         ]
     )
     return counted.select(
-        F.struct((F.col("total") / F.col("n")).alias("average"), hits.alias("hits")).alias("s")
+        F.struct(_average().alias("average"), hits.alias("hits")).alias("s")
     )
 
 
@@ -227,7 +232,7 @@ def _fuzzy_weights(
         ),
     )
     return one.select(
-        F.struct((F.col("total") / F.col("n")).alias("average"), hits.alias("hits")).alias("s")
+        F.struct(_average().alias("average"), hits.alias("hits")).alias("s")
     )
 
 
