@@ -2,7 +2,8 @@
 
 Each query runs to its last row (a ``noop`` write), so nothing is pruned away as
 a count would allow. The log queries read a log table written from the events
-beforehand, as a user's would; writing it is a query of its own.
+beforehand, as a user's would, with the analyzed terms stored; writing it is a
+query of its own.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from logloom.operators.filters import LogFilters, apply_filters  # noqa: E402
 from logloom.plans import api, dashboard  # noqa: E402
 from logloom.session import build_session, checkpoint_dir  # noqa: E402
 from logloom.sources import synthetic, tables, validation  # noqa: E402
-from logloom.sources.events import load_documents, load_events, load_logs  # noqa: E402
+from logloom.sources.events import load_documents, load_events, load_logs, spread  # noqa: E402
 
 
 def main() -> None:
@@ -59,7 +60,7 @@ def main() -> None:
         timed(name, lambda: make().write.format("noop").mode("overwrite").save())
 
     load_logs(spark, sf_dir).agg(F.count("id")).collect()  # start the JVM's engine
-    timed("write_table", lambda: tables.write_table(load_logs(spark, sf_dir), path))
+    timed("write_table", lambda: tables.write_table(S.store_terms(load_logs(spark, sf_dir)), path))
     logs = tables.read_table(spark, path)
     docs = load_documents(spark, sf_dir)
     combo = LogFilters(
@@ -81,7 +82,7 @@ def main() -> None:
     run("metrics_snapshot", lambda: M.counts(M.merge(M.partials(logs))))
     run("search_logs", lambda: api.search_logs(logs, "databse connecton timout", combo).rows)
     run("similar_logs", lambda: api.similar_logs(logs, "96"))
-    run("validate", lambda: validation.validate(raw_lines(load_events(spark, sf_dir))))
+    run("validate", lambda: validation.validate(raw_lines(spread(load_events(spark, sf_dir)))))
     run("analyze", lambda: docs.select("doc_id", text.terms().alias("terms")))
     run("match_docs", lambda: S.match(docs, "reth anthe tion", plain, "or"))
     run("phrase_docs", lambda: S.match_phrase(docs, "de la", 2, plain))

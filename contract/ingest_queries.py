@@ -15,7 +15,7 @@ from logloom.plans import maintenance as MT
 from logloom.plans import scenarios as SC
 from logloom.session import checkpoint_dir
 from logloom.sources import ndjson, synthetic, tables, validation
-from logloom.sources.events import load_events, load_logs
+from logloom.sources.events import load_events, load_logs, spread
 from logloom.streaming import ingest as IN
 from logloom.streaming import progress as PR
 from logloom import schema as S
@@ -77,7 +77,7 @@ raw AS (SELECT *, event_type = 'error' AS bad_memory, event_id % 300 > 255 AS ba
 
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation.validate(raw_lines(load_events(spark, sf_dir)))
+    return validation.validate(raw_lines(spread(load_events(spark, sf_dir))))
 
 
 @query(

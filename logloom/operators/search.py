@@ -370,8 +370,15 @@ def multi_match(
     """
     base = df if scope is None else scope
     used, weights = [], []
+    asked: dict[bool, list[str]] = {}
     for f in fields:
-        words = sorted({t for _, t in _query_terms(df, f, query)})
+        if f.keyword:
+            words = [query]
+        else:
+            # text fields share one analysis of the query
+            if f.stem not in asked:
+                asked[f.stem] = sorted({t for _, t in _query_terms(df, f, query)})
+            words = asked[f.stem]
         if words:
             used.append(f)
             weights.append(_fuzzy_weights(base, f, words, max_expansions))

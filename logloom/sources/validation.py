@@ -84,24 +84,31 @@ def _value_and_fault(path: str, kind: str) -> tuple[Column, Column]:
 
 
 def _location() -> tuple[Column, Column]:
-    """A point as an object, as ``"lat,lon"`` or as ``[lon, lat]``."""
+    """A point as an object, as ``[lon, lat]`` or as ``"lat,lon"``."""
     c = F.col("__location")
-    pair = F.split(_at("geo.location", "string"), ",")
-    listed = F.try_variant_get(c, "$", "array<double>")
-    lat = (
-        F.when(_is(c, "OBJECT"), F.try_variant_get(c, "$.lat", "double"))
-        .when(_is(c, "ARRAY"), F.get(listed, 1))
-        .otherwise(F.get(pair, 0).try_cast("double"))
-    )
-    lon = (
-        F.when(_is(c, "OBJECT"), F.try_variant_get(c, "$.lon", "double"))
-        .when(_is(c, "ARRAY"), F.get(listed, 0))
-        .otherwise(F.get(pair, 1).try_cast("double"))
-    )
+    lat, lon = F.col("__lat"), F.col("__lon")
     point = F.when(_present(c), F.struct(lat.alias("lat"), lon.alias("lon")))
     return point, _present(c) & ~F.coalesce(valid_geo_point(lat, lon), F.lit(False))
 
 
+def _coordinate(name: str, index: int, place: int) -> Column:
+    c = _at("geo.location", "variant")
+    return F.coalesce(
+        F.try_variant_get(c, f"$.{name}", "double"),
+        F.try_variant_get(c, f"$[{index}]", "double"),
+        F.get(F.split(F.try_variant_get(c, "$", "string"), ","), place).try_cast("double"),
+    )
+
+
+def _is_object(name: str) -> Column:
+    """Whether a part is an object. With a leaf found in it, it must be one; only
+    an empty or unusual part is looked at closely, which costs far more."""
+    leaves = [F.col(_name(p)) for p, k in LEAF_TYPES if p.startswith(name + ".") and k != "geo_point"]
+    return F.when(F.coalesce(*leaves).isNotNull(), F.lit(True)).otherwise(
+        _is(F.col(_name(name)), "OBJECT")
+    )
+
+
 def validate(
     lines: DataFrame, column: str = "value", required: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -122,15 +129,17 @@ def validate(
             *[_at(o, "variant").alias(_name(o)) for o in _OBJECTS],
             _at("tags", "variant").alias("__tags"),
             _at("geo.location", "variant").alias("__location"),
+            _coordinate("lat", 1, 0).alias("__lat"),
+            _coordinate("lon", 0, 1).alias("__lon"),
         ],
     )
     values: dict[str, Column] = {}
     faults: list[Column] = []
-    whole = F.coalesce(_is(F.col("__doc"), "OBJECT"), F.lit(False))
+    whole = F.col("__doc").isNotNull() & F.startswith(F.ltrim(F.col(column)), F.lit("{"))
     faults.append(F.when(~whole, _reason("_source", "malformed document")))
     for o in _OBJECTS:
         c = F.col(_name(o))
-        wrong = _present(c) & ~_is(c, "OBJECT")
+        wrong = _present(c) & ~_is_object(o)
         text = f"object mapping for [{o}] tried to parse field [{o}] as object, but found a concrete value"
         faults.append(F.when(wrong, _reason(o, text)))
     for p, k in leaves:
@@ -140,8 +149,9 @@ def validate(
     tags = F.col("__tags")
     values["tags"] = F.when(
         _present(tags),
-        F.when(_is(tags, "ARRAY"), F.try_variant_get(tags, "$", "array<string>")).otherwise(
-            F.array(F.try_variant_get(tags, "$", "string"))
+        F.coalesce(
+            F.try_variant_get(tags, "$", "array<string>"),
+            F.array(F.try_variant_get(tags, "$", "string")),
         ),
     )
     values["geo.location"], wrong = _location()
