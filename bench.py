@@ -43,6 +43,8 @@ def main() -> None:
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"),
+            # the tables are small: pieces of this size keep all cores busy
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2m",
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
