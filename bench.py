@@ -29,7 +29,13 @@ from logloom.operators.filters import LogFilters, apply_filters  # noqa: E402
 from logloom.plans import api, dashboard  # noqa: E402
 from logloom.session import build_session, checkpoint_dir  # noqa: E402
 from logloom.sources import synthetic, tables, validation  # noqa: E402
-from logloom.sources.events import load_documents, load_events, load_logs, spread  # noqa: E402
+from logloom.sources.events import (  # noqa: E402
+    load_documents,
+    load_events,
+    load_logs,
+    logs_from_events,
+    spread,
+)
 
 
 def main() -> None:
@@ -62,7 +68,8 @@ def main() -> None:
         timed(name, lambda: make().write.format("noop").mode("overwrite").save())
 
     load_logs(spark, sf_dir).agg(F.count("id")).collect()  # start the JVM's engine
-    timed("write_table", lambda: tables.write_table(S.store_terms(load_logs(spark, sf_dir)), path))
+    records = logs_from_events(spread(load_events(spark, sf_dir)))
+    timed("write_table", lambda: tables.write_table(S.store_terms(records), path))
     logs = tables.read_table(spark, path)
     docs = load_documents(spark, sf_dir)
     combo = LogFilters(
