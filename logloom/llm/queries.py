@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup
+from . import exact_dedup, line_dedup, token_count, toxicity
 from .common import Query
 
 QUERIES: dict[str, Query] = {}
@@ -37,3 +39,43 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return exact_dedup.exact_dedup(docs).drop("text")
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    lexicon = toxicity.learn(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_toxicity(docs, lexicon).drop("text")
+
+
+@query("op4_token_counts")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_count.count_tokens(docs, public_tokenizers.path("word_bpe_49k.json")).drop("text")
+
+
+@query("op7_line_dedup", r"""
+WITH lines AS (
+  SELECT page_id, lower(coalesce(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#:]+)', 1), '')) AS host,
+    list_filter(list_transform(string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+      coalesce(html, ''), '(?is)<script.*?</script>', chr(10), 'g'), '(?is)<style.*?</style>', chr(10), 'g'),
+      '(?s)<!--.*?-->', chr(10), 'g'), '<[^>]*>', chr(10), 'g'), chr(10)),
+      lambda x: regexp_replace(x, '^[\x09-\x0D\x20]+|[\x09-\x0D\x20]+$', '', 'g')), lambda x: x <> '') AS lines
+  FROM pages),
+totals AS (SELECT host, count(*) AS host_pages FROM lines GROUP BY host),
+common AS (
+  SELECT host, line FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM lines) JOIN totals USING (host)
+  GROUP BY host, line HAVING count(*) >= 3 AND count(*) > 0.5 * any_value(host_pages)),
+sites AS (SELECT host, list(line) AS common FROM common GROUP BY host),
+kept AS (
+  SELECT page_id, host, host_pages, lines,
+    list_filter(lines, lambda x: NOT list_contains(coalesce(common, []), x)) AS kept
+  FROM lines JOIN totals USING (host) LEFT JOIN sites USING (host))
+SELECT page_id, host, host_pages, len(lines) AS n_lines, len(lines) - len(kept) AS n_dropped,
+  array_to_string(kept, chr(10)) AS text FROM kept
+""")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return line_dedup.line_dedup(
+        pages, "page_id", line_dedup.host_of(F.col("url")), line_dedup.html_lines(F.col("html"))
+    ).drop("url", "html")
