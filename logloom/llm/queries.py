@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, line_dedup, token_count, toxicity
+from . import decontaminate, exact_dedup, line_dedup, mixing, token_count, toxicity
 from .common import Query
 
 QUERIES: dict[str, Query] = {}
@@ -41,6 +41,74 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(docs).drop("text")
 
 
+# The mixture: shares of the domains, of the languages in a domain, of the sources in a language.
+DOMAIN_WEIGHTS = {"web": 5, "news": 2, "forum": 1, "books": 2}
+LANGUAGE_WEIGHTS = {"en": 6, "de": 2, "fr": 2, "es": 1}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.6, 3, 17
+
+
+def _case(value: str, weights: dict[str, int]) -> str:
+    return f"CASE {value} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1 END"
+
+
+def mix_levels() -> list[mixing.Level]:
+    """Domain by the number in the source's name, language, source."""
+    number = "try_cast(regexp_extract(source, '([0-9]+)$', 1) AS bigint)"
+    domain = f"coalesce(element_at(array('web', 'news', 'forum', 'books'), cast({number} % 4 + 1 AS int)), 'other')"
+    return [
+        mixing.Level("domain", F.expr(domain), F.expr(_case(f"({domain})", DOMAIN_WEIGHTS))),
+        mixing.Level("lang", F.col("lang"), F.expr(_case("coalesce(lang, '')", LANGUAGE_WEIGHTS))),
+        mixing.Level("source", F.col("source"), F.expr(f"coalesce(1 + {number} % 3, 1)")),
+    ]
+
+
+def _fill_sql(k: int, path: list[str], above: list[str], name: str) -> str:
+    part = f"PARTITION BY {', '.join(above)}" if above else ""
+    keys, budget = ", ".join(path), "budget" if above else "least(b.budget, b.reach)"
+    source = f"JOIN q{k - 1} p USING ({', '.join(above)})" if above else "CROSS JOIN b"
+    budget = "p.quota" if above else budget
+    return f"""
+n{k} AS (SELECT {keys}, sum(supply)::HUGEINT AS supply, max(w_{name})::HUGEINT AS weight FROM leaves GROUP BY {keys}),
+m{k} AS (SELECT {', '.join(f'n.{c}' for c in path)}, n.supply, n.weight, {budget}::HUGEINT AS budget FROM n{k} n {source}),
+s{k} AS (SELECT *, (budget - coalesce(sum(supply) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * weight
+    >= supply * sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS sated
+  FROM m{k} WINDOW o AS ({part} ORDER BY supply::DOUBLE / weight::DOUBLE, {name})),
+r{k} AS (SELECT *, (budget - sum(CASE WHEN sated THEN supply ELSE 0 END) OVER ({part}))::HUGEINT AS rb,
+    greatest(sum(CASE WHEN sated THEN 0 ELSE weight END) OVER ({part}), 1)::HUGEINT AS rw FROM s{k}),
+e{k} AS (SELECT *, (rb * weight) // rw AS even, (rb * weight) % rw AS remainder FROM r{k}),
+q{k} AS (SELECT {keys}, CASE WHEN sated THEN supply ELSE even +
+    (row_number() OVER ({part} ORDER BY sated, remainder DESC, {name})
+      <= rb - sum(CASE WHEN sated THEN 0 ELSE even END) OVER ({part}))::INT END AS quota FROM e{k}),"""
+
+
+def mix_sql(docs: str = "documents", share: float = MIX_SHARE, epochs: int = MIX_EPOCHS) -> str:
+    """The CTEs up to ``taken``: doc_id, domain, lang, source, tokens, n_epochs for the rows of ``docs``."""
+    path = ["domain", "lang", "source"]
+    fills = "".join(_fill_sql(k, path[: k + 1], path[:k], path[k]) for k in range(3))
+    return rf"""
+numbered AS (SELECT *, try_cast(regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) AS BIGINT) AS number FROM {docs}),
+tokened AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
+    coalesce((['web', 'news', 'forum', 'books'])[number % 4 + 1], 'other') AS domain, coalesce(1 + number % 3, 1) AS w_source,
+    len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS tokens FROM numbered),
+leaves AS (SELECT domain, lang, source, sum(tokens) AS tokens, sum(tokens) * {epochs} AS supply, max(w_source) AS w_source,
+    max({_case('domain', DOMAIN_WEIGHTS)}) AS w_domain, max({_case('lang', LANGUAGE_WEIGHTS)}) AS w_lang
+  FROM tokened GROUP BY ALL),
+b AS (SELECT floor(sum(tokens)::DOUBLE * {share})::HUGEINT AS budget, sum(supply)::HUGEINT AS reach FROM leaves),{fills}
+goals AS (SELECT domain, lang, source, (quota // greatest(tokens, 1))::BIGINT AS full_, quota % greatest(tokens, 1) AS part
+  FROM leaves JOIN q2 USING (domain, lang, source)),
+keyed AS (SELECT t.*, g.full_, g.part, md5(concat_ws('|', '{MIX_SEED}', full_::VARCHAR, coalesce(doc_id::VARCHAR, ''))) AS k
+  FROM tokened t JOIN goals g USING (domain, lang, source)),
+taken AS (SELECT doc_id, domain, lang, source, tokens, (full_ + CASE WHEN part > 0 AND
+    sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY k RANGE UNBOUNDED PRECEDING) <= part THEN 1 ELSE 0 END)::INT AS n_epochs
+  FROM keyed)"""
+
+
+@query("op1_source_mixing", f"WITH {mix_sql()} SELECT doc_id, domain, lang, source, tokens, n_epochs FROM taken")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixing.mix_sources(docs, mix_levels(), MIX_SHARE, MIX_EPOCHS, MIX_SEED).drop("text")
+
+
 @query("op2_toxicity")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -79,3 +147,29 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(
         pages, "page_id", line_dedup.host_of(F.col("url")), line_dedup.html_lines(F.col("html"))
     ).drop("url", "html")
+
+
+def contamination_sql(docs: str = "documents") -> str:
+    """The CTEs up to ``judged``: one row for each document of ``docs``, by comparing all windows."""
+    words = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+             r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')")
+    return f"""
+items AS (SELECT coalesce(item_id::VARCHAR, '') AS item, {words} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[s + 1 : s + least(len(w), 13)], ' ') AS k
+  FROM (SELECT item, w, unnest(range(0, greatest(len(w) - 13, 0) + 1)) AS s FROM items WHERE len(w) > 0)),
+texts AS (SELECT doc_id, {words} AS w FROM {docs}),
+places AS (SELECT doc_id, n, s, array_to_string(w[s + 1 : s + n], ' ') AS k
+  FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS s FROM texts, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+hits AS (SELECT doc_id, s, n, item FROM places JOIN windows USING (n, k)),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hits) GROUP BY doc_id),
+found AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(item, ',' ORDER BY item) AS ids
+  FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id),
+judged AS (SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+  FROM texts LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id))"""
+
+
+@query("op6_decontaminate", f"WITH {contamination_sql()} SELECT * FROM judged")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text", "items")
