@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, mixing, token_count, toxicity
+from . import decontaminate, exact_dedup, line_dedup, mixing, sharding, token_count, toxicity
 from .common import Query
 
 QUERIES: dict[str, Query] = {}
@@ -89,7 +89,8 @@ def mix_sql(docs: str = "documents", share: float = MIX_SHARE, epochs: int = MIX
 numbered AS (SELECT *, try_cast(regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) AS BIGINT) AS number FROM {docs}),
 tokened AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang,
     coalesce((['web', 'news', 'forum', 'books'])[number % 4 + 1], 'other') AS domain, coalesce(1 + number % 3, 1) AS w_source,
-    len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+'))::BIGINT AS tokens FROM numbered),
+    len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+'))::BIGINT AS tokens FROM numbered),
 leaves AS (SELECT domain, lang, source, sum(tokens) AS tokens, sum(tokens) * {epochs} AS supply, max(w_source) AS w_source,
     max({_case('domain', DOMAIN_WEIGHTS)}) AS w_domain, max({_case('lang', LANGUAGE_WEIGHTS)}) AS w_lang
   FROM tokened GROUP BY ALL),
@@ -149,6 +150,12 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("url", "html")
 
 
+@query("op5_sharding")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.shard_documents(docs).drop("text")
+
+
 def contamination_sql(docs: str = "documents") -> str:
     """The CTEs up to ``judged``: one row for each document of ``docs``, by comparing all windows."""
     words = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
