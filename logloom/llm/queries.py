@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, mixing, sharding, token_count, toxicity
+from . import decontaminate, exact_dedup, line_dedup, minhash, mixing, sharding, token_count, toxicity
 from .common import Query
 
 QUERIES: dict[str, Query] = {}
@@ -180,3 +180,8 @@ judged AS (SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coales
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark")).drop("text", "items")
+
+
+@query("op10_minhash")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), columns=[])
