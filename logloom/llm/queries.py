@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, minhash, mixing, sharding, token_count, toxicity
+from . import decontaminate, exact_dedup, line_dedup, minhash, mixing, sharding, suffix_dedup, token_count, toxicity
 from .common import Query
 
 QUERIES: dict[str, Query] = {}
@@ -185,3 +185,8 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_minhash")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), columns=[])
+
+
+@query("op8_suffix_dedup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "kept")

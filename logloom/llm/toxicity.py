@@ -145,7 +145,7 @@ def _features(total: np.ndarray, words: np.ndarray) -> np.ndarray:
 def _count_patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """For each batch, the number of toxic and of all texts that hold a word or a word beginning of four letters or more."""
     table = Fold()
-    for batch in batches:
+    for batch in (b.iloc[k : k + 2000] for b in batches for k in range(0, len(b), 2000)):
         seen = {0: Counter(), 1: Counter()}
         for text, toxic in zip(batch["text"], batch["toxic"]):
             found = set()
@@ -211,8 +211,8 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
             kept[pattern] = (r["odds"], purity)
     lexicon.weights.update({p: odds for p, (odds, _) in kept.items()})
 
-    sample = rows.orderBy(F.xxhash64("doc"), "doc").limit(FIT_ROWS)
-    parts = sample.mapInPandas(_fit_rows(lexicon), "total double, words double, toxic int").toPandas()
+    measured = rows.mapInPandas(_fit_rows(lexicon), "doc string, total double, words double, toxic int")
+    parts = measured.orderBy(F.xxhash64("doc"), "doc").limit(FIT_ROWS).toPandas()
     x, y = _features(parts["total"].to_numpy(), parts["words"].to_numpy()), (parts["toxic"].to_numpy() > 0).astype(float)
     lexicon.logistic = fit_logistic(x, y)
     return lexicon
@@ -223,7 +223,7 @@ def _fit_rows(lexicon: Lexicon):
         table, automaton = Fold(), lexicon.automaton()
         for batch in batches:
             total, words = _measure(batch["text"], table, automaton)
-            yield pd.DataFrame({"total": total, "words": words, "toxic": batch["toxic"].astype("int32")})
+            yield pd.DataFrame({"doc": batch["doc"].astype(str), "total": total, "words": words, "toxic": batch["toxic"].astype("int32")})
 
     return run
 
