@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, line_dedup, minhash, mixing, sharding, suffix_dedup, token_count, toxicity
+from . import decontaminate, exact_dedup, html_extract, line_dedup, minhash, mixing, sharding, suffix_dedup, token_count, toxicity
 from .common import Query
 
 QUERIES: dict[str, Query] = {}
@@ -117,6 +117,13 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, lexicon).drop("text")
 
 
+@query("op3_html_extract")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    model = html_extract.learn(pages)
+    return html_extract.extract_main_text(pages, model).select("page_id", "url", "text", "n_chars")
+
+
 @query("op4_token_counts")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
