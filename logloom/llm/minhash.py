@@ -213,20 +213,11 @@ def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
     return joined.select(F.least("cls", "o_cls").alias("a"), F.greatest("cls", "o_cls").alias("b")).distinct()
 
 
-def near_duplicates(
+def judged(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT,
-    rows: int = ROWS, bands: int = BANDS, stars: int = STARS, columns: list[str] | None = None,
+    rows: int = ROWS, bands: int = BANDS, stars: int = STARS,
 ) -> DataFrame:
-    """Every document with ``n_shingles``, ``component_id`` and ``kept``.
-
-    Words are what blanks separate, with A-Z in lower case. Documents are linked if the similarity of their
-    sets of ``size``-word shingles is ``percent`` or more; ``component_id`` is the smallest id that links
-    reach, and the document with that id is kept. A text of fewer words is one shingle; a null, empty or blank text has none, is linked
-    with nothing and kept. A null id is never the smallest; rows that agree in id are one document, all kept or
-    none. The other ``columns`` of ``docs`` (all, unless named) follow, but for those that clash.
-    """
-    out = ["n_shingles", "component_id", "kept"]
-    extra = rest(docs, [doc_id, *out]) if columns is None else columns
+    """(doc, thash, n, least): per row its id, the hash of its text, the size of its set, the smallest id linked to it."""
     texts = docs.select(col(doc_id).alias("doc"), col(text).alias("text")).withColumn("thash", F.xxhash64("text"))
     schema = f"doc {docs.schema[doc_id].dataType.simpleString()}, thash bigint, n bigint, cls binary, bands array<bigint>"
     sketched = stored(texts.select("doc", "thash", "text").mapInArrow(_sketcher(size, rows, bands), schema), "sketches")
@@ -272,15 +263,43 @@ def near_duplicates(
         known = known.withColumn("comp", F.col("cls"))
     known = stored(known.select("doc", "thash", "n", "comp"), "known")
     smallest = stored(known.where("n > 0").groupBy("comp").agg(F.min("doc").alias("least")), "smallest")
-    judged = known.join(smallest, "comp", "left").select(
+    return known.join(smallest, "comp", "left").select(
         "doc", "thash", "n", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc")).alias("least"))
+
+
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT,
+    rows: int = ROWS, bands: int = BANDS, stars: int = STARS, columns: list[str] | None = None,
+) -> DataFrame:
+    """Every document with ``n_shingles``, ``component_id`` and ``kept``.
+
+    Words are what blanks separate, with A-Z in lower case. Documents are linked if the similarity of their
+    sets of ``size``-word shingles is ``percent`` or more; ``component_id`` is the smallest id that links
+    reach, and the document with that id is kept. A text of fewer words is one shingle; a null, empty or blank text has none, is linked
+    with nothing and kept. A null id is never the smallest; rows that agree in id are one document, all kept or
+    none. The other ``columns`` of ``docs`` (all, unless named) follow, but for those that clash.
+    """
+    out = ["n_shingles", "component_id", "kept"]
+    extra = rest(docs, [doc_id, *out]) if columns is None else columns
+    found = judged(docs, doc_id, text, size, percent, rows, bands, stars)
     if extra:
-        own = judged.distinct().select(F.col("doc").alias("j_doc"), F.col("thash").alias("j_thash"), "n", "least")
-        judged = docs.select(
+        own = found.distinct().select(F.col("doc").alias("j_doc"), F.col("thash").alias("j_thash"), "n", "least")
+        found = docs.select(
             col(doc_id).alias("doc"), F.xxhash64(col(text)).alias("thash"), *(col(c).alias(f"_x{i}") for i, c in enumerate(extra)),
         ).join(own, F.col("doc").eqNullSafe(F.col("j_doc")) & (F.col("thash") == F.col("j_thash")))
-    return judged.select(
+    return found.select(
         F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), F.col("least").alias("component_id"),
         F.col("doc").eqNullSafe(F.col("least")).alias("kept"),
         *(F.col(f"_x{i}").alias(c) for i, c in enumerate(extra)),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The documents that are kept, whole rows: of each group of linked ones that with the smallest id."""
+    found = judged(docs, doc_id, text, **options)
+    dropped = stored(
+        found.where(~F.col("doc").eqNullSafe(F.col("least"))).select(F.col("doc").alias("j_doc"), F.col("thash").alias("j_thash")).distinct(),
+        "dropped")
+    return docs.join(
+        small(dropped, dropped.count()),
+        col(doc_id).eqNullSafe(F.col("j_doc")) & (F.xxhash64(col(text)) == F.col("j_thash")), "left_anti")

@@ -51,14 +51,14 @@ def _case(value: str, weights: dict[str, int]) -> str:
     return f"CASE {value} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in weights.items()) + " ELSE 1 END"
 
 
-def mix_levels() -> list[mixing.Level]:
+def mix_levels(lang: str = "lang", source: str = "source") -> list[mixing.Level]:
     """Domain by the number in the source's name, language, source."""
-    number = "try_cast(regexp_extract(source, '([0-9]+)$', 1) AS bigint)"
+    number = f"try_cast(regexp_extract({source}, '([0-9]+)$', 1) AS bigint)"
     domain = f"coalesce(element_at(array('web', 'news', 'forum', 'books'), cast({number} % 4 + 1 AS int)), 'other')"
     return [
         mixing.Level("domain", F.expr(domain), F.expr(_case(f"({domain})", DOMAIN_WEIGHTS))),
-        mixing.Level("lang", F.col("lang"), F.expr(_case("coalesce(lang, '')", LANGUAGE_WEIGHTS))),
-        mixing.Level("source", F.col("source"), F.expr(f"coalesce(1 + {number} % 3, 1)")),
+        mixing.Level("lang", F.col(lang), F.expr(_case(f"coalesce({lang}, '')", LANGUAGE_WEIGHTS))),
+        mixing.Level("source", F.col(source), F.expr(f"coalesce(1 + {number} % 3, 1)")),
     ]
 
 
