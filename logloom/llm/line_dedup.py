@@ -8,7 +8,8 @@ Only line digests are shuffled for counting, and Spark's partial aggregation fol
 a common line of a large host within each task. The boilerplate of a host holds
 at most (mean number of different lines on a page) / ``ratio`` digests, because every such line
 fills more than that share of the pages; so it fits into one row, which
-is joined to the pages. A large host is a hot key of that join only, which AQE splits.
+is joined to the pages. While hosts and digests are few, counted first, they are broadcast and no page is shuffled; beyond that a large
+host is a hot key of that join only, which AQE splits.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, rest
+from .common import col, rest, small, stored
 
 RATIO = 0.5
 MIN_PAGES = 3
@@ -74,12 +75,13 @@ def line_dedup(
         counts.join(totals, "_host").where(F.col("_n") > F.col("_pages") * F.lit(float(ratio)))
         .groupBy("_host").agg(F.collect_list("_line").alias("_common"))
     )
-    sites = totals.join(common, "_host", "left")
+    sites = stored(totals.join(common, "_host", "left"), "sites")
+    n_sites, n_lines = sites.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("_common")), F.lit(0))).first()
     kept = F.when(F.col("_common").isNull(), F.col("_lines")).otherwise(
         F.filter("_lines", lambda x: ~F.array_contains("_common", _digest(x)))
     )
     return (
-        base.join(sites, "_host")
+        base.join(small(sites, n_sites + max(n_lines, 0)), "_host")
         .withColumn("_kept", kept)
         .select(
             F.col("_page").alias(page_id), F.col("_host").alias("host"), F.col("_pages").alias("host_pages"),
