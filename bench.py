@@ -34,7 +34,6 @@ from logloom.sources.events import (  # noqa: E402
     load_events,
     load_logs,
     logs_from_events,
-    spread,
 )
 
 
@@ -49,8 +48,6 @@ def main() -> None:
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": os.environ.get("BENCH_MEMORY", "12g"),
-            # the tables are small: pieces of this size keep all cores busy
-            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2m",
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -67,11 +64,14 @@ def main() -> None:
     def run(name, make) -> None:
         timed(name, lambda: make().write.format("noop").mode("overwrite").save())
 
+    # each test table is one file with one row group, which one task would read
+    cores = spark.sparkContext.defaultParallelism
+    events = load_events(spark, sf_dir).repartition(cores)
     load_logs(spark, sf_dir).agg(F.count("id")).collect()  # start the JVM's engine
-    records = logs_from_events(spread(load_events(spark, sf_dir)))
+    records = logs_from_events(events)
     timed("write_table", lambda: tables.write_table(S.store_terms(records), path))
     logs = tables.read_table(spark, path)
-    docs = load_documents(spark, sf_dir)
+    docs = load_documents(spark, sf_dir).repartition(cores)
     combo = LogFilters(
         levels=["info", "warn", "error"],
         environments=["production"],
@@ -88,10 +88,10 @@ def main() -> None:
     run("percentiles", lambda: A.percentiles(logs, "metrics.response_time_ms"))
     run("p95_index", lambda: A.p95(logs, "metrics.response_time_ms"))
     run("hist_2h", lambda: H.time_series(logs, "2h"))
-    run("metrics_snapshot", lambda: M.counts(M.merge(M.partials(logs))))
+    run("metrics_snapshot", lambda: M.snapshot(M.merge(M.partials(logs))))
     run("search_logs", lambda: api.search_logs(logs, "databse connecton timout", combo).rows)
     run("similar_logs", lambda: api.similar_logs(logs, "96"))
-    run("validate", lambda: validation.validate(raw_lines(spread(load_events(spark, sf_dir)))))
+    run("validate", lambda: validation.validate(raw_lines(events)))
     run("analyze", lambda: docs.select("doc_id", text.terms().alias("terms")))
     run("match_docs", lambda: S.match(docs, "reth anthe tion", plain, "or"))
     run("phrase_docs", lambda: S.match_phrase(docs, "de la", 2, plain))

@@ -15,7 +15,7 @@ from logloom.plans import maintenance as MT
 from logloom.plans import scenarios as SC
 from logloom.session import checkpoint_dir
 from logloom.sources import ndjson, synthetic, tables, validation
-from logloom.sources.events import load_events, load_logs, spread
+from logloom.sources.events import load_events, load_logs
 from logloom.streaming import ingest as IN
 from logloom.streaming import progress as PR
 from logloom import schema as S
@@ -64,20 +64,39 @@ def raw_lines(events: DataFrame) -> DataFrame:
         ).alias("geo"),
         F.concat(F.lit("tag-"), u.cast("string")).alias("tags"),
     )
-    return events.select(F.to_json(doc).alias("value"))
-
+    line, odd = F.to_json(doc), n % 97
+    metrics, end = r'"metrics":\{', r"\}$"
+    for which, (pattern, text) in enumerate(ODD_PARTS):
+        place = {"metrics": metrics, "end": end}.get(pattern, pattern)
+        line = F.when(odd == which, F.regexp_replace(F.to_json(doc), place, text)).otherwise(line)
+    return events.select(line.alias("value"))
+
+
+# Of 97 documents, nine have one of these in place of what the pattern finds.
+ODD_PARTS = [
+    ("end", ',"message":{"a":1}}'),
+    ("end", ',"error":{"message":{"x":1}}}'),
+    ('"tags":"[^"]*"', '"tags":{"x":1}'),
+    ('"tags":"[^"]*"', '"tags":["a",{"x":1}]'),
+    ("metrics", '"metrics":{"db_query_time_ms":-2147483648,'),
+    ("metrics", '"metrics":{"db_query_time_ms":2147483648,'),
+    ('"ip":"[^"]*"', '"ip":"::ffff:10.0.0.1"'),
+    ("metrics", '"metrics":{"db_query_time_ms":"-2147483649",'),
+    ("metrics", '"metrics":{"db_query_time_ms":2147483647.9,'),
+]
 
 RAW = """
-raw AS (SELECT *, event_type = 'error' AS bad_memory, event_id % 300 > 255 AS bad_ip,
-    (value - 100 > 90 OR value - 100 < -90) AS bad_point,
-    NOT (event_type = 'error' OR event_id % 300 > 255 OR value - 100 > 90
-      OR value - 100 < -90) AS fine,
+odd AS (SELECT *, event_id % 97 AS part FROM events),
+raw AS (SELECT *, event_type = 'error' AS bad_memory, event_id % 300 > 255 AND part <> 6 AS bad_ip,
+    (value - 100 > 90 OR value - 100 < -90) AS bad_point, part = 0 AS bad_message,
+    part = 1 AS bad_error, part IN (2, 3) AS bad_tags, part IN (5, 7) AS bad_db,
+    NOT (bad_memory OR bad_ip OR bad_point OR bad_message OR bad_error OR bad_tags OR bad_db) AS fine,
     CASE WHEN event_type <> 'signup' THEN date_trunc('millisecond', ts) END AS read_ts
-  FROM events)""".strip()
+  FROM odd)""".strip()
 
 
 def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return validation.validate(raw_lines(spread(load_events(spark, sf_dir))))
+    return validation.validate(raw_lines(load_events(spark, sf_dir)))
 
 
 @query(
@@ -85,7 +104,9 @@ def _checked(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {RAW} SELECT event_id::VARCHAR AS id, {iso('read_ts')} AS timestamp,
     'svc-' || user_id AS service, trunc(value)::INT AS response_time_ms,
     (event_id % 2048)::INT AS memory_mb, value AS cpu_usage,
-    '10.0.' || (user_id % 256) || '.' || (event_id % 300) AS ip,
+    CASE WHEN part = 6 THEN '::ffff:10.0.0.1'
+      ELSE '10.0.' || (user_id % 256) || '.' || (event_id % 300) END AS ip,
+    CASE part WHEN 4 THEN -2147483648 WHEN 8 THEN 2147483647 END::INT AS db_query_time_ms,
     trunc(event_id * value)::INT AS duration_ms, value::DECIMAL(18, 2)::DOUBLE AS amount,
     value - 100 AS lat, 'tag-' || user_id AS tags FROM raw WHERE fine""",
 )
@@ -98,6 +119,7 @@ def validate_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
         "metrics.memory_mb",
         "metrics.cpu_usage",
         "request.ip",
+        "metrics.db_query_time_ms",
         "request.duration_ms",
         F.col("business.amount").cast("double").alias("amount"),
         "geo.location.lat",
@@ -110,7 +132,11 @@ def validate_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""WITH {RAW}, faults AS (
     SELECT event_id, 'metrics.memory_mb' AS field, 'integer' AS kind FROM raw WHERE bad_memory
     UNION ALL SELECT event_id, 'request.ip', 'ip' FROM raw WHERE bad_ip
-    UNION ALL SELECT event_id, 'geo.location', 'geo_point' FROM raw WHERE bad_point)
+    UNION ALL SELECT event_id, 'geo.location', 'geo_point' FROM raw WHERE bad_point
+    UNION ALL SELECT event_id, 'message', 'text' FROM raw WHERE bad_message
+    UNION ALL SELECT event_id, 'error.message', 'text' FROM raw WHERE bad_error
+    UNION ALL SELECT event_id, 'tags', 'keyword' FROM raw WHERE bad_tags
+    UNION ALL SELECT event_id, 'metrics.db_query_time_ms', 'integer' FROM raw WHERE bad_db)
     SELECT event_id::VARCHAR AS document_id, 'insertion' AS error_type, field,
     'mapper_parsing_exception' AS type,
     'failed to parse field [' || field || '] of type [' || kind || ']' AS reason FROM faults""",
@@ -217,6 +243,21 @@ def ndjson_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- the table ---------------------------------------------------------------------
 
 
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def shared_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log table, written once in a session for all queries that only read it."""
+    key = (spark.sparkContext.applicationId, checkpoint_dir_of(spark), sf_dir)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = _table(spark, sf_dir)
+    return tables.read_table(spark, _WRITTEN[key])
+
+
+def checkpoint_dir_of(spark: SparkSession) -> str:
+    return spark.conf.get("spark.checkpoint.dir", "")
+
+
 def _table(spark: SparkSession, sf_dir: str, times: int = 1, force: bool = False) -> str:
     path = _folder(spark, "table")
     logs = load_logs(spark, sf_dir)
@@ -264,7 +305,7 @@ def table_force(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def table_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = tables.read_table(spark, _table(spark, sf_dir))
+    table = shared_table(spark, sf_dir)
     parts = {
         "day": tables.scope(table, day="2024-01-05", family="logs-info"),
         "pattern": tables.scope(table, pattern="logs-error-2024-01-1*"),
@@ -283,14 +324,34 @@ _STATS = """stats AS (SELECT 'logs-' || level || '-' || ts::DATE AS name, level,
 
 @query("partition_stats", with_logs("SELECT name, documents FROM stats", _STATS))
 def partition_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = MT.partition_stats(tables.read_table(spark, _table(spark, sf_dir)))
+    stats = MT.partition_stats(shared_table(spark, sf_dir))
     return stats.select("name", "documents")
 
 
-@query("largest_tables")
+@query(
+    "largest_tables",
+    with_logs(
+        """SELECT least(10, count(*)) AS tables, true AS ordered, true AS have_files, true AS have_bytes,
+        sum(documents)::BIGINT AS all_documents, 0 AS larger_left_out FROM stats""",
+        _STATS,
+    ),
+)
 def largest_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = MT.partition_stats(tables.read_table(spark, _table(spark, sf_dir)))
-    return P.top_tables(stats, 10).select("name", "documents", "files", "size_bytes", "size")
+    """Sizes in bytes depend on the writer, so what must hold of them is checked."""
+    stats = MT.partition_stats(shared_table(spark, sf_dir))
+    largest = P.top_tables(stats, 10)
+    total = stats.agg(F.sum("documents").alias("n"))
+    smallest = largest.agg(F.min("size_bytes").alias("least"))
+    listed = largest.agg(F.collect_list("size_bytes").alias("sizes"), F.min("files").alias("files"))
+    others = stats.join(largest.select("name"), "name", "left_anti").withColumn("least", smallest.scalar())
+    return listed.select(
+        F.size("sizes").cast("bigint").alias("tables"),
+        (F.col("sizes") == F.sort_array("sizes", False)).alias("ordered"),
+        (F.col("files") > 0).alias("have_files"),
+        (F.array_min("sizes") > 0).alias("have_bytes"),
+        total.scalar().alias("all_documents"),
+        others.agg(F.count_if(F.col("size_bytes") > F.col("least")).alias("n")).scalar().alias("larger_left_out"),
+    )
 
 
 @query(
@@ -298,7 +359,7 @@ def largest_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_logs("SELECT count(*) AS tables, sum(documents)::BIGINT AS documents FROM stats", _STATS),
 )
 def stats_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = MT.partition_stats(tables.read_table(spark, _table(spark, sf_dir)))
+    stats = MT.partition_stats(shared_table(spark, sf_dir))
     return MT.stats_summary(stats).select("tables", "documents")
 
 
@@ -309,7 +370,7 @@ def stats_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def retention_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = MT.partition_stats(tables.read_table(spark, _table(spark, sf_dir)))
+    stats = MT.partition_stats(shared_table(spark, sf_dir))
     return MT.retention_plan(stats, 7, "2024-01-30").select("name", "documents")
 
 
@@ -322,7 +383,7 @@ def retention_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def retention_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stats = MT.partition_stats(tables.read_table(spark, _table(spark, sf_dir)))
+    stats = MT.partition_stats(shared_table(spark, sf_dir))
     plan = MT.retention_plan(stats, 10, "2024-01-30", pattern="logs-debug-*")
     return MT.plan_totals(plan).select("tables", "documents")
 
@@ -342,6 +403,35 @@ def retention_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MT.partition_stats(tables.read_table(spark, path)).select("name", "documents")
 
 
+@query(
+    "retention_odd_names",
+    """SELECT family, count(*) AS n FROM (SELECT CASE event_id % 4 WHEN 0 THEN 'a:b' WHEN 1 THEN '007'
+      WHEN 3 THEN 'x=y z' END AS family, ts::DATE AS day FROM events)
+    WHERE day >= DATE '2024-01-30' - 20 GROUP BY 1
+    UNION ALL SELECT 'deleted', (SELECT count(DISTINCT (event_id % 4, ts::DATE)) FROM events
+      WHERE ts::DATE < DATE '2024-01-30' - 20)
+    UNION ALL SELECT 'failed', 0""",
+)
+def retention_odd_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families whose names are escaped on disk, look like numbers, or are missing."""
+    n = F.col("id").cast("bigint") % 4
+    family = F.when(n == 0, "a:b").when(n == 1, "007").when(n == 3, "x=y z")
+    path = _folder(spark, "odd")
+    tables.write_table(load_logs(spark, sf_dir), path, family)
+    stats = MT.partition_stats(tables.read_table(spark, path))
+    done = MT.apply_retention(spark, path, MT.retention_plan(stats, 20, "2024-01-30"), confirm=True)
+    left = tables.read_table(spark, path).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    report = spark.range(1).select(
+        F.inline(
+            F.array(
+                F.struct(F.lit("deleted").alias("family"), F.lit(done.deleted).cast("bigint").alias("n")),
+                F.struct(F.lit("failed").alias("family"), F.lit(done.failed).cast("bigint").alias("n")),
+            )
+        )
+    )
+    return left.unionByName(report)
+
+
 @query(
     "format_bytes",
     """SELECT event_id, CASE WHEN b = 0 THEN '0 B'
@@ -439,6 +529,17 @@ _NUMBERS = """SELECT
     AS response_time_p95 FROM seen"""
 
 
+MAPS = ["level", "environment", "category", "service", "geo", "tag"]
+
+
+def _map_sql(name: str) -> str:
+    listed = f"SELECT key || '=' || n AS pair FROM ({_COUNTS}) WHERE dimension = '{name}'"
+    return f"(SELECT string_agg(pair, ',' ORDER BY pair) FROM ({listed})) AS {name}_counts"
+
+
+_MAPS = ", ".join(map(_map_sql, MAPS))
+
+
 def _merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partials of each event type, merged: the order of batches does not matter."""
     logs = load_logs(spark, sf_dir)
@@ -460,20 +561,28 @@ def metrics_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "metrics_snapshot",
     with_logs(
-        """SELECT count(*) AS total_generated, count(*) FILTER (critical) AS error_count,
-        count(*) FILTER (level = 'info') AS info, count(*) FILTER (level = 'fatal') AS fatal,
-        count(*) FILTER (environment = 'production') AS production,
-        count(*) FILTER (category = 'audit') AS audit FROM logs"""
+        f"""SELECT count(*) AS total_generated, count(*) FILTER (critical) AS error_count, {_MAPS},
+        (SELECT response_time_p95 FROM ({_NUMBERS})) AS response_time_p95,
+        (SELECT response_time_avg FROM ({_NUMBERS})) AS response_time_avg,
+        (SELECT cpu_usage_max FROM ({_NUMBERS})) AS cpu_usage_max,
+        (SELECT cpu_usage_avg FROM ({_NUMBERS})) AS cpu_usage_avg,
+        (SELECT memory_mb_min FROM ({_NUMBERS})) AS memory_mb_min,
+        (SELECT memory_mb_avg FROM ({_NUMBERS})) AS memory_mb_avg FROM seen""",
+        "seen AS (SELECT * FROM logs)",
     ),
 )
 def metrics_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.snapshot(_merged(spark, sf_dir)).select(
-        "total_generated",
-        "error_count",
-        F.col("level_counts")["info"].alias("info"),
-        F.col("level_counts")["fatal"].alias("fatal"),
-        F.col("environment_counts")["production"].alias("production"),
-        F.col("category_counts")["audit"].alias("audit"),
+    """All six maps, each as sorted text, and the numbers."""
+    found = M.snapshot(_merged(spark, sf_dir))
+
+    def text(name: str) -> F.Column:
+        pairs = F.transform(F.map_entries(name), lambda e: F.concat_ws("=", e["key"], e["value"]))
+        return F.array_join(F.array_sort(pairs), ",").alias(name)
+
+    return found.select(
+        "total_generated", "error_count", *[text(f"{d}_counts") for d in MAPS],
+        "response_time_p95", "response_time_avg", "cpu_usage_max", "cpu_usage_avg",
+        "memory_mb_min", "memory_mb_avg",
     )
 
 
@@ -512,6 +621,54 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "batch_ingest",
+    f"""WITH {RAW} SELECT 'accepted' AS what, count(*) AS n FROM raw WHERE fine AND value < 300
+    UNION ALL SELECT 'rejected', count(*) FROM raw WHERE NOT fine
+    UNION ALL SELECT 'ledger rows', count(*) FROM raw
+    UNION ALL SELECT 'ledger inserted', count(*) FROM raw WHERE fine AND value < 300
+    UNION ALL SELECT 'metrics total', count(*) FROM raw WHERE fine AND value < 300""",
+)
+def batch_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One batch with a filter after validation; run twice, it is stored once."""
+    source = _folder(spark, "incoming")
+    raw_lines(load_events(spark, sf_dir)).write.text(source)
+    layout = IN.Layout(_folder(spark, "loaded"))
+    for _ in range(2):
+        IN.load(spark, source, layout, 7, prepare=lambda d: d.where("metrics.cpu_usage < 300"))
+    book = IN.read_ledger(spark, layout)
+    counted = M.counts(IN.read_metrics(spark, layout)).where("dimension = 'total'")
+    parts = {
+        "accepted": A.total(tables.read_table(spark, layout.logs)),
+        "rejected": A.total(IN.read_rejects(spark, layout)),
+        "ledger rows": book.agg(F.sum("rows").alias("n")),
+        "ledger inserted": book.agg(F.sum("inserted").alias("n")),
+        "metrics total": counted.select("n"),
+    }
+    out = None
+    for what, part in parts.items():
+        one = part.select(F.lit(what).alias("what"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    "stream_ingest_dedupe",
+    with_logs("SELECT level, count(*) AS n FROM logs GROUP BY 1"),
+)
+def stream_ingest_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document comes twice, in different batches, and is stored once."""
+    logs = load_logs(spark, sf_dir)
+    lines = logs.select(ndjson.documents(logs).alias("value"))
+    source = _folder(spark, "incoming")
+    lines.repartition(2).write.text(source)
+    lines.repartition(2).write.mode("append").text(source)
+    layout = IN.Layout(_folder(spark, "ingested"))
+    IN.ingest(spark, source, layout, files_per_batch=2, remember_ids="1 hour").awaitTermination()
+    table = tables.read_table(spark, layout.logs)
+    return table.groupBy("level").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("stream_metrics", with_logs(_COUNTS, "seen AS (SELECT * FROM logs)"))
 def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics collected batch by batch equal those of the whole table."""

@@ -16,6 +16,7 @@ from logloom.operators import reports as R
 from logloom.plans import dashboard as D
 from logloom.sources.events import load_logs
 
+from .ingest_queries import shared_table
 from .registry import query
 from .sql import iso, iso_ms, sql_list, with_logs
 
@@ -101,8 +102,8 @@ _filtered(
 )
 _filtered(
     "filter_services",
-    FI.LogFilters(services=["payment-service", "auth-service"]),
-    "service IN ('payment-service', 'auth-service')",
+    FI.LogFilters(services=["payment-service", "api-gateway"]),
+    "service IN ('payment-service', 'api-gateway')",
 )
 _filtered(
     "filter_environments",
@@ -149,7 +150,8 @@ _filtered(
 
 @query("lookup_id", _brief_sql("id = '77'"))
 def lookup_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _brief(FI.lookup(load_logs(spark, sf_dir), "77"))
+    """On the written table, whose Bloom filters spare files without the id."""
+    return _brief(FI.lookup(shared_table(spark, sf_dir), "77"))
 
 
 @query(
@@ -302,24 +304,19 @@ def _zero_filled(name: str, path: str, column: str, values: list[str]) -> None:
             f"""SELECT key, coalesce(n, 0) AS n FROM (SELECT unnest({sql_list(values)}) AS key)
             FULL JOIN (SELECT CASE WHEN {column} IN (SELECT unnest({sql_list(values)}))
               THEN {column} ELSE 'other' END AS key, count(*) AS n
-              FROM logs WHERE level NOT IN ('fatal') AND environment <> 'development'
-                AND category <> 'audit' GROUP BY 1) USING (key)"""
+              FROM logs GROUP BY 1) USING (key)"""
         ),
     )
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        logs = load_logs(spark, sf_dir).where(
-            (F.col("level") != "fatal")
-            & (F.col("service.environment") != "development")
-            & (F.col("category") != "audit")
-        )
-        return A.zero_filled(logs, path, values)
+        return A.zero_filled(load_logs(spark, sf_dir), path, values)
 
 
-_zero_filled("level_counts_zero_filled", "level", "level", S.LEVELS)
+# each domain has a value that no record has
+_zero_filled("level_counts_zero_filled", "level", "level", [*S.LEVELS, "silent"])
 _zero_filled(
-    "environment_counts_zero_filled", "service.environment", "environment", S.ENVIRONMENTS
+    "environment_counts_zero_filled", "service.environment", "environment", [*S.ENVIRONMENTS, "lab"]
 )
-_zero_filled("category_counts_zero_filled", "category", "category", S.CATEGORIES)
+_zero_filled("category_counts_zero_filled", "category", "category", [*S.CATEGORIES, "billing"])
 # a domain that lacks some of the values present
 _zero_filled("level_counts_with_other", "level", "level", ["info", "fatal"])
 
@@ -459,9 +456,26 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("value", F.round("value", 6))
 
 
-@query("latency_percentiles_approx")
+@query(
+    "latency_percentiles_approx",
+    "SELECT unnest([50, 75, 90, 95, 99])::DOUBLE AS percent, true AS within_bound",
+)
 def latency_percentiles_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.percentiles(load_logs(spark, sf_dir), "metrics.response_time_ms", exact=False)
+    """Whether each value's rank is within the sketch's bound of a ten-thousandth of the rows."""
+    logs = load_logs(spark, sf_dir).select(F.col("metrics.response_time_ms").alias("v"))
+    found = A.percentiles(logs, "v", exact=False).collect()
+    asked = F.array(
+        *[F.struct(F.lit(r["percent"]).alias("percent"), F.lit(r["value"]).alias("value")) for r in found]
+    )
+    ranks = (
+        logs.where("v is not null").select("v", F.inline(asked)).groupBy("percent")
+        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") < F.col("value")).alias("below"),
+             F.count_if(F.col("v") <= F.col("value")).alias("upto"))
+    )
+    aim, slack = F.col("n") * F.col("percent") / 100, F.col("n") / 10_000 + 1
+    return ranks.select(
+        "percent", ((F.col("below") - slack <= aim) & (aim <= F.col("upto") + slack)).alias("within_bound")
+    )
 
 
 @query(
@@ -490,13 +504,11 @@ def _histogram_ctes(step: str, where: str = "true") -> list[str]:
     ]
 
 
-SPARSE = "critical AND service = 'search-service'"
+SPARSE = "critical AND category = 'security'"
 
 
 def _sparse(logs: DataFrame) -> DataFrame:
-    return logs.where(
-        predicates.critical_level() & (F.col("service.name") == "search-service")
-    )
+    return logs.where(predicates.critical_level() & (F.col("category") == "security"))
 
 
 def _histogram(name: str, step: str, sparse: bool) -> None:
@@ -514,6 +526,7 @@ def _histogram(name: str, step: str, sparse: bool) -> None:
 _histogram("hist_1h", "1h", False)
 _histogram("hist_1h_sparse", "1h", True)
 _histogram("hist_2h_sparse", "2h", True)
+_histogram("hist_2h", "2h", False)
 _histogram("hist_1d", "1d", False)
 _histogram("hist_1w", "1w", False)
 
@@ -523,11 +536,11 @@ _histogram("hist_1w", "1w", False)
     with_logs(
         f"""SELECT {iso_ms('arg_max(b, (n, -b))')} AS peak_at, max(n) AS peak_n,
         {iso_ms('arg_min(b, (n, b))')} AS low_at, min(n) AS low_n FROM series""",
-        *_histogram_ctes("1h", SPARSE),
+        *_histogram_ctes("1h"),
     ),
 )
 def peak_low(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.peak_and_low(H.date_histogram(_sparse(load_logs(spark, sf_dir)), "1h"))
+    return H.peak_and_low(H.date_histogram(load_logs(spark, sf_dir), "1h"))
 
 
 @query(

@@ -15,6 +15,11 @@ _IPV6 = (
     r"^(([0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"
     r"|(?=.*::)(?!.*::.*::)(?!.*:::)(([0-9A-Fa-f]{1,4})?:){2,7}([0-9A-Fa-f]{1,4})?)$"
 )
+# an IPv4 address in the last 32 bits
+_MAPPED = (
+    r"^(([0-9A-Fa-f]{1,4}:){6}|(?=.*::)(?!.*::.*::)(?!.*:::)(([0-9A-Fa-f]{1,4})?:){2,6})"
+    + _IPV4[1:]
+)
 
 
 def col(c: Column | str) -> Column:
@@ -69,7 +74,7 @@ def format_bytes(c: Column | str) -> Column:
 
 
 def valid_ip(c: Column | str) -> Column:
-    return col(c).rlike(_IPV4) | col(c).rlike(_IPV6)
+    return col(c).rlike(_IPV4) | col(c).rlike(_IPV6) | col(c).rlike(_MAPPED)
 
 
 def valid_geo_point(lat: Column, lon: Column) -> Column:

@@ -93,12 +93,8 @@ def zero_filled(df: DataFrame, key: Column | str, values: list[str]) -> DataFram
     k = col(key)
     known = F.when(k.isin(values), k).otherwise(F.lit("other"))
     counts = count_by(df, known)
-    expected = domain(df.sparkSession, values)
-    # both sides hold one row per list value at most
-    return (
-        counts.join(F.broadcast(expected).withColumn("listed", F.lit(True)), "key", "full")
-        .select("key", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
-    )
+    zeros = domain(df.sparkSession, values).select("key", F.lit(0).cast("bigint").alias("n"))
+    return counts.unionByName(zeros).groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def tag_counts(logs: DataFrame) -> DataFrame:
@@ -145,12 +141,14 @@ def percentiles(
 ) -> DataFrame:
     """Interpolated percentiles, one row per percent.
 
-    The exact form keeps one counter per distinct value; ``exact=False`` keeps a
-    bounded sketch instead, for columns with very many distinct values.
+    The exact form works on the frequency table of the values, a span of them at
+    a time; ``exact=False`` keeps a sketch of bounded size instead.
     """
+    if exact:
+        return _exact_percentiles(count_by(df, col(value).cast("double")), percents)
     v = col(value)
     points = F.array(*[F.lit(p / 100.0) for p in percents])
-    values = F.percentile(v, points) if exact else F.percentile_approx(v, points, 10_000)
+    values = F.percentile_approx(v, points, 10_000)
     pairs = F.arrays_zip(
         F.array(*[F.lit(float(p)) for p in percents]).alias("percent"), values.alias("value")
     )
@@ -161,6 +159,64 @@ def percentiles(
     )
 
 
+_SPANS = 4096
+
+
+def _exact_percentiles(frequencies: DataFrame, percents: list[int]) -> DataFrame:
+    """Percent ``p`` lies at position ``(n - 1) * p / 100`` of the sorted values,
+    between two of them as a rule.
+
+    The range of the values is cut into spans of equal width. The running count
+    goes over the spans first and then inside the spans that hold a position, so
+    no window and no buffer sees all distinct values.
+    """
+    whole = frequencies.agg(
+        F.min("key").alias("lo"), F.max("key").alias("hi"), F.sum("n").alias("rows")
+    )
+    whole = whole.select(F.struct("lo", "hi", "rows").alias("whole")).scalar()
+    placed = frequencies.withColumn("whole", whole)
+    width = F.greatest((F.col("whole.hi") - F.col("whole.lo")) / _SPANS, F.lit(1e-300))
+    placed = placed.withColumn("span", F.floor((F.col("key") - F.col("whole.lo")) / width)).where(
+        F.col("span").isNotNull()
+    )
+    spans = placed.groupBy("span").agg(F.sum("n").alias("n"), F.max("whole.rows").alias("rows"))
+    before = F.sum("n").over(W.orderBy("span")) - F.col("n")
+    wanted = F.array(
+        *[
+            F.struct(
+                F.lit(p).alias("percent"),
+                side(F.col("rows").cast("double") * p / 100.0 - p / 100.0).cast("bigint").alias("position"),
+            )
+            for p in percents
+            for side in (F.floor, F.ceil)
+        ]
+    )
+    located = (
+        spans.withColumn("before", before)
+        .select("span", "before", "n", "rows", F.inline(wanted))
+        .where((F.col("before") <= F.col("position")) & (F.col("position") < F.col("before") + F.col("n")))
+        .select("span", "before", "percent", "position", "rows")
+        .distinct()
+    )
+    chosen = located.groupBy("span").agg(
+        F.max("before").alias("before"),
+        F.max("rows").alias("rows"),
+        F.collect_set(F.struct("percent", "position")).alias("wanted"),
+    )
+    inside = placed.select("span", "key", "n").join(F.broadcast(chosen), "span")
+    upto = F.col("before") + F.sum("n").over(W.partitionBy("span").orderBy("key"))
+    found = (
+        inside.withColumn("upto", upto)
+        .select("key", "n", "upto", "rows", F.inline("wanted"))
+        .where((F.col("upto") - F.col("n") <= F.col("position")) & (F.col("position") < F.col("upto")))
+    )
+    point = F.max("rows").cast("double") * F.col("percent") / 100.0 - F.col("percent") / 100.0
+    lower, upper = F.min("key"), F.max("key")
+    return found.groupBy("percent").agg(
+        (lower + (point - F.floor(point)) * (upper - lower)).alias("value")
+    ).select(F.col("percent").cast("double").alias("percent"), "value")
+
+
 def value_frequencies(df: DataFrame, value: Column | str) -> DataFrame:
     return count_by(df, col(value).cast("bigint"))
 
@@ -175,7 +231,11 @@ def value_at_share(frequencies: DataFrame, share: float = 0.95) -> DataFrame:
     goes over spans of 4096 values first and then inside the one span that holds
     the position, so neither window sees all distinct values at once.
     """
-    spanned = frequencies.withColumn("span", F.floor(F.col("key") / _SPAN))
+    # the join would infer this filter for one of the two uses only; with it on
+    # both, Spark computes the table once
+    spanned = frequencies.withColumn("span", F.floor(F.col("key") / _SPAN)).where(
+        F.col("span").isNotNull()
+    )
     spans = spanned.groupBy("span").agg(F.sum("n").alias("n"))
     by_span = W.orderBy("span")
     everything = W.partitionBy()

@@ -98,8 +98,14 @@ def apply_filters(logs: DataFrame, filters: LogFilters | None) -> DataFrame:
     return logs.where(reduce(Column.__and__, conds)) if conds else logs
 
 
-def lookup(logs: DataFrame, log_id: str) -> DataFrame:
-    """The record with this id, or no row."""
+def lookup(logs: DataFrame, log_id: str, day: str | None = None) -> DataFrame:
+    """The record with this id, or no row.
+
+    On the written table the Bloom filters on ``id`` spare the files without it;
+    a known ``day`` spares all other partitions.
+    """
+    if day is not None and "log_date" in logs.columns:
+        logs = logs.where(F.col("log_date") == F.lit(day).cast("date"))
     return logs.where(F.col("id") == log_id)
 
 

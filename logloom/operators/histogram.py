@@ -33,27 +33,34 @@ def fill_gaps(counts: DataFrame, interval: str) -> DataFrame:
     the number of buckets. ``rows`` is carried along only to keep this branch on
     the same aggregate as the joined one, which Spark then computes once.
     """
-    step = interval_millis(interval)
     span = counts.agg(
         F.min("bucket").alias("lo"), F.max("bucket").alias("hi"), F.sum("n").alias("rows")
     ).where(F.col("rows") > 0)
+    return every_bucket(span, interval).join(counts, "bucket", "left").select(
+        "bucket", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
+    )
+
+
+def every_bucket(span: DataFrame, interval: str) -> DataFrame:
+    """``(bucket, position)`` from ``lo`` to ``hi`` of a one-row table, in two unfolding steps."""
+    step = interval_millis(interval)
     chunk_width = step * _CHUNK
     last_chunk = F.floor((F.col("hi") - F.col("lo")) / chunk_width)
     chunks = span.select(
         "lo", "hi", F.explode(F.sequence(F.lit(0).cast("bigint"), last_chunk)).alias("chunk")
-    ).select("hi", (F.col("lo") + F.col("chunk") * chunk_width).alias("start"))
+    ).select("lo", "hi", (F.col("lo") + F.col("chunk") * chunk_width).alias("start"))
     every = chunks.select(
+        "lo",
         F.explode(
             F.sequence(
                 F.col("start"),
                 F.least(F.col("hi"), F.col("start") + F.lit(chunk_width - step)),
                 F.lit(step).cast("bigint"),
             )
-        ).alias("bucket")
-    )
-    return every.join(counts, "bucket", "left").select(
-        "bucket", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
+        ).alias("bucket"),
     )
+    position = (F.col("bucket") - F.col("lo")) / step + 1
+    return every.select("bucket", position.cast("bigint").alias("position"))
 
 
 def date_histogram(

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import predicates
 from ..functions.scalars import round2
@@ -101,8 +102,7 @@ def counts(merged: DataFrame) -> DataFrame:
     return found.unionByName(empty).groupBy("dimension", "key").agg(F.sum("n").alias("n"))
 
 
-def numbers(merged: DataFrame) -> DataFrame:
-    """One row with minimum, maximum and mean of each number, and the p95."""
+def _numbers() -> list[Column]:
     def pick(name: str, column: Column) -> Column:
         return F.coalesce(F.max(F.when(F.col("dimension") == name, column)), F.lit(0.0))
 
@@ -113,11 +113,16 @@ def numbers(merged: DataFrame) -> DataFrame:
             round2(pick(name, F.col("hi"))).alias(f"{name}_max"),
             round2(pick(name, F.col("total") / F.col("n"))).alias(f"{name}_avg"),
         ]
+    return out
+
+
+def numbers(merged: DataFrame) -> DataFrame:
+    """One row with minimum, maximum and mean of each number, and the p95."""
     frequencies = merged.where(F.col("dimension") == _VALUES).select(
         F.col("key").cast("bigint").alias("key"), "n"
     )
     p95 = value_at_share(frequencies, 0.95)
-    return merged.agg(*out).withColumn("response_time_p95", p95.scalar())
+    return merged.agg(*_numbers()).withColumn("response_time_p95", p95.scalar())
 
 
 def count_map(buckets: DataFrame, name: str = "counts") -> DataFrame:
@@ -125,27 +130,69 @@ def count_map(buckets: DataFrame, name: str = "counts") -> DataFrame:
     return buckets.agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias(name))
 
 
-def snapshot(merged: DataFrame) -> DataFrame:
-    """One row: total, error count, the fixed-list maps, and the numbers."""
-    counted = counts(merged)
-    entry = F.struct("key", "n")
+#: Entries of the maps over open fields in a snapshot; ``counts`` lists them all.
+MAP_SIZE = 1000
 
-    def of(dimension: str) -> Column:
-        return F.map_from_entries(
-            F.collect_list(F.when(F.col("dimension") == dimension, entry))
-        )
 
-    def one(dimension: str) -> Column:
-        return F.coalesce(F.max(F.when(F.col("dimension") == dimension, F.col("n"))), F.lit(0))
+def snapshot(merged: DataFrame, map_size: int = MAP_SIZE) -> DataFrame:
+    """One row: total, error count, six maps, and the numbers.
+
+    The maps of the fixed lists hold every value, those of services, places and
+    tags the ``map_size`` most frequent ones. ``merged`` is computed once: the
+    fixed part, the open maps and the percentile all read the same aggregate.
+    """
+    fixed = {"level": LEVELS, "environment": ENVIRONMENTS, "category": CATEGORIES}
+
+    def count(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0)).cast("bigint")
 
-    row = counted.agg(
-        one("total").alias("total_generated"),
-        one("errors").alias("error_count"),
-        of("level").alias("level_counts"),
-        of("environment").alias("environment_counts"),
-        of("category").alias("category_counts"),
+    def of(name: str, values: list[str]) -> Column:
+        mine = F.col("dimension") == name
+        counted = [count(mine & (F.col("key") == v)) for v in values]
+        other = count(mine & ~F.col("key").isin(values))
+        full = F.map_from_arrays(
+            F.array(*[F.lit(v) for v in [*values, "other"]]), F.array(*counted, other)
+        )
+        return F.map_filter(full, lambda k, v: (k != "other") | (v > 0))
+
+    out = [
+        count(F.col("dimension") == "total").alias("total_generated"),
+        count(F.col("dimension") == "errors").alias("error_count"),
+        *[of(name, values).alias(f"{name}_counts") for name, values in fixed.items()],
+    ]
+    row = merged.agg(*out, *_numbers())
+    same = _kept_together(F.col("dimension") == _VALUES)
+    frequencies = merged.where(same).select(F.col("key").try_cast("bigint").alias("key"), "n")
+    open_fields = {"service": "service_counts", "geo": "geo_counts", "tag": "tag_counts"}
+    order = W.partitionBy("dimension").orderBy(F.col("n").desc(), F.col("key").asc())
+    ranked = (
+        merged.where(_kept_together(F.col("dimension").isin(list(open_fields))))
+        .withColumn("rank", F.row_number().over(order))
+        .where(F.col("rank") <= map_size)
+        .groupBy()
+        .agg(
+            *[
+                F.map_from_entries(
+                    F.collect_list(F.when(F.col("dimension") == d, F.struct("key", "n")))
+                ).alias(name)
+                for d, name in open_fields.items()
+            ]
+        )
+    )
+    maps = ranked.select(F.struct(*ranked.columns).alias("maps")).scalar()
+    return (
+        row.withColumn("response_time_p95", value_at_share(frequencies, 0.95).scalar())
+        .withColumn("maps", maps)
+        .select("*", "maps.*")
+        .drop("maps")
     )
-    # two single rows side by side
-    n = numbers(merged)
-    packed = n.select(F.struct(*n.columns).alias("numbers")).scalar()
-    return row.withColumn("numbers", packed).select("*", "numbers.*").drop("numbers")
+
+
+def _kept_together(condition: Column) -> Column:
+    """A condition on the groups that names every counted column.
+
+    A plain one would go below the aggregation, and columns nobody names would
+    be left out of it; the branches of a snapshot would then each count anew.
+    """
+    named = [F.col(c).isNull() for c in ("n", "lo", "hi", "total")]
+    return F.when(named[0] & named[1] & named[2] & named[3], F.lit(False)).otherwise(condition)

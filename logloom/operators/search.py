@@ -62,7 +62,6 @@ TAGS = TextField("tags", keyword=True, multi=True)
 SEARCH_FIELDS = [MESSAGE, ERROR_MESSAGE, REQUEST_PATH]
 SIMILAR_FIELDS = [MESSAGE, ERROR_MESSAGE, ERROR_TYPE]
 
-MAX_EXPANSIONS = 50
 MIN_DOC_FREQ = 5
 MAX_QUERY_TERMS = 12
 MIN_SHOULD_MATCH = 0.3
@@ -144,22 +143,24 @@ def _exact_weights(df: DataFrame, f: TextField, words: list[str]) -> DataFrame:
     )
 
 
-def expansions(
-    df: DataFrame, f: TextField, words: list[str], limit: int | None = MAX_EXPANSIONS
-) -> DataFrame:
-    """The vocabulary within the allowed edits of each query word.
+def _reach(words: list[str]) -> Callable[[Column], Column]:
+    """Whether a term is near enough in length to one of the words."""
+    spans = [(len(w) - allowed_edits(w), len(w) + allowed_edits(w)) for w in words]
+    return lambda t: reduce(Column.__or__, [F.length(t).between(a, b) for a, b in spans])
+
+
+def _boost(edits: Column, term: Column, word: str) -> Column:
+    """1 for the word itself, less for each edit; null beyond the allowed ones."""
+    return 1.0 - edits / F.least(F.length(term), F.lit(len(word)))
+
 
-    ``(q, term, edits, boost, df, rank, n, total)``; the row with ``q = -1``
-    carries the number of rows and their total length. The vocabulary is counted
-    by a partial and a final aggregate, and only words of a fitting length enter
-    it. ``limit`` keeps the closest terms of each query word, then the first in
-    order, as a search server does.
+def _vocabulary(df: DataFrame, f: TextField, words: list[str]) -> DataFrame:
+    """The words of a fitting length with their number of rows, and the edits to each query word.
+
+    The row without a term carries the number of rows and their total length.
+    Counted by a partial and a final aggregate.
     """
-    reach = [(len(w) - allowed_edits(w), len(w) + allowed_edits(w)) for w in words]
-    fitting = F.filter(
-        F.array_distinct("terms"),
-        lambda t: reduce(Column.__or__, [F.length(t).between(a, b) for a, b in reach]),
-    )
+    fitting = F.filter(F.array_distinct("terms"), _reach(words))
     # the length is worked out below the unfolding, once per row
     texts = df.select(_terms(df, f).alias("terms"))
     measured = texts.select("terms", _length(F.col("terms"), f).alias("length"))
@@ -176,64 +177,78 @@ def expansions(
         F.sum(total).alias("total"),
     )
     # one column of edits per query word, so that each is worked out once
-    counted = counted.select(
+    return counted.select(
         "*",
         *[
             edit_distance(F.col("term"), w, allowed_edits(w)).alias(f"edits{i}")
             for i, w in enumerate(words)
         ],
     )
-    table = F.struct(
-        F.lit(-1).alias("q"), F.lit(0).alias("edits"), F.lit(0.0).cast("double").alias("boost")
-    )
+
+
+def expansions(df: DataFrame, f: TextField, words: list[str]) -> DataFrame:
+    """The whole vocabulary within the allowed edits of each query word.
+
+    ``(q, term, edits, boost, df, rank)``, the closest terms first. Searches do
+    not need this list; it shows what a query word stands for.
+    """
     per_word = F.array(
         *[
             F.struct(
                 F.lit(i).alias("q"),
                 F.col(f"edits{i}").alias("edits"),
-                (1.0 - F.col(f"edits{i}") / F.least(F.length("term"), F.lit(len(w)))).alias(
-                    "boost"
-                ),
+                _boost(F.col(f"edits{i}"), F.col("term"), w).alias("boost"),
             )
             for i, w in enumerate(words)
         ]
     )
-    matches = F.when(F.col("term").isNull(), F.array(table)).otherwise(
-        F.filter(per_word, lambda x: x["boost"] > 0)
+    found = (
+        _vocabulary(df, f, words)
+        .where(F.col("term").isNotNull())
+        .select("term", "df", F.inline(F.filter(per_word, lambda x: x["boost"] > 0)))
     )
-    found = counted.select("term", "df", "n", "total", F.inline(matches))
     order = W.partitionBy("q").orderBy(F.col("boost").desc(), F.col("term").asc())
-    ranked = found.withColumn("rank", F.row_number().over(order))
-    return ranked if limit is None else ranked.where(F.col("rank") <= limit)
+    return found.withColumn("rank", F.row_number().over(order))
 
 
-def _fuzzy_weights(
-    df: DataFrame, f: TextField, words: list[str], limit: int | None
-) -> DataFrame:
-    """One row: average length and the weighted expansions of all query words.
+def _fuzzy_weights(df: DataFrame, f: TextField, words: list[str]) -> DataFrame:
+    """One row: average length and the weight of each query word.
 
-    Expansions of one word share the largest document count among them, so that a
+    All expansions of a word share the largest document count among them, so that a
     rare misspelling does not outweigh the word itself.
     """
-    found = expansions(df, f, words, limit)
-    blended = found.withColumn("df", F.max("df").over(W.partitionBy("q")))
-    table = F.col("q") < 0
-    one = blended.agg(
-        F.max(F.when(table, F.col("n"))).alias("n"),
-        F.max(F.when(table, F.col("total"))).alias("total"),
-        F.collect_list(F.when(~table, F.struct("q", "term", "boost", "df"))).alias("found"),
-    )
-    hits = F.transform(
-        "found",
-        lambda e: F.struct(
-            e["q"].alias("q"),
-            e["term"].alias("term"),
-            (e["boost"] * idf(F.col("n"), e["df"])).alias("weight"),
-        ),
-    )
-    return one.select(
-        F.struct(_average().alias("average"), hits.alias("hits")).alias("s")
+    near = [
+        F.max(F.when(_boost(F.col(f"edits{i}"), F.col("term"), w) > 0, F.col("df")))
+        for i, w in enumerate(words)
+    ]
+    one = _vocabulary(df, f, words).agg(
+        F.max("n").alias("n"),
+        F.max("total").alias("total"),
+        *[most.alias(f"df{i}") for i, most in enumerate(near)],
     )
+    weights = F.array(*[idf(F.col("n"), F.col(f"df{i}")) for i in range(len(words))])
+    return one.select(F.struct(_average().alias("average"), weights.alias("weights")).alias("s"))
+
+
+def _fuzzy_hits(i: int, words: list[str]) -> Column:
+    """The row's own terms within the allowed edits of the query words, with their weights."""
+
+    def near(t: Column) -> Column:
+        return F.array(
+            *[
+                F.struct(
+                    t.alias("term"),
+                    (
+                        _boost(edit_distance(t, w, allowed_edits(w)), t, w)
+                        * F.col(f"__s{i}.weights")[q]
+                    ).alias("weight"),
+                )
+                for q, w in enumerate(words)
+            ]
+        )
+
+    fitting = F.filter(F.array_distinct(F.col(f"__t{i}")), _reach(words))
+    return F.filter(F.flatten(F.transform(fitting, near)), lambda h: h["weight"] > 0)
 
 
 # -- scoring -------------------------------------------------------------------
@@ -267,18 +282,27 @@ def _known(i: int) -> Column:
     ).alias(f"known{i}")
 
 
-def _evidence(fields: list[TextField]) -> Callable[[Column], Column]:
-    """Step from the known terms to their occurrences, weights and length norm."""
+def _evidence(fields: list[TextField], own_hits: bool = False) -> Callable[[Column], Column]:
+    """Step from the known terms to their occurrences, weights and length norm.
+
+    With ``own_hits`` the weighted terms were found on the row itself.
+    """
 
     def step(x: Column) -> Column:
         out = []
         for i, f in enumerate(fields):
-            known, terms = x[f"known{i}"], F.col(f"__t{i}")
+            terms = F.col(f"__t{i}")
+            if own_hits:
+                hits = x[f"hits{i}"]
+                known = F.array_distinct(F.transform(hits, lambda h: h["term"]))
+            else:
+                known = x[f"known{i}"]
+                hits = _weights_of(F.col(f"__s{i}.hits"), known)
             length = F.lit(1) if f.keyword else _length(terms, f)
             out += [
                 known.alias(f"known{i}"),
                 _among(terms, known).alias(f"found{i}"),
-                _weights_of(F.col(f"__s{i}.hits"), known).alias(f"hits{i}"),
+                hits.alias(f"hits{i}"),
                 length_norm(length.cast("double"), F.col(f"__s{i}.average")).alias(f"norm{i}"),
             ]
         return F.struct(*out)
@@ -359,7 +383,6 @@ def multi_match(
     df: DataFrame,
     query: str,
     fields: list[TextField] = SEARCH_FIELDS,
-    max_expansions: int | None = MAX_EXPANSIONS,
     scope: DataFrame | None = None,
     keep_terms: bool = False,
 ) -> DataFrame:
@@ -369,7 +392,7 @@ def multi_match(
     terms that matched, for highlighting.
     """
     base = df if scope is None else scope
-    used, weights = [], []
+    used, weights, wanted = [], [], []
     asked: dict[bool, list[str]] = {}
     for f in fields:
         if f.keyword:
@@ -381,7 +404,8 @@ def multi_match(
             words = asked[f.stem]
         if words:
             used.append(f)
-            weights.append(_fuzzy_weights(base, f, words, max_expansions))
+            wanted.append(words)
+            weights.append(_fuzzy_weights(base, f, words))
     if not used:
         return _nothing(df)
     rows = _prepare(df, used, weights)
@@ -397,15 +421,15 @@ def multi_match(
             ]
         return F.struct(*out)
 
-    step = F.array(F.struct(*[_known(i) for i in range(len(used))]))
+    step = F.array(F.struct(*[_fuzzy_hits(i, w).alias(f"hits{i}") for i, w in enumerate(wanted)]))
     step = F.filter(
         step,
         lambda x: reduce(
             Column.__or__,
-            [F.coalesce(F.size(x[f"known{i}"]) > 0, F.lit(False)) for i in range(len(used))],
+            [F.coalesce(F.size(x[f"hits{i}"]) > 0, F.lit(False)) for i in range(len(used))],
         ),
     )
-    step = F.transform(step, _evidence(used))
+    step = F.transform(step, _evidence(used, own_hits=True))
     return _drop_scratch(rows.select("*", F.inline(F.transform(step, scored))))
 
 

@@ -44,7 +44,7 @@ def log_aggregations(
 
 def similar_logs(df: DataFrame, log_id: str, limit: int = 10) -> DataFrame:
     """Records like the given one, best first, with ``score``."""
-    paging.check_window(limit, 0)
+    paging.check_page(limit, 0)
     return search.more_like_this(df, log_id).orderBy(*search.by_score(None)).limit(limit)
 
 

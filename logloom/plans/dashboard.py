@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import predicates
-from ..functions.scalars import interval_millis, iso_utc
+from ..functions.scalars import iso_utc
 from ..operators.filters import last_days
-from ..operators.histogram import bucket_millis
+from ..operators.histogram import bucket_millis, every_bucket
 
 TERM_SIZES = {
     "by_level": 10,
@@ -83,10 +83,8 @@ def dashboard(logs: DataFrame, interval: str = "1h") -> DataFrame:
         .where(F.col("rank") <= max(TERM_SIZES.values()))
         .where(F.col("rank") <= F.coalesce(size, F.lit(1)))
     )
-    step = F.lit(interval_millis(interval)).cast("bigint")
     at = F.when(series, F.col("key").cast("bigint"))
-    following = F.lead("at").over(W.partitionBy("section").orderBy("at"))
-    kept = kept.withColumn("at", at).withColumn("next_at", following)
+    kept = kept.withColumn("at", at)
 
     def out(section: str, key: Column | str, value: Column, position: Column) -> Column:
         k = F.lit(key) if isinstance(key, str) else key
@@ -127,20 +125,10 @@ def dashboard(logs: DataFrame, interval: str = "1h") -> DataFrame:
         out("performance", "avg_cpu_usage", F.coalesce("avg_cpu", zero), F.lit(3)),
         out("performance", "avg_memory_usage", F.coalesce("avg_mem", zero), F.lit(4)),
     )
-    # a bucket stands for itself and for the empty ones up to the next bucket
-    until = F.coalesce(F.col("next_at") - step, F.col("at"))
-    filled = F.transform(
-        F.sequence(F.col("at"), until, step),
-        lambda b: F.struct(
-            F.lit(_SERIES).alias("section"),
-            b.alias("position"),
-            iso_utc(F.timestamp_millis(b)).alias("key"),
-            F.when(b == F.col("at"), n).otherwise(zero).cast("double").alias("value"),
-        ),
-    )
+    bucket_key = iso_utc(F.timestamp_millis(F.col("at")))
     rows = (
         F.when(F.col("section") == _ALL, overall)
-        .when(series, filled)
+        .when(series, F.array(out(_SERIES, bucket_key, n, zero)))
         .when(F.col("section") == "by_level", F.concat(itself, of_level))
         .otherwise(itself)
     )
@@ -164,15 +152,26 @@ def dashboard(logs: DataFrame, interval: str = "1h") -> DataFrame:
             )
         )
     )
+    # Every bucket of the span with its position and a zero. All counted columns
+    # are looked at only to keep this branch on the same aggregate as the rows
+    # above, which Spark then computes once.
+    seen = ["n", "avg_rt", "max_rt", "avg_cpu", "avg_mem"]
+    span = counted.agg(
+        F.min(at).alias("lo"), F.max(at).alias("hi"), *[F.max(c).alias(c) for c in seen]
+    ).where(F.col("lo").isNotNull() & F.coalesce(*[F.col(c).cast("double") for c in seen]).isNotNull())
+    empty = every_bucket(span, interval).select(
+        F.lit(_SERIES).alias("section"),
+        "position",
+        iso_utc(F.timestamp_millis("bucket")).alias("key"),
+        F.lit(0.0).alias("value"),
+    )
     return (
         kept.select(F.inline(rows))
         .unionByName(always)
-        .groupBy("section", "position", "key")
-        .agg(F.sum("value").alias("value"))
-        .withColumn(
-            "position",
-            F.row_number().over(W.partitionBy("section").orderBy("position", "key")),
-        )
+        .unionByName(empty)
+        .groupBy("section", "key")
+        .agg(F.max("position").alias("position"), F.sum("value").alias("value"))
+        .select("section", "position", "key", "value")
     )
 
 

@@ -18,7 +18,9 @@ def partition_stats(table: DataFrame) -> DataFrame:
     Rows are counted per file from the file footers; no column is read.
     """
     per_file = table.groupBy(
-        "family", "log_date", F.col("_metadata.file_path").alias("file")
+        "family",
+        "log_date",
+        F.col("_metadata.file_path").alias("file"),
     ).agg(F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("bytes"))
     return (
         per_file.groupBy("family", "log_date")
@@ -26,6 +28,7 @@ def partition_stats(table: DataFrame) -> DataFrame:
             F.sum("rows").alias("documents"),
             F.count(F.lit(1)).alias("files"),
             F.sum("bytes").alias("size_bytes"),
+            F.collect_set(F.regexp_replace("file", "/[^/]*$", "")).alias("folders"),
         )
         .withColumn("name", tables.partition_name())
         .withColumn("size", format_bytes("size_bytes"))
@@ -86,6 +89,22 @@ class Deleted:
     failed: int
 
 
+def _is_partition_of(root, folder) -> bool:
+    """Whether a folder is ``root/family=…/log_date=…``, or a level below."""
+    names = []
+    while folder is not None and not folder.equals(root):
+        names.append(folder.getName())
+        folder = folder.getParent()
+    top = names[-2:][::-1]
+    return (
+        folder is not None
+        and len(top) == 2
+        and top[0].startswith("family=")
+        and top[1].startswith("log_date=")
+        and not any(n in (".", "..") for n in names)
+    )
+
+
 def apply_retention(
     spark: SparkSession, path: str, plan: DataFrame, confirm: bool = False
 ) -> Deleted:
@@ -93,20 +112,27 @@ def apply_retention(
 
     Refuses unless ``confirm`` is set. A partition is a folder, so the work does
     not grow with what is kept. The plan has one row per partition, which is all
-    that comes to the driver.
+    that comes to the driver. The folders are those that the table's files were
+    found in, never built from values; one that is not a partition of this table
+    is left alone and counted as failed.
     """
     if not confirm:
         raise PermissionError("nothing was deleted: pass confirm=True to delete")
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(conf)
+    root = files.makeQualified(root)
     deleted = failed = 0
-    for row in plan.select("family", "log_date").toLocalIterator():
-        day = "__HIVE_DEFAULT_PARTITION__" if row["log_date"] is None else row["log_date"]
-        folder = jvm.org.apache.hadoop.fs.Path(f"{path}/family={row['family']}/log_date={day}")
-        try:
-            done = folder.getFileSystem(conf).delete(folder, True)
-        except Exception:  # noqa: BLE001 - a partition that cannot be deleted is counted
-            done = False
+    for row in plan.select("folders").toLocalIterator():
+        done = True
+        for folder in row["folders"]:
+            where = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+            try:
+                below = _is_partition_of(root, files.makeQualified(where))
+                done = below and files.delete(where, True) and done
+            except Exception:  # noqa: BLE001 - a partition that cannot be deleted is counted
+                done = False
         deleted, failed = deleted + bool(done), failed + (not done)
     return Deleted(deleted, failed)
 

@@ -78,7 +78,6 @@ LEAF_TYPES: list[tuple[str, str]] = [
 ]
 
 KEYWORD_IGNORE_ABOVE = 256
-MAX_RESULT_WINDOW = 10_000
 
 # --- Fixed values -----------------------------------------------------------
 # The enumerations, weights and text lists of the log domain. Results that

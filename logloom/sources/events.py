@@ -156,15 +156,6 @@ def logs_from_events(events: DataFrame) -> DataFrame:
     )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on a table stored in fewer pieces than there are cores.
-
-    Such a table is small. A table of many files is left as it is read.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
@@ -174,6 +165,6 @@ def load_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def load_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The text corpus; its analysis costs far more than moving it once."""
+    """The text corpus."""
     columns = ["doc_id", "text", "lang", "source"]
-    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)

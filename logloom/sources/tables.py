@@ -7,6 +7,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import table_name
 
@@ -32,7 +33,8 @@ def write_table(
 
     ``rebalance`` brings a day's rows together in files of the advised size: AQE
     splits a day that is too large for one task and merges small ones. Rows are
-    in time order within a file, so that row groups can be skipped.
+    in time order within a file, so that row groups can be skipped, and a Bloom
+    filter on ``id`` lets a lookup skip those without it.
     """
     columns = [*PARTITIONS, *extra_partitions]
     out = partitioned(logs, family).hint("rebalance", *columns)
@@ -43,13 +45,25 @@ def write_table(
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
         .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
+        .option("parquet.bloom.filter.enabled#id", "true")
+        .option("parquet.bloom.filter.adaptive.enabled", "true")
         .partitionBy(*columns)
         .parquet(path)
     )
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The table, with the types of the partition columns as they were written.
+
+    Left to itself Spark would guess them from the folder names, and take the
+    family ``007`` for a number.
+    """
+    found = spark.read.parquet(path).schema
+    types = {"family": T.StringType(), "log_date": T.DateType()}
+    schema = T.StructType(
+        [T.StructField(f.name, types.get(f.name, f.dataType), f.nullable) for f in found]
+    )
+    return spark.read.schema(schema).parquet(path)
 
 
 def name_regex(pattern: str) -> str:

@@ -14,7 +14,7 @@ from ..functions.scalars import parse_timestamp, valid_geo_point, valid_ip
 from ..schema import LEAF_TYPES, LOG_SCHEMA
 
 PARSING = "mapper_parsing_exception"
-_INT_MAX = 2147483647.0
+_INT_MIN, _INT_MAX = -2147483648, 2147483647
 _OBJECTS = ["service", "error", "request", "business", "metrics", "geo"]
 
 
@@ -64,7 +64,8 @@ def _value_and_fault(path: str, kind: str) -> tuple[Column, Column]:
     if kind == "integer":
         whole = number.try_cast("int")
         return whole, text.isNotNull() & ~F.coalesce(
-            _finite(number) & (F.abs(number) <= _INT_MAX), F.lit(False)
+            # fractions are cut off before the limits are looked at
+            _finite(number) & (number > _INT_MIN - 1.0) & (number < _INT_MAX + 1.0), F.lit(False)
         )
     if kind == "float":
         return number, text.isNotNull() & ~F.coalesce(_finite(number), F.lit(False))
@@ -144,9 +145,11 @@ def validate(
         faults.append(F.when(wrong, _reason(o, text)))
     for p, k in leaves:
         values[p], wrong = _value_and_fault(p, k)
-        if k != "text":
-            faults.append(F.when(wrong, _reason(p, _failed(p, k))))
+        faults.append(F.when(wrong, _reason(p, _failed(p, k))))
     tags = F.col("__tags")
+    listed = F.try_variant_get(tags, "$", "array<variant>")
+    objects = F.coalesce(F.exists(listed, lambda v: _is(v, "OBJECT")), _is(tags, "OBJECT"))
+    faults.append(F.when(_present(tags) & objects, _reason("tags", _failed("tags", "keyword"))))
     values["tags"] = F.when(
         _present(tags),
         F.coalesce(

@@ -63,16 +63,19 @@ def process_batch(
 ) -> None:
     """Validate one batch and write records, rejects, metrics and its ledger row.
 
-    Every write replaces the partition of this batch, so that a batch which runs
-    again after a failure leaves each record once. The batch is kept while its
-    four outputs are written; lost pieces are computed again from the input.
+    ``lines`` may be a batch of a stream or any table of lines. Every write
+    replaces the partition of this batch, so that a batch which runs again after
+    a failure leaves each record once. The checked and the prepared rows are kept
+    while the outputs are written; lost pieces are computed again from the input.
+    ``inserted`` counts the rows that ``prepare`` leaves, which are those of the
+    table and of the metrics.
     """
     start = time.time()
     checked = validation.validate(lines, required=required).persist()
+    good = validation.accepted(checked)
+    if prepare is not None:
+        good = good.transform(prepare).persist()
     try:
-        good = validation.accepted(checked)
-        if prepare is not None:
-            good = good.transform(prepare)
         tables.write_table(
             good.withColumn("batch", F.lit(batch_id)),
             layout.logs,
@@ -85,22 +88,42 @@ def process_batch(
         _replace_batch(metrics.partials(good), layout.metrics, batch_id)
         counted = checked.agg(
             F.count(F.lit(1)).alias("rows"),
-            F.count_if(F.size("reject_reasons") == 0).alias("inserted"),
             F.count_if(F.size("reject_reasons") > 0).alias("failed"),
         )
+        inserted = good.agg(F.count(F.lit(1)).alias("n"))
         spent = int((time.time() - start) * 1000)
         row = counted.select(
             F.lit(batch_id).cast("bigint").alias("batch_id"),
             "rows",
-            "inserted",
+            inserted.scalar().alias("inserted"),
             "failed",
             F.lit(spent).cast("bigint").alias("duration_ms"),
         )
         _replace_batch(row, layout.ledger, batch_id)
     finally:
+        if prepare is not None:
+            good.unpersist()
         checked.unpersist()
 
 
+def load(
+    spark: SparkSession,
+    source: str,
+    layout: Layout,
+    batch_id: int,
+    family: str = "logs",
+    required: tuple[str, ...] = (),
+    prepare: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
+    """Load a folder of lines as one batch: records, rejects, metrics and ledger."""
+    lines = spark.read.text(source).where(F.trim("value") != "")
+    process_batch(lines, batch_id, layout, family, required, prepare)
+
+
+#: Input of one micro-batch, unless the caller says otherwise.
+BATCH_BYTES = "8g"
+
+
 def ingest(
     spark: SparkSession,
     source: str,
@@ -110,12 +133,21 @@ def ingest(
     files_per_batch: int | None = None,
     prepare: Callable[[DataFrame], DataFrame] | None = None,
     continuous: bool = False,
+    remember_ids: str | None = None,
 ) -> StreamingQuery:
-    """Ingest the files of a folder; by default what is there, then stop."""
+    """Ingest the files of a folder; by default what is there, then stop.
+
+    A backlog is taken in batches of bounded size. With ``remember_ids`` (such as
+    ``1 hour``) a document whose id came within that time is left out.
+    """
     reader = spark.readStream.format("text")
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    else:
+        reader = reader.option("maxBytesPerTrigger", BATCH_BYTES)
     lines = reader.load(source).where(F.trim("value") != "")
+    if remember_ids:
+        lines = dedupe_by_id(lines, remember_ids)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         process_batch(batch, batch_id, layout, family, required, prepare)
@@ -137,6 +169,21 @@ def read_rejects(spark: SparkSession, layout: Layout) -> DataFrame:
     return spark.read.json(layout.rejects)
 
 
+def dedupe_by_id(lines: DataFrame, remember: str = "1 hour") -> DataFrame:
+    """Raw lines without those whose id came within ``remember`` before.
+
+    Time is that of arrival, so no line is ever late and dropped for it. Lines
+    without an id are told apart by their whole text.
+    """
+    key = F.coalesce(F.get_json_object("value", "$.id"), F.concat(F.lit("#"), F.sha2("value", 256)))
+    return (
+        lines.select("value", key.alias("__id"), F.current_timestamp().alias("__arrived"))
+        .withWatermark("__arrived", remember)
+        .dropDuplicatesWithinWatermark(["__id"])
+        .select("value")
+    )
+
+
 def drop_repeats(stream: DataFrame, delay: str = "1 hour", time_column: str = "timestamp") -> DataFrame:
     """Keep the first record of each id; ids are remembered for ``delay`` only."""
     return stream.withWatermark(time_column, delay).dropDuplicatesWithinWatermark(["id"])

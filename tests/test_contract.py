@@ -3,10 +3,13 @@
 import pytest
 
 import __spark_entry__ as contract_entry
+import contract
 from oracle_check import compare, connect
 
+# the queries of the optional package have tests of their own
+OWN = contract.QUERIES
 QUERIES = contract_entry.queries()
-SQL = contract_entry.oracle_sql()
+SQL = {n: s for n, s in contract_entry.oracle_sql().items() if n in OWN}
 
 
 @pytest.fixture(scope="module")
@@ -17,12 +20,12 @@ def con(sf_dir):
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_query(spark, con, sf_dir, name):
     problem = compare(spark, con, name, QUERIES[name], SQL[name], sf_dir)
-    assert problem is None or problem == "no rows"
+    assert problem is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+@pytest.mark.parametrize("name", sorted(n for n in set(QUERIES) - set(SQL) if n in OWN))
 def test_query_without_sql(spark, sf_dir, name):
-    assert QUERIES[name](spark, sf_dir).columns
+    assert QUERIES[name](spark, sf_dir).count() > 0
 
 
 def test_entry(spark):

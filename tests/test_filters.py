@@ -104,9 +104,10 @@ def test_missing_timestamps_come_last(logs):
     assert [r["id"] for r in P.page_rows(rows).collect()] == ["b", "a"]
 
 
-def test_window_is_limited(logs):
+def test_pages_far_on(logs):
+    assert P.page_rows(logs(entry()), 20, 9_990).count() == 0
     with pytest.raises(ValueError):
-        P.page_rows(logs(entry()), 20, 9_990)
+        P.page_rows(logs(entry()), 20, -1)
 
 
 def test_pages_use_top_k(spark, sf_dir):
