@@ -6,10 +6,11 @@ one word, its necessary prefix under the order by rarity in the corpus, and by t
 word's place in the window:
 
 1. count, over all documents, the words that the benchmark uses;
-2. keep for each window its rarest word; a window with a word that no document
-   has is dropped, it cannot occur;
+2. keep for each window its rarest word, and the next as a second test; a window
+   with a word that no document has is dropped, it cannot occur;
 3. unfold the documents' words, join those that are prefixes, test by position
-   and length that the window fits, and compare the words of the item-sized window;
+   and length that the window fits and the second word is in its place, and compare
+   the words of the item-sized window;
 4. per document, add up the words covered by the windows found.
 
 The windows are the query set: they are counted and broadcast in blocks of
@@ -31,30 +32,29 @@ BLOCK = 100_000
 #: Contaminated from one covered word in so many.
 SHARE = 20
 
-_SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-_WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: Letters beyond ASCII that lower() would change.
-_OTHER_CAPITALS = r"[\p{Lu}\p{Lt}\x{2160}-\x{216F}\x{24B6}-\x{24CF}&&[^\x00-\x7F]]"
+#: What separates words: ASCII characters that are no letters or digits.
+_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case and nothing else changed."""
-    return F.when(text.rlike(_OTHER_CAPITALS), F.translate(text, _UPPER, _LOWER)).otherwise(F.lower(text))
+    return F.translate(text, _UPPER, _LOWER)
 
 
-def words_of(text: Column) -> Column:
-    """The words of a text, in order; none for a null or empty one."""
-    inner = F.regexp_replace(ascii_lower(text), f"^{_SEPARATORS}|{_SEPARATORS}$", "")
-    return F.when(F.coalesce(inner, F.lit("")) == "", F.array().cast("array<string>")).otherwise(
-        F.split(inner, _SEPARATORS)
-    )
+def split_words(text: Column) -> Column:
+    """The words of a text in order, in their own case; none for a null or empty one."""
+    parts = F.split(F.coalesce(text, F.lit("")), _SEPARATORS)
+    # only the ends can be empty
+    first = (F.element_at(parts, 1) == "").cast("int")
+    last = ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")
+    return F.slice(parts, first + 1, F.size(parts) - first - last)
 
 
 def _windows(items: DataFrame, item_id: str, text: str, size: int) -> DataFrame:
-    """(item, win): the different windows of each item."""
+    """(item, win): the different windows of each item, in lower case."""
     rows = items.select(
-        F.coalesce(col(item_id).cast("string"), F.lit("")).alias("item"), words_of(col(text)).alias("w")
+        F.coalesce(col(item_id).cast("string"), F.lit("")).alias("item"), split_words(ascii_lower(col(text))).alias("w")
     ).where(F.size("w") > 0)
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0))))
     return rows.select("item", "w", starts.alias("s")).select(
@@ -62,36 +62,44 @@ def _windows(items: DataFrame, item_id: str, text: str, size: int) -> DataFrame:
     ).distinct()
 
 
+# Words are joined by lower(), which also maps letters beyond ASCII. It maps words that are equal in the sense of the rule to
+# equal words, so no occurrence is lost; the comparison that follows is exact.
+
+
 def _prefixes(windows: DataFrame, texts: DataFrame) -> DataFrame:
-    """(item, win, word, at): each window that can occur, with its rarest word."""
-    vocabulary = stored(windows.select(F.explode("win").alias("word")).distinct(), "vocabulary")
+    """(item, text, len, word, at, other, other_at): each window that can occur, with its two rarest words."""
+    vocabulary = stored(windows.select(F.explode("win").alias("raw")).select(F.lower("raw").alias("word")).distinct(), "vocabulary")
     found = (
-        texts.select(F.explode(words_of(F.col("text"))).alias("word"))
+        texts.select(F.explode(split_words(F.col("text"))).alias("raw")).select(F.lower("raw").alias("word"))
         .join(small(vocabulary, vocabulary.count()), "word")
         .groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     )
-    numbered = windows.withColumn("key", F.sha2(F.to_json("win"), 256))
+    named = windows.select("item", "win", F.array_join("win", " ").alias("text"))
     rarest = (
-        numbered.select("key", "win").dropDuplicates(["key"])
-        .select("key", F.size("win").alias("len"), F.posexplode("win").alias("at", "word"))
-        .join(found, "word")
-        .groupBy("key", "len")
-        .agg(F.min(F.struct("n", "word", "at")).alias("first"), F.count(F.lit(1)).alias("present"))
-        .where(F.col("present") == F.col("len"))
-        .select("key", "first.word", "first.at")
+        named.select("text", "win").dropDuplicates(["text"])
+        .select("text", F.size("win").alias("len"), F.posexplode("win").alias("at", "raw"))
+        .withColumn("word", F.lower("raw")).join(found, "word")
+        .groupBy("text", "len")
+        .agg(F.sort_array(F.collect_list(F.struct("n", "word", "at"))).alias("order"))
+        .where(F.size("order") == F.col("len"))
+        .withColumn("second", F.col("order")[F.when(F.col("len") > 1, 1).otherwise(0)])
+        .select("text", "len", F.col("order")[0]["word"].alias("word"), F.col("order")[0]["at"].alias("at"),
+                F.col("second.word").alias("other"), F.col("second.at").alias("other_at"))
     )
-    return numbered.join(rarest, "key").select("item", "win", "word", "at")
+    return named.select("item", "text").join(rarest, "text")
 
 
 def _hits(texts: DataFrame, block: DataFrame) -> DataFrame:
     """(doc, hash, start, len, item) of the windows of one broadcast block in all documents."""
-    places = texts.select("doc", "hash", words_of(F.col("text")).alias("w")).select(
-        "doc", "hash", "w", F.size("w").alias("n"), F.posexplode("w").alias("pos", "word")
-    )
-    start, length = F.col("pos") - F.col("at"), F.size("win")
+    places = texts.select("doc", "hash", split_words(F.col("text")).alias("w")).select(
+        "doc", "hash", "w", F.size("w").alias("n"), F.posexplode("w").alias("pos", "raw")
+    ).withColumn("word", F.lower("raw"))
+    start = F.col("pos") - F.col("at")
+    same = ascii_lower(F.array_join(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("len")), " ")) == F.col("text")
     return places.join(F.broadcast(block), "word").where(
-        (start >= 0) & (start + length <= F.col("n")) & (F.slice("w", F.greatest(start, F.lit(0)) + 1, length) == F.col("win"))
-    ).select("doc", "hash", start.alias("start"), length.alias("len"), "item")
+        (start >= 0) & (start + F.col("len") <= F.col("n"))
+        & (F.lower(F.get("w", start + F.col("other_at"))) == F.col("other")) & same
+    ).select("doc", "hash", start.alias("start"), "len", "item")
 
 
 def find_hits(
@@ -103,7 +111,7 @@ def find_hits(
     windows = stored(_windows(benchmark, item_id, item_text, size), "windows")
     prefixes = stored(_prefixes(windows, texts), "prefixes")
     blocks = -(-prefixes.count() // block)
-    part = F.pmod(F.xxhash64("win", "item"), F.lit(max(blocks, 1)))
+    part = F.pmod(F.xxhash64("text", "item"), F.lit(max(blocks, 1)))
     found = [_hits(texts, prefixes.where(part == b) if blocks > 1 else prefixes) for b in range(blocks)]
     if not found:
         return _hits(texts, prefixes).limit(0)
@@ -144,7 +152,7 @@ def decontaminate(
     found = _summary(find_hits(docs, benchmark, doc_id, text, item_id, item_text, size, block))
     base = docs.select(
         col(doc_id).alias("_doc"), F.xxhash64(col(text)).alias("_hash"),
-        F.coalesce(F.regexp_count(col(text), F.lit(_WORD_ANY_CASE)), F.lit(0)).cast("bigint").alias("_words"),
+        F.size(split_words(col(text))).cast("bigint").alias("_words"),
         *(col(c).alias(f"_x{i}") for i, c in enumerate(extra)),
     )
     joined = base.join(
