@@ -42,9 +42,12 @@ def rest(df: DataFrame, taken: list[str]) -> list[str]:
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """``df`` written to the shared folder and read again: computed once, no lineage, survives executors."""
+    """``df`` written to the shared folder and read again: computed once, no lineage, survives executors.
+
+    Compressed with zstd, whose buffers live on the heap; those of snappy are native memory beside it.
+    """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -37,7 +37,7 @@ ROWS, BANDS = 5, 44
 #: Rounds in which a bucket is compared with one hub.
 STARS = 3
 #: Bytes that are hashed at a time.
-CHUNK = 1 << 21
+CHUNK = 1 << 19
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))

@@ -6,9 +6,9 @@ the same hash salt move together, as a *unit*; so a large group is a bounded num
 iteration, which grows with the table alone, and a giant group can still be split.
 
 Each round joins the units with the labels of their group, as weights by shard, and
-lets every unit ask for the shard that holds most of its group and still has
-room. Requests are granted in hash order as long as the quota of the shard holds, so a shard
-is never overfull with linked documents. Rounds end when nothing moves.
+lets every unit ask for a shard that holds more of its group and still has
+room. Requests are granted in hash order as long as the quota of the shard holds, a little above its even share, which
+linked documents never exceed. Rounds end when nothing moves.
 
 The law ``rows`` is then made exact: rows are numbered within their shard, linked
 ones first, and what exceeds the shard's quota fills the places free on others. Numbers
@@ -26,6 +26,8 @@ SHARDS = 16
 #: Salts per shard, and documents from which there are more of them.
 SALTS, SALT_ROWS = 16, 50_000
 ROUNDS = 8
+#: What the rounds may put on a shard beyond its even share.
+SLACK = 0.1
 #: Requests for a shard are granted in so many hash slices.
 SLICES = 512
 #: Mean number of rows that are numbered in one task group.
@@ -41,27 +43,24 @@ def _running(by: str, order: str, value: str) -> Column:
 def propagate(units: DataFrame, quota: int, n_shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
     """Moves units (grp, salt, n, label) towards the shards of their group, under ``quota`` rows a shard.
 
-    A unit gives up its shard only for one where its group weighs more, or as much and with a smaller number, so the
-    number of cut edges falls in every round.
+    A unit asks for a shard where its group weighs more than in its own, equal weights in a hash order of the group's own. Heavier shards are
+    preferred, with some chance for others, so that the units of a large group do not all ask for one. Every move is to a heavier shard, so
+    groups draw together.
     """
-    for _ in range(rounds):
+    for step in range(rounds):
         loads = {r["label"]: r["n"] for r in units.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # one number a shard
         room = F.element_at(F.array(*(F.lit(quota - loads.get(s, 0)).cast("bigint") for s in range(n_shards))), F.col("goal") + 1)
-        held = units.groupBy("grp", "label").agg(F.sum("n").alias("weight"))
-        best = (
-            held.withColumn("goal", F.col("label")).withColumn("room", room).where("room > 0")
-            .groupBy("grp").agg(F.max(F.struct("weight", (-F.col("goal")).alias("minus"))).alias("b"))
-            .select("grp", (-F.col("b.minus")).alias("goal"), F.col("b.weight").alias("goal_weight"))
-        )
-        better = F.col("goal").isNotNull() & (F.col("goal") != F.col("label")) & (
-            (F.col("goal_weight") > F.col("weight"))
-            | ((F.col("goal_weight") == F.col("weight")) & (F.col("goal") < F.col("label"))))
-        asked = (
-            units.join(held, ["grp", "label"]).join(best, ["grp"], "left")
-            .withColumn("goal", F.when(better, F.col("goal")))
-            .withColumn("slice", F.pmod(F.xxhash64("grp"), F.lit(SLICES)))
-            .select("grp", "salt", "n", "label", "goal", "slice")
+        held = units.groupBy("grp", "label").agg(F.sum("n").alias("weight")) \
+            .withColumn("rank", F.struct("weight", F.xxhash64("grp", "label").alias("turn")))
+        own = held.select("grp", "label", F.col("rank").alias("own"))
+        others = held.select("grp", F.col("label").alias("goal"), "rank").withColumn("room", room).where("room > 0")
+        chance = F.pmod(F.xxhash64("grp", "salt", "goal", F.lit(step)), F.lit(1000)) / 2000 + 0.5
+        wants = (
+            units.join(own, ["grp", "label"]).join(others, ["grp"]).where(F.col("rank") > F.col("own"))
+            .groupBy("grp", "salt").agg(F.max(F.struct((F.col("rank.weight") * chance).alias("pull"), "goal")).alias("w"))
+            .select("grp", "salt", F.col("w.goal").alias("goal"))
         )
+        asked = units.join(wants, ["grp", "salt"], "left").withColumn("slice", F.pmod(F.xxhash64("grp", "salt"), F.lit(SLICES)))
         demand = asked.where("goal is not null").groupBy("goal", "slice").agg(F.sum("n").alias("demand"))
         granted = (
             demand.withColumn("fits", room - _running("goal", "slice", "demand")).where("fits > 0")
@@ -106,7 +105,7 @@ def shard_documents(
         *(col(c).alias(f"_x{i}") for i, c in enumerate(extra)),
     )
     cells = stored(base.groupBy(F.col("_grp").alias("grp"), F.col("_salt").alias("salt")).agg(F.count(F.lit(1)).alias("n")), "cells")
-    quota = total // n_shards
+    quota = int(total / n_shards * (1 + SLACK))
     linked = cells.groupBy("grp").agg(F.sum("n").alias("rows")).where("rows > 1")
     units = stored(cells.join(linked, "grp").withColumn("label", F.col("salt") % n_shards), "units")
     sizes = units.select("grp", "salt", (F.col("rows") > bucket_rows).alias("large"))
@@ -116,13 +115,15 @@ def shard_documents(
         placed, (F.col("_grp") == F.col("u_grp")) & (F.col("_salt") == F.col("u_salt")), "left"
     )
     buckets = max(1, -(-total // (n_shards * bucket_rows)))
-    # linked rows first and groups whole, but for large ones, whose salts go to buckets of their own
-    piece = F.when(F.col("large"), F.floor(F.col("_salt") / n_shards)).otherwise(F.lit(0))
+    # what comes last is moved on if the shard is too full: single documents, then small groups, which are in one
+    # piece; large groups come first, and their salts go to buckets of their own
+    large = F.pmod(F.xxhash64("_grp", F.floor(F.col("_salt") / n_shards)), F.lit(buckets))
+    whole = F.lit(buckets) + F.pmod(F.xxhash64("_grp"), F.lit(buckets))
+    alone = F.lit(2 * buckets) + F.pmod(F.xxhash64("_doc"), F.lit(buckets))
     labelled = labelled.select(
         "_doc", "_size", "_crc", "_grp", "_salt", *(f"_x{i}" for i in range(len(extra))),
         F.coalesce("u_label", F.col("_salt") % n_shards).alias("_label"),
-        F.when(F.col("u_label").isNotNull(), F.pmod(F.xxhash64("_grp", piece), F.lit(buckets)))
-        .otherwise(F.lit(buckets) + F.pmod(F.xxhash64("_doc"), F.lit(buckets))).alias("_bucket"),
+        F.when(F.col("large"), large).when(F.col("u_label").isNotNull(), whole).otherwise(alone).alias("_bucket"),
     )
     sums = labelled.groupBy("_label", "_bucket").agg(F.count(F.lit(1)).alias("rows"))
     offsets = stored(sums.select(
@@ -132,7 +133,7 @@ def shard_documents(
     places = _places(counts, total, n_shards)
     within = F.row_number().over(Window.partitionBy("_label", "_bucket").orderBy("_grp", "_doc"))
     numbered = labelled.withColumn("_in", within).join(
-        small(offsets, 2 * buckets * n_shards), (F.col("_label") == F.col("o_label")) & (F.col("_bucket") == F.col("o_bucket"))
+        small(offsets, 3 * buckets * n_shards), (F.col("_label") == F.col("o_label")) & (F.col("_bucket") == F.col("o_bucket"))
     ).withColumn("_pos", F.col("offset") + F.col("_in") - 1)
     shard, slot = places(F.col("_label"), F.col("_pos"))
     return numbered.select(

@@ -437,6 +437,7 @@ def suffix_dedup(
         .mapInArrow(_cut, f"doc {kind}, thash bigint, n_removed bigint, n_spans bigint, kept binary")
         .select(F.col("doc").alias("c_doc"), F.col("thash").alias("c_thash"), "n_removed", "n_spans",
                 F.sha2("kept", 256).alias("c_sha"), "kept")
+        .dropDuplicates(["c_doc", "c_thash"])
     )
     body = F.coalesce(col(text), F.lit("")).cast("binary")
     base = docs.select(
