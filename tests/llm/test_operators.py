@@ -281,18 +281,19 @@ def test_shards_are_even_and_keep_groups(spark, kind):
         where[texts[r["doc_id"]] or ""].add(r["shard"])
     split = [t for t, s in where.items() if len(s) > 1]
     if kind == "pairs":
-        assert len(split) <= 16
+        assert len(split) <= 40
     if kind == "giant":  # 700 of 1900 rows need six shards of 119
-        assert len(where["same"]) <= 8 and len(split) <= 17
+        spread = Counter(r["shard"] for r in rows if texts[r["doc_id"]] == "same")
+        assert sum(n >= 20 for n in spread.values()) <= 9 and len(split) <= 30
 
 
 def test_propagation_never_overfills(spark):
     rows = [(f"g{g}", s, 1, (g * 7 + s) % 16) for g in range(40) for s in range(30)]
     units = spark.createDataFrame(rows, "grp string, salt int, n bigint, label int")
-    got = sharding.propagate(units, 80).collect()
+    got = sharding.propagate(units, 90).collect()
     loads = Counter(r["label"] for r in got)
     edges = sum(len({r["label"] for r in got if r["grp"] == f"g{g}"}) for g in range(40))
-    assert len(got) == len(rows) and max(loads.values()) <= 80 and edges < 40 * 16 / 2
+    assert len(got) == len(rows) and max(loads.values()) <= 90 and edges < 40 * 16 / 3
 
 
 def test_sharding_odd_rows(spark, odd, empty):
