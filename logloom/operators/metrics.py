@@ -162,7 +162,9 @@ def snapshot(merged: DataFrame, map_size: int = MAP_SIZE) -> DataFrame:
     ]
     row = merged.agg(*out, *_numbers())
     same = _kept_together(F.col("dimension") == _VALUES)
-    frequencies = merged.where(same).select(F.col("key").try_cast("bigint").alias("key"), "n")
+    # tied to a counted column, so that filters on it stay above the aggregate
+    value = F.when(F.col("n") > 0, F.col("key").try_cast("bigint"))
+    frequencies = merged.where(same).select(value.alias("key"), "n")
     open_fields = {"service": "service_counts", "geo": "geo_counts", "tag": "tag_counts"}
     order = W.partitionBy("dimension").orderBy(F.col("n").desc(), F.col("key").asc())
     ranked = (

@@ -35,7 +35,8 @@ def test_dashboard_reads_once(table):
 
 def test_snapshot_reads_once(table):
     plan = final_plan(M.snapshot(M.merge(M.partials(table))))
-    assert plan.count("FileScan") == 1
+    assert "ReusedExchange" in plan
+    assert plan.count("FileScan") <= 1
 
 
 def test_dashboard_of_distant_records(spark, logs):
@@ -47,7 +48,9 @@ def test_dashboard_of_distant_records(spark, logs):
     # the finest interval has too many buckets to list here, but neither an array nor a window of them
     plan = D.dashboard(rows, "500ms")._jdf.queryExecution().executedPlan().toString()
     windows = [x for x in plan.splitlines() if "Window" in x and "windowspecdefinition" in x]
-    assert windows and all("CASE WHEN (section" in w for w in windows)
+    # the one window cuts the terms; there every bucket is a group of its own
+    assert len(windows) == 1 and "row_number() windowspecdefinition(section#" in windows[0] and "_w0#" in windows[0]
+    assert "lead(" not in plan
 
 
 def test_fuzzy_search_gathers_no_list(spark, sf_dir):
