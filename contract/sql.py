@@ -151,6 +151,29 @@ def _ending(suffixes) -> str:
     ) + " ELSE '' END"
 
 
+# The suffix tables of the published Porter2 rules, written out here so that the SQL does not
+# share them with the code it checks.
+_AFTER_1A = "inning outing canning herring earring proceed exceed succeed".split()
+_STEP2 = {
+    "ization": "ize", "ational": "ate", "fulness": "ful", "ousness": "ous", "iveness": "ive",
+    "tional": "tion", "biliti": "ble", "lessli": "less", "entli": "ent", "ation": "ate",
+    "alism": "al", "aliti": "al", "ousli": "ous", "iviti": "ive", "fulli": "ful", "enci": "ence",
+    "anci": "ance", "abli": "able", "izer": "ize", "ator": "ate", "alli": "al", "bli": "ble",
+    "ogi": "og", "li": "",
+}
+_STEP3 = {
+    "ational": "ate", "tional": "tion", "alize": "al", "icate": "ic", "iciti": "ic", "ative": "",
+    "ical": "ic", "ness": "", "ful": "",
+}
+_STEP4 = "ement ance ence able ible ment ant ent ism ate iti ous ive ize ion al er ic".split()
+_WHOLE_WORDS = {
+    "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl",
+    "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl",
+    "sky": "sky", "news": "news", "howe": "howe", "atlas": "atlas", "cosmos": "cosmos",
+    "bias": "bias", "andes": "andes",
+}
+
+
 def stems(vocabulary: str, p: str = "") -> str:
     """CTEs that end in ``stems(term, stem)`` for a vocabulary of distinct terms."""
     cut = "w[:length(w) - length(e)]"
@@ -170,7 +193,7 @@ def stems(vocabulary: str, p: str = "") -> str:
       THEN CASE WHEN length(w) > 4 THEN w[:-3] ELSE w[:-2] END
     WHEN ends_with(w, 'us') OR ends_with(w, 'ss') THEN w
     WHEN regexp_matches(w, '[aeiouy].+s$') THEN w[:-2] ELSE w END AS w FROM {p}s5),
-{p}s7 AS (SELECT *, {_in('w', stemming.AFTER_1A)} AS done,
+{p}s7 AS (SELECT *, {_in('w', _AFTER_1A)} AS done,
     {_ending(['eedly', 'ingly', 'edly', 'eed', 'ing', 'ed'])} AS e FROM {p}s6),
 {p}s8 AS (SELECT term, r1, r2, done, e NOT IN ('', 'eed', 'eedly') AND NOT done
       AND regexp_matches({cut}, '[aeiouy]') AS removed,
@@ -183,16 +206,16 @@ def stems(vocabulary: str, p: str = "") -> str:
     WHEN length(w) <= r1 AND regexp_matches(w, '{_SHORT}') THEN w || 'e' ELSE w END AS w FROM {p}s8),
 {p}s10 AS (SELECT term, r1, r2, done, CASE WHEN NOT done AND regexp_matches(w, '^.+[^aeiouy][yY]$')
     THEN w[:-2] || 'i' ELSE w END AS w FROM {p}s9),
-{p}s11 AS (SELECT *, {_ending(stemming.STEP2)} AS e FROM {p}s10),
+{p}s11 AS (SELECT *, {_ending(_STEP2)} AS e FROM {p}s10),
 {p}s12 AS (SELECT term, r1, r2, done, CASE WHEN done OR e = '' OR length(w) - length(e) < r1 THEN w
     WHEN e = 'ogi' AND NOT ends_with({cut}, 'l') THEN w
     WHEN e = 'li' AND NOT regexp_matches({cut}, '[cdeghkmnrt]$') THEN w
-    ELSE {cut} || {_case('e', stemming.STEP2)} END AS w FROM {p}s11),
-{p}s13 AS (SELECT *, {_ending(stemming.STEP3)} AS e FROM {p}s12),
+    ELSE {cut} || {_case('e', _STEP2)} END AS w FROM {p}s11),
+{p}s13 AS (SELECT *, {_ending(_STEP3)} AS e FROM {p}s12),
 {p}s14 AS (SELECT term, r1, r2, done, CASE WHEN done OR e = ''
       OR length(w) - length(e) < CASE e WHEN 'ative' THEN r2 ELSE r1 END THEN w
-    ELSE {cut} || {_case('e', stemming.STEP3)} END AS w FROM {p}s13),
-{p}s15 AS (SELECT *, {_ending(stemming.STEP4)} AS e FROM {p}s14),
+    ELSE {cut} || {_case('e', _STEP3)} END AS w FROM {p}s13),
+{p}s15 AS (SELECT *, {_ending(_STEP4)} AS e FROM {p}s14),
 {p}s16 AS (SELECT term, r1, r2, done, CASE WHEN done OR e = '' OR length(w) - length(e) < r2 THEN w
     WHEN e = 'ion' AND NOT regexp_matches({cut}, '[st]$') THEN w ELSE {cut} END AS w FROM {p}s15),
 {p}s17 AS (SELECT term, CASE WHEN done THEN w
@@ -200,5 +223,5 @@ def stems(vocabulary: str, p: str = "") -> str:
       AND NOT regexp_matches(w[:-2], '{_SHORT}')) THEN w[:-2] ELSE w END
     WHEN ends_with(w, 'll') AND length(w) - 1 >= r2 THEN w[:-2] ELSE w END AS w FROM {p}s16),
 {p}stems AS (SELECT term, CASE WHEN length(term) <= 2 THEN term
-    WHEN {_in('term', stemming.WHOLE_WORDS)} THEN {_case('term', stemming.WHOLE_WORDS)}
+    WHEN {_in('term', _WHOLE_WORDS)} THEN {_case('term', _WHOLE_WORDS)}
     ELSE replace(w, 'Y', 'y') END AS stem FROM {p}s17)""".strip()

@@ -518,7 +518,33 @@ def log_aggregations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("section", "key", "value")
 
 
-@query("similar_logs")
+_SIMILAR = """
+postings AS (SELECT 0 AS f, k, term FROM m_postings UNION ALL SELECT 1, k, term FROM e_postings
+  UNION ALL SELECT 2, event_id, error_type FROM logs WHERE error_type IS NOT NULL),
+lengths AS (SELECT 0 AS f, k, dl FROM m_lengths UNION ALL SELECT 1, k, dl FROM e_lengths
+  UNION ALL SELECT 2, event_id, 1 FROM logs WHERE error_type IS NOT NULL),
+whole AS (SELECT f, count(*) AS n, avg(dl) AS avgdl FROM lengths GROUP BY 1),
+mine AS (SELECT f, term, count(*) AS like_tf FROM postings WHERE k = 96 GROUP BY 1, 2),
+tf AS (SELECT f, k, term, count(*) AS tf FROM postings JOIN mine USING (f, term) GROUP BY ALL),
+df AS (SELECT f, term, count(*) AS df FROM tf GROUP BY 1, 2),
+chosen AS (SELECT f, term, df, like_tf * (1 + ln(((SELECT count(*) FROM logs) + 1.0) / (df + 1.0))) AS value
+  FROM mine JOIN df USING (f, term) WHERE df >= 5 ORDER BY value DESC, f, term LIMIT 12)""".strip()
+
+
+@query(
+    "similar_logs",
+    with_logs(
+        f"""SELECT k::VARCHAR AS id, message, round(score, 6) AS score FROM (
+          SELECT k, count(*) AS matched, sum({_idf()} * tf / (tf + {_NORM})) AS score
+          FROM tf JOIN chosen USING (f, term) JOIN lengths USING (f, k) JOIN whole USING (f)
+          WHERE k <> 96 GROUP BY 1) JOIN logs ON k = event_id
+        WHERE matched >= greatest(1, floor((SELECT count(*) FROM chosen) * 0.3))
+        ORDER BY round(score, 9) DESC, id LIMIT 10""",
+        stemmed_corpus("logs", "event_id", "message", "m_"),
+        stemmed_corpus("logs", "event_id", "error_message", "e_"),
+        _SIMILAR,
+    ),
+)
 def similar_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = api.similar_logs(load_logs(spark, sf_dir), "96", 10)
     return found.select("id", "message", F.round("score", 6).alias("score"))

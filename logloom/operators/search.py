@@ -116,8 +116,70 @@ def _average() -> Column:
     return F.coalesce(F.try_divide(F.col("total"), F.col("n")), F.lit(1.0))
 
 
-def _exact_weights(df: DataFrame, f: TextField, words: list[str]) -> DataFrame:
+STATISTICS = ["field", "term", "log_date"]
+
+
+def term_statistics(logs: DataFrame, fields: list[TextField] | None = None) -> DataFrame:
+    """``(field, term, log_date, df, n, total)``: in how many rows of a day each term occurs.
+
+    The row without a term carries the number of rows, of those with the field,
+    and their total length. Statistics of several loads add up (``merged``), so
+    each load writes its own, and searches need no scan to weigh their terms.
+    """
+
+    def entry(f: TextField, term: Column, length: Column) -> Column:
+        return F.struct(F.lit(f.path).alias("field"), term.alias("term"), length.alias("length"))
+
+    def entries(f: TextField) -> Column:
+        terms = _terms(logs, f)
+        known = F.coalesce(F.array_distinct(analysis.present(terms)), F.array().cast("array<string>"))
+        return F.concat(
+            F.transform(known, lambda t: entry(f, t, F.lit(None).cast("bigint"))),
+            F.array(entry(f, F.lit(None).cast("string"), _length(terms, f).cast("bigint"))),
+        )
+
+    rows = [entries(f) for f in fields or dict.fromkeys([*SEARCH_FIELDS, *SIMILAR_FIELDS])]
+    day = F.to_date("timestamp") if "timestamp" in logs.columns else F.lit(None).cast("date")
+    return (
+        logs.select(day.alias("log_date"), F.inline(F.concat(*rows)))
+        .groupBy(*STATISTICS)
+        .agg(
+            F.count(F.lit(1)).alias("df"),
+            F.count_if(F.col("length") > 0).alias("n"),
+            F.sum("length").alias("total"),
+        )
+    )
+
+
+def merged(statistics: DataFrame) -> DataFrame:
+    """Statistics of any number of loads as one, by day."""
+    return statistics.groupBy(*STATISTICS).agg(
+        F.sum("df").alias("df"), F.sum("n").alias("n"), F.sum("total").alias("total")
+    )
+
+
+def _of_field(statistics: DataFrame, f: TextField) -> DataFrame:
+    return statistics.where(F.col("field") == f.path)
+
+
+def _exact_weights(
+    df: DataFrame, f: TextField, words: list[str], statistics: DataFrame | None = None
+) -> DataFrame:
     """One row: average length and the weight of each query term."""
+    if statistics is not None:
+        counted = (
+            _of_field(statistics, f)
+            .where(F.col("term").isNull() | F.col("term").isin(words))
+            .agg(
+                F.sum(F.when(F.col("term").isNull(), F.col("n"))).alias("n"),
+                F.sum("total").alias("total"),
+                *[
+                    F.coalesce(F.sum(F.when(F.col("term") == w, F.col("df"))), F.lit(0)).alias(f"df{i}")
+                    for i, w in enumerate(words)
+                ],
+            )
+        )
+        return _weighed(counted, words)
     terms = df.select(_terms(df, f).alias("terms"))
     length = _length(F.col("terms"), f)
     counted = terms.agg(
@@ -128,6 +190,10 @@ def _exact_weights(df: DataFrame, f: TextField, words: list[str]) -> DataFrame:
             for i, w in enumerate(words)
         ],
     )
+    return _weighed(counted, words)
+
+
+def _weighed(counted: DataFrame, words: list[str]) -> DataFrame:
     hits = F.array(
         *[
             F.struct(
@@ -154,12 +220,22 @@ def _boost(edits: Column, term: Column, word: str) -> Column:
     return 1.0 - edits / F.least(F.length(term), F.lit(len(word)))
 
 
-def _vocabulary(df: DataFrame, f: TextField, words: list[str]) -> DataFrame:
+def _vocabulary(
+    df: DataFrame, f: TextField, words: list[str], statistics: DataFrame | None = None
+) -> DataFrame:
     """The words of a fitting length with their number of rows, and the edits to each query word.
 
     The row without a term carries the number of rows and their total length.
     Counted by a partial and a final aggregate.
     """
+    if statistics is not None:
+        counted = (
+            _of_field(statistics, f)
+            .where(F.col("term").isNull() | _reach(words)(F.col("term")))
+            .groupBy("term")
+            .agg(F.sum("df").alias("df"), F.sum("n").alias("n"), F.sum("total").alias("total"))
+        )
+        return _with_edits(counted, words)
     fitting = F.filter(F.array_distinct("terms"), _reach(words))
     # the length is worked out below the unfolding, once per row
     texts = df.select(_terms(df, f).alias("terms"))
@@ -176,7 +252,11 @@ def _vocabulary(df: DataFrame, f: TextField, words: list[str]) -> DataFrame:
         F.count_if(total > 0).alias("n"),
         F.sum(total).alias("total"),
     )
-    # one column of edits per query word, so that each is worked out once
+    return _with_edits(counted, words)
+
+
+def _with_edits(counted: DataFrame, words: list[str]) -> DataFrame:
+    """One column of edits per query word, so that each is worked out once."""
     return counted.select(
         "*",
         *[
@@ -211,7 +291,9 @@ def expansions(df: DataFrame, f: TextField, words: list[str]) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order))
 
 
-def _fuzzy_weights(df: DataFrame, f: TextField, words: list[str]) -> DataFrame:
+def _fuzzy_weights(
+    df: DataFrame, f: TextField, words: list[str], statistics: DataFrame | None = None
+) -> DataFrame:
     """One row: average length and the weight of each query word.
 
     All expansions of a word share the largest document count among them, so that a
@@ -221,7 +303,7 @@ def _fuzzy_weights(df: DataFrame, f: TextField, words: list[str]) -> DataFrame:
         F.max(F.when(_boost(F.col(f"edits{i}"), F.col("term"), w) > 0, F.col("df")))
         for i, w in enumerate(words)
     ]
-    one = _vocabulary(df, f, words).agg(
+    one = _vocabulary(df, f, words, statistics).agg(
         F.max("n").alias("n"),
         F.max("total").alias("total"),
         *[most.alias(f"df{i}") for i, most in enumerate(near)],
@@ -330,16 +412,18 @@ def match(
     f: TextField = MESSAGE,
     operator: str = "and",
     scope: DataFrame | None = None,
+    statistics: DataFrame | None = None,
 ) -> DataFrame:
     """Rows with all (or any) of the query's terms, with a ``score`` column.
 
     ``scope`` is the table that term statistics are taken from, ``df`` itself by
-    default; filters narrow ``df`` without changing the scores.
+    default; filters narrow ``df`` without changing the scores. Written
+    ``statistics`` of that table spare the scan for them.
     """
     words = sorted({t for _, t in _query_terms(df, f, query)})
     if not words:
         return _nothing(df)
-    weights = _exact_weights(df if scope is None else scope, f, words)
+    weights = _exact_weights(df if scope is None else scope, f, words, statistics)
     tests = [_may_contain(f, w) for w in words]
     combine = Column.__and__ if operator == "and" else Column.__or__
     rows = _prepare(df.where(reduce(combine, tests)), [f], [weights])
@@ -357,13 +441,14 @@ def match_phrase(
     slop: int = 0,
     f: TextField = MESSAGE,
     scope: DataFrame | None = None,
+    statistics: DataFrame | None = None,
 ) -> DataFrame:
     """Rows whose words stand as in the query, up to ``slop`` moves apart."""
     slots = _query_terms(df, f, query)
     if not slots:
         return _nothing(df)
     words = sorted({t for _, t in slots})
-    weights = _exact_weights(df if scope is None else scope, f, words)
+    weights = _exact_weights(df if scope is None else scope, f, words, statistics)
     tests = reduce(Column.__and__, [_may_contain(f, w) for w in words])
     rows = _prepare(df.where(tests), [f], [weights])
     # each place in the query adds the weight of its word
@@ -385,6 +470,7 @@ def multi_match(
     fields: list[TextField] = SEARCH_FIELDS,
     scope: DataFrame | None = None,
     keep_terms: bool = False,
+    statistics: DataFrame | None = None,
 ) -> DataFrame:
     """Typo-tolerant search: any query word in any field, best field counts.
 
@@ -405,7 +491,7 @@ def multi_match(
         if words:
             used.append(f)
             wanted.append(words)
-            weights.append(_fuzzy_weights(base, f, words))
+            weights.append(_fuzzy_weights(base, f, words, statistics))
     if not used:
         return _nothing(df)
     rows = _prepare(df, used, weights)
@@ -488,6 +574,7 @@ def similar_terms(
     max_query_terms: int = MAX_QUERY_TERMS,
     min_doc_freq: int = MIN_DOC_FREQ,
     min_term_freq: int = 1,
+    statistics: DataFrame | None = None,
 ) -> DataFrame:
     """The terms that tell most about one record: ``(field, term, tf, df, rank, …)``.
 
@@ -505,6 +592,10 @@ def similar_terms(
         .select(*cols)
         .select(F.struct(*[F.col(f"t{i}") for i in range(len(fields))]).alias("like"))
     )
+    if statistics is not None:
+        return _told(
+            _counted_by_statistics(like, fields, statistics), max_query_terms, min_doc_freq, min_term_freq
+        )
     corpus = df.select(*cols).withColumn("like", like.scalar())
     entries = []
     for i, f in enumerate(fields):
@@ -533,6 +624,44 @@ def similar_terms(
             F.sum("length").alias("total"),
         )
     )
+    return _told(counted, max_query_terms, min_doc_freq, min_term_freq)
+
+
+def _counted_by_statistics(
+    like: DataFrame, fields: list[TextField], statistics: DataFrame
+) -> DataFrame:
+    """The record's own terms, and the row without a term of each field, with their counts."""
+    names = F.array(*[F.lit(f.path) for f in fields])
+    own = []
+    for i in range(len(fields)):
+        terms = F.coalesce(analysis.present(F.col(f"like.t{i}")), F.array().cast("array<string>"))
+        own.append(_shared_terms(F.array_distinct(terms), i))
+    # one record's terms
+    mine = like.select(F.inline(F.concat(*own) if len(own) > 1 else own[0])).select(
+        F.element_at(names, F.col("field") + 1).alias("field"), "term", "tf"
+    )
+    found = statistics.join(F.broadcast(mine), ["field", "term"]).select(
+        "field", "term", "tf", "df", F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("total")
+    )
+    whole = statistics.where(F.col("term").isNull() & F.col("field").isin([f.path for f in fields])).select(
+        "field", F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"), "df", "n", "total"
+    )
+    place = F.array_position(names, F.col("field")).cast("int") - 1
+    return (
+        found.unionByName(whole)
+        .groupBy(place.alias("field"), "term")
+        .agg(
+            F.max("tf").alias("tf"),
+            F.sum("df").alias("df"),
+            F.sum("n").alias("n"),
+            F.sum("total").alias("total"),
+        )
+    )
+
+
+def _told(
+    counted: DataFrame, max_query_terms: int, min_doc_freq: int, min_term_freq: int
+) -> DataFrame:
     whole = F.col("term").isNull()
     rows = F.max(F.when(whole, F.col("df"))).over(W.partitionBy())
     per_field = W.partitionBy("field")
@@ -564,13 +693,14 @@ def more_like_this(
     max_query_terms: int = MAX_QUERY_TERMS,
     min_doc_freq: int = MIN_DOC_FREQ,
     min_term_freq: int = 1,
+    statistics: DataFrame | None = None,
 ) -> DataFrame:
     """Records that share enough of one record's telling terms, with ``score``.
 
     At least 30 % of the chosen terms must occur; the record itself is left out.
     """
     chosen = similar_terms(
-        df, like_id, fields, key, newest, max_query_terms, min_doc_freq, min_term_freq
+        df, like_id, fields, key, newest, max_query_terms, min_doc_freq, min_term_freq, statistics
     )
     # at most max_query_terms rows are gathered here
     one = chosen.agg(

@@ -12,22 +12,32 @@ from ..operators.filters import LogFilters, apply_filters, lookup
 from .dashboard import log_aggregations as _aggregations
 
 
-def _found(logs: DataFrame, filters: LogFilters | None, keep_terms: bool = False) -> DataFrame:
+def _found(
+    logs: DataFrame,
+    filters: LogFilters | None,
+    keep_terms: bool = False,
+    statistics: DataFrame | None = None,
+) -> DataFrame:
     """Filtered rows; with a search text also scored. Term statistics are those
-    of all ``logs``, whatever the filters leave."""
+    of all ``logs``, whatever the filters leave; written ones spare a scan."""
     rows = apply_filters(logs, filters)
     if filters and filters.search_text:
         return search.multi_match(
-            rows, filters.search_text, scope=logs, keep_terms=keep_terms
+            rows, filters.search_text, scope=logs, keep_terms=keep_terms, statistics=statistics
         )
     return rows
 
 
 def logs(
-    df: DataFrame, filters: LogFilters | None = None, limit: int = 20, offset: int = 0
+    df: DataFrame,
+    filters: LogFilters | None = None,
+    limit: int = 20,
+    offset: int = 0,
+    statistics: DataFrame | None = None,
 ) -> paging.Page:
     """Matching records, newest first."""
-    return paging.page(_found(df, filters).drop("score"), limit, offset)
+    found = _found(df, filters, statistics=statistics)
+    return paging.page(found.drop("score"), limit, offset)
 
 
 def log(df: DataFrame, log_id: str) -> DataFrame:
@@ -36,16 +46,22 @@ def log(df: DataFrame, log_id: str) -> DataFrame:
 
 
 def log_aggregations(
-    df: DataFrame, filters: LogFilters | None = None, interval: str = "1h"
+    df: DataFrame,
+    filters: LogFilters | None = None,
+    interval: str = "1h",
+    statistics: DataFrame | None = None,
 ) -> DataFrame:
     """Counts by level and service, the time series, and the total."""
-    return _aggregations(_found(df, filters), interval)
+    return _aggregations(_found(df, filters, statistics=statistics), interval)
 
 
-def similar_logs(df: DataFrame, log_id: str, limit: int = 10) -> DataFrame:
+def similar_logs(
+    df: DataFrame, log_id: str, limit: int = 10, statistics: DataFrame | None = None
+) -> DataFrame:
     """Records like the given one, best first, with ``score``."""
     paging.check_page(limit, 0)
-    return search.more_like_this(df, log_id).orderBy(*search.by_score(None)).limit(limit)
+    found = search.more_like_this(df, log_id, statistics=statistics)
+    return found.orderBy(*search.by_score(None)).limit(limit)
 
 
 def search_logs(
@@ -54,6 +70,7 @@ def search_logs(
     filters: LogFilters | None = None,
     limit: int = 20,
     offset: int = 0,
+    statistics: DataFrame | None = None,
 ) -> paging.Page:
     """Typo-tolerant search within the filters: best first, then newest.
 
@@ -61,7 +78,7 @@ def search_logs(
     leaves only the filters. Rows carry ``score`` and ``highlight``.
     """
     asked = replace(filters or LogFilters(), search_text=query)
-    found = _found(df, asked, keep_terms=True)
+    found = _found(df, asked, keep_terms=True, statistics=statistics)
     if not query:
         found = found.withColumn("score", F.lit(1.0))
     rows = paging.page_rows(found, limit, offset, search.by_score())

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import metrics
+from ..operators import metrics, search
 from ..sources import tables, validation
 
 
@@ -36,6 +36,10 @@ class Layout:
     def metrics(self) -> str:
         return f"{self.root}/metrics"
 
+    @property
+    def statistics(self) -> str:
+        return f"{self.root}/statistics"
+
     @property
     def checkpoint(self) -> str:
         return f"{self.root}/checkpoint"
@@ -61,7 +65,7 @@ def process_batch(
     required: tuple[str, ...] = (),
     prepare: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
-    """Validate one batch and write records, rejects, metrics and its ledger row.
+    """Validate one batch and write records, rejects, metrics, term statistics and its ledger row.
 
     ``lines`` may be a batch of a stream or any table of lines. Every write
     replaces the partition of this batch, so that a batch which runs again after
@@ -86,6 +90,7 @@ def process_batch(
         bad = validation.rejects(checked, "stream", F.lit(batch_id).cast("bigint"))
         _replace_batch(bad, layout.rejects, batch_id, "json")
         _replace_batch(metrics.partials(good), layout.metrics, batch_id)
+        _replace_batch(search.term_statistics(good), layout.statistics, batch_id)
         counted = checked.agg(
             F.count(F.lit(1)).alias("rows"),
             F.count_if(F.size("reject_reasons") > 0).alias("failed"),
@@ -165,6 +170,11 @@ def read_metrics(spark: SparkSession, layout: Layout) -> DataFrame:
     return metrics.merge(spark.read.parquet(layout.metrics).drop("batch"))
 
 
+def read_statistics(spark: SparkSession, layout: Layout) -> DataFrame:
+    """The term statistics of all batches so far, merged."""
+    return search.merged(spark.read.parquet(layout.statistics).drop("batch"))
+
+
 def read_rejects(spark: SparkSession, layout: Layout) -> DataFrame:
     return spark.read.json(layout.rejects)
 

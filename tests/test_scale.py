@@ -117,3 +117,51 @@ def test_ledger_counts_what_prepare_leaves(spark, tmp_path, lines):
     assert (row["rows"], row["inserted"], row["failed"]) == (11, 5, 1)
     counted = M.counts(IN.read_metrics(spark, layout)).where("dimension = 'total'").head()
     assert counted["n"] == 5 == tables.read_table(spark, layout.logs).count()
+
+
+# -- written term statistics ---------------------------------------------------------
+
+
+@pytest.fixture
+def searched(spark, tmp_path):
+    """A written table with stored terms, and its statistics from two loads."""
+    logs = S.store_terms(load_logs(spark, "/root/testdata/sf0.001"))
+    logs.write.parquet(str(tmp_path / "logs"))
+    half = F.col("id").cast("int") % 2 == 0
+    for part in (logs.where(half), logs.where(~half)):
+        S.term_statistics(part).write.mode("append").parquet(str(tmp_path / "statistics"))
+    return spark.read.parquet(str(tmp_path / "logs")), S.merged(spark.read.parquet(str(tmp_path / "statistics")))
+
+
+def scored(df):
+    return sorted((r["id"], round(r["score"], 9)) for r in df.select("id", "score").collect())
+
+
+def table_scans(df):
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return sum("Relation [id#" in line for line in plan.splitlines())
+
+
+@pytest.mark.parametrize(
+    "run, scans",
+    [
+        (lambda t, s: S.match(t, "request timeout", statistics=s, operator="or"), 1),
+        (lambda t, s: S.match_phrase(t, "request processed", 2, statistics=s), 1),
+        (lambda t, s: S.multi_match(t, "databse connecton", statistics=s), 1),
+        (lambda t, s: S.more_like_this(t, "96", statistics=s), 2),
+    ],
+)
+def test_searches_with_statistics(searched, run, scans):
+    table, statistics = searched
+    with_them, without = run(table, statistics), run(table, None)
+    assert scored(with_them) == scored(without)
+    assert table_scans(with_them) == scans < table_scans(without)
+
+
+def test_statistics_of_batches(spark, tmp_path, lines):
+    docs = [entry(id=str(i), message="payment timeout" if i % 2 else "payment done") for i in range(6)]
+    layout = IN.Layout(str(tmp_path / "run"))
+    for batch in (0, 1, 1):
+        IN.process_batch(lines(*docs), batch, layout)
+    rows = IN.read_statistics(spark, layout).where("field = 'message'").collect()
+    assert {r["term"]: r["df"] for r in rows} == {None: 12, "payment": 12, "timeout": 6, "done": 6}
