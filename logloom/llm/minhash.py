@@ -7,10 +7,11 @@ that. Values agree with the probability of the similarity, concentrated as for
 independent hashes, and large sets need one or two rounds only.
 
 *Candidates.* Equal shingle sets are one class. Classes that agree in all ``ROWS`` values of a
-band meet in a bucket. A bucket is not unfolded into pairs: in some star rounds each
-class is compared with one hub of its bucket, links are merged to components, and
-only classes of different components are compared again. What is still apart after these rounds is
-compared in full, so no link is lost.
+band meet in a bucket. A bucket is not unfolded into pairs: each class is first compared with a few
+hubs of its bucket, and the links are merged to components. Where a bucket still holds several
+components, the classes of one are compared with those of the others, in blocks. Both comparisons look at sizes
+and whole sketches first: a pair whose sketches agree far less than those of similar sets do (six standard deviations) is
+no candidate, and is never written.
 
 *Verification.* Candidates are compared by their whole shingle sets.
 """
@@ -34,8 +35,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 SHINGLE, PERCENT = 5, 75
 #: Coordinates in a band and bands: at similarity 0.75 a pair is missed with probability (1 - 0.75 ** 5) ** 44 < 1e-5.
 ROWS, BANDS = 5, 44
-#: Rounds in which a bucket is compared with one hub.
-STARS = 3
+#: Hubs that the classes of a bucket are compared with first.
+STARS = 2
+#: Classes of a bucket that are compared in one task group.
+BLOCK = 2_000
 #: Bytes that are hashed at a time.
 CHUNK = 1 << 19
 
@@ -148,14 +151,16 @@ def _sketcher(size: int, rows: int, bands: int):
         for part in _parts(batches):
             sets = [shingle_set(t, powers, size) for t in part.column("text").to_pylist()]
             full = [k for k, s in enumerate(sets) if len(s)]
-            lists = [np.zeros(0, np.uint64)] * len(sets)
+            lists, sigs = [np.zeros(0, np.uint64)] * len(sets), [b""] * len(sets)
             if full:
-                for k, row in zip(full, band_keys(sketch([sets[k] for k in full], rows * bands), rows, bands)):
-                    lists[k] = row
+                sketches = sketch([sets[k] for k in full], rows * bands)
+                bytes_ = (mix(sketches) & np.uint64(255)).astype(np.uint8)
+                for k, row, sig in zip(full, band_keys(sketches, rows, bands), bytes_):
+                    lists[k], sigs[k] = row, sig.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc"), part.column("thash"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array([_set_digest(s) for s in sets], pa.binary()), _lists(lists)],
-                ["doc", "thash", "n", "cls", "bands"])
+                 pa.array([_set_digest(s) for s in sets], pa.binary()), _lists(lists), pa.array(sigs, pa.binary())],
+                ["doc", "thash", "n", "cls", "bands", "sig"])
 
     return run
 
@@ -174,26 +179,47 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(cls, comp): the smallest node that each linked node reaches.
 
     Labels spread along the links and jump to the label of their label, so the number of
-    rounds grows with the logarithm of the longest path.
+    rounds grows with the logarithm of the longest path. While the labels are few, counted first, they
+    are broadcast, and a round is one aggregation.
     """
     both = stored(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     labels = stored(both.groupBy(F.col("a").alias("cls")).agg(F.least(F.col("cls"), F.min("b")).alias("comp")), "labels")
+    nodes = labels.count()
     for _ in range(rounds):
-        heard = both.join(labels, F.col("b") == F.col("cls")).groupBy("a").agg(F.min("comp").alias("heard"))
-        spread = labels.join(heard, F.col("cls") == F.col("a")).select("cls", F.least("comp", "heard").alias("next"), "comp")
-        jump = labels.select(F.col("cls").alias("via"), F.col("comp").alias("far"))
+        known = small(labels, nodes)
+        heard = both.join(known, F.col("b") == F.col("cls")).groupBy("a").agg(F.min("comp").alias("heard"))
+        spread = heard.join(known, F.col("cls") == F.col("a")).select("cls", F.least("comp", "heard").alias("next"), "comp")
+        jump = small(labels.select(F.col("cls").alias("via"), F.col("comp").alias("far")), nodes)
         after = stored(
-            spread.join(jump, F.col("next") == F.col("via"), "left")
-            .select("cls", F.least("next", F.coalesce("far", "next")).alias("comp"), F.col("comp").alias("was")), "labels")
-        changed = after.where("comp <> was").limit(1).count()
+            spread.join(jump, F.col("next") == F.col("via"))
+            .select("cls", F.least("next", "far").alias("comp"), (F.least("next", "far") != F.col("comp")).alias("new")), "labels")
+        changed = after.where("new").limit(1).count()
         labels = after.select("cls", "comp")
         if not changed:
             return labels
     raise RuntimeError("components did not settle")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _set_reader(texts: DataFrame, involved: DataFrame, size: int):
+    """From a table of classes (cls) to their whole sets, made anew from a text of each."""
+
+    def read(wanted: DataFrame) -> DataFrame:
+        chosen = stored(
+            involved.join(wanted.distinct(), "cls", "left_semi")
+            .select(F.col("r.doc").alias("w_doc"), F.col("r.thash").alias("w_thash"), "cls"), "wanted")
+        return (
+            texts.join(small(chosen, chosen.count()), F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("thash") == F.col("w_thash")))
+            .select("cls", "text").mapInArrow(_set_maker(size), "cls binary, members array<bigint>")
+            .groupBy("cls").agg(F.first("members").alias("members"))
+        )
+
+    return read
+
+
+def _verified(pairs: DataFrame, sets_of, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
+    pairs = stored(pairs, "pairs")
+    sets = stored(sets_of(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))), "sets")
     left = sets.select(F.col("cls").alias("a"), F.col("members").alias("ma"))
     right = sets.select(F.col("cls").alias("b"), F.col("members").alias("mb"))
     common = F.size(F.array_intersect("ma", "mb"))
@@ -204,57 +230,146 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Different pairs of a bucket in different components, whose sizes allow the similarity."""
-    joined = left.join(right, "key").where(
-        (F.col("cls") != F.col("o_cls")) & (F.col("comp") != F.col("o_comp"))
-        & (F.least("n", "o_n") * 100 >= F.greatest("n", "o_n") * percent)
-    )
-    return joined.select(F.least("cls", "o_cls").alias("a"), F.greatest("cls", "o_cls").alias("b")).distinct()
+def agreement(size: int, percent: int) -> int:
+    """Of ``size`` coordinates, how many must agree: six standard deviations less than expected at the least similarity."""
+    p = percent / 100
+    return int(size * p - 6 * (size * p * (1 - p)) ** 0.5)
+
+
+def _columns(batch: pa.RecordBatch, size: int) -> tuple[np.ndarray, list, np.ndarray, np.ndarray]:
+    keys = batch.column("key").to_numpy(zero_copy_only=False)
+    cls = batch.column("cls").to_pylist()
+    n = batch.column("n").to_numpy(zero_copy_only=False)
+    sigs = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint8).reshape(-1, size)
+    return keys, cls, n, sigs
+
+
+def _near(n: int, sig: np.ndarray, ns: np.ndarray, sigs: np.ndarray, need: int, percent: int) -> np.ndarray:
+    """Which of many classes may be similar enough to one, by size and sketch."""
+    sizes = np.minimum(ns, n) * 100 >= np.maximum(ns, n) * percent
+    out = np.flatnonzero(sizes)
+    return out[(sigs[out] == sig).sum(1) >= need]
+
+
+def _emit(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    ordered = {(min(x), max(x)) for x in found}
+    a, b = zip(*ordered)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
+
+
+def _star_pairs(stars: int, size: int, need: int, percent: int):
+    """Pairs of the classes with the first ``stars`` of their bucket, from rows sorted by key and hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, hubs = None, []
+        for batch in batches:
+            keys, cls, n, sigs = _columns(batch, size)
+            found: list[tuple[bytes, bytes]] = []
+            cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else []
+            for lo, hi in zip(cuts, cuts[1:]):
+                if keys[lo] != last:
+                    last, hubs = keys[lo], []
+                for k in range(lo, min(hi, lo + stars - len(hubs))):
+                    hubs.append((cls[k], n[k], sigs[k].copy()))
+                for hub, hub_n, hub_sig in hubs:
+                    for k in lo + _near(hub_n, hub_sig, n[lo:hi], sigs[lo:hi], need, percent):
+                        if cls[k] != hub:
+                            found.append((hub, cls[k]))
+            if found:
+                yield _emit(found)
+
+    return run
+
+
+def _block_pairs(size: int, need: int, percent: int):
+    """Pairs of classes in different components, from the blocks of buckets; rows are sorted by key and blocks."""
+
+    def solve(rows: list[tuple], found: list[tuple[bytes, bytes]]) -> None:
+        ns, sigs = np.array([r[2] for r in rows]), np.stack([r[3] for r in rows])
+        for k, (cls, comp, n, sig, mine, first, second) in enumerate(rows):
+            for j in k + 1 + _near(n, sig, ns[k + 1 :], sigs[k + 1 :], need, percent):
+                if rows[j][1] != comp and (first == second or rows[j][4] != mine):
+                    found.append((cls, rows[j][0]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        last = None
+        for batch in batches:
+            keys, cls, n, sigs = _columns(batch, size)
+            comps, mine, first, second = (batch.column(c).to_pylist() for c in ("comp", "mine", "first", "second"))
+            found: list[tuple[bytes, bytes]] = []
+            for k in range(len(keys)):
+                if (keys[k], first[k], second[k]) != last:
+                    if len(rows) > 1:
+                        solve(rows, found)
+                    rows, last = [], (keys[k], first[k], second[k])
+                rows.append((cls[k], comps[k], n[k], sigs[k], mine[k], first[k], second[k]))
+            if found:
+                yield _emit(found)
+        found = []
+        if len(rows) > 1:
+            solve(rows, found)
+        if found:
+            yield _emit(found)
+
+    return run
+
+
+def _in_blocks(apart: DataFrame, block: int) -> DataFrame:
+    """Rows of buckets of several components, large buckets cut into blocks of about ``block`` rows, once for each pair of blocks."""
+    sizes = apart.groupBy("key").agg(
+        F.count(F.lit(1)).alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    cut = apart.join(sizes.select("key", F.ceil(F.col("rows") / block).cast("int").alias("blocks")), "key")
+    cut = cut.withColumn("mine", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
+        F.least("mine", o).alias("first"), F.greatest("mine", o).alias("second")))
+    return cut.select("key", "cls", "comp", "n", "sig", "mine", F.inline(pairs))
 
 
 def judged(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = SHINGLE, percent: int = PERCENT,
-    rows: int = ROWS, bands: int = BANDS, stars: int = STARS,
+    rows: int = ROWS, bands: int = BANDS, stars: int = STARS, block: int = BLOCK,
 ) -> DataFrame:
     """(doc, thash, n, least): per row its id, the hash of its text, the size of its set, the smallest id linked to it."""
     texts = docs.select(col(doc_id).alias("doc"), col(text).alias("text")).withColumn("thash", F.xxhash64("text"))
-    schema = f"doc {docs.schema[doc_id].dataType.simpleString()}, thash bigint, n bigint, cls binary, bands array<bigint>"
+    schema = f"doc {docs.schema[doc_id].dataType.simpleString()}, thash bigint, n bigint, cls binary, bands array<bigint>, sig binary"
     sketched = stored(texts.select("doc", "thash", "text").mapInArrow(_sketcher(size, rows, bands), schema), "sketches")
 
-    buckets = sketched.select(F.explode("bands").alias("key"), "cls", "n").distinct()
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("key")
-    members = stored(buckets.join(shared, "key"), "members")
-    wanted = stored(
-        sketched.join(members.select("cls").distinct(), "cls", "left_semi")
-        .groupBy("cls").agg(F.min(F.struct("doc", "thash")).alias("r")).select("cls", "r.doc", "r.thash"), "wanted")
-    chosen = small(wanted.select(F.col("doc").alias("w_doc"), F.col("thash").alias("w_thash"), "cls"), wanted.count())
-    sets = stored(
-        texts.join(chosen, F.col("doc").eqNullSafe(F.col("w_doc")) & (F.col("thash") == F.col("w_thash")))
-        .select("cls", "text").mapInArrow(_set_maker(size), "cls binary, members array<bigint>")
-        .groupBy("cls").agg(F.first("members").alias("members")), "sets")
-
-    links: DataFrame | None = None
+    classes = stored(
+        sketched.where("n > 0").groupBy("cls")
+        .agg(F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sig").alias("sig"),
+             F.min(F.struct("doc", "thash")).alias("r")), "classes")
+    keys = classes.select(F.explode("bands").alias("key"), "cls")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1").select("key")
+    members = stored(keys.join(shared, "key"), "members")
+    involved = stored(classes.join(members.select("cls").distinct(), "cls", "left_semi").drop("bands"), "involved")
+    marked = members.join(involved.select("cls", "n", "sig"), "cls")
+    parts, size_of_sketch = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows * bands
+    need = agreement(size_of_sketch, percent)
+
+    sets_of = _set_reader(texts, involved, size)
     comps: DataFrame | None = None
-    for step in range(stars + 1):
-        if comps is None:
-            placed = members.withColumn("comp", F.col("cls"))
-        else:
-            placed = members.join(comps, "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-            apart = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-            placed = stored(placed.join(apart, "key"), "placed")
-            if not placed.limit(1).count():
-                break
-        if step < stars:
-            order = F.struct(F.xxhash64("cls", F.lit(step)).alias("h"), "cls", "comp", "n")
-            other = placed.groupBy("key").agg(F.min(order).alias("o")).select(
-                "key", F.col("o.cls").alias("o_cls"), F.col("o.comp").alias("o_comp"), F.col("o.n").alias("o_n"))
-        else:  # the rest: what is still apart, against all of its bucket
-            other = placed.select("key", F.col("cls").alias("o_cls"), F.col("comp").alias("o_comp"), F.col("n").alias("o_n"))
-        found = _verified(_pairs(placed, other, percent), sets, percent)
-        links = stored(found if links is None else links.unionByName(found), "found")
+    links: DataFrame | None = None
+    if stars:
+        pairs = (
+            marked.withColumn("turn", F.xxhash64("cls")).repartition(parts, "key").sortWithinPartitions("key", "turn", "cls")
+            .select("key", "cls", "n", "sig").mapInArrow(_star_pairs(stars, size_of_sketch, need, percent), "a binary, b binary").distinct()
+        )
+        links = stored(_verified(pairs, sets_of, percent), "links")
         if links.limit(1).count():
             comps = stored(components(links), "components")
+    # the rest: buckets that still hold several components, the classes of each against those of the others
+    if comps is None:
+        apart = marked.withColumn("comp", F.col("cls"))
+    else:
+        apart = marked.join(small(comps, comps.count()), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    pairs = (
+        _in_blocks(apart, block).repartition(parts, "key", "first", "second").sortWithinPartitions("key", "first", "second")
+        .mapInArrow(_block_pairs(size_of_sketch, need, percent), "a binary, b binary").distinct()
+    )
+    more = stored(_verified(pairs, sets_of, percent), "more")
+    if more.limit(1).count():
+        comps = stored(components(more if links is None else links.unionByName(more)), "components")
 
     known = sketched.select("doc", "thash", "n", "cls")
     if comps is not None:
