@@ -6,11 +6,12 @@ one word, its necessary prefix under the order by rarity in the corpus, and by t
 word's place in the window:
 
 1. count, over all documents, the words that the benchmark uses;
-2. keep for each window its rarest word, and the next as a second test; a window
-   with a word that no document has is dropped, it cannot occur;
-3. unfold the documents' words, join those that are prefixes, test by position
-   and length that the window fits and the second word is in its place, and compare
-   the words of the item-sized window;
+2. keep for each window its rarest word; a window with a word that no document
+   has is dropped, it cannot occur; windows of an item that share the place of their
+   rarest word are one entry;
+3. unfold the documents' words, join those that are prefixes, look at the words beside
+   them, test by position and length that a window fits, and compare the words of the
+   item-sized window;
 4. per document, add up the words covered by the windows found.
 
 The windows are the query set: they are counted and broadcast in blocks of
@@ -27,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import col, pick, rest, small, stored
 
 WINDOW = 13
-#: Windows that are broadcast at a time.
-BLOCK = 100_000
+#: Entries, of at most a window's length of windows each, that are broadcast at a time.
+BLOCK = 20_000
 #: Contaminated from one covered word in so many.
 SHARE = 20
 
@@ -52,14 +53,14 @@ def split_words(text: Column) -> Column:
 
 
 def _windows(items: DataFrame, item_id: str, text: str, size: int) -> DataFrame:
-    """(item, win): the different windows of each item, in lower case."""
+    """(item, start, win): the windows of each item, in lower case. Rows with equal id and text count once."""
     rows = items.select(
         F.coalesce(col(item_id).cast("string"), F.lit("")).alias("item"), split_words(ascii_lower(col(text))).alias("w")
-    ).where(F.size("w") > 0)
+    ).where(F.size("w") > 0).distinct()
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("w") - size, F.lit(0))))
-    return rows.select("item", "w", starts.alias("s")).select(
-        "item", F.slice("w", F.col("s") + 1, F.least(F.size("w"), F.lit(size))).alias("win")
-    ).distinct()
+    return rows.select("item", "w", starts.alias("start")).select(
+        "item", F.sha2(F.array_join("w", " "), 256).alias("body"), "start",
+        F.slice("w", F.col("start") + 1, F.least(F.size("w"), F.lit(size))).alias("win"))
 
 
 # Words are joined by lower(), which also maps letters beyond ASCII. It maps words that are equal in the sense of the rule to
@@ -67,39 +68,53 @@ def _windows(items: DataFrame, item_id: str, text: str, size: int) -> DataFrame:
 
 
 def _prefixes(windows: DataFrame, texts: DataFrame) -> DataFrame:
-    """(item, text, len, word, at, other, other_at): each window that can occur, with its two rarest words."""
+    """(word, item, before, after, wins): each place of an item that is the rarest in windows that can occur.
+
+    ``before`` and ``after`` are the words beside it in these windows, null if it is at the edge of all;
+    ``wins`` has the words before the place, the length and the text of each window.
+    """
     vocabulary = stored(windows.select(F.explode("win").alias("raw")).select(F.lower("raw").alias("word")).distinct(), "vocabulary")
     found = (
         texts.select(F.explode(split_words(F.col("text"))).alias("raw")).select(F.lower("raw").alias("word"))
         .join(small(vocabulary, vocabulary.count()), "word")
         .groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     )
-    named = windows.select("item", "win", F.array_join("win", " ").alias("text"))
     rarest = (
-        named.select("text", "win").dropDuplicates(["text"])
-        .select("text", F.size("win").alias("len"), F.posexplode("win").alias("at", "raw"))
+        windows.select("item", "body", "start", "win", F.posexplode("win").alias("at", "raw"))
         .withColumn("word", F.lower("raw")).join(found, "word")
-        .groupBy("text", "len")
-        .agg(F.sort_array(F.collect_list(F.struct("n", "word", "at"))).alias("order"))
-        .where(F.size("order") == F.col("len"))
-        .withColumn("second", F.col("order")[F.when(F.col("len") > 1, 1).otherwise(0)])
-        .select("text", "len", F.col("order")[0]["word"].alias("word"), F.col("order")[0]["at"].alias("at"),
-                F.col("second.word").alias("other"), F.col("second.at").alias("other_at"))
+        .groupBy("item", "body", "start", "win")
+        .agg(F.min(F.struct("n", "word", "at")).alias("first"), F.count(F.lit(1)).alias("present"))
+        .where(F.col("present") == F.size("win"))
+        .select("item", "body", "win", "first.word", F.col("first.at").alias("at"), (F.col("start") + F.col("first.at")).alias("place"))
     )
-    return named.select("item", "text").join(rarest, "text")
+    # at most as many windows of an item have one place as a window has words
+    return rarest.groupBy("item", "body", "place", "word").agg(
+        F.max(F.when(F.col("at") > 0, F.lower(F.get("win", F.col("at") - 1)))).alias("before"),
+        F.max(F.lower(F.get("win", F.col("at") + 1))).alias("after"),
+        F.collect_list(F.struct("at", F.size("win").alias("len"), F.array_join("win", " ").alias("text"))).alias("wins"),
+    ).select("word", "item", "before", "after", "wins")
 
 
 def _hits(texts: DataFrame, block: DataFrame) -> DataFrame:
-    """(doc, hash, start, len, item) of the windows of one broadcast block in all documents."""
+    """(doc, hash, start, len, item) of the windows of one broadcast block in all documents.
+
+    A window of several words that holds a word holds one of its neighbours, so a place where neither
+    neighbour agrees is left at once.
+    """
     places = texts.select("doc", "hash", split_words(F.col("text")).alias("w")).select(
-        "doc", "hash", "w", F.size("w").alias("n"), F.posexplode("w").alias("pos", "raw")
+        "doc", "hash", "w", F.posexplode("w").alias("pos", "raw")
     ).withColumn("word", F.lower("raw"))
-    start = F.col("pos") - F.col("at")
-    same = ascii_lower(F.array_join(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("len")), " ")) == F.col("text")
-    return places.join(F.broadcast(block), "word").where(
-        (start >= 0) & (start + F.col("len") <= F.col("n"))
-        & (F.lower(F.get("w", start + F.col("other_at"))) == F.col("other")) & same
-    ).select("doc", "hash", start.alias("start"), "len", "item")
+    alone = F.col("before").isNull() & F.col("after").isNull()
+    beside = (
+        F.coalesce(F.lower(F.get("w", F.col("pos") - 1)) == F.col("before"), F.lit(False))
+        | F.coalesce(F.lower(F.get("w", F.col("pos") + 1)) == F.col("after"), F.lit(False))
+    )
+    near = places.join(F.broadcast(block), "word").where(beside | alone)
+    start = F.col("pos") - F.col("x.at")
+    same = ascii_lower(F.array_join(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("x.len")), " ")) == F.col("x.text")
+    return near.select("doc", "hash", "w", "pos", "item", F.explode("wins").alias("x")).where(
+        (start >= 0) & (start + F.col("x.len") <= F.size("w")) & same
+    ).select("doc", "hash", start.alias("start"), F.col("x.len").alias("len"), "item")
 
 
 def find_hits(
@@ -111,7 +126,7 @@ def find_hits(
     windows = stored(_windows(benchmark, item_id, item_text, size), "windows")
     prefixes = stored(_prefixes(windows, texts), "prefixes")
     blocks = -(-prefixes.count() // block)
-    part = F.pmod(F.xxhash64("text", "item"), F.lit(max(blocks, 1)))
+    part = F.pmod(F.xxhash64("word", "item", "wins"), F.lit(max(blocks, 1)))
     found = [_hits(texts, prefixes.where(part == b) if blocks > 1 else prefixes) for b in range(blocks)]
     if not found:
         return _hits(texts, prefixes).limit(0)
