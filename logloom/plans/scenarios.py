@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import date
 
@@ -34,6 +35,7 @@ def missing_timestamps(logs: DataFrame) -> DataFrame:
     return aggregates.total(filters.missing_timestamp(logs))
 
 
+# The query texts, and below the ids, suffixes and sizes of the scenarios.
 MATCH = "payment gateway timeout error"
 PHRASE = "inventory synchronization delayed"
 TYPO = "user authentikation succesful"
@@ -155,3 +157,42 @@ def run(
     tables.write_table(records(spark, scenario, base_date, total), path, family, force)
     logs = tables.read_table(spark, path).where(F.col("family") == family)
     return {name: query(logs) for name, query in scenario.queries.items()}
+
+
+@dataclass(frozen=True)
+class Outcome:
+    """What became of one scenario: its planned queries, or the error that ended it."""
+
+    scenario: str
+    queries: dict[str, DataFrame]
+    inserted: int
+    duration_ms: int
+    error: str | None = None
+
+    @property
+    def rate(self) -> float:
+        """Records per second."""
+        return self.inserted * 1000 / max(1, self.duration_ms)
+
+
+def run_all(
+    spark: SparkSession,
+    path: str,
+    base_date: str | date,
+    ids: Iterable[str] | None = None,
+    total: int | None = None,
+    prefix: str = "logs",
+    force: bool = False,
+) -> list[Outcome]:
+    """Run several scenarios one after another; one that fails does not stop the rest."""
+    out = []
+    for scenario_id in ids or SCENARIOS:
+        start = time.time()
+        try:
+            planned = run(spark, scenario_id, path, base_date, total, prefix, force)
+            inserted, error = total or SCENARIOS[scenario_id].total, None
+        except Exception as e:  # noqa: BLE001 - reported with the scenario
+            planned, inserted, error = {}, 0, f"{type(e).__name__}: {e}"
+        spent = int((time.time() - start) * 1000)
+        out.append(Outcome(scenario_id, planned, inserted, spent, error))
+    return out

@@ -80,3 +80,11 @@ def test_scenarios_run(spark, tmp_path):
     assert {r["family"] for r in table.select("family").distinct().collect()} == {
         "logs-massive", "logs-queries", "logs-failure", "logs-search"
     }
+
+
+def test_a_failing_scenario_does_not_stop_the_rest(spark, tmp_path):
+    asked = ["no-such-scenario", "failure-recovery"]
+    bad, good = SC.run_all(spark, str(tmp_path / "t"), "2024-01-01", asked, total=500)
+    assert bad.error.startswith("KeyError") and not bad.queries and bad.inserted == 0
+    assert good.error is None and good.inserted == 500 and good.rate > 0
+    assert good.queries["missing timestamps"].head()["n"] == 0
