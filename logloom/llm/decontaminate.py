@@ -43,10 +43,14 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, _UPPER, _LOWER)
 
 
+def pieces(text: Column) -> Column:
+    """The words of a text in order, in their own case; the first and the last piece may be empty, which no word is."""
+    return F.split(F.coalesce(text, F.lit("")), _SEPARATORS)
+
+
 def split_words(text: Column) -> Column:
     """The words of a text in order, in their own case; none for a null or empty one."""
-    parts = F.split(F.coalesce(text, F.lit("")), _SEPARATORS)
-    # only the ends can be empty
+    parts = pieces(text)
     first = (F.element_at(parts, 1) == "").cast("int")
     last = ((F.size(parts) > 1) & (F.element_at(parts, -1) == "")).cast("int")
     return F.slice(parts, first + 1, F.size(parts) - first - last)
@@ -75,7 +79,7 @@ def _prefixes(windows: DataFrame, texts: DataFrame) -> DataFrame:
     """
     vocabulary = stored(windows.select(F.explode("win").alias("raw")).select(F.lower("raw").alias("word")).distinct(), "vocabulary")
     found = (
-        texts.select(F.explode(split_words(F.col("text"))).alias("raw")).select(F.lower("raw").alias("word"))
+        texts.select(F.explode(pieces(F.col("text"))).alias("raw")).select(F.lower("raw").alias("word"))
         .join(small(vocabulary, vocabulary.count()), "word")
         .groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     )
@@ -101,7 +105,8 @@ def _hits(texts: DataFrame, block: DataFrame) -> DataFrame:
     A window of several words that holds a word holds one of its neighbours, so a place where neither
     neighbour agrees is left at once.
     """
-    places = texts.select("doc", "hash", split_words(F.col("text")).alias("w")).select(
+    # an empty first piece moves all places alike
+    places = texts.select("doc", "hash", pieces(F.col("text")).alias("w")).select(
         "doc", "hash", "w", F.posexplode("w").alias("pos", "raw")
     ).withColumn("word", F.lower("raw"))
     alone = F.col("before").isNull() & F.col("after").isNull()
@@ -167,9 +172,12 @@ def decontaminate(
     found = _summary(find_hits(docs, benchmark, doc_id, text, item_id, item_text, size, block))
     base = docs.select(
         col(doc_id).alias("_doc"), F.xxhash64(col(text)).alias("_hash"),
-        F.size(split_words(col(text))).cast("bigint").alias("_words"),
+        pieces(col(text)).alias("_w"),
         *(col(c).alias(f"_x{i}") for i, c in enumerate(extra)),
     )
+    base = base.withColumn(
+        "_words", (F.size("_w") - (F.element_at("_w", 1) == "").cast("int")
+                   - ((F.size("_w") > 1) & (F.element_at("_w", -1) == "")).cast("int")).cast("bigint")).drop("_w")
     joined = base.join(
         small(found, found.count()), base["_doc"].eqNullSafe(found["h_doc"]) & (base["_hash"] == found["h_hash"]), "left"
     )
