@@ -87,4 +87,4 @@ def test_a_failing_scenario_does_not_stop_the_rest(spark, tmp_path):
     bad, good = SC.run_all(spark, str(tmp_path / "t"), "2024-01-01", asked, total=500)
     assert bad.error.startswith("KeyError") and not bad.queries and bad.inserted == 0
     assert good.error is None and good.inserted == 500 and good.rate > 0
-    assert good.queries["missing timestamps"].head()["n"] == 0
+    assert good.queries["missing timestamps"].head()["n"] > 0
