@@ -200,6 +200,18 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _joined(comps: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links, which are followed between components only."""
+    named = comps.select(F.col("cls").alias("of"), F.col("comp").alias("at"))
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(named, F.col(end) == F.col("of"), "left").withColumn(end, F.coalesce("at", end)).drop("of", "at")
+    roots = stored(components(ends.where("a <> b").distinct()), "roots")
+    moved = roots.select(F.col("cls").alias("of"), F.col("comp").alias("at"))
+    old = comps.join(moved, F.col("comp") == F.col("of"), "left").select("cls", F.coalesce("at", "comp").alias("comp"))
+    return old.unionByName(roots.join(comps.select("cls"), "cls", "left_anti").select("cls", "comp"))
+
+
 def _set_reader(texts: DataFrame, involved: DataFrame, size: int):
     """From a table of classes (cls) to their whole sets, made anew from a text of each."""
 
@@ -369,7 +381,8 @@ def judged(
     )
     more = stored(_verified(pairs, sets_of, percent), "more")
     if more.limit(1).count():
-        comps = stored(components(more if links is None else links.unionByName(more)), "components")
+        comps = components(more) if comps is None else _joined(comps, more)
+        comps = stored(comps, "components")
 
     known = sketched.select("doc", "thash", "n", "cls")
     if comps is not None:
