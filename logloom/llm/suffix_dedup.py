@@ -15,8 +15,8 @@ A byte is removed if a string of ``LENGTH`` bytes that covers it also starts ear
    chains; all but the first window of a chain repeat.
 4. The repeated windows of a document are merged to spans and cut out.
 
-An anchor with very many different contexts is split: each of its windows becomes a context of its own, which meets its equals by the hash of
-the whole window.
+An anchor whose contexts may not fit a block is split: each of its windows becomes a context of its own, which meets its equals by the hash of
+the whole window. Different contexts are counted where the anchors are found, after folding among the rows at hand, and added up.
 """
 
 from __future__ import annotations
@@ -40,8 +40,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LENGTH, GRAM = 100, 32
 #: Text that is indexed at a time (whole anchor groups), and text that is hashed at a time.
 BLOCK, CHUNK = 1 << 20, 1 << 21
-#: Task-wise occurrences from which an anchor is split by window.
-HOT = 20_000
+#: Contexts of an anchor, at their longest, that fit a block; an anchor with more is split by window.
+HOT = BLOCK // (2 * LENGTH - GRAM)
 
 _TOP = np.uint64(0xFFFFFFFFFF000000)
 _LOW = np.uint64(0x0000000000FFFFFF)
@@ -60,18 +60,19 @@ def _sliding_min(v: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(right[:n], left[w - 1 : w - 1 + n])
 
 
-def _piece_runs(text: np.ndarray, powers: Powers, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _piece_runs(text: np.ndarray, powers: Powers, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     up, down = powers.upto(len(text) + 1)
     sums = np.concatenate([[np.uint64(0)], np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[: len(text)], dtype=np.uint64)])
     grams = mix((sums[gram:] - sums[:-gram]) * down[: len(text) - gram + 1])
     places = _sliding_min((grams & _TOP) | np.arange(len(grams), dtype=np.uint64), length - gram + 1) & _LOW
     first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
     last = np.concatenate([first[1:], [len(places)]])
-    return grams[places[first].astype(np.int64)], first, last
+    contexts = (sums[last + length - 1] - sums[first]) * down[first]
+    return grams[places[first].astype(np.int64)], first, last, contexts
 
 
-def anchor_runs(text: bytes, powers: Powers, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first window, end of windows) of the stretches of windows with the same anchor place.
+def _hashed_runs(text: bytes, powers: Powers, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first window, end of windows, hash of the context) of the stretches of windows with the same anchor place.
 
     Long texts are hashed piece by piece; pieces overlap so that every window is in one. A stretch that is cut there
     is two stretches of the same anchor, which changes no result.
@@ -79,16 +80,21 @@ def anchor_runs(text: bytes, powers: Powers, length: int = LENGTH, gram: int = G
     raw = np.frombuffer(text, np.uint8)
     if len(raw) < length:
         none = np.zeros(0, np.int64)
-        return none.astype(np.uint64), none, none
+        return none.astype(np.uint64), none, none, none.astype(np.uint64)
     found, at = [], 0
     while at + length <= len(raw):
         piece = raw[at : at + CHUNK + length - 1]
-        anchors, first, last = _piece_runs(piece, powers, length, gram)
-        found.append((anchors, first + at, last + at))
+        anchors, first, last, contexts = _piece_runs(piece, powers, length, gram)
+        found.append((anchors, first + at, last + at, contexts))
         at += len(piece) - length + 1
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
+def anchor_runs(text: bytes, powers: Powers, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(anchor, first window, end of windows) of the stretches of windows with the same anchor place."""
+    return _hashed_runs(text, powers, length, gram)[:3]
+
+
 def _batches(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
@@ -100,21 +106,27 @@ def _text(value: str | None) -> bytes:
 
 
 def _anchor_rows(parts: int, length: int, gram: int):
-    """(part, blob) of packed 16-byte records: 47 bits of the anchor and a flag "repeats here"; 48 of the document; the place."""
+    """(part, blob) of packed 16-byte records: 47 bits of the anchor, 2 of the kind; 48 of the document; the place.
+
+    Kinds: 0 stands for these rows, 1 does so and repeats among them, 3 repeats and stands for none. A record of kind 2 has
+    no document: its place is the number of contexts that differ here, without the first.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in _batches(batches):
             docs = batch.column("d").to_numpy(zero_copy_only=False).astype(np.uint64)
-            runs = [anchor_runs(_text(t), powers, length, gram) for t in batch.column("text").to_pylist()]
+            runs = [_hashed_runs(_text(t), powers, length, gram) for t in batch.column("text").to_pylist()]
             owner = np.repeat(docs, [len(r[0]) for r in runs])
             anchor = (np.concatenate([r[0] for r in runs]) >> np.uint64(17)) << np.uint64(17)
             place = np.concatenate([r[1] for r in runs]).astype(np.uint64)
+            context = np.concatenate([r[3] for r in runs])
             if not len(anchor):
                 continue
-            order = np.argsort(anchor, kind="stable")
-            anchor, owner, place = anchor[order], owner[order], place[order]
+            order = np.lexsort((context, anchor))
+            anchor, owner, place, context = anchor[order], owner[order], place[order], context[order]
             new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+            more = np.add.reduceat(np.concatenate([[False], context[1:] != context[:-1]]) & ~new, np.flatnonzero(new), dtype=np.int64)
             repeats = ~new | np.concatenate([~new[1:], [False]])
             part = anchor >> np.uint64(17)
             # the first of each anchor stands for this task; the others are known to repeat and go anywhere
@@ -123,6 +135,9 @@ def _anchor_rows(parts: int, length: int, gram: int):
             high = anchor | (kind << np.uint64(15)) | (owner >> np.uint64(33))
             low = ((owner & np.uint64((1 << 33) - 1)) << np.uint64(31)) | place
             record = np.stack([high, low], 1)
+            several = anchor[new][more > 0]
+            record = np.concatenate([record, np.stack([several | np.uint64(2 << 15), more[more > 0].astype(np.uint64)], 1)])
+            part = np.concatenate([part, (several >> np.uint64(17)) % np.uint64(parts)])
             order = np.argsort(part, kind="stable")
             record, part = record[order], part[order]
             cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
@@ -134,7 +149,7 @@ def _anchor_rows(parts: int, length: int, gram: int):
 
 
 def _repeated():
-    """(d, place, anchor, tasks) of the anchor places that repeat; ``tasks`` is told by the places that stand for one."""
+    """(d, place, anchor, contexts) of the anchor places that repeat; ``contexts`` is told by the places that stand for rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [b for batch in batches for b in batch.column("blob").to_pylist()]
@@ -144,15 +159,18 @@ def _repeated():
         high, low = record[:, 0], record[:, 1]
         anchor, kind = high >> np.uint64(17), (high >> np.uint64(15)) & np.uint64(3)
         order = np.argsort(anchor, kind="stable")
-        sorted_, standing = anchor[order], (kind < 2)[order]
+        sorted_, kind = anchor[order], kind[order]
+        standing, further = kind < 2, np.where(kind == 2, low[order], np.uint64(0)).astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-        count = np.repeat(np.add.reduceat(standing.astype(np.int64), new), np.diff(np.append(new, len(sorted_))))
-        keep = (count > 1) | (kind[order] > 0)
-        high, low, count = high[order][keep], low[order][keep], np.where(standing, count, 0)[keep]
+        sizes = np.diff(np.append(new, len(sorted_)))
+        count = np.repeat(np.add.reduceat(standing.astype(np.int64), new), sizes)
+        contexts = count + np.repeat(np.add.reduceat(further, new), sizes)
+        keep = ((count > 1) | (kind > 0)) & (kind != 2)
+        high, low, contexts = high[order][keep], low[order][keep], np.where(standing, contexts, 0)[keep]
         doc = ((high & np.uint64(0x7FFF)) << np.uint64(33)) | (low >> np.uint64(31))
         yield pa.RecordBatch.from_arrays(
             [pa.array(doc.astype(np.int64)), pa.array((low & np.uint64((1 << 31) - 1)).astype(np.int32)),
-             pa.array((high >> np.uint64(17)).astype(np.int64)), pa.array(count)], ["d", "place", "anchor", "tasks"])
+             pa.array((high >> np.uint64(17)).astype(np.int64)), pa.array(contexts)], ["d", "place", "anchor", "contexts"])
 
     return run
 
@@ -383,11 +401,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ["doc", "thash", "n_removed", "n_spans", "kept"])
 
 
-def repeated_spans(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM,
-    block: int = BLOCK, hot: int = HOT,
+def contexts_by_key(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, hot: int = HOT,
 ) -> DataFrame:
-    """(doc, thash, start, end): byte ranges that repeat, overlapping ones included; ``thash`` is that of the text."""
+    """(key, doc, thash, start, size, ctx): what is compared; contexts that share a window of ``length`` bytes have a key in common."""
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
     texts = docs.select(col(doc_id).alias("doc"), col(text).alias("text")).where(F.octet_length("text") >= length) \
@@ -396,14 +413,24 @@ def repeated_spans(
     anchors = texts.select("d", "text").mapInArrow(_anchor_rows(parts, length, gram), "part int, blob binary")
     places = stored(
         anchors.repartition(parts, "part").select("blob")
-        .mapInArrow(_repeated(), "d bigint, place int, anchor bigint, tasks bigint"), "places")
-    split = stored(places.where(F.col("tasks") >= hot).select("anchor").distinct().withColumn("split", F.lit(True)), "split")
+        .mapInArrow(_repeated(), "d bigint, place int, anchor bigint, contexts bigint"), "places")
+    split = stored(places.where(F.col("contexts") > hot).select("anchor").distinct().withColumn("split", F.lit(True)), "split")
     places = (
         places.join(small(split, split.count()), "anchor", "left").groupBy(F.col("d").alias("p_d"))
         .agg(F.collect_list(F.struct("place", F.coalesce("split", F.lit(False)).alias("split"))).alias("places"))
     )
-    contexts = texts.join(places, F.col("d") == F.col("p_d")).select("doc", "thash", "text", "places").mapInArrow(
+    return texts.join(places, F.col("d") == F.col("p_d")).select("doc", "thash", "text", "places").mapInArrow(
         _context_rows(length, gram), f"key bigint, doc {kind}, thash bigint, start int, size int, ctx binary")
+
+
+def repeated_spans(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM,
+    block: int = BLOCK, hot: int = HOT,
+) -> DataFrame:
+    """(doc, thash, start, end): byte ranges that repeat, overlapping ones included; ``thash`` is that of the text."""
+    kind = docs.schema[doc_id].dataType.simpleString()
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    contexts = contexts_by_key(docs, doc_id, text, length, gram, hot)
     return (
         contexts.repartition(parts, "key").sortWithinPartitions("key")
         .mapInArrow(_matcher(length, block), f"doc {kind}, thash bigint, start int, end int")

@@ -457,6 +457,22 @@ def test_repeats_odd_rows(spark, odd, empty):
     assert suffix_dedup.suffix_dedup(empty).count() == 0
 
 
+def test_anchor_in_many_different_contexts_is_split(spark):
+    rng = random.Random(12)
+    noise = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    phrase, ending = noise(90), noise(40)
+    texts = [noise(50) + phrase + (ending if i % 100 == 0 else "") + noise(50) for i in range(9_000)]
+    docs = table(spark, texts).coalesce(1)  # thousands of rows a batch, few batches
+    heaviest = suffix_dedup.contexts_by_key(docs).groupBy("key").agg(F.sum("size").alias("n")).agg(F.max("n")).head()[0]
+    assert heaviest <= suffix_dedup.BLOCK
+    got = by_id(suffix_dedup.suffix_dedup(docs))
+    wanted = repeated_bytes(list(enumerate(texts)), 100)
+    assert sum(w[1] > 0 for w in wanted) > 80
+    for i, want in enumerate(wanted):
+        r = got[i]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == want, i
+
+
 def test_repeated_rows_do_not_remove_each_other(spark):
     text = "".join(random.Random(8).choices("abcdefgh", k=500))
     docs = spark.createDataFrame([(3, text), (3, text), (None, text[:300]), (4, text)], "doc_id bigint, text string")
