@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import predicates
 from ..functions.scalars import round2
@@ -130,16 +129,13 @@ def count_map(buckets: DataFrame, name: str = "counts") -> DataFrame:
     return buckets.agg(F.map_from_entries(F.collect_list(F.struct("key", "n"))).alias(name))
 
 
-#: Entries of the maps over open fields in a snapshot; ``counts`` lists them all.
-MAP_SIZE = 1000
-
-
-def snapshot(merged: DataFrame, map_size: int = MAP_SIZE) -> DataFrame:
+def snapshot(merged: DataFrame) -> DataFrame:
     """One row: total, error count, six maps, and the numbers.
 
     The maps of the fixed lists hold every value, those of services, places and
-    tags the ``map_size`` most frequent ones. ``merged`` is computed once: the
-    fixed part, the open maps and the percentile all read the same aggregate.
+    tags every key found; with keys too many for one row, ``counts`` has the same
+    in long form. ``merged`` is computed once: the fixed part, the open maps and
+    the percentile all read the same aggregate.
     """
     fixed = {"level": LEVELS, "environment": ENVIRONMENTS, "category": CATEGORIES}
 
@@ -166,11 +162,8 @@ def snapshot(merged: DataFrame, map_size: int = MAP_SIZE) -> DataFrame:
     value = F.when(F.col("n") > 0, F.col("key").try_cast("bigint"))
     frequencies = merged.where(same).select(value.alias("key"), "n")
     open_fields = {"service": "service_counts", "geo": "geo_counts", "tag": "tag_counts"}
-    order = W.partitionBy("dimension").orderBy(F.col("n").desc(), F.col("key").asc())
-    ranked = (
+    listed = (
         merged.where(_kept_together(F.col("dimension").isin(list(open_fields))))
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= map_size)
         .groupBy()
         .agg(
             *[
@@ -181,7 +174,7 @@ def snapshot(merged: DataFrame, map_size: int = MAP_SIZE) -> DataFrame:
             ]
         )
     )
-    maps = ranked.select(F.struct(*ranked.columns).alias("maps")).scalar()
+    maps = listed.select(F.struct(*listed.columns).alias("maps")).scalar()
     return (
         row.withColumn("response_time_p95", value_at_share(frequencies, 0.95).scalar())
         .withColumn("maps", maps)

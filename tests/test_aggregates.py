@@ -135,6 +135,16 @@ def test_snapshot(logs):
     assert tags == {"api": 1, "search-demo": 1, "api-gateway": 2}
 
 
+def test_snapshot_lists_every_key(logs):
+    names = [f"n{i}" for i in range(1200)]
+    rows = [entry(service={"name": v}, geo={"city": v}, tags=[v, f"{v}-b"]) for v in names]
+    row = M.snapshot(M.merge(M.partials(logs(*rows, rows[7])))).head()
+    once = dict.fromkeys(names, 1) | {"n7": 2}
+    assert row["service_counts"] == once
+    assert row["geo_counts"] == {f"US|{v}": n for v, n in once.items()}
+    assert row["tag_counts"] == once | {f"{v}-b": n for v, n in once.items()}
+
+
 def test_partials_merge_in_any_split(logs):
     rows = three(logs)
     parts = [M.partials(rows.where(c)) for c in ("level = 'info'", "level <> 'info'")]
