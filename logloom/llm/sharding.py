@@ -8,7 +8,8 @@ iteration, which grows with the table alone, and a giant group can still be spli
 Each round joins the units with the labels of their group, as weights by shard, and
 lets every unit ask for a shard that holds more of its group and still has
 room. Requests are granted in hash order as long as the quota of the shard holds, a little above its even share, which
-linked documents never exceed. Rounds end when nothing moves.
+linked documents never exceed. Rounds end when nothing moves. They do end: of the shards of a group that gain in a round,
+the heaviest loses nothing and all heavier ones stay as they are, so no division of a group among the shards comes twice.
 
 The law ``rows`` is then made exact: rows are numbered within their shard, linked
 ones first, and what exceeds the shard's quota fills the places free on others. Numbers
@@ -17,6 +18,8 @@ come from bucket sums and an order within buckets of bounded size; no shard is e
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,7 +28,6 @@ from .common import col, rest, small, stored
 SHARDS = 16
 #: Salts per shard, and documents from which there are more of them.
 SALTS, SALT_ROWS = 16, 50_000
-ROUNDS = 8
 #: What the rounds may put on a shard beyond its even share.
 SLACK = 0.1
 #: Requests for a shard are granted in so many hash slices.
@@ -40,14 +42,14 @@ def _running(by: str, order: str, value: str) -> Column:
     return F.coalesce(F.sum(value).over(w), F.lit(0))
 
 
-def propagate(units: DataFrame, quota: int, n_shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def propagate(units: DataFrame, quota: int, n_shards: int = SHARDS, rounds: int | None = None) -> DataFrame:
     """Moves units (grp, salt, n, label) towards the shards of their group, under ``quota`` rows a shard.
 
     A unit asks for a shard where its group weighs more than in its own, equal weights in a hash order of the group's own. Heavier shards are
     preferred, with some chance for others, so that the units of a large group do not all ask for one. Every move is to a heavier shard, so
-    groups draw together.
+    groups draw together. ``rounds`` ends them before nothing moves.
     """
-    for step in range(rounds):
+    for step in count() if rounds is None else range(rounds):
         loads = {r["label"]: r["n"] for r in units.groupBy("label").agg(F.sum("n").alias("n")).collect()}  # one number a shard
         room = F.element_at(F.array(*(F.lit(quota - loads.get(s, 0)).cast("bigint") for s in range(n_shards))), F.col("goal") + 1)
         held = units.groupBy("grp", "label").agg(F.sum("n").alias("weight")) \
@@ -81,7 +83,7 @@ def propagate(units: DataFrame, quota: int, n_shards: int = SHARDS, rounds: int
 
 def shard_documents(
     docs: DataFrame, n_shards: int = SHARDS, doc_id: str = "doc_id", text: str = "text",
-    rounds: int = ROUNDS, bucket_rows: int = BUCKET_ROWS,
+    rounds: int | None = None, bucket_rows: int = BUCKET_ROWS,
 ) -> DataFrame:
     """Every document with ``size``, ``text_crc32``, ``law``, ``shard``, ``slot`` and ``grown_shard``.
 

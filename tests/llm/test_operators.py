@@ -296,6 +296,19 @@ def test_propagation_never_overfills(spark):
     assert len(got) == len(rows) and max(loads.values()) <= 90 and edges < 40 * 16 / 3
 
 
+def test_propagation_goes_on_until_groups_are_whole(spark):
+    rng = random.Random(4)
+    texts = [f"t{i // 20}" for i in range(16_000)]
+    rng.shuffle(texts)
+    rows = sharding.shard_documents(table(spark, texts)).collect()
+    shards_hold(rows, texts)
+    where = defaultdict(set)
+    for r in rows:
+        where[texts[r["doc_id"]]].add(r["shard"])
+    cut = sum(len(s) > 1 for s in where.values())
+    assert cut <= 160, cut
+
+
 def test_sharding_odd_rows(spark, odd, empty):
     rows = sharding.shard_documents(odd).collect()
     assert len(rows) == len(ROWS) and sharding.shard_documents(empty).count() == 0
