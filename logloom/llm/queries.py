@@ -1,4 +1,4 @@
-"""The queries of the ten operators, and the SQL of those that SQL can express."""
+"""The queries of the operators, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, html_extract, line_dedup, minhash, mixing, sharding, suffix_dedup, token_count, toxicity
+from . import (
+    collocations, decontaminate, exact_dedup, html_extract, line_dedup, minhash, mixing, secret_scan, sharding, spelling, suffix_dedup,
+    token_count, toxicity,
+)
 from .common import Query
 
 QUERIES: dict[str, Query] = {}
@@ -197,3 +200,43 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_suffix_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "kept")
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_collocations", r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+texts AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM texts GROUP BY lang),
+places AS (SELECT lang, m, array_to_string(w[s : s + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS s FROM texts, range(1, 6) sizes(m) WHERE len(w) >= m)),
+grams AS (SELECT lang, m, phrase, count(*) AS a FROM places GROUP BY ALL HAVING count(*) >= 100),
+split AS (SELECT *, string_split(phrase, ' ') AS w FROM grams),
+nested AS (SELECT DISTINCT lang, part FROM (
+    SELECT lang, a, array_to_string(w[s : s + k - 1], ' ') AS part
+    FROM (SELECT *, unnest(range(1, m - k + 2)) AS s FROM (SELECT *, unnest(range(2, m)) AS k FROM split WHERE m > 2))) longer
+  JOIN grams g USING (lang) WHERE g.phrase = part AND 100 * longer.a >= 100 * g.a),
+cuts AS (SELECT *, array_to_string(w[1 : k], ' ') AS first_part, array_to_string(w[k + 1 : m], ' ') AS rest
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM split WHERE m > 1 AND (lang, phrase) NOT IN (SELECT lang, part FROM nested))),
+scored AS (SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, t.n, c.k,
+    ((1000::HUGEINT * c.a * t.n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cuts c JOIN totals t USING (lang) JOIN grams x ON x.lang = c.lang AND x.phrase = first_part
+  JOIN grams y ON y.lang = c.lang AND y.phrase = rest),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+ranked AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM best)
+SELECT * FROM ranked WHERE rank <= 2000
+""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query("op13_secret_scan")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return secret_scan.scan_secrets(docs, vocabulary, public_tokenizers.PATTERN).drop("text")
