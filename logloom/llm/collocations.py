@@ -8,8 +8,8 @@ place only: one bit per place and one per entry say how many entries a place has
 of one byte, wider ones apart. Sorted filters are merged by ranges of quotients, one range a group, with as many ranges as the
 counted input asks for; a frequent phrase is one entry of each filter, whatever its number of occurrences.
 
-*Levels.* All parts of a phrase are at least as frequent as the phrase, so n-grams are counted by length, and only those
-whose two parts of one word less were frequent. That test looks into a bitmap of a size bounded by
+*Levels.* All parts of a phrase are at least as frequent as the phrase, so pairs of frequent words are counted first, then n-grams of
+three words whose pairs were frequent, then longer ones whose parts of three words were. That test looks into a bitmap of a size bounded by
 ``BITMAP``; where it errs, an n-gram is counted in vain, and dropped by its exact count.
 
 Cuts, scores and the choice among nested phrases are joins of the tables of frequent n-grams.
@@ -17,12 +17,12 @@ Cuts, scores and the choice among nested phrases are joins of the tables of freq
 
 from __future__ import annotations
 
-import hashlib
 import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,32 +35,34 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 #: Least occurrences, longest phrase, percent of a phrase's occurrences inside a longer one that drop it, phrases of a language.
 LEAST, WORDS, INSIDE, TOP = 100, 5, 100, 2000
 #: Bits of the quotient; n-grams that a task gathers before it makes a filter of them; input n-grams per range of quotients.
-QUOTIENT, GATHER, RANGE = 20, 1 << 20, 2_000_000
+QUOTIENT, GATHER, RANGE = 20, 1 << 20, 500_000
+#: Ranges that are merged in one task, about; it holds one at a time.
+TOGETHER = 4
 #: Bits of a bitmap of frequent n-grams, at most; different words a task remembers.
 BITMAP, REMEMBER = 1 << 27, 400_000
 
 _K = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.uint64((1 << (64 - QUOTIENT)) - 1)
 _REST = (64 - QUOTIENT + 7) // 8
-_END = b"\n"
+#: What stands for the end of a piece: no byte of UTF-8.
+_END = b"\xff"
 
 # Fixed value: what ends a piece of text, and what separates words.
-_TABLE = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n" * 10 + b" abcdefghijklmnopqrstuvwxyz")
+_TABLE = bytes.maketrans(b".,;:!?\n\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", _END * 10 + b" abcdefghijklmnopqrstuvwxyz")
 
 
 def tokens(text: str | None) -> list[bytes]:
-    """The words of a text in order, with a line end where a piece ends."""
-    data = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).replace(_END, b" \n ")
-    while b"  " in data:
-        data = data.replace(b"  ", b" ")
-    return data.strip(b" ").split(b" ") if data.strip(b" ") else []
+    """The words of a text in order, and a token of its own where a piece ends."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).replace(_END, b" \xff ").split()
 
 
-def word_id(lang: bytes, word: bytes, seed: int) -> int:
-    """A number from 1 to 2**64 - 1; 0 stands for no word."""
-    h = hashlib.blake2b(word, digest_size=8, key=seed.to_bytes(4, "little"))
-    h.update(b"\n" + lang)  # a word holds no line end
-    return int.from_bytes(h.digest(), "little") or 1
+def lang_seed(lang: str, seed: int) -> int:
+    return xxhash.xxh64_intdigest(lang.encode(), seed)
+
+
+def word_id(word: bytes, seed: int) -> int:
+    """A number from 1 to 2**64 - 1, with the seed of a language; 0 stands for no word."""
+    return xxhash.xxh64_intdigest(word, seed) or 1
 
 
 # ---- the filter ----------------------------------------------------------------------------------------------
@@ -165,10 +167,9 @@ def gram_hash(columns: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def _bit_places(h, bits: int) -> list:
-    """Two places for a number, or for each of an array of numbers."""
-    ends = (bits - 1, 32) if isinstance(h, int) else (np.uint64(bits - 1), np.uint64(32))
-    return [h & ends[0], (h >> ends[1]) & ends[0]]
+def _bit_places(h: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Two places for each number."""
+    return [h & np.uint64(bits - 1), (h >> np.uint64(32)) & np.uint64(bits - 1)]
 
 
 def holds(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -213,10 +214,13 @@ def _word_counts(seed: int, remember: int):
         held = 0
 
         def flush() -> pa.RecordBatch:
-            rows = [(lang, word, n) for lang, words in counts.items() for word, n in words.items()]
-            ids = np.array([word_id(lang.encode(), word, seed) for lang, word, _ in rows], np.uint64).view(np.int64)
+            rows, ids = [], []
+            for lang, words in counts.items():
+                own = lang_seed(lang, seed)
+                rows += [(lang, word, n) for word, n in words.items()]
+                ids += [word_id(word, own) for word in words]
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()),
+                [pa.array(np.array(ids, np.uint64).view(np.int64)), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary()),
                  pa.array([r[2] for r in rows], pa.int64())], ["id", "lang", "word", "n"])
 
         for batch in batches:
@@ -241,62 +245,71 @@ class _Ids(dict):
 
     def __init__(self, lang: str, seed: int, bitmap: np.ndarray):
         super().__init__()
-        self.lang, self.seed, self.bits, self.size = lang.encode(), seed, bitmap.view(np.uint8), len(bitmap) * 64
+        self.seed, self.bits, self.most = lang_seed(lang, seed), bitmap.tobytes(), len(bitmap) * 64 - 1
         self[_END] = 0
 
     def __missing__(self, word: bytes) -> int:
-        n = word_id(self.lang, word, self.seed)
-        n = n if all(self.bits[p >> 3] >> (p & 7) & 1 for p in _bit_places(n, self.size)) else 0
+        n = word_id(word, self.seed)
+        a, b = n & self.most, n >> 32 & self.most
+        n = n if self.bits[a >> 3] >> (a & 7) & self.bits[b >> 3] >> (b & 7) & 1 else 0
         self[word] = n
         return n
 
 
-def _gram_filters(words: int, seed: int, ranges: int, frequent, parts, gather: int, remember: int):
-    """(part, blob): filters of the n-grams of so many words, a row for each range of quotients."""
+def _gram_filters(sizes: tuple[int, ...], tested: int, seed: int, ranges: int, frequent, parts, gather: int, remember: int):
+    """(words, part, blob): filters of the n-grams of some sizes whose parts of ``tested`` words are frequent, a row for each range of quotients."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = bounds(ranges)
         known: dict[str, _Ids] = {}
-        buffer: list[np.ndarray] = []
+        buffers: dict[int, list[np.ndarray]] = {words: [] for words in sizes}
         held = 0
 
-        def flush() -> pa.RecordBatch:
-            made = QuotientFilter.of(permuted(np.concatenate(buffer)))
-            present = np.unique(np.searchsorted(cuts, made.quotients(), "right") - 1)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(present.astype(np.int32)), pa.array([made.pack(cuts[p], cuts[p + 1]) for p in present], pa.binary())], ["part", "blob"])
+        def flush() -> Iterator[pa.RecordBatch]:
+            for words, rows in buffers.items():
+                if rows:
+                    made = QuotientFilter.of(permuted(np.concatenate(rows)))
+                    present = np.unique(np.searchsorted(cuts, made.quotients(), "right") - 1)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(present), words, np.int32)), pa.array(present.astype(np.int32)),
+                         pa.array([made.pack(cuts[p], cuts[p + 1]) for p in present], pa.binary())], ["words", "part", "blob"])
+                    rows.clear()
 
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 found = tokens(text)
-                if len(found) < words:
+                if len(found) < sizes[0]:
                     continue
                 ids = known.get(lang)
                 if ids is None or len(ids) > remember:
                     ids = known[lang] = _Ids(lang, seed, frequent.value)
                 x = np.fromiter(map(ids.__getitem__, found), np.uint64, len(found))
-                ok = np.ones(len(x) - words + 1, bool)
-                for k in range(words):
-                    ok &= x[k : len(x) - words + 1 + k] != 0
-                at = np.flatnonzero(ok)
-                for begin in (0, 1) if words > 2 else ():
-                    at = at[holds(parts.value, gram_hash([x[at + begin + k] for k in range(words - 1)]))]
-                if len(at):
-                    buffer.append(np.stack([x[at + k] for k in range(words)], 1))
-                    held += len(at)
+                begin = x != 0  # where frequent parts begin
+                for k in range(1, tested):
+                    begin = begin[:-1] & (x[k:] != 0)
+                if tested > 1:
+                    at = np.flatnonzero(begin)
+                    begin[at] = holds(parts.value, gram_hash([x[at + k] for k in range(tested)]))
+                for words in sizes:
+                    ok = begin
+                    for k in range(1, words - tested + 1):
+                        ok = ok[:-1] & begin[k:]
+                    at = np.flatnonzero(ok)
+                    if len(at):
+                        buffers[words].append(np.stack([x[at + k] for k in range(words)], 1))
+                        held += len(at)
                 if held >= gather:
-                    yield flush()
-                    buffer, held = [], 0
+                    yield from flush()
+                    held = 0
             if len(known) > 64:  # languages are few; where they are not, their words are not all remembered
                 known = {}
-        if buffer:
-            yield flush()
+        yield from flush()
 
     return run
 
 
-def _merger(words: int, ranges: int, least: int):
-    """(ids, n) of the frequent n-grams, from blobs sorted by range."""
+def _merger(ranges: int, least: int):
+    """(ids, n) of the frequent n-grams, from blobs sorted by number of words and range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = bounds(ranges)
@@ -308,15 +321,15 @@ def _merger(words: int, ranges: int, least: int):
         def frequent(found: QuotientFilter) -> pa.RecordBatch:
             keep = found.counts >= least
             ids = restored(found.rows[keep]).view(np.int64)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * words), pa.array(ids.reshape(-1)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * ids.shape[1]), pa.array(ids.reshape(-1)))
             return pa.RecordBatch.from_arrays([lists, pa.array(found.counts[keep])], ["ids", "n"])
 
         for batch in batches:
-            for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob")):
-                if part != last and last is not None:
+            for words, part, blob in zip(batch.column("words").to_pylist(), batch.column("part").to_pylist(), batch.column("blob")):
+                if (words, part) != last and last is not None:
                     yield frequent(together())
                     total, fresh, held = None, [], 0
-                last = part
+                last = words, part
                 fresh.append(QuotientFilter.unpack(blob.as_buffer(), int(cuts[part]), int(cuts[part + 1])))
                 held += len(fresh[-1].rows)
                 if held > 500_000:  # what is merged stays as large as the different n-grams of the range
@@ -340,20 +353,20 @@ def frequent_grams(texts: DataFrame, most: int, least: int, gather: int = GATHER
         raise RuntimeError("no seed gives different words different ids")
     common = words.where(F.col("n") >= least)
     facts = words.agg(F.sum("n").alias("n"), F.count_if(F.col("n") >= least).alias("common")).first()
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(facts["n"] or 0) // per_range))
-    ranges = min(ranges, 1 << QUOTIENT)
-    frequent = spark.sparkContext.broadcast(bitmap_of(common.select(F.array("id").alias("ids")), facts["common"]))
-    found, parts = [], frequent
-    for k in range(2, most + 1):
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(facts["n"] or 0) // (per_range * TOGETHER)))
+    ranges = min(tasks * TOGETHER, 1 << QUOTIENT)
+    frequent = parts = spark.sparkContext.broadcast(bitmap_of(common.select(F.array("id").alias("ids")), facts["common"]))
+    found = []
+    for sizes in [(k,) for k in (2, 3) if k <= most] + ([tuple(range(4, most + 1))] if most > 3 else []):
         grams = stored(
-            texts.mapInArrow(_gram_filters(k, seed, ranges, frequent, parts, gather, remember), "part int, blob binary")
-            .repartition(ranges, "part").sortWithinPartitions("part")
-            .mapInArrow(_merger(k, ranges, least), "ids array<bigint>, n bigint"), f"grams{k}")
+            texts.mapInArrow(_gram_filters(sizes, sizes[0] - 1, seed, ranges, frequent, parts, gather, remember), "words int, part int, blob binary")
+            .repartition(tasks, "words", "part").sortWithinPartitions("words", "part")
+            .mapInArrow(_merger(ranges, least), "ids array<bigint>, n bigint"), "grams")
         rows = grams.count()
         if not rows:
             break
         found.append(grams)
-        if k < most:
+        if sizes[-1] < most:
             parts = spark.sparkContext.broadcast(bitmap_of(grams, rows))
     return words, found
 
