@@ -13,7 +13,9 @@ components, the classes of one are compared with those of the others, in blocks.
 and whole sketches first: a pair whose sketches agree far less than those of similar sets do (six standard deviations) is
 no candidate, and is never written.
 
-*Verification.* Candidates are compared by their whole shingle sets.
+*Verification.* Candidates are compared by their whole shingle sets: those of the hubs in a join, those inside a block in the block, which
+gets the sets of the classes that have a candidate there. A block joins components as it goes, skips pairs that are in one already, and
+writes only the links that joined two, fewer than it has classes.
 """
 
 from __future__ import annotations
@@ -37,8 +39,8 @@ SHINGLE, PERCENT = 5, 75
 ROWS, BANDS = 5, 44
 #: Hubs that the classes of a bucket are compared with first.
 STARS = 2
-#: Classes of a bucket that are compared in one task group.
-BLOCK = 2_000
+#: Classes of a bucket that are compared in one task group, and shingles they have together.
+BLOCK, BLOCK_SHINGLES = 2_000, 2_000_000
 #: Bytes that are hashed at a time.
 CHUNK = 1 << 19
 
@@ -293,36 +295,66 @@ def _star_pairs(stars: int, size: int, need: int, percent: int):
     return run
 
 
-def _block_pairs(size: int, need: int, percent: int):
-    """Pairs of classes in different components, from the blocks of buckets; rows are sorted by key and blocks."""
+def _blocks_of(batches: Iterator[pa.RecordBatch], size: int, extra: tuple[str, ...]) -> Iterator[list[tuple]]:
+    """The blocks of rows sorted by key and blocks: lists of (cls, comp, n, sig, mine, alone, ...)."""
+    rows: list[tuple] = []
+    last = None
+    for batch in batches:
+        keys, cls, n, sigs = _columns(batch, size)
+        comps, mine, first, second = (batch.column(c).to_pylist() for c in ("comp", "mine", "first", "second"))
+        more = [batch.column(c) for c in extra]
+        for k in range(len(keys)):
+            if (keys[k], first[k], second[k]) != last:
+                if len(rows) > 1:
+                    yield rows
+                rows, last = [], (keys[k], first[k], second[k])
+            rows.append((cls[k], comps[k], n[k], sigs[k].copy(), mine[k], first[k] == second[k], *(np.asarray(c[k].values) for c in more)))
+    if len(rows) > 1:
+        yield rows
+
+
+def _block_wanted(size: int, need: int, percent: int):
+    """The classes that have a candidate of another component in their block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _blocks_of(batches, size, ()):
+            ns, sigs = np.array([r[2] for r in rows]), np.stack([r[3] for r in rows])
+            names: dict[bytes, int] = {}
+            comps = np.array([names.setdefault(r[1], len(names)) for r in rows])
+            mine = np.array([r[4] for r in rows])
+            wanted = np.zeros(len(rows), bool)
+            for k, row in enumerate(rows):
+                near = k + 1 + _near(row[2], row[3], ns[k + 1 :], sigs[k + 1 :], need, percent)
+                near = near[(comps[near] != comps[k]) & (row[5] | (mine[near] != mine[k]))]
+                wanted[near] = True
+                wanted[k] |= len(near) > 0
+            if wanted.any():
+                yield pa.RecordBatch.from_arrays([pa.array([rows[k][0] for k in np.flatnonzero(wanted)], pa.binary())], ["cls"])
+
+    return run
 
-    def solve(rows: list[tuple], found: list[tuple[bytes, bytes]]) -> None:
-        ns, sigs = np.array([r[2] for r in rows]), np.stack([r[3] for r in rows])
-        for k, (cls, comp, n, sig, mine, first, second) in enumerate(rows):
-            for j in k + 1 + _near(n, sig, ns[k + 1 :], sigs[k + 1 :], need, percent):
-                if rows[j][1] != comp and (first == second or rows[j][4] != mine):
-                    found.append((cls, rows[j][0]))
+
+def _block_links(size: int, need: int, percent: int):
+    """Of the linked pairs of a block those that join components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
-        last = None
-        for batch in batches:
-            keys, cls, n, sigs = _columns(batch, size)
-            comps, mine, first, second = (batch.column(c).to_pylist() for c in ("comp", "mine", "first", "second"))
+        for rows in _blocks_of(batches, size, ("members",)):
+            ns, sigs = np.array([r[2] for r in rows]), np.stack([r[3] for r in rows])
+            names: dict[bytes, int] = {}
+            comps = np.array([names.setdefault(r[1], len(names)) for r in rows])
+            mine = np.array([r[4] for r in rows])
             found: list[tuple[bytes, bytes]] = []
-            for k in range(len(keys)):
-                if (keys[k], first[k], second[k]) != last:
-                    if len(rows) > 1:
-                        solve(rows, found)
-                    rows, last = [], (keys[k], first[k], second[k])
-                rows.append((cls[k], comps[k], n[k], sigs[k], mine[k], first[k], second[k]))
+            for k, (cls, _, n, sig, own, alone, members) in enumerate(rows):
+                near = k + 1 + _near(n, sig, ns[k + 1 :], sigs[k + 1 :], need, percent)
+                for j in near[(comps[near] != comps[k]) & (alone | (mine[near] != own))]:
+                    if comps[j] == comps[k]:  # joined since
+                        continue
+                    common = len(np.intersect1d(members, rows[j][6], assume_unique=True))
+                    if 100 * common >= percent * (len(members) + len(rows[j][6]) - common):
+                        found.append((cls, rows[j][0]))
+                        comps[comps == comps[j]] = comps[k]
             if found:
                 yield _emit(found)
-        found = []
-        if len(rows) > 1:
-            solve(rows, found)
-        if found:
-            yield _emit(found)
 
     return run
 
@@ -330,8 +362,9 @@ def _block_pairs(size: int, need: int, percent: int):
 def _in_blocks(apart: DataFrame, block: int) -> DataFrame:
     """Rows of buckets of several components, large buckets cut into blocks of about ``block`` rows, once for each pair of blocks."""
     sizes = apart.groupBy("key").agg(
-        F.count(F.lit(1)).alias("rows"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
-    cut = apart.join(sizes.select("key", F.ceil(F.col("rows") / block).cast("int").alias("blocks")), "key")
+        F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    blocks = F.ceil(F.greatest(F.col("rows") / block, F.col("n") / BLOCK_SHINGLES)).cast("int")
+    cut = apart.join(sizes.select("key", blocks.alias("blocks")), "key")
     cut = cut.withColumn("mine", F.pmod(F.xxhash64("cls", F.lit(3)), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
         F.least("mine", o).alias("first"), F.greatest("mine", o).alias("second")))
@@ -375,11 +408,15 @@ def judged(
         apart = marked.withColumn("comp", F.col("cls"))
     else:
         apart = marked.join(small(comps, comps.count()), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
-    pairs = (
-        _in_blocks(apart, block).repartition(parts, "key", "first", "second").sortWithinPartitions("key", "first", "second")
-        .mapInArrow(_block_pairs(size_of_sketch, need, percent), "a binary, b binary").distinct()
-    )
-    more = stored(_verified(pairs, sets_of, percent), "more")
+    order = ["key", "first", "second"]
+    blocks = stored(_in_blocks(apart, block), "blocks")
+    wanted = stored(
+        blocks.repartition(parts, *order).sortWithinPartitions(*order)
+        .mapInArrow(_block_wanted(size_of_sketch, need, percent), "cls binary").distinct(), "candidates")
+    sets = stored(sets_of(wanted), "sets")
+    more = stored(
+        blocks.join(sets, "cls").repartition(parts, *order).sortWithinPartitions(*order)
+        .mapInArrow(_block_links(size_of_sketch, need, percent), "a binary, b binary").distinct(), "more")
     if more.limit(1).count():
         comps = components(more) if comps is None else _joined(comps, more)
         comps = stored(comps, "components")
