@@ -589,25 +589,24 @@ def metrics_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- streams -------------------------------------------------------------------------
 
 
-def _stream(spark: SparkSession, sf_dir: str, lines: DataFrame) -> IN.Layout:
+def _stream(spark: SparkSession, sf_dir: str, lines: DataFrame, files_per_batch: int | None = 2) -> IN.Layout:
     """Lay the lines down as files and ingest them as a stream, to the end."""
     source = _folder(spark, "incoming")
     lines.repartition(4).write.text(source)
     layout = IN.Layout(_folder(spark, "ingested"))
-    IN.ingest(spark, source, layout, files_per_batch=2).awaitTermination()
+    IN.ingest(spark, source, layout, files_per_batch=files_per_batch).awaitTermination()
     return layout
 
 
-@query(
-    "stream_ingest",
-    f"""WITH {RAW} SELECT 'accepted' AS what, read_ts::DATE::VARCHAR AS day, count(*) AS n
+_STREAMED = f"""WITH {RAW} SELECT 'accepted' AS what, read_ts::DATE::VARCHAR AS day, count(*) AS n
       FROM raw WHERE fine GROUP BY 2
     UNION ALL SELECT 'rejected', NULL, count(*) FROM raw WHERE NOT fine
     UNION ALL SELECT 'ledger rows', NULL, count(*) FROM raw
-    UNION ALL SELECT 'ledger inserted', NULL, count(*) FROM raw WHERE fine""",
-)
-def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    layout = _stream(spark, sf_dir, raw_lines(load_events(spark, sf_dir)))
+    UNION ALL SELECT 'ledger inserted', NULL, count(*) FROM raw WHERE fine"""
+
+
+def _outcome(spark: SparkSession, layout: IN.Layout) -> DataFrame:
+    """What a run left: accepted records by day, rejects, and the sums of the ledger."""
     table = tables.read_table(spark, layout.logs)
     day = F.col("log_date").cast("string").alias("day")
     none = F.lit(None).cast("string").alias("day")
@@ -621,6 +620,69 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("stream_ingest", _STREAMED)
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _outcome(spark, _stream(spark, sf_dir, raw_lines(load_events(spark, sf_dir))))
+
+
+@query("stream_ingest_default", _STREAMED)
+def stream_ingest_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stream with its default bound of a batch."""
+    return _outcome(spark, _stream(spark, sf_dir, raw_lines(load_events(spark, sf_dir)), None))
+
+
+@query(
+    "batch_rerun_changed",
+    _STREAMED.replace("FROM events)", "FROM events WHERE event_id % 3 > 0)", 1),
+)
+def batch_rerun_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch that runs again with other input leaves nothing of its first run, in any output."""
+    events = load_events(spark, sf_dir)
+    layout = IN.Layout(_folder(spark, "loaded"))
+    for rows in (events.where("event_id % 3 < 2"), events.where("event_id % 3 > 0")):
+        IN.process_batch(raw_lines(rows), 7, layout)
+    return _outcome(spark, layout)
+
+
+@query(
+    "resend_after_reject",
+    with_logs("""SELECT 'accepted' AS what, CAST(ts AS DATE)::VARCHAR AS day, count(*) AS n FROM logs GROUP BY 2
+    UNION ALL SELECT 'rejected', NULL, count(*) FROM logs WHERE event_id % 5 = 0
+    UNION ALL SELECT 'ledger rows', NULL, 2 * count(*) FROM logs
+    UNION ALL SELECT 'ledger inserted', NULL, count(*) FROM logs"""),
+)
+def resend_after_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents come twice, a fifth of them with a fault the first time; each is stored once."""
+    logs = load_logs(spark, sf_dir)
+    fine = ndjson.documents(logs)
+    wrong = F.regexp_replace(fine, r'"memory_mb":\d+', '"memory_mb":"n/a"')
+    source = _folder(spark, "incoming")
+    layout = IN.Layout(_folder(spark, "ingested"))
+    faulty = F.col("id").cast("bigint") % 5 == 0
+    for line in (F.when(faulty, wrong).otherwise(fine), fine):
+        logs.select(line.alias("value")).repartition(2).write.mode("append").text(source)
+        IN.ingest(spark, source, layout, remember_ids="1 hour").awaitTermination()
+    return _outcome(spark, layout)
+
+
+@query(
+    "batch_dedupe",
+    f"""WITH {RAW} SELECT 'accepted' AS what, read_ts::DATE::VARCHAR AS day, count(*) AS n
+      FROM raw WHERE fine GROUP BY 2
+    UNION ALL SELECT 'rejected', NULL, 2 * count(*) FROM raw WHERE NOT fine
+    UNION ALL SELECT 'ledger rows', NULL, 2 * count(*) FROM raw
+    UNION ALL SELECT 'ledger inserted', NULL, count(*) FROM raw WHERE fine""",
+)
+def batch_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same files loaded as two batches: accepted documents are stored once, also those without a day."""
+    source = _folder(spark, "incoming")
+    raw_lines(load_events(spark, sf_dir)).write.text(source)
+    layout = IN.Layout(_folder(spark, "loaded"))
+    for batch in (1, 2):
+        IN.load(spark, source, layout, batch, remember_ids=IN.ALWAYS)
+    return _outcome(spark, layout)
+
+
 @query(
     "batch_ingest",
     f"""WITH {RAW} SELECT 'accepted' AS what, count(*) AS n FROM raw WHERE fine AND value < 300
@@ -741,6 +803,41 @@ synthetic AS (SELECT *, level IN ('error', 'fatal') AS critical,
     {by_key('kind', S.ERROR_MESSAGES, 'error_draw')} AS error_message FROM drawn)""".strip()
 
 
+@query(
+    "stream_generated",
+    f"""WITH {_SYNTH},
+    sized AS (SELECT *, (SELECT ((count(*) + 2) // 3)::BIGINT FROM events) AS size FROM synthetic)
+    SELECT 'batch ' || (seq // size) AS what, count(*) AS n, count_if(seq % 97 <> 0) AS inserted, count_if(seq % 97 = 0) AS failed
+      FROM sized GROUP BY 1
+    UNION ALL SELECT 'level ' || level, count(*), count(*), 0 FROM sized WHERE seq % 97 <> 0 GROUP BY 1
+    UNION ALL SELECT 'stored', count(*), count(*), 0 FROM sized WHERE seq % 97 <> 0""",
+)
+def stream_generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many synthetic records as there are events, streamed in three batches; run twice, nothing is added.
+
+    Every 97th document is refused. The counts by level come from the metrics.
+    """
+    total = load_events(spark, sf_dir).count()
+    layout = IN.Layout(_folder(spark, "generated"))
+
+    def document(records: DataFrame):
+        fields = [c for c in synthetic.finish(records).columns]
+        return F.when(F.col("seq") % 97 == 0, F.lit('{"id":')).otherwise(
+            F.to_json(F.struct(*[F.col(c) for c in fields]), ndjson.JSON_OPTIONS))
+
+    for _ in range(2):
+        IN.generate(spark, layout, total, -(-total // 3), "2024-01-01", document=document, partitions=4)
+    book = IN.read_ledger(spark, layout)
+    none = F.lit(0).cast("bigint").alias("failed")
+    levels = M.counts(IN.read_metrics(spark, layout)).where("dimension = 'level'")
+    stored = A.total(tables.read_table(spark, layout.logs))
+    return (
+        book.select(F.concat(F.lit("batch "), "batch_id").alias("what"), F.col("rows").alias("n"), "inserted", "failed")
+        .unionByName(levels.select(F.concat(F.lit("level "), "key").alias("what"), "n", F.col("n").alias("inserted"), none))
+        .unionByName(stored.select(F.lit("stored").alias("what"), "n", F.col("n").alias("inserted"), none))
+    )
+
+
 def _synthetic(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load_events(spark, sf_dir).select(
         F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("day")

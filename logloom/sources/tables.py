@@ -66,6 +66,32 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path in its terms."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, where = _files(spark, path)
+    return files.exists(where)
+
+
+def mark(spark: SparkSession, path: str) -> bool:
+    """Leave an empty file at ``path``; whether it was not there before."""
+    files, where = _files(spark, path)
+    return files.createNewFile(where)
+
+
+def remove(spark: SparkSession, *patterns: str) -> None:
+    """Remove the folders that the patterns name."""
+    for pattern in patterns:
+        files, where = _files(spark, pattern)
+        for found in files.globStatus(where) or []:
+            if not files.delete(found.getPath(), True):
+                raise OSError(f"could not remove {found.getPath()}")
+
+
 def name_regex(pattern: str) -> str:
     """A ``*`` pattern as a regular expression over whole names."""
     return "^" + ".*".join(re.escape(p) for p in pattern.split("*")) + "$"

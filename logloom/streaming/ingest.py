@@ -6,12 +6,12 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import metrics, search
-from ..sources import tables, validation
+from ..sources import ndjson, synthetic, tables, validation
 
 
 @dataclass(frozen=True)
@@ -45,16 +45,56 @@ class Layout:
         return f"{self.root}/checkpoint"
 
 
-def _replace_batch(df: DataFrame, path: str, batch_id: int, kind: str = "parquet") -> None:
-    """Write one batch's rows in place of what an earlier attempt left."""
-    (
-        df.withColumn("batch", F.lit(batch_id))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("batch")
-        .format(kind)
-        .save(path)
-    )
+def _begin(spark: SparkSession, layout: Layout, batch_id: int) -> None:
+    """Mark the batch as begun, and remove all that an earlier attempt left of it, in every output.
+
+    An attempt may have written days or rejects that this one will not write, so
+    replacing what is written again would not do. Without a mark there was no
+    attempt, and no folder has to be listed.
+    """
+    mark = f"{layout.root}/attempts/{batch_id}"
+    if not tables.mark(spark, mark):
+        outputs = (layout.logs, layout.rejects, layout.metrics, layout.statistics, layout.ledger)
+        for path in outputs:
+            tables.remove(spark, f"{path}/batch={batch_id}", f"{path}/*/*/batch={batch_id}")
+
+
+def _write_batch(df: DataFrame, path: str, batch_id: int, kind: str = "parquet") -> None:
+    df.withColumn("batch", F.lit(batch_id)).write.mode("append").partitionBy("batch").format(kind).save(path)
+
+
+#: Ids of every batch so far, as ``remember_ids``.
+ALWAYS = "always"
+#: Days of a batch up to which the search for stored ids is limited to these days.
+MAX_DAYS = 4000
+
+
+def new_documents(good: DataFrame, layout: Layout, batch_id: int, remember: str) -> DataFrame:
+    """Accepted records whose id was not stored under the same day by an earlier batch, each once.
+
+    ``remember`` limits the earlier batches to those that ended within an
+    interval before now. Only the id column of the days that occur here is read.
+    Records without an id are all new. Refused documents are not stored and so
+    do not keep out their corrected version.
+    """
+    spark = good.sparkSession
+    day = F.to_date("timestamp")
+    named = good.where(F.col("id").isNotNull()).withColumn("__day", day).dropDuplicates(["id", "__day"])
+    nameless = good.where(F.col("id").isNull())
+    if tables.exists(spark, layout.logs) and tables.exists(spark, layout.ledger):
+        earlier = spark.read.parquet(layout.ledger).where(F.col("batch_id") != batch_id)
+        if remember != ALWAYS:
+            earlier = earlier.where(F.col("finished") >= F.current_timestamp() - F.expr(f"INTERVAL {remember}"))
+        stored = tables.read_table(spark, layout.logs).select("id", "log_date", "batch")
+        days = [r["__day"] for r in named.select("__day").distinct().limit(MAX_DAYS + 1).collect()]
+        if len(days) <= MAX_DAYS:
+            known = [d for d in days if d is not None]
+            stored = stored.where(F.col("log_date").isin(known) | F.col("log_date").isNull())
+        stored = stored.join(earlier.select(F.col("batch_id").alias("batch")), "batch", "left_semi")
+        stored = stored.select(F.col("id").alias("__id"), "log_date")
+        same = (F.col("id") == F.col("__id")) & F.col("__day").eqNullSafe(F.col("log_date"))
+        named = named.join(stored, same, "left_anti")
+    return named.drop("__day").unionByName(nameless)
 
 
 def process_batch(
@@ -64,33 +104,41 @@ def process_batch(
     family: str = "logs",
     required: tuple[str, ...] = (),
     prepare: Callable[[DataFrame], DataFrame] | None = None,
+    remember_ids: str | None = None,
 ) -> None:
     """Validate one batch and write records, rejects, metrics, term statistics and its ledger row.
 
-    ``lines`` may be a batch of a stream or any table of lines. Every write
-    replaces the partition of this batch, so that a batch which runs again after
-    a failure leaves each record once. The checked and the prepared rows are kept
+    ``lines`` may be a batch of a stream or any table of lines. A batch that
+    runs again, after a failure or with corrected input, takes the place of all
+    its first run left, in every output. The checked and the stored rows are kept
     while the outputs are written; lost pieces are computed again from the input.
-    ``inserted`` counts the rows that ``prepare`` leaves, which are those of the
-    table and of the metrics.
+    With ``remember_ids`` accepted documents that are stored already are left out
+    (``new_documents``). ``inserted`` counts the rows that this and ``prepare``
+    leave, which are those of the table and of the metrics.
     """
     start = time.time()
+    spark = lines.sparkSession
+    _begin(spark, layout, batch_id)
     checked = validation.validate(lines, required=required).persist()
     good = validation.accepted(checked)
+    if remember_ids:
+        good = new_documents(good, layout, batch_id, remember_ids)
     if prepare is not None:
-        good = good.transform(prepare).persist()
+        good = good.transform(prepare)
+    changed = bool(remember_ids) or prepare is not None
+    if changed:
+        good = good.persist()
     try:
         tables.write_table(
             good.withColumn("batch", F.lit(batch_id)),
             layout.logs,
             family,
-            force=True,
             extra_partitions=("batch",),
         )
         bad = validation.rejects(checked, "stream", F.lit(batch_id).cast("bigint"))
-        _replace_batch(bad, layout.rejects, batch_id, "json")
-        _replace_batch(metrics.partials(good), layout.metrics, batch_id)
-        _replace_batch(search.term_statistics(good), layout.statistics, batch_id)
+        _write_batch(bad, layout.rejects, batch_id, "json")
+        _write_batch(metrics.partials(good), layout.metrics, batch_id)
+        _write_batch(search.term_statistics(good), layout.statistics, batch_id)
         counted = checked.agg(
             F.count(F.lit(1)).alias("rows"),
             F.count_if(F.size("reject_reasons") > 0).alias("failed"),
@@ -103,10 +151,11 @@ def process_batch(
             inserted.scalar().alias("inserted"),
             "failed",
             F.lit(spent).cast("bigint").alias("duration_ms"),
+            F.current_timestamp().alias("finished"),
         )
-        _replace_batch(row, layout.ledger, batch_id)
+        _write_batch(row, layout.ledger, batch_id)
     finally:
-        if prepare is not None:
+        if changed:
             good.unpersist()
         checked.unpersist()
 
@@ -119,14 +168,19 @@ def load(
     family: str = "logs",
     required: tuple[str, ...] = (),
     prepare: Callable[[DataFrame], DataFrame] | None = None,
+    remember_ids: str | None = None,
 ) -> None:
-    """Load a folder of lines as one batch: records, rejects, metrics and ledger."""
+    """Load a folder of lines as one batch: records, rejects, metrics and ledger.
+
+    With ``remember_ids=ALWAYS`` a file that is loaded again as another batch is
+    stored once.
+    """
     lines = spark.read.text(source).where(F.trim("value") != "")
-    process_batch(lines, batch_id, layout, family, required, prepare)
+    process_batch(lines, batch_id, layout, family, required, prepare, remember_ids)
 
 
 #: Input of one micro-batch, unless the caller says otherwise.
-BATCH_BYTES = "8g"
+BATCH_BYTES = 8 * 1024**3
 
 
 def ingest(
@@ -143,7 +197,8 @@ def ingest(
     """Ingest the files of a folder; by default what is there, then stop.
 
     A backlog is taken in batches of bounded size. With ``remember_ids`` (such as
-    ``1 hour``) a document whose id came within that time is left out.
+    ``1 hour``, or ``ALWAYS``) an accepted document is left out if one with its id
+    was stored under its day within that time.
     """
     reader = spark.readStream.format("text")
     if files_per_batch:
@@ -151,18 +206,61 @@ def ingest(
     else:
         reader = reader.option("maxBytesPerTrigger", BATCH_BYTES)
     lines = reader.load(source).where(F.trim("value") != "")
-    if remember_ids:
-        lines = dedupe_by_id(lines, remember_ids)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        process_batch(batch, batch_id, layout, family, required, prepare)
+        process_batch(batch, batch_id, layout, family, required, prepare, remember_ids)
 
     writer = lines.writeStream.foreachBatch(run).option("checkpointLocation", layout.checkpoint)
     return (writer if continuous else writer.trigger(availableNow=True)).start()
 
 
+def generate(
+    spark: SparkSession,
+    layout: Layout,
+    total: int,
+    batch_size: int,
+    base_date: Column | str,
+    seed: int = 42,
+    profile: Callable[[DataFrame], DataFrame] | None = None,
+    document: Callable[[DataFrame], Column] | None = None,
+    family: str = "logs",
+    partitions: int | None = None,
+) -> None:
+    """Ingest ``total`` synthetic records as a stream, ``batch_size`` at a time, and end.
+
+    The numbers come from Spark's rate source, whose batches have a fixed number of rows;
+    a record is a function of its number, so a batch that runs again is the same
+    batch, and a second call on a finished run adds nothing. ``profile`` changes
+    the records, ``document`` the line that is made of one (with its ``seq``).
+    Each batch goes through validation, metrics, term statistics and the ledger.
+    """
+    batches = -(-total // batch_size)
+    reader = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", batch_size)
+    if partitions:
+        reader = reader.option("numPartitions", partitions)
+    rows = reader.load().where(F.col("value") < total).select(F.col("value").alias("seq"))
+    records = synthetic.synthesize(rows, base_date, seed)
+    if profile is not None:
+        records = records.transform(profile)
+    line = document(records) if document is not None else ndjson.documents(synthetic.finish(records))
+    lines = records.select(line.alias("value"))
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        if batch_id < batches:  # the source never ends
+            process_batch(batch, batch_id, layout, family)
+
+    query = lines.writeStream.foreachBatch(run).option("checkpointLocation", layout.checkpoint).start()
+    try:
+        while not query.awaitTermination(1):
+            last = query.lastProgress
+            if last is not None and last["batchId"] >= batches - 1:
+                break
+    finally:
+        query.stop()
+
+
 def read_ledger(spark: SparkSession, layout: Layout) -> DataFrame:
-    return spark.read.parquet(layout.ledger).drop("batch")
+    return spark.read.parquet(layout.ledger).drop("batch", "finished")
 
 
 def read_metrics(spark: SparkSession, layout: Layout) -> DataFrame:
@@ -179,21 +277,6 @@ def read_rejects(spark: SparkSession, layout: Layout) -> DataFrame:
     return spark.read.json(layout.rejects)
 
 
-def dedupe_by_id(lines: DataFrame, remember: str = "1 hour") -> DataFrame:
-    """Raw lines without those whose id came within ``remember`` before.
-
-    Time is that of arrival, so no line is ever late and dropped for it. Lines
-    without an id are told apart by their whole text.
-    """
-    key = F.coalesce(F.get_json_object("value", "$.id"), F.concat(F.lit("#"), F.sha2("value", 256)))
-    return (
-        lines.select("value", key.alias("__id"), F.current_timestamp().alias("__arrived"))
-        .withWatermark("__arrived", remember)
-        .dropDuplicatesWithinWatermark(["__id"])
-        .select("value")
-    )
-
-
 def drop_repeats(stream: DataFrame, delay: str = "1 hour", time_column: str = "timestamp") -> DataFrame:
     """Keep the first record of each id; ids are remembered for ``delay`` only."""
     return stream.withWatermark(time_column, delay).dropDuplicatesWithinWatermark(["id"])

@@ -1,11 +1,12 @@
 import json
+import os
 
 import pytest
 from conftest import entry
 from pyspark.sql import functions as F
 
 from logloom.plans import maintenance as MT
-from logloom.sources import ndjson, tables, validation
+from logloom.sources import ndjson, synthetic, tables, validation
 from logloom.streaming import ingest as IN
 from logloom.streaming import progress as PR
 
@@ -226,3 +227,55 @@ def test_stream_drops_repeats(spark, tmp_path, logs):
     )
     kept = spark.read.parquet(str(tmp_path / "out")).agg(F.sort_array(F.collect_list("id"))).head()[0]
     assert kept == ["a", "b"]
+
+
+def test_rerun_replaces_the_whole_batch(spark, tmp_path, lines):
+    layout = IN.Layout(str(tmp_path / "out"))
+    IN.process_batch(lines(entry(id="a"), "{oops"), 7, layout)
+    IN.process_batch(lines(entry(id="x")), 8, layout)
+    IN.process_batch(lines(entry(id="b", timestamp="2024-01-02T00:00:00Z")), 7, layout)
+    table = tables.read_table(spark, layout.logs).select("id", "batch").collect()
+    assert sorted((r["id"], r["batch"]) for r in table) == [("b", 7), ("x", 8)]
+    assert {r["batch_id"]: (r["rows"], r["inserted"], r["failed"]) for r in IN.read_ledger(spark, layout).collect()} == {
+        7: (1, 1, 0), 8: (1, 1, 0)
+    }
+    assert not [f for _, _, names in os.walk(layout.rejects) for f in names if f.startswith("part-")] or (
+        spark.read.text(layout.rejects).count() == 0
+    )
+    assert IN.read_metrics(spark, layout).where("dimension = 'total'").head()["n"] == 2
+
+
+def test_corrected_document_is_stored(spark, tmp_path, lines):
+    layout = IN.Layout(str(tmp_path / "out"))
+    IN.process_batch(lines(entry(id="x", metrics={"memory_mb": "n/a"}), entry(id="y"), entry(id="y")), 1, layout, remember_ids="1 hour")
+    IN.process_batch(lines(entry(id="x"), entry(id="y"), entry(id=None), entry(id=None)), 2, layout, remember_ids="1 hour")
+    # another day is another document; without a day, ids are told apart as well
+    later = [entry(id="x", timestamp="2024-01-02T00:00:00Z"), entry(id="z", timestamp=None)]
+    IN.process_batch(lines(*later), 3, layout, remember_ids=IN.ALWAYS)
+    IN.process_batch(lines(*later), 4, layout, remember_ids=IN.ALWAYS)
+    stored = tables.read_table(spark, layout.logs).select("id", "batch").collect()
+    assert sorted((str(r["id"]), r["batch"]) for r in stored) == [("None", 2), ("None", 2), ("x", 2), ("x", 3), ("y", 1), ("z", 3)]
+    assert [r["inserted"] for r in IN.read_ledger(spark, layout).orderBy("batch_id").collect()] == [1, 3, 2, 0]
+    # the same batch again does not find its own ids
+    IN.process_batch(lines(*later), 3, layout, remember_ids=IN.ALWAYS)
+    assert tables.read_table(spark, layout.logs).where("batch = 3").count() == 2
+
+
+def test_only_recent_batches_are_remembered(spark, tmp_path, lines):
+    layout = IN.Layout(str(tmp_path / "out"))
+    for batch in (1, 2):
+        IN.process_batch(lines(entry(id="x")), batch, layout, remember_ids="0 seconds")
+    assert tables.read_table(spark, layout.logs).count() == 2
+
+
+def test_generated_stream(spark, tmp_path):
+    layout = IN.Layout(str(tmp_path / "out"))
+    for _ in range(2):
+        IN.generate(spark, layout, 25, 10, "2024-03-01", partitions=2)
+    assert [(r["batch_id"], r["rows"]) for r in IN.read_ledger(spark, layout).orderBy("batch_id").collect()] == [(0, 10), (1, 10), (2, 5)]
+    rows = tables.read_table(spark, layout.logs)
+    assert rows.count() == 25 == rows.select("id").distinct().count()
+    assert [str(r["log_date"]) for r in rows.select("log_date").distinct().collect()] == ["2024-03-01"]
+    # the records are those that the table form makes of the same numbers
+    table = synthetic.finish(synthetic.synthesize(spark.range(25).withColumnRenamed("id", "seq"), "2024-03-01"))
+    assert {r["id"] for r in rows.collect()} == {r["id"] for r in table.collect()}
