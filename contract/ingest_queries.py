@@ -11,6 +11,7 @@ from logloom.functions.scalars import format_bytes, iso_utc, parse_timestamp
 from logloom.operators import aggregates as A
 from logloom.operators import metrics as M
 from logloom.operators import paging as P
+from logloom.operators import sketches as SK
 from logloom.plans import maintenance as MT
 from logloom.plans import scenarios as SC
 from logloom.session import checkpoint_dir
@@ -739,6 +740,34 @@ def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.counts(IN.read_metrics(spark, layout))
 
 
+@query(
+    "stream_quantiles",
+    with_logs("""SELECT strftime(ts, '%Y-%m-%d') AS day, percent, count(*) AS n, min(response_time_ms)::DOUBLE AS lowest,
+      max(response_time_ms)::DOUBLE AS highest, true AS within_bound
+      FROM logs, (SELECT unnest([50, 75, 90, 95, 99])::DOUBLE AS percent) GROUP BY 1, 2"""),
+)
+def stream_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles by day from the sketches of several batches; the ranks of the values are counted in the table.
+
+    ``n``, the least and the largest value come from the merged sketches, ``within_bound`` says whether the rank is.
+    """
+    logs = load_logs(spark, sf_dir)
+    layout = _stream(spark, sf_dir, logs.select(ndjson.documents(logs).alias("value")))
+    kept = IN.read_sketches(spark, layout).where("number = 'response_time_ms'")
+    found = SK.quantiles(kept, by=("log_date",)).drop("number")
+    ends = SK.quantiles(kept, [0, 100], ("log_date",)).groupBy("log_date").agg(
+        F.min("value").alias("lowest"), F.max("value").alias("highest"))
+    table = tables.read_table(spark, layout.logs).select("log_date", F.col("metrics.response_time_ms").alias("v"))
+    ranks = (
+        table.join(found, "log_date").groupBy("log_date", "percent")
+        .agg(F.max("n").alias("n"), F.count_if(F.col("v") < F.col("value")).alias("below"), F.count_if(F.col("v") <= F.col("value")).alias("upto"))
+    )
+    aim, slack = F.col("n") * F.col("percent") / 100, F.col("n") * 2 * SK.RANK_ERROR + 1
+    within = (F.col("below") - slack <= aim) & (aim <= F.col("upto") + slack)
+    return ranks.join(ends, "log_date").select(
+        F.col("log_date").cast("string").alias("day"), "percent", "n", "lowest", "highest", within.alias("within_bound"))
+
+
 @query(
     "stream_histogram",
     f"""SELECT {iso_ms('b')} AS timestamp, n FROM (

@@ -458,7 +458,8 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "latency_percentiles_approx",
-    "SELECT unnest([50, 75, 90, 95, 99])::DOUBLE AS percent, true AS within_bound",
+    with_logs("""SELECT unnest([50, 75, 90, 95, 99])::DOUBLE AS percent, n, true AS within_bound
+        FROM (SELECT count(response_time_ms) AS n FROM logs)"""),
 )
 def latency_percentiles_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each value's rank is within the sketch's bound of a ten-thousandth of the rows."""
@@ -474,7 +475,7 @@ def latency_percentiles_approx(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     aim, slack = F.col("n") * F.col("percent") / 100, F.col("n") / 10_000 + 1
     return ranks.select(
-        "percent", ((F.col("below") - slack <= aim) & (aim <= F.col("upto") + slack)).alias("within_bound")
+        "percent", "n", ((F.col("below") - slack <= aim) & (aim <= F.col("upto") + slack)).alias("within_bound")
     )
 
 

@@ -2,17 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logloom.functions import analysis, stemming
+from logloom.operators import paging
+from logloom.operators import postings as PO
 from logloom.operators import search as S
-from logloom.operators.filters import LogFilters
+from logloom.operators.filters import LogFilters, apply_filters
 from logloom.plans import api
+from logloom.session import checkpoint_dir
 from logloom.sources.events import load_documents, load_logs
 from logloom.sources.synthetic import search_profile
 
-from .registry import query
+from .registry import ORACLE, query
 from .sql import TOKEN, corpus, iso, quote, stemmed_corpus, stems, with_logs
 
 TEXT = S.TextField("text", stem=False)
@@ -548,3 +553,59 @@ chosen AS (SELECT f, term, df, like_tf * (1 + ln(((SELECT count(*) FROM logs) +
 def similar_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = api.similar_logs(load_logs(spark, sf_dir), "96", 10)
     return found.select("id", "message", F.round("score", 6).alias("score"))
+
+
+# -- the written search index -----------------------------------------------------------
+
+
+def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, PO.Index]:
+    """The log table, and its postings written in two loads."""
+    logs = _search_logs(spark, sf_dir)
+    path = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    for half in (0, 1):
+        PO.write(logs.where(F.col("id").cast("bigint") % 2 == half), path, batch_id=half)
+    return logs, PO.Index.read(spark, path)
+
+
+@query("postings_match", ORACLE["match_query"])
+def postings_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All terms of a query, by the postings of these terms; the page's records are looked up."""
+    logs, index = _index(spark, sf_dir)
+    asked = "payment gateway timeout error"
+    page = PO.rows_of(logs, PO.page(PO.match(index, asked), 5), named=True)
+    return S.query_highlight(page, asked).select(
+        "id",
+        F.round("score", 6).alias("score"),
+        "message",
+        F.array_join("tags", ",").alias("tags"),
+        F.col("highlight.message").alias("highlight"),
+    )
+
+
+@query("postings_phrase", ORACLE["phrase_query"])
+def postings_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase by intersecting positions."""
+    logs, index = _index(spark, sf_dir)
+    found = PO.rows_of(logs, PO.match_phrase(index, "inventory synchronization delayed", 2))
+    return found.select("id", F.round("score", 6).alias("score"), "message")
+
+
+@query("postings_fuzzy", ORACLE["fuzzy_multi_match"])
+def postings_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Misspelt words, expanded by the remains of the vocabulary's words."""
+    _, index = _index(spark, sf_dir)
+    return PO.multi_match(index, TYPO, [S.MESSAGE, S.TAGS]).select("id", F.round("score", 6).alias("score"))
+
+
+@query("postings_search", ORACLE["search_logs"])
+def postings_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of the API within its filters, by the index."""
+    logs, index = _index(spark, sf_dir)
+    found = PO.rows_of(apply_filters(logs, _API_FILTERS), PO.multi_match(index, API_QUERY))
+    rows = paging.page_rows(found, 20, 5, S.by_score())
+    return rows.select(
+        "id",
+        F.date_format("timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("timestamp"),
+        F.round("score", 6).alias("score"),
+        "message",
+    )

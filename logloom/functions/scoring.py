@@ -48,13 +48,18 @@ def phrase_frequency(terms: Column, slots: list[tuple[int, str]], slop: int) ->
     the latest position of every query term.
     """
     words = sorted({t for _, t in slots})
-    first = slots[0][0]
-    offsets = [p - first for p, _ in slots]
-    repeated = len(words) < len(slots)
     placed = F.filter(
         F.transform(terms, lambda t, i: F.struct(t.alias("t"), i.alias("i"))),
         lambda x: x["t"].isin(words),
     )
+    return phrase_frequency_of(placed, slots, slop)
+
+
+def phrase_frequency_of(placed: Column, slots: list[tuple[int, str]], slop: int) -> Column:
+    """The same from the query's words as they stand: an array of ``(t, i)``, word and position."""
+    first = slots[0][0]
+    offsets = [p - first for p, _ in slots]
+    repeated = len({t for _, t in slots}) < len(slots)
 
     def occurrences_of(slot: int) -> Column:
         word, offset = slots[slot][1], offsets[slot]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -137,18 +139,21 @@ PERCENTS = [50, 75, 90, 95, 99]
 
 
 def percentiles(
-    df: DataFrame, value: Column | str, percents: list[int] = PERCENTS, exact: bool = True
+    df: DataFrame, value: Column | str, percents: list[int] = PERCENTS, exact: bool = True, accuracy: int = 10_000
 ) -> DataFrame:
-    """Interpolated percentiles, one row per percent.
+    """Interpolated percentiles, one row per percent; none where there is no value.
 
-    The exact form works on the frequency table of the values, a span of them at
-    a time; ``exact=False`` keeps a sketch of bounded size instead.
+    The approximate form keeps a sketch of bounded size, whose ranks are right
+    up to one part in ``accuracy``. The exact form takes such sketches for the
+    bounds between which each percentile must lie, and then counts: how many
+    values are below, and how often each value between the bounds occurs. Two
+    scans, whatever the distribution; only the few values between the bounds are shuffled.
     """
+    v = col(value).cast("double")
     if exact:
-        return _exact_percentiles(count_by(df, col(value).cast("double")), percents)
-    v = col(value)
+        return _exact_percentiles(df.select(v.alias("v")).where(F.col("v").isNotNull()), percents, accuracy)
     points = F.array(*[F.lit(p / 100.0) for p in percents])
-    values = F.percentile_approx(v, points, 10_000)
+    values = F.percentile_approx(col(value), points, accuracy)
     pairs = F.arrays_zip(
         F.array(*[F.lit(float(p)) for p in percents]).alias("percent"), values.alias("value")
     )
@@ -159,28 +164,44 @@ def percentiles(
     )
 
 
-_SPANS = 4096
-
-
-def _exact_percentiles(frequencies: DataFrame, percents: list[int]) -> DataFrame:
+def _exact_percentiles(values: DataFrame, percents: list[int], accuracy: int) -> DataFrame:
     """Percent ``p`` lies at position ``(n - 1) * p / 100`` of the sorted values,
     between two of them as a rule.
 
-    The range of the values is cut into spans of equal width. The running count
-    goes over the spans first and then inside the spans that hold a position, so
-    no window and no buffer sees all distinct values.
+    Each value falls into a cell: itself if it is between the bounds of a
+    percentile, else the gap below the next bounds. Cells in their order have
+    running counts, taken by ``gap`` first and inside a gap then, so that no window sees more
+    than the values between the bounds of one percentile.
     """
-    whole = frequencies.agg(
-        F.min("key").alias("lo"), F.max("key").alias("hi"), F.sum("n").alias("rows")
+    ordered = sorted(percents)
+    margin = 4.0 / accuracy
+    low = [max(0.0, p / 100.0 - margin) for p in ordered]
+    high = [min(1.0, p / 100.0 + margin) for p in ordered]
+    quantiles = F.percentile_approx("v", F.array(*[F.lit(x) for x in low + high]), F.lit(accuracy))
+    # up to so many values the error is below one rank, and all lie between the bounds
+    few = F.count(F.lit(1)) <= 2 * accuracy
+    k = len(ordered)
+    bounds = values.agg(
+        F.struct(
+            F.count(F.lit(1)).alias("rows"),
+            F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.when(few, F.min("v")).otherwise(F.element_at(quantiles, i))).alias("lo"),
+            F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: F.when(few, F.max("v")).otherwise(F.element_at(quantiles, i + k))).alias("hi"),
+        ).alias("b")
     )
-    whole = whole.select(F.struct("lo", "hi", "rows").alias("whole")).scalar()
-    placed = frequencies.withColumn("whole", whole)
-    width = F.greatest((F.col("whole.hi") - F.col("whole.lo")) / _SPANS, F.lit(1e-300))
-    placed = placed.withColumn("span", F.floor((F.col("key") - F.col("whole.lo")) / width)).where(
-        F.col("span").isNotNull()
+    v, b = F.col("v"), F.col("b")
+    gap = reduce(Column.__add__, [(b["hi"][i] < v).cast("int") for i in range(k)])
+    between = reduce(Column.__or__, [(b["lo"][i] <= v) & (v <= b["hi"][i]) for i in range(k)])
+    cells = (
+        values.withColumn("b", bounds.scalar())
+        .select(gap.alias("gap"), F.when(between, v).alias("key"), b["rows"].alias("rows"))
+        .groupBy("gap", "key")
+        .agg(F.count(F.lit(1)).alias("n"), F.max("rows").alias("rows"))
     )
-    spans = placed.groupBy("span").agg(F.sum("n").alias("n"), F.max("whole.rows").alias("rows"))
-    before = F.sum("n").over(W.orderBy("span")) - F.col("n")
+    gaps = cells.groupBy("gap").agg(F.sum("n").alias("n"))
+    gaps = gaps.select("gap", (F.sum("n").over(W.orderBy("gap")) - F.col("n")).alias("before"))
+    upto = F.col("before") + F.sum("n").over(W.partitionBy("gap").orderBy(F.col("key").asc_nulls_first()))
+    # at most one gap more than there are percents
+    placed = cells.join(F.broadcast(gaps), "gap").select("key", "n", "rows", upto.alias("upto"))
     wanted = F.array(
         *[
             F.struct(
@@ -191,23 +212,8 @@ def _exact_percentiles(frequencies: DataFrame, percents: list[int]) -> DataFrame
             for side in (F.floor, F.ceil)
         ]
     )
-    located = (
-        spans.withColumn("before", before)
-        .select("span", "before", "n", "rows", F.inline(wanted))
-        .where((F.col("before") <= F.col("position")) & (F.col("position") < F.col("before") + F.col("n")))
-        .select("span", "before", "percent", "position", "rows")
-        .distinct()
-    )
-    chosen = located.groupBy("span").agg(
-        F.max("before").alias("before"),
-        F.max("rows").alias("rows"),
-        F.collect_set(F.struct("percent", "position")).alias("wanted"),
-    )
-    inside = placed.select("span", "key", "n").join(F.broadcast(chosen), "span")
-    upto = F.col("before") + F.sum("n").over(W.partitionBy("span").orderBy("key"))
     found = (
-        inside.withColumn("upto", upto)
-        .select("key", "n", "upto", "rows", F.inline("wanted"))
+        placed.select("key", "n", "upto", "rows", F.inline(wanted))
         .where((F.col("upto") - F.col("n") <= F.col("position")) & (F.col("position") < F.col("upto")))
     )
     point = F.max("rows").cast("double") * F.col("percent") / 100.0 - F.col("percent") / 100.0

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import metrics, search
+from ..operators import metrics, postings, search, sketches
 from ..sources import ndjson, synthetic, tables, validation
 
 
@@ -40,6 +40,14 @@ class Layout:
     def statistics(self) -> str:
         return f"{self.root}/statistics"
 
+    @property
+    def sketches(self) -> str:
+        return f"{self.root}/sketches"
+
+    @property
+    def postings(self) -> str:
+        return f"{self.root}/postings"
+
     @property
     def checkpoint(self) -> str:
         return f"{self.root}/checkpoint"
@@ -54,9 +62,10 @@ def _begin(spark: SparkSession, layout: Layout, batch_id: int) -> None:
     """
     mark = f"{layout.root}/attempts/{batch_id}"
     if not tables.mark(spark, mark):
-        outputs = (layout.logs, layout.rejects, layout.metrics, layout.statistics, layout.ledger)
+        outputs = (layout.logs, layout.rejects, layout.metrics, layout.statistics, layout.sketches, layout.postings, layout.ledger)
         for path in outputs:
-            tables.remove(spark, f"{path}/batch={batch_id}", f"{path}/*/*/batch={batch_id}")
+            below = ("", "/*", "/*/*")  # postings have a folder for each table, logs for family and day
+            tables.remove(spark, *(f"{path}{b}/batch={batch_id}" for b in below))
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int, kind: str = "parquet") -> None:
@@ -105,6 +114,7 @@ def process_batch(
     required: tuple[str, ...] = (),
     prepare: Callable[[DataFrame], DataFrame] | None = None,
     remember_ids: str | None = None,
+    with_postings: bool = False,
 ) -> None:
     """Validate one batch and write records, rejects, metrics, term statistics and its ledger row.
 
@@ -113,7 +123,7 @@ def process_batch(
     its first run left, in every output. The checked and the stored rows are kept
     while the outputs are written; lost pieces are computed again from the input.
     With ``remember_ids`` accepted documents that are stored already are left out
-    (``new_documents``). ``inserted`` counts the rows that this and ``prepare``
+    (``new_documents``); ``with_postings`` also writes the search index. ``inserted`` counts the rows that this and ``prepare``
     leave, which are those of the table and of the metrics.
     """
     start = time.time()
@@ -139,6 +149,9 @@ def process_batch(
         _write_batch(bad, layout.rejects, batch_id, "json")
         _write_batch(metrics.partials(good), layout.metrics, batch_id)
         _write_batch(search.term_statistics(good), layout.statistics, batch_id)
+        _write_batch(sketches.value_sketches(good), layout.sketches, batch_id)
+        if with_postings:
+            postings.write(good, layout.postings, batch_id=batch_id)
         counted = checked.agg(
             F.count(F.lit(1)).alias("rows"),
             F.count_if(F.size("reject_reasons") > 0).alias("failed"),
@@ -169,6 +182,7 @@ def load(
     required: tuple[str, ...] = (),
     prepare: Callable[[DataFrame], DataFrame] | None = None,
     remember_ids: str | None = None,
+    with_postings: bool = False,
 ) -> None:
     """Load a folder of lines as one batch: records, rejects, metrics and ledger.
 
@@ -176,7 +190,7 @@ def load(
     stored once.
     """
     lines = spark.read.text(source).where(F.trim("value") != "")
-    process_batch(lines, batch_id, layout, family, required, prepare, remember_ids)
+    process_batch(lines, batch_id, layout, family, required, prepare, remember_ids, with_postings)
 
 
 #: Input of one micro-batch, unless the caller says otherwise.
@@ -193,6 +207,7 @@ def ingest(
     prepare: Callable[[DataFrame], DataFrame] | None = None,
     continuous: bool = False,
     remember_ids: str | None = None,
+    with_postings: bool = False,
 ) -> StreamingQuery:
     """Ingest the files of a folder; by default what is there, then stop.
 
@@ -208,7 +223,7 @@ def ingest(
     lines = reader.load(source).where(F.trim("value") != "")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        process_batch(batch, batch_id, layout, family, required, prepare, remember_ids)
+        process_batch(batch, batch_id, layout, family, required, prepare, remember_ids, with_postings)
 
     writer = lines.writeStream.foreachBatch(run).option("checkpointLocation", layout.checkpoint)
     return (writer if continuous else writer.trigger(availableNow=True)).start()
@@ -268,6 +283,11 @@ def read_metrics(spark: SparkSession, layout: Layout) -> DataFrame:
     return metrics.merge(spark.read.parquet(layout.metrics).drop("batch"))
 
 
+def read_sketches(spark: SparkSession, layout: Layout) -> DataFrame:
+    """The quantile sketches of all batches so far, to be filtered and merged."""
+    return spark.read.parquet(layout.sketches)
+
+
 def read_statistics(spark: SparkSession, layout: Layout) -> DataFrame:
     """The term statistics of all batches so far, merged."""
     return search.merged(spark.read.parquet(layout.statistics).drop("batch"))
