@@ -24,6 +24,7 @@ from logloom.operators import aggregates as A  # noqa: E402
 from logloom.operators import histogram as H  # noqa: E402
 from logloom.operators import metrics as M  # noqa: E402
 from logloom.operators import paging as P  # noqa: E402
+from logloom.operators import postings as PO  # noqa: E402
 from logloom.operators import search as S  # noqa: E402
 from logloom.operators.filters import LogFilters, apply_filters  # noqa: E402
 from logloom.plans import api, dashboard  # noqa: E402
@@ -90,6 +91,10 @@ def main() -> None:
     run("hist_2h", lambda: H.time_series(logs, "2h"))
     run("metrics_snapshot", lambda: M.snapshot(M.merge(M.partials(logs))))
     run("search_logs", lambda: api.search_logs(logs, "databse connecton timout", combo).rows)
+    timed("write_index", lambda: PO.write(logs, f"{path}-index"))
+    index = PO.Index.read(spark, f"{path}-index")
+    found = lambda: PO.page(PO.multi_match(index, "databse connecton timout"))
+    run("search_index", lambda: PO.rows_of(logs, found(), named=True))
     run("similar_logs", lambda: api.similar_logs(logs, "96"))
     run("validate", lambda: validation.validate(raw_lines(events)))
     run("analyze", lambda: docs.select("doc_id", text.terms().alias("terms")))

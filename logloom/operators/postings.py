@@ -16,6 +16,7 @@ few remains of a query word finds every candidate; edit distances are worked out
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
@@ -43,7 +44,12 @@ ROW = ["id", "log_date", "timestamp", "row"]
 
 
 def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(BUCKETS)).cast("int")
+
+
+def buckets_of(terms: list[str]) -> list[int]:
+    """The folders of some terms, without a job."""
+    return sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms})
 
 
 def row_hash(fields: list[TextField] = FIELDS) -> Column:
@@ -148,31 +154,31 @@ class Index:
 # -- reading ---------------------------------------------------------------------------
 
 
-def _named(df: DataFrame, column: str, field: str, values: list[str]) -> DataFrame:
-    """The rows of some terms: their buckets only, and of these the row groups that can hold them."""
-    buckets = reduce(Column.__or__, [F.col("bucket") == bucket_of(F.lit(v)) for v in values])
-    return df.where(buckets & (F.col("field") == field) & F.col(column).isin(values))
-
+def _named(df: DataFrame, column: str, values: dict[str, list[str]]) -> DataFrame:
+    """The rows of some terms of each field: their buckets only, and of these the row groups that can hold them."""
+    every = [v for own in values.values() for v in own]
+    asked = [(F.col("field") == field) & F.col(column).isin(own) for field, own in values.items()]
+    return df.where(F.col("bucket").isin(buckets_of(every)) & F.col(column).isin(every) & reduce(Column.__or__, asked))
 
-def _found(index: Index, field: str, weights: DataFrame, terms: list[str] | None) -> DataFrame:
-    """The postings of the weighted terms of a field; a record stored twice has each once more."""
-    hits = index.postings.where(F.col("field") == field) if terms is None else _named(index.postings, "term", field, terms)
-    return hits.join(weights, "term")
 
+def _scored(found: DataFrame, fields: list[TextField], need: int) -> DataFrame:
+    """Records with at least ``need`` of the weighted terms in a field, and the score of their best field.
 
-def _scored(found: DataFrame, keyword: bool, need: int) -> DataFrame:
-    """Rows with at least ``need`` of the terms, and their score.
-
-    ``collect_set`` is bounded by the terms of the query, and takes what two loads of one record have alike as one.
+    ``found`` has the postings with ``weight`` and ``average``. What is gathered for a record is bounded by the
+    terms of the query, and what two loads of one record have alike counts once.
     """
-    length = F.lit(1) if keyword else F.col("length")
-    tf = F.lit(1.0) if keyword else F.size("positions").cast("double")
+    keyword = F.col("field").isin([f.path for f in fields if f.keyword])
+    length = F.when(keyword, 1).otherwise(F.col("length"))
+    tf = F.when(keyword, 1.0).otherwise(F.size("positions").cast("double"))
     part = F.struct("term", (F.col("weight") * saturation(tf, length_norm(length.cast("double"), F.col("average")))).alias("score"))
+    total = F.aggregate(F.array_sort("parts"), F.lit(0.0), lambda sum_, x: sum_ + x["score"])
     return (
-        found.groupBy(*ROW)
+        found.groupBy(*ROW, "field")
         .agg(F.collect_set(part).alias("parts"))
         .where(F.size("parts") >= need)
-        .select(*ROW, F.aggregate(F.array_sort("parts"), F.lit(0.0), lambda total, x: total + x["score"]).alias("score"))
+        .select(*ROW, total.alias("score"))
+        .groupBy(*ROW)
+        .agg(F.max("score").alias("score"))
     )
 
 
@@ -181,9 +187,10 @@ def _nothing(index: Index) -> DataFrame:
 
 
 def _weights(index: Index, f: TextField, words: list[str]) -> DataFrame:
-    """(term, weight, average) of the query's own terms."""
+    """(field, term, weight, average) of the query's own terms."""
     one = search._exact_weights(index.postings, f, words, index.statistics)
-    return one.select(F.col("s.average").alias("average"), F.inline("s.hits")).select("term", "weight", "average")
+    weighed = one.select(F.col("s.average").alias("average"), F.inline("s.hits"))
+    return weighed.select(F.lit(f.path).alias("field"), "term", "weight", "average")
 
 
 def _terms_of(index: Index, f: TextField, query: str) -> list[tuple[int, str]]:
@@ -195,8 +202,8 @@ def match(index: Index, query: str, f: TextField = search.MESSAGE, operator: str
     words = sorted({t for _, t in _terms_of(index, f, query)})
     if not words:
         return _nothing(index)
-    found = _found(index, f.path, _weights(index, f, words), words)
-    return _scored(found, f.keyword, len(words) if operator == "and" else 1)
+    found = _named(index.postings, "term", {f.path: words}).join(_weights(index, f, words), ["field", "term"])
+    return _scored(found, [f], len(words) if operator == "and" else 1)
 
 
 def match_phrase(index: Index, query: str, slop: int = 0, f: TextField = search.MESSAGE) -> DataFrame:
@@ -206,7 +213,7 @@ def match_phrase(index: Index, query: str, slop: int = 0, f: TextField = search.
         return _nothing(index)
     words = sorted({t for _, t in slots})
     places = F.create_map(*[F.lit(x) for w in words for x in (w, sum(t == w for _, t in slots))])
-    found = _found(index, f.path, _weights(index, f, words), words)
+    found = _named(index.postings, "term", {f.path: words}).join(_weights(index, f, words), ["field", "term"])
     rows = found.groupBy(*ROW).agg(
         F.collect_set(F.struct("term", "positions")).alias("terms"),
         F.max("length").alias("length"),
@@ -237,7 +244,7 @@ def expansions(index: Index, f: TextField, words: list[str]) -> DataFrame:
         k = allowed_edits(word)
         keys = remains_of(word, k) if len(word) <= LONGEST + k else []
         keys += [f"\u0000{n}" for n in range(max(LONGEST + 1, len(word) - k), len(word) + k + 1)]
-        met = _named(index.variants, "variant", f.path, keys).where(F.col("deleted") <= k)
+        met = _named(index.variants, "variant", {f.path: keys}).where(F.col("deleted") <= k)
         edits = edit_distance(F.col("term"), word, k)
         one = (
             met.select("term").distinct().select(F.lit(q).alias("q"), "term", edits.alias("edits"))
@@ -250,7 +257,7 @@ def expansions(index: Index, f: TextField, words: list[str]) -> DataFrame:
 
 
 def _near_weights(index: Index, f: TextField, words: list[str]) -> DataFrame:
-    """(term, weight, average): the terms near the query's words; those of a word share the largest document count among them."""
+    """(field, term, weight, average): the terms near the query's words; those of a word share the largest document count among them."""
     near = expansions(index, f, words)
     own = index.statistics.where(F.col("field") == f.path)
     counted = (
@@ -264,29 +271,31 @@ def _near_weights(index: Index, f: TextField, words: list[str]) -> DataFrame:
         .withColumn("whole", whole.select(F.struct("n", search._average().alias("average")).alias("s")).scalar())
         .withColumn("weight", F.col("boost") * search.idf(F.col("whole.n"), F.col("most")))
     )
-    return weighed.groupBy("term").agg(F.sum("weight").alias("weight"), F.max("whole.average").alias("average"))
+    by_term = weighed.groupBy("term").agg(F.sum("weight").alias("weight"), F.max("whole.average").alias("average"))
+    return by_term.select(F.lit(f.path).alias("field"), "term", "weight", "average")
 
 
 def multi_match(index: Index, query: str, fields: list[TextField] = SEARCH_FIELDS) -> DataFrame:
     """Typo-tolerant search: any query word in any field, the best field counts."""
-    parts = []
+    weights, asked = None, {}
     for f in fields:
-        words = sorted({t for _, t in _terms_of(index, f, query)})
-        if not words:
-            continue
-        weights = _near_weights(index, f, words)
-        # what is near a few words is a small part of the vocabulary; it is brought here to name the buckets
-        known = weights.limit(MAX_NAMED + 1).collect()
-        if not known:
-            continue
-        if len(known) <= MAX_NAMED:
-            weights = index.postings.sparkSession.createDataFrame(known, weights.schema)
-        terms = [r["term"] for r in known] if len(known) <= MAX_NAMED else None
-        parts.append(_scored(_found(index, f.path, weights, terms), f.keyword, 1))
-    if not parts:
+        if f.stem not in asked and not f.keyword:
+            asked[f.stem] = sorted({t for _, t in _terms_of(index, f, query)})
+        words = [query] if f.keyword else asked[f.stem]
+        if words:
+            own = _near_weights(index, f, words)
+            weights = own if weights is None else weights.unionByName(own)
+    if weights is None:
+        return _nothing(index)
+    # what is near a few words is a small part of the vocabulary; it is brought here to name the buckets
+    known = weights.limit(MAX_NAMED + 1).collect()
+    if not known:
         return _nothing(index)
-    both = reduce(DataFrame.unionByName, parts)
-    return both.groupBy(*ROW).agg(F.max("score").alias("score"))
+    found = index.postings
+    if len(known) <= MAX_NAMED:
+        weights = found.sparkSession.createDataFrame(known, weights.schema)
+        found = _named(found, "term", {f.path: [r["term"] for r in known if r["field"] == f.path] for f in fields})
+    return _scored(found.join(weights, ["field", "term"]), fields, 1)
 
 
 def page(hits: DataFrame, limit: int = 20, offset: int = 0) -> DataFrame:
