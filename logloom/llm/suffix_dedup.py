@@ -43,6 +43,9 @@ BLOCK, CHUNK = 1 << 20, 1 << 21
 #: Contexts of an anchor, at their longest, that fit a block; an anchor with more is split by window.
 HOT = BLOCK // (2 * LENGTH - GRAM)
 
+#: Windows of a stretch that a record can hold; a longer stretch is two of the same anchor.
+MOST = 127
+
 _TOP = np.uint64(0xFFFFFFFFFF000000)
 _LOW = np.uint64(0x0000000000FFFFFF)
 _MASK48 = (1 << 48) - 1
@@ -65,7 +68,11 @@ def _piece_runs(text: np.ndarray, powers: Powers, length: int, gram: int) -> tup
     sums = np.concatenate([[np.uint64(0)], np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up[: len(text)], dtype=np.uint64)])
     grams = mix((sums[gram:] - sums[:-gram]) * down[: len(text) - gram + 1])
     places = _sliding_min((grams & _TOP) | np.arange(len(grams), dtype=np.uint64), length - gram + 1) & _LOW
-    first = np.flatnonzero(np.concatenate([[True], places[1:] != places[:-1]]))
+    new = np.concatenate([[True], places[1:] != places[:-1]])
+    first = np.flatnonzero(new)
+    if length - gram + 1 > MOST:
+        within = np.arange(len(places)) - np.repeat(first, np.diff(np.append(first, len(places))))
+        first = np.flatnonzero(within % MOST == 0)
     last = np.concatenate([first[1:], [len(places)]])
     contexts = (sums[last + length - 1] - sums[first]) * down[first]
     return grams[places[first].astype(np.int64)], first, last, contexts
@@ -106,7 +113,7 @@ def _text(value: str | None) -> bytes:
 
 
 def _anchor_rows(parts: int, length: int, gram: int):
-    """(part, blob) of packed 16-byte records: 47 bits of the anchor, 2 of the kind; 48 of the document; the place.
+    """(part, blob) of packed 16-byte records: 40 bits of the anchor, 2 of the kind; 48 of the document; the place and the windows.
 
     Kinds: 0 stands for these rows, 1 does so and repeats among them, 3 repeats and stands for none. A record of kind 2 has
     no document: its place is the number of contexts that differ here, without the first.
@@ -118,26 +125,27 @@ def _anchor_rows(parts: int, length: int, gram: int):
             docs = batch.column("d").to_numpy(zero_copy_only=False).astype(np.uint64)
             runs = [_hashed_runs(_text(t), powers, length, gram) for t in batch.column("text").to_pylist()]
             owner = np.repeat(docs, [len(r[0]) for r in runs])
-            anchor = (np.concatenate([r[0] for r in runs]) >> np.uint64(17)) << np.uint64(17)
+            anchor = (np.concatenate([r[0] for r in runs]) >> np.uint64(24)) << np.uint64(24)
             place = np.concatenate([r[1] for r in runs]).astype(np.uint64)
+            windows = np.concatenate([r[2] - r[1] for r in runs]).astype(np.uint64)
             context = np.concatenate([r[3] for r in runs])
             if not len(anchor):
                 continue
             order = np.lexsort((context, anchor))
-            anchor, owner, place, context = anchor[order], owner[order], place[order], context[order]
+            anchor, owner, place, context, windows = anchor[order], owner[order], place[order], context[order], windows[order]
             new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
             more = np.add.reduceat(np.concatenate([[False], context[1:] != context[:-1]]) & ~new, np.flatnonzero(new), dtype=np.int64)
             repeats = ~new | np.concatenate([~new[1:], [False]])
-            part = anchor >> np.uint64(17)
+            part = anchor >> np.uint64(24)
             # the first of each anchor stands for this task; the others are known to repeat and go anywhere
             part = np.where(new, part, mix(owner + place)) % np.uint64(parts)
             kind = np.where(new, np.uint64(0), np.uint64(2)) + repeats.astype(np.uint64)
-            high = anchor | (kind << np.uint64(15)) | (owner >> np.uint64(33))
-            low = ((owner & np.uint64((1 << 33) - 1)) << np.uint64(31)) | place
+            high = anchor | (kind << np.uint64(22)) | (owner >> np.uint64(26))
+            low = ((owner & np.uint64((1 << 26) - 1)) << np.uint64(38)) | (place << np.uint64(7)) | windows
             record = np.stack([high, low], 1)
             several = anchor[new][more > 0]
-            record = np.concatenate([record, np.stack([several | np.uint64(2 << 15), more[more > 0].astype(np.uint64)], 1)])
-            part = np.concatenate([part, (several >> np.uint64(17)) % np.uint64(parts)])
+            record = np.concatenate([record, np.stack([several | np.uint64(2 << 22), more[more > 0].astype(np.uint64)], 1)])
+            part = np.concatenate([part, (several >> np.uint64(24)) % np.uint64(parts)])
             order = np.argsort(part, kind="stable")
             record, part = record[order], part[order]
             cuts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]]))
@@ -149,7 +157,7 @@ def _anchor_rows(parts: int, length: int, gram: int):
 
 
 def _repeated():
-    """(d, place, anchor, contexts) of the anchor places that repeat; ``contexts`` is told by the places that stand for rows."""
+    """(d, place, windows, anchor, contexts) of the anchor places that repeat; ``contexts`` is told by the places that stand for rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = [b for batch in batches for b in batch.column("blob").to_pylist()]
@@ -157,7 +165,7 @@ def _repeated():
             return
         record = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, 2)
         high, low = record[:, 0], record[:, 1]
-        anchor, kind = high >> np.uint64(17), (high >> np.uint64(15)) & np.uint64(3)
+        anchor, kind = high >> np.uint64(24), (high >> np.uint64(22)) & np.uint64(3)
         order = np.argsort(anchor, kind="stable")
         sorted_, kind = anchor[order], kind[order]
         standing, further = kind < 2, np.where(kind == 2, low[order], np.uint64(0)).astype(np.int64)
@@ -167,10 +175,11 @@ def _repeated():
         contexts = count + np.repeat(np.add.reduceat(further, new), sizes)
         keep = ((count > 1) | (kind > 0)) & (kind != 2)
         high, low, contexts = high[order][keep], low[order][keep], np.where(standing, contexts, 0)[keep]
-        doc = ((high & np.uint64(0x7FFF)) << np.uint64(33)) | (low >> np.uint64(31))
+        doc = ((high & np.uint64((1 << 22) - 1)) << np.uint64(26)) | (low >> np.uint64(38))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(doc.astype(np.int64)), pa.array((low & np.uint64((1 << 31) - 1)).astype(np.int32)),
-             pa.array((high >> np.uint64(17)).astype(np.int64)), pa.array(contexts)], ["d", "place", "anchor", "contexts"])
+            [pa.array(doc.astype(np.int64)), pa.array(((low >> np.uint64(7)) & np.uint64((1 << 31) - 1)).astype(np.int32)),
+             pa.array((low & np.uint64(127)).astype(np.int32)), pa.array((high >> np.uint64(24)).astype(np.int64)), pa.array(contexts)],
+            ["d", "place", "windows", "anchor", "contexts"])
 
     return run
 
@@ -178,26 +187,26 @@ def _repeated():
 # ---- contexts ------------------------------------------------------------------------------------------------
 
 
-def _context_rows(length: int, gram: int):
+def _context_rows(length: int):
     """(key, doc, thash, start, ctx): contexts of repeated anchors; without ``ctx``, a span that is known to repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
         for batch in _batches(batches, 1024):
             rows = batch.to_pydict()
             first: dict[tuple[int, bytes], tuple] = {}
             out: list[tuple] = []
             for doc, thash, text, places in zip(rows["doc"], rows["thash"], rows["text"], rows["places"]):
                 raw = _text(text)
-                anchors, starts, ends = anchor_runs(raw, powers, length, gram)
-                split = {p["place"]: p["split"] for p in places}
-                for a, s, e in zip(anchors.tolist(), starts.tolist(), ends.tolist()):
-                    if s not in split:
+                for p in places:
+                    # of a text whose hash another one shares, places that do not fit are left out
+                    s, a, split = p["place"], p["anchor"], p["split"]
+                    e = min(s + p["windows"], len(raw) - length + 1)
+                    if e <= s:
                         continue
-                    pieces = [(s, e)] if not split[s] else [(w, w + 1) for w in range(s, e)]
+                    pieces = [(s, e)] if not split else [(w, w + 1) for w in range(s, e)]
                     for lo, hi in pieces:
                         ctx = raw[lo : hi + length - 1]
-                        key = a if not split[s] else int.from_bytes(hashlib.blake2b(ctx, digest_size=8).digest(), "little")
+                        key = a if not split else int.from_bytes(hashlib.blake2b(ctx, digest_size=8).digest(), "little")
                         here = (doc is not None, doc, thash, lo)
                         known = first.get((key, ctx))
                         if known is None:
@@ -413,14 +422,14 @@ def contexts_by_key(
     anchors = texts.select("d", "text").mapInArrow(_anchor_rows(parts, length, gram), "part int, blob binary")
     places = stored(
         anchors.repartition(parts, "part").select("blob")
-        .mapInArrow(_repeated(), "d bigint, place int, anchor bigint, contexts bigint"), "places")
+        .mapInArrow(_repeated(), "d bigint, place int, windows int, anchor bigint, contexts bigint"), "places")
     split = stored(places.where(F.col("contexts") > hot).select("anchor").distinct().withColumn("split", F.lit(True)), "split")
     places = (
         places.join(small(split, split.count()), "anchor", "left").groupBy(F.col("d").alias("p_d"))
-        .agg(F.collect_list(F.struct("place", F.coalesce("split", F.lit(False)).alias("split"))).alias("places"))
+        .agg(F.collect_list(F.struct("place", "windows", "anchor", F.coalesce("split", F.lit(False)).alias("split"))).alias("places"))
     )
     return texts.join(places, F.col("d") == F.col("p_d")).select("doc", "thash", "text", "places").mapInArrow(
-        _context_rows(length, gram), f"key bigint, doc {kind}, thash bigint, start int, size int, ctx binary")
+        _context_rows(length), f"key bigint, doc {kind}, thash bigint, start int, size int, ctx binary")
 
 
 def repeated_spans(
