@@ -294,28 +294,43 @@ def expansions(df: DataFrame, f: TextField, words: list[str]) -> DataFrame:
 def _fuzzy_weights(
     df: DataFrame, f: TextField, words: list[str], statistics: DataFrame | None = None
 ) -> DataFrame:
-    """One row: average length, and the weight of every term near a query word.
+    """One row: average length and the weight of each query word.
 
-    Edit distances are worked out once for each word of the vocabulary, never on a
-    row; what is near a few words is a small part of it. All expansions of a
-    word share the largest document count among them, so that a rare misspelling does not outweigh the word itself.
+    All expansions of a word share the largest document count among them, so that a
+    rare misspelling does not outweigh the word itself.
     """
-    boosts = [_boost(F.col(f"edits{i}"), F.col("term"), w) for i, w in enumerate(words)]
-    own = F.array(*[F.struct(F.lit(q).alias("q"), "term", b.alias("boost")) for q, b in enumerate(boosts)])
-    own = F.filter(own, lambda h: h["boost"] > 0)
-    most = [F.max(F.when(b > 0, F.col("df"))) for b in boosts]
-    one = _vocabulary(df, f, words, statistics).withColumn("near", own).agg(
+    near = [
+        F.max(F.when(_boost(F.col(f"edits{i}"), F.col("term"), w) > 0, F.col("df")))
+        for i, w in enumerate(words)
+    ]
+    one = _vocabulary(df, f, words, statistics).agg(
         F.max("n").alias("n"),
         F.max("total").alias("total"),
-        *[m.alias(f"df{i}") for i, m in enumerate(most)],
-        F.array_sort(F.flatten(F.collect_list(F.when(F.size("near") > 0, F.col("near"))))).alias("near"),
+        *[most.alias(f"df{i}") for i, most in enumerate(near)],
     )
     weights = F.array(*[idf(F.col("n"), F.col(f"df{i}")) for i in range(len(words))])
-    one = one.select("near", weights.alias("weights"), _average().alias("average"))
-    hits = F.transform(
-        "near", lambda h: F.struct(h["term"].alias("term"), (h["boost"] * F.get("weights", h["q"])).alias("weight"))
-    )
-    return one.select(F.struct("average", hits.alias("hits")).alias("s"))
+    return one.select(F.struct(_average().alias("average"), weights.alias("weights")).alias("s"))
+
+
+def _fuzzy_hits(i: int, words: list[str]) -> Column:
+    """The row's own terms within the allowed edits of the query words, with their weights."""
+
+    def near(t: Column) -> Column:
+        return F.array(
+            *[
+                F.struct(
+                    t.alias("term"),
+                    (
+                        _boost(edit_distance(t, w, allowed_edits(w)), t, w)
+                        * F.col(f"__s{i}.weights")[q]
+                    ).alias("weight"),
+                )
+                for q, w in enumerate(words)
+            ]
+        )
+
+    fitting = F.filter(F.array_distinct(F.col(f"__t{i}")), _reach(words))
+    return F.filter(F.flatten(F.transform(fitting, near)), lambda h: h["weight"] > 0)
 
 
 # -- scoring -------------------------------------------------------------------
@@ -349,15 +364,22 @@ def _known(i: int) -> Column:
     ).alias(f"known{i}")
 
 
-def _evidence(fields: list[TextField]) -> Callable[[Column], Column]:
-    """Step from the known terms to their occurrences, weights and length norm."""
+def _evidence(fields: list[TextField], own_hits: bool = False) -> Callable[[Column], Column]:
+    """Step from the known terms to their occurrences, weights and length norm.
+
+    With ``own_hits`` the weighted terms were found on the row itself.
+    """
 
     def step(x: Column) -> Column:
         out = []
         for i, f in enumerate(fields):
             terms = F.col(f"__t{i}")
-            known = x[f"known{i}"]
-            hits = _weights_of(F.col(f"__s{i}.hits"), known)
+            if own_hits:
+                hits = x[f"hits{i}"]
+                known = F.array_distinct(F.transform(hits, lambda h: h["term"]))
+            else:
+                known = x[f"known{i}"]
+                hits = _weights_of(F.col(f"__s{i}.hits"), known)
             length = F.lit(1) if f.keyword else _length(terms, f)
             out += [
                 known.alias(f"known{i}"),
@@ -456,7 +478,7 @@ def multi_match(
     terms that matched, for highlighting.
     """
     base = df if scope is None else scope
-    used, weights = [], []
+    used, weights, wanted = [], [], []
     asked: dict[bool, list[str]] = {}
     for f in fields:
         if f.keyword:
@@ -468,6 +490,7 @@ def multi_match(
             words = asked[f.stem]
         if words:
             used.append(f)
+            wanted.append(words)
             weights.append(_fuzzy_weights(base, f, words, statistics))
     if not used:
         return _nothing(df)
@@ -484,15 +507,15 @@ def multi_match(
             ]
         return F.struct(*out)
 
-    step = F.array(F.struct(*[_known(i) for i in range(len(used))]))
+    step = F.array(F.struct(*[_fuzzy_hits(i, w).alias(f"hits{i}") for i, w in enumerate(wanted)]))
     step = F.filter(
         step,
         lambda x: reduce(
             Column.__or__,
-            [F.coalesce(F.size(x[f"known{i}"]) > 0, F.lit(False)) for i in range(len(used))],
+            [F.coalesce(F.size(x[f"hits{i}"]) > 0, F.lit(False)) for i in range(len(used))],
         ),
     )
-    step = F.transform(step, _evidence(used))
+    step = F.transform(step, _evidence(used, own_hits=True))
     return _drop_scratch(rows.select("*", F.inline(F.transform(step, scored))))
 
 
