@@ -35,7 +35,7 @@ def normalised(text: Column) -> Column:
 
 def _winner(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(
-        F.max("rank").alias("rank"), F.sum("n").cast("bigint").alias("n")
+        F.min("rank").alias("rank"), F.sum("n").cast("bigint").alias("n")
     )
 
 
@@ -45,8 +45,8 @@ def winners(docs: DataFrame, doc_id: str, text: str, salts: int, digest) -> Data
         "doc", normalised(F.col("raw")).alias("norm"),
         F.length(F.coalesce(F.col("raw"), F.lit(""))).alias("points"),
     )
-    # the largest rank wins: most code points, then the smallest id, ids before null
-    rank = F.struct("points", (-F.col("doc").cast("decimal(20,0)")).alias("minus"), F.col("doc").alias("doc"))
+    # the smallest rank wins: most code points, then the smallest id of whatever type, ids before null
+    rank = F.struct((-F.col("points")).alias("minus"), F.col("doc").isNull().alias("none"), "doc")
     rows = rows.select(
         "norm", digest(F.col("norm")).alias("digest"),
         F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt"),
@@ -56,7 +56,7 @@ def winners(docs: DataFrame, doc_id: str, text: str, salts: int, digest) -> Data
     whole = _winner(salted, "digest", "norm")
     return whole.select(
         "digest", F.sha2("norm", 256).alias("sha"), F.col("rank.doc").alias("keep_id"),
-        F.col("rank.points").alias("points"), F.col("n").alias("group_size"),
+        (-F.col("rank.minus")).alias("points"), F.col("n").alias("group_size"),
     )
 
 
@@ -67,7 +67,7 @@ def exact_dedup(
 
     Texts are equal when they are identical after all blanks are deleted; a null
     text is an empty one. Of equal texts the row with the most code points
-    stays, then the smallest id; a null id comes after all others. Result:
+    stays, then the smallest id, which may be of any type that has an order; a null id comes after all others. Result:
     the id, ``keep_id``, ``group_size``, ``kept``, ``text_sha256`` and the other columns of ``docs`` that
     do not clash with these names. Rows that agree in id and text are copies of each
     other and all say the same, so an id that stays may be there
