@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 from .common import col, rest, small, stored
 
 RATIO = 0.5
-MIN_PAGES = 3
+#: A line is judged from two pages on: on a host with one page every line has the ratio 1.
+MIN_PAGES = 2
 _BLANK = r"[\x09-\x0D\x20]+"
 
 

@@ -144,7 +144,7 @@ WITH lines AS (
 totals AS (SELECT host, count(*) AS host_pages FROM lines GROUP BY host),
 common AS (
   SELECT host, line FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM lines) JOIN totals USING (host)
-  GROUP BY host, line HAVING count(*) >= 3 AND count(*) > 0.5 * any_value(host_pages)),
+  GROUP BY host, line HAVING count(*) >= 2 AND count(*) > 0.5 * any_value(host_pages)),
 sites AS (SELECT host, list(line) AS common FROM common GROUP BY host),
 kept AS (
   SELECT page_id, host, host_pages, lines,
