@@ -16,6 +16,7 @@ import html as entities
 import re
 import sys
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -63,56 +64,82 @@ _GROUP_OF = {word: k for k, words in enumerate(GROUPS.values()) for word in word
 
 _DROPPED = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
-_UNFINISHED = re.compile(r"<[a-zA-Z/!?][^>]*\Z")
+_BEGINS = re.compile(r"<[a-zA-Z/!?]")
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
-Path = tuple[tuple[str, tuple[str, ...]], ...]
 EXTRA = 7
-DIMS = TAG_DIMS + len(GROUPS) + EXTRA + WORD_DIMS
+#: Bits of a path: hashed tags and names, groups, and whether it leads through an element for the article.
+WIDE = TAG_DIMS + len(GROUPS)
+_INSIDE = 1 << WIDE
+_NOISE_BITS = sum(1 << (TAG_DIMS + k) for k, name in enumerate(GROUPS) if name in _NOISE)
+DIMS = WIDE + EXTRA + WORD_DIMS
 
 
 # ---- blocks --------------------------------------------------------------------------------------------------
 
 
+@dataclass(frozen=True)
+class Path:
+    """The elements around a block, inline ones left out: how many, and the bits of their names."""
+
+    bits: int = 0
+    depth: int = 0
+
+    def open(self, tag: str, names: tuple[str, ...] = ()) -> Path:
+        bits = self.bits | (_INSIDE if tag in ("article", "main") else 0)
+        for token in (tag, *(f"{tag}.{n}" for n in names)):
+            bits |= 1 << (zlib.crc32(token.encode("utf-8", "surrogatepass")) % TAG_DIMS)
+        for word in (tag, *names):
+            if word in _GROUP_OF:
+                bits |= 1 << (TAG_DIMS + _GROUP_OF[word])
+        return Path(bits, self.depth + 1)
+
+
 def blocks_of(html: str | None) -> list[tuple[str, Path, float]]:
     """(text, path, share of linked characters) of the leaf blocks in page order.
 
     Comments, scripts, styles and the like are no text, an unfinished tag at the end is none either. Character references
-    are decoded, white space becomes one space. Elements that their siblings or parents end are ended as browsers do.
+    are decoded, white space becomes one space. Elements that their siblings or parents end are ended as browsers do. The work
+    grows with the length of the page, however deep its elements are nested.
     """
     if not html:
         return []
-    html = _UNFINISHED.sub("", _DROPPED.sub("", html))
+    html = _DROPPED.sub("", html)
+    unfinished = _BEGINS.search(html, html.rfind(">") + 1)
+    if unfinished:
+        html = html[: unfinished.start()]
     out: list[tuple[str, Path, float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, Path, bool]] = []  # open elements: tag, path up to here, inside a link
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack each tag is
     parts: list[str] = []
     linked = 0
+    path, in_link = Path(), False
 
     def flush() -> None:
         nonlocal linked
         text = " ".join(entities.unescape("".join(parts)).split())
         if text:
-            path = tuple(x for x in stack if x[0] not in INLINE)
             out.append((text, path, min(1.0, linked / len(text))))
         parts.clear()
         linked = 0
 
     def close(names: tuple[str, ...], scopes: frozenset[str]) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                del stack[k:]
-                return
-            if stack[k][0] in scopes:
-                return
+        nonlocal path, in_link
+        at = max((places[n][-1] for n in names if places[n]), default=-1)
+        if at < 0 or any(places[s] and places[s][-1] > at for s in scopes):
+            return
+        while len(stack) > at:
+            places[stack.pop()[0]].pop()
+        path, in_link = stack[-1][1:] if stack else (Path(), False)
 
     at = 0
     for m in _TAG.finditer(html):
         if m.start() > at:
             piece = html[at : m.start()]
             parts.append(piece)
-            if any(x[0] == "a" for x in stack):
+            if in_link:
                 linked += len(piece)
         at = m.end()
         if m[2] is None:
@@ -130,21 +157,20 @@ def blocks_of(html: str | None) -> list[tuple[str, Path, float]]:
         if tag in SIBLINGS:
             close(SIBLINGS[tag], SCOPES - set(SIBLINGS[tag]))
         if tag not in VOID and not m[3].endswith("/"):
-            names = " ".join(a or b or c or "" for a, b, c in _NAMES.findall(m[3])) if "=" in m[3] else ""
-            stack.append((tag, tuple(w.lower() for w in _WORDS.findall(names))))
+            if tag not in INLINE:
+                names = " ".join(a or b or c or "" for a, b, c in _NAMES.findall(m[3])) if "=" in m[3] else ""
+                path = path.open(tag, tuple(w.lower() for w in _WORDS.findall(names)))
+            in_link = in_link or tag == "a"
+            places[tag].append(len(stack))
+            stack.append((tag, path, in_link))
     parts.append(html[at:])
     flush()
     return out
 
 
 def _path_vector(path: Path) -> np.ndarray:
-    out = np.zeros(TAG_DIMS + len(GROUPS), np.float32)
-    for tag, names in path:
-        for token in (tag, *(f"{tag}.{n}" for n in names)):
-            out[zlib.crc32(token.encode()) % TAG_DIMS] = 0.5
-        for word in (tag, *names):
-            if word in _GROUP_OF:
-                out[TAG_DIMS + _GROUP_OF[word]] = 1.0
+    out = np.array([path.bits >> k & 1 for k in range(WIDE)], np.float32)
+    out[:TAG_DIMS] *= 0.5
     return out
 
 
@@ -155,27 +181,26 @@ class Vectors:
         self.powers, self.paths, self.limit = Powers(), {}, limit
 
     def path(self, path: Path) -> np.ndarray:
-        out = self.paths.get(path)
+        out = self.paths.get(path.bits)
         if out is None:
             if len(self.paths) >= self.limit:
                 self.paths.clear()
-            out = self.paths[path] = _path_vector(path)
+            out = self.paths[path.bits] = _path_vector(path)
         return out
 
     def __call__(self, blocks: list[tuple[str, Path, float]]) -> np.ndarray:
         n = len(blocks)
         out = np.zeros((n, DIMS), np.float32)
-        wide = TAG_DIMS + len(GROUPS)
         for k, (text, path, linked) in enumerate(blocks):
-            out[k, :wide] = self.path(path)
-            out[k, wide : wide + EXTRA] = (
-                np.log1p(len(text)) / 8, linked, text[-1] in ".!?…»”\"", (k + 1) / n, k == 0, k == n - 1, len(path) / 8)
+            out[k, :WIDE] = self.path(path)
+            out[k, WIDE : WIDE + EXTRA] = (
+                np.log1p(len(text)) / 8, linked, text[-1] in ".!?…»”\"", (k + 1) / n, k == 0, k == n - 1, path.depth / 8)
         texts = [t.encode("utf-8", "surrogatepass").lower() for t, _, _ in blocks]
         hashes = word_hashes(b" ".join(texts), self.powers) % np.uint64(WORD_DIMS)
         owner = np.repeat(np.arange(n), [len(t.split()) for t in texts])
         counts = np.bincount(owner * WORD_DIMS + hashes.astype(np.int64), minlength=n * WORD_DIMS).reshape(n, WORD_DIMS)
         norm = np.sqrt((counts**2).sum(1, keepdims=True))
-        out[:, wide + EXTRA :] = counts / np.maximum(norm, 1)
+        out[:, WIDE + EXTRA :] = counts / np.maximum(norm, 1)
         return out
 
 
@@ -202,8 +227,8 @@ class BlockLabeller:
             w[f"c{d}"] = np.concatenate([np.zeros(hidden), np.ones(hidden), np.zeros(2 * hidden)])  # input, forget, output, cell
         return BlockLabeller({k: v.astype(np.float32) for k, v in w.items()})
 
-    def _pass(self, x: np.ndarray, mask: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """States of one direction over (pages, blocks, dims); padding carries the state on."""
+    def _pass(self, x: np.ndarray, mask: np.ndarray, d: str, fitting: bool = False) -> tuple[np.ndarray, list]:
+        """States of one direction over (pages, blocks, dims); padding carries the state on. Steps are remembered for fitting only."""
         w, (n, t, _) = self.weights, x.shape
         size = len(w[f"h{d}"])
         gates = x.reshape(n * t, -1) @ w[f"x{d}"] + w[f"c{d}"]
@@ -217,7 +242,8 @@ class BlockLabeller:
             cell = f * c + i * g
             squashed = np.tanh(cell)
             m = mask[:, k, None]
-            memory.append((k, h, c, i, f, o, g, squashed, m))
+            if fitting:
+                memory.append((k, h, c, i, f, o, g, squashed, m))
             c, h = m * cell + (1 - m) * c, m * o * squashed + (1 - m) * h
             states[:, k] = h
         return states, memory
@@ -228,7 +254,7 @@ class BlockLabeller:
 
     def gradient(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
         w = self.weights
-        runs = {d: self._pass(x, mask, d) for d in "fb"}
+        runs = {d: self._pass(x, mask, d, fitting=True) for d in "fb"}
         states = np.concatenate([runs[d][0] for d in "fb"], 2)
         error = (_sigmoid(states @ w["out"] + w["bias"]) - y) * mask / mask.sum()
         grad = {"out": np.einsum("nt,nth->h", error, states), "bias": error.sum(keepdims=True).reshape(1)}
@@ -304,15 +330,12 @@ NOISE = [("nav", ()), ("div", ("menu",)), ("ul", ("navbar",)), ("div", ("breadcr
          ("div", ("promo", "banner")), ("form", ()), ("form", ("search",)), ("div", ("login",)), ("div", ("share",)),
          ("section", ("comments",)), ("div", ("comment",)), ("ol", ("comment", "list")), ("div", ("comments", "area"))]
 LEAVES = [("p", ()), ("p", ()), ("p", ()), ("li", ()), ("h2", ()), ("h3", ()), ("blockquote", ()), ("div", ())]
-BODY = (("html", ()), ("body", ()))
+BODY = Path().open("html").open("body")
 
 
-def own_label(path: Path) -> bool | None:
+def own_label(path: Path) -> bool:
     """What the markup itself says: inside an article and inside nothing else that is named."""
-    groups = {list(GROUPS)[_GROUP_OF[w]] for tag, names in path for w in (tag, *names) if w in _GROUP_OF}
-    if groups & set(_NOISE):
-        return False
-    return any(tag in ("article", "main") for tag, _ in path)
+    return bool(path.bits & _INSIDE) and not path.bits & _NOISE_BITS
 
 
 def _variant(texts: list[str], rng: np.random.Generator) -> tuple[list[tuple[str, Path, float]], list[float]]:
@@ -327,22 +350,23 @@ def _variant(texts: list[str], rng: np.random.Generator) -> tuple[list[tuple[str
             if links or rng.random() < 0.4:
                 text = " ".join(text.split()[: int(rng.integers(1, 12))])
             leaf = LEAVES[rng.integers(len(LEAVES))]
-            blocks.append((text, (*inside, box, leaf) if rng.random() < 0.8 else (*inside, box), links))
+            within = inside.open(*box)
+            blocks.append((text, within.open(*leaf) if rng.random() < 0.8 else within, links))
             labels.append(0.0)
 
     blocks: list[tuple[str, Path, float]] = []
     labels: list[float] = []
-    outer = BODY + ((("div", ("wrapper",)),) if rng.random() < 0.3 else ())
-    box = (*outer, ARTICLES[rng.integers(len(ARTICLES))])
+    outer = BODY.open("div", ("wrapper",)) if rng.random() < 0.3 else BODY
+    box = outer.open(*ARTICLES[rng.integers(len(ARTICLES))])
     for _ in range(int(rng.integers(0, 4))):
         noise(outer)
     if rng.random() < 0.8:
-        blocks.append((some(1)[0][:80].strip() or "x", (*box, ("h1", ())), 0.0))
+        blocks.append((some(1)[0][:80].strip() or "x", box.open("h1"), 0.0))
         labels.append(1.0)
     for text in some(int(rng.integers(1, 14))):
         if rng.random() < 0.1:
             noise(box)
-        blocks.append((text, (*box, LEAVES[rng.integers(len(LEAVES))]), 0.0))
+        blocks.append((text, box.open(*LEAVES[rng.integers(len(LEAVES))]), 0.0))
         labels.append(1.0)
     for _ in range(int(rng.integers(0, 4))):
         noise(outer if rng.random() < 0.8 else box)
@@ -355,7 +379,7 @@ def fit_labeller(pages: list[str], variants: int = VARIANTS, seed: int = 5) -> B
     samples, texts = [], []
     for page in pages:
         blocks = blocks_of(page)
-        labels = [float(bool(own_label(path))) for _, path, _ in blocks]
+        labels = [float(own_label(path)) for _, path, _ in blocks]
         texts += [t for t, _, _ in blocks]
         if any(labels):
             samples.append((vectors(blocks), np.array(labels, np.float32)))
@@ -364,7 +388,7 @@ def fit_labeller(pages: list[str], variants: int = VARIANTS, seed: int = 5) -> B
         blocks, labels = _variant(texts, rng)
         samples.append((vectors(blocks), np.array(labels, np.float32)))
     model = BlockLabeller.fresh(seed)
-    model.fit([s for s in samples if len(s[0]) <= 200])
+    model.fit(samples)
     return model
 
 
