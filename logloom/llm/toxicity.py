@@ -6,8 +6,10 @@ that ``1d10t``, ``IDIOT`` and one spelt with Cyrillic letters are the same word.
 The lexicon is folded in the same way.
 
 *Learning* counts, over all labelled texts outside the held-out fold, in how many
-toxic and clean texts each word and each word beginning occurs. Those that are
-significantly more frequent in toxic texts enter the lexicon with their log odds;
+toxic and clean texts each word, of any length, and each word beginning of 4 to 40 letters occurs. Those that are
+significantly more frequent in toxic texts enter the lexicon with their log odds, all of them: by the
+bound of Chernoff, about one pattern in the whole lexicon is expected to be there by chance, however many were
+counted. A pattern that a shorter beginning says as well is left out;
 insults that no label showed come from a fixed list.
 
 *Scoring* adds the weights of the matches of a whole text, leaves out matches
@@ -29,7 +31,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, pick, rest, small
+from .common import col, pick, rest, small, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -50,8 +52,8 @@ EXCEPTIONS = ["trash can", "trash cans", "trash bin", "trash bag", "trash bags",
 PRIOR_WEIGHT = 4.0
 #: A pattern enters if it is in so many toxic texts, and so much more likely there.
 MIN_TEXTS, MIN_LOG_ODDS = 5, 2.5
-#: The lexicon is a model of bounded size: the strongest entries stay.
-MAX_ENTRIES = 4000
+#: Letters of a beginning.
+SHORTEST, LONGEST = 4, 40
 #: Labelled texts on which the three numbers of the logistic model are fitted.
 FIT_ROWS = 20_000
 
@@ -143,16 +145,15 @@ def _features(total: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def _count_patterns(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """For each batch, the number of toxic and of all texts that hold a word or a word beginning of four letters or more."""
+    """For each batch, the number of toxic and of clean texts that hold a word or a word beginning."""
     table = Fold()
     for batch in (b.iloc[k : k + 2000] for b in batches for k in range(0, len(b), 2000)):
         seen = {0: Counter(), 1: Counter()}
         for text, toxic in zip(batch["text"], batch["toxic"]):
             found = set()
             for word in set(fold(text, table).split()):
-                if len(word) <= 40:
-                    found.add(f" {word} ")
-                    found.update(f" {word[:k]}" for k in range(4, len(word) + 1))
+                found.add(f" {word} ")
+                found.update(f" {word[:k]}" for k in range(SHORTEST, min(len(word), LONGEST) + 1))
             seen[int(toxic)].update(found)
         keys = list(seen[0].keys() | seen[1].keys())
         yield pd.DataFrame({
@@ -176,6 +177,51 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return texts.join(small(marks, marks.count()), "doc").select("doc", "text", F.col("toxic").cast("int").alias("toxic"))
 
 
+def significant(counts: DataFrame, n_toxic: int, n_clean: int) -> DataFrame:
+    """(pattern, t, c, odds) of the patterns that are much more frequent in toxic texts than chance among so many would make them."""
+    patterns = counts.count()
+    t, c, base = F.col("t"), F.col("c"), n_toxic / (n_toxic + n_clean)
+    evidence = t * F.log(t / ((t + c) * base)) + F.when(c == 0, 0.0).otherwise(c * F.log(c / ((t + c) * (1 - base))))
+    return (
+        counts.where((t >= MIN_TEXTS) & (evidence >= float(np.log(max(patterns, 1)))))
+        .withColumn("odds", F.log((t + 0.5) * (n_clean + 1) / ((c + 0.5) * (n_toxic + 1))))
+        .where(F.col("odds") >= MIN_LOG_ODDS)
+    )
+
+
+def _beginnings(most: Column) -> Column:
+    """The beginnings of a pattern of up to ``most`` characters, its blank included."""
+    least = F.lit(SHORTEST + 1)
+    ends = F.when(most >= least, F.sequence(least, F.greatest(least, F.least(most, F.lit(LONGEST + 1)))))
+    return F.explode(F.transform(ends, lambda k: F.substring(F.col("pattern"), F.lit(1), k)))
+
+
+def shortest(telling: DataFrame) -> DataFrame:
+    """The patterns that no other one makes superfluous.
+
+    A beginning must hold clearly more texts than each word it begins, else the word says it better; and a pattern goes if a shorter
+    beginning is as pure.
+    """
+    rows = telling.withColumn("whole", F.col("pattern").endswith(" ")).withColumn("purity", F.col("t") / (F.col("t") + F.col("c")))
+    words = (
+        rows.where("whole").select(_beginnings(F.length("pattern") - 1).alias("b_pattern"), "t")
+        .groupBy("b_pattern").agg(F.max("t").alias("b_t"))
+    )
+    rows = (
+        rows.join(words, F.col("pattern") == F.col("b_pattern"), "left")
+        .where(F.col("whole") | (F.col("t") >= 1.2 * F.coalesce("b_t", F.lit(0)))).drop("b_pattern", "b_t")
+    )
+    shorter = rows.where("not whole").select(F.col("pattern").alias("part"), F.col("purity").alias("s_purity"))
+    covers = (
+        rows.select(F.col("pattern").alias("c_pattern"), _beginnings(F.length("pattern") - 1).alias("part")).join(shorter, "part")
+        .groupBy("c_pattern").agg(F.max("s_purity").alias("cover"))
+    )
+    return (
+        rows.join(covers, F.col("pattern") == F.col("c_pattern"), "left")
+        .where(F.col("cover").isNull() | (F.col("cover") < 0.98 * F.col("purity")))
+    )
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     """The lexicon of all labelled texts, and the logistic model of at most FIT_ROWS of them."""
     lexicon = base_lexicon()
@@ -185,31 +231,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:
         return lexicon
-    counts = (
+    counts = stored(
         rows.select("text", (F.col("toxic") > 0).cast("int").alias("toxic"))
         .mapInPandas(_count_patterns, "pattern string, toxic bigint, clean bigint")
         .groupBy("pattern").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-        .withColumn("odds", F.log((F.col("t") + 0.5) * (n_clean + 1) / ((F.col("c") + 0.5) * (n_toxic + 1))))
-        .where((F.col("t") >= MIN_TEXTS) & (F.col("odds") >= MIN_LOG_ODDS))
-        .orderBy((F.col("odds") * F.col("t")).desc(), "pattern").limit(MAX_ENTRIES)
-        .select("pattern", "odds", "t", "c").collect()
-    )
-    # a beginning must hold clearly more texts than each word it begins, else the word says it better
-    best: dict[str, int] = {}
-    for r in counts:
-        word = r["pattern"].rstrip()
-        if word != r["pattern"]:
-            for k in range(5, len(word) + 1):
-                best[word[:k]] = max(best.get(word[:k], 0), r["t"])
-    kept: dict[str, tuple[float, float]] = {}
-    for r in sorted(counts, key=lambda r: (len(r["pattern"].rstrip()), r["pattern"])):
-        pattern, purity = r["pattern"], r["t"] / (r["t"] + r["c"])
-        if not pattern.endswith(" ") and r["t"] < 1.2 * best.get(pattern, 0):
-            continue
-        shorter = (kept.get(pattern[:k]) for k in range(5, len(pattern)))
-        if not any(s and s[1] >= 0.98 * purity for s in shorter):
-            kept[pattern] = (r["odds"], purity)
-    lexicon.weights.update({p: odds for p, (odds, _) in kept.items()})
+        .where(F.col("t") + F.col("c") >= MIN_TEXTS), "patterns")
+    telling = stored(significant(counts, n_toxic, n_clean), "telling")
+    lexicon.weights.update({r["pattern"]: r["odds"] for r in shortest(telling).select("pattern", "odds").collect()})
 
     measured = rows.mapInPandas(_fit_rows(lexicon), "doc string, total double, words double, toxic int")
     parts = measured.orderBy(F.xxhash64("doc"), "doc").limit(FIT_ROWS).toPandas()
