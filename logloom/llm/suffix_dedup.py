@@ -5,8 +5,8 @@ A byte is removed if a string of ``LENGTH`` bytes that covers it also starts ear
 1. *Anchors.* The smallest of the hashed ``GRAM``-byte strings inside a window of ``LENGTH`` bytes is its
    anchor. Equal windows have equal anchors, and neighbouring windows share one; a *context* is the stretch of
    all windows of one anchor place, a third longer than a window. Only anchors that occur twice
-   matter. Tasks fold what repeats among their own rows and say so, hence a
-   hot anchor or a hot context sends one row a task, not one a copy.
+   matter. Tasks fold what repeats among neighbouring rows (a few thousand) and say so, hence a
+   hot anchor or a hot context sends one row for these, not one a copy.
 2. *Contexts* of repeated anchors meet by anchor. Of equal contexts the first stays, all windows of the others repeat.
 3. *Index.* The different contexts of an anchor, in document order, form a text. Its Burrows-Wheeler transform is cut into
    runs, and for the row at each run's start the text place, the text place of the row before (a run's
@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LENGTH, GRAM = 100, 32
 #: Text that is indexed at a time (whole anchor groups), and text that is hashed at a time.
 BLOCK, CHUNK = 1 << 20, 1 << 21
+#: Bytes of texts that are looked at together, and of texts whose anchors are sorted together.
+SLICE, SPAN = 1 << 24, 1 << 25
 #: Contexts of an anchor, at their longest, that fit a block; an anchor with more is split by window.
 HOT = BLOCK // (2 * LENGTH - GRAM)
 
@@ -102,10 +105,16 @@ def anchor_runs(text: bytes, powers: Powers, length: int = LENGTH, gram: int = G
     return _hashed_runs(text, powers, length, gram)[:3]
 
 
-def _batches(batches: Iterator[pa.RecordBatch], rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def _batches(batches: Iterator[pa.RecordBatch], rows: int = 4096, size: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows, whose texts have at most so many bytes or are a single one."""
     for batch in batches:
-        for lo in range(0, batch.num_rows, rows):
-            yield batch.slice(lo, rows)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        lo = 0
+        while lo < batch.num_rows:
+            fit = int(np.searchsorted(ends, size + (ends[lo - 1] if lo else 0), "right"))
+            hi = max(lo + 1, min(lo + rows, fit))
+            yield batch.slice(lo, hi - lo)
+            lo = hi
 
 
 def _text(value: str | None) -> bytes:
@@ -157,12 +166,12 @@ def _anchor_rows(parts: int, length: int, gram: int):
 
 
 def _repeated():
-    """(d, place, windows, anchor, contexts) of the anchor places that repeat; ``contexts`` is told by the places that stand for rows."""
+    """(d, place, windows, anchor, contexts) of the anchor places that repeat; ``contexts`` is told by the places that stand for rows.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = [b for batch in batches for b in batch.column("blob").to_pylist()]
-        if not blobs:
-            return
+    Rows are sorted by part, and a part, which has all rows that stand for an anchor, is looked at by itself.
+    """
+
+    def solve(blobs: list[bytes]) -> pa.RecordBatch:
         record = np.frombuffer(b"".join(blobs), np.uint64).reshape(-1, 2)
         high, low = record[:, 0], record[:, 1]
         anchor, kind = high >> np.uint64(24), (high >> np.uint64(22)) & np.uint64(3)
@@ -176,11 +185,24 @@ def _repeated():
         keep = ((count > 1) | (kind > 0)) & (kind != 2)
         high, low, contexts = high[order][keep], low[order][keep], np.where(standing, contexts, 0)[keep]
         doc = ((high & np.uint64((1 << 22) - 1)) << np.uint64(26)) | (low >> np.uint64(38))
-        yield pa.RecordBatch.from_arrays(
+        return pa.RecordBatch.from_arrays(
             [pa.array(doc.astype(np.int64)), pa.array(((low >> np.uint64(7)) & np.uint64((1 << 31) - 1)).astype(np.int32)),
              pa.array((low & np.uint64(127)).astype(np.int32)), pa.array((high >> np.uint64(24)).astype(np.int64)), pa.array(contexts)],
             ["d", "place", "windows", "anchor", "contexts"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blobs: list[bytes] = []
+        last = None
+        for batch in batches:
+            for part, blob in zip(batch.column("part").to_pylist(), batch.column("blob").to_pylist()):
+                if part != last and blobs:
+                    yield solve(blobs)
+                    blobs = []
+                last = part
+                blobs.append(blob)
+        if blobs:
+            yield solve(blobs)
+
     return run
 
 
@@ -329,20 +351,8 @@ def _spans(flags: np.ndarray, start: int, length: int) -> list[tuple[int, int]]:
 def _matcher(length: int, block: int):
     """(doc, thash, start, end) of the windows that repeat, from rows sorted by key; whole keys are indexed in blocks."""
 
-    def solve(groups: list[list[tuple]], out: list[tuple]) -> None:
-        ordered = []
-        for group in groups:
-            first: dict[bytes, tuple] = {}
-            for ctx, here in group:
-                known = first.get(ctx)
-                if known is None or known == here:
-                    first[ctx] = here
-                else:
-                    first[ctx] = min(known, here)
-                    later = max(known, here)
-                    out.append((later[1], later[2], later[3], later[3] + len(ctx)))
-            if len(first) > 1:
-                ordered += [(here, ctx) for ctx, here in first.items()]
+    def solve(groups: list[dict[bytes, tuple]], out: list[tuple]) -> None:
+        ordered = [(here, ctx) for first in groups if len(first) > 1 for ctx, here in first.items()]
         if ordered:
             ordered.sort(key=lambda x: x[0])
             flags = repeated_windows([ctx for _, ctx in ordered], length)
@@ -350,7 +360,7 @@ def _matcher(length: int, block: int):
                 out += [(here[1], here[2], a, b) for a, b in _spans(f, here[3], length)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: list[list[tuple]] = []
+        groups: list[dict[bytes, tuple]] = []  # the different contexts of each key, with their first places
         size, last, schema = 0, None, None
 
         def flush(out: list[tuple]) -> pa.RecordBatch:
@@ -370,10 +380,17 @@ def _matcher(length: int, block: int):
                     if size >= block:
                         solve(groups, out)
                         groups, size = [], 0
-                    groups.append([])
+                    groups.append({})
                     last = key
-                groups[-1].append((ctx, (doc is not None, doc, thash, start)))
-                size += n
+                first, here = groups[-1], (doc is not None, doc, thash, start)
+                known = first.get(ctx)
+                if known is None:
+                    first[ctx] = here
+                    size += n
+                elif known != here:
+                    first[ctx] = min(known, here)
+                    later = max(known, here)
+                    out.append((later[1], later[2], later[3], later[3] + n))
             if out:
                 yield flush(out)
                 out = []
@@ -418,10 +435,12 @@ def contexts_by_key(
     kind = docs.schema[doc_id].dataType.simpleString()
     texts = docs.select(col(doc_id).alias("doc"), col(text).alias("text")).where(F.octet_length("text") >= length) \
         .withColumn("thash", F.xxhash64("text")).withColumn("d", F.xxhash64("doc", "thash").bitwiseAND(F.lit(_MASK48)))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = texts.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    parts = tasks * (1 + size // (tasks * SPAN))
     anchors = texts.select("d", "text").mapInArrow(_anchor_rows(parts, length, gram), "part int, blob binary")
     places = stored(
-        anchors.repartition(parts, "part").select("blob")
+        anchors.repartition(tasks, "part").sortWithinPartitions("part")
         .mapInArrow(_repeated(), "d bigint, place int, windows int, anchor bigint, contexts bigint"), "places")
     split = stored(places.where(F.col("contexts") > hot).select("anchor").distinct().withColumn("split", F.lit(True)), "split")
     places = (
