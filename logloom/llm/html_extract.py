@@ -26,7 +26,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, rest
+from .common import col, lowest, rest
 from .minhash import Powers, word_hashes
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -394,10 +394,11 @@ def fit_labeller(pages: list[str], variants: int = VARIANTS, seed: int = 5) -> B
 
 def learn(pages: DataFrame, page_id: str = "page_id", html: str = "html", n: int = TRAIN_PAGES, chars: int = TRAIN_CHARS) -> BlockLabeller:
     """Fits on at most ``n`` pages of at most ``chars`` characters, chosen by a hash."""
-    sample = (
+    fitting = (
         pages.select(col(page_id).cast("string").alias("id"), col(html).alias("html")).where(F.length("html") <= chars)
-        .orderBy(F.xxhash64("id", "html"), "html").limit(n).collect()
+        .select("html", F.xxhash64("id", "html").alias("hash"))
     )
+    sample = lowest(fitting, F.col("hash"), fitting.count(), n).orderBy("hash", "html").limit(n).collect()
     return fit_labeller([r["html"] for r in sample])
 
 

@@ -31,7 +31,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, pick, rest, small, stored
+from .common import col, lowest, pick, rest, small, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -239,8 +239,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Lexicon:
     telling = stored(significant(counts, n_toxic, n_clean), "telling")
     lexicon.weights.update({r["pattern"]: r["odds"] for r in shortest(telling).select("pattern", "odds").collect()})
 
-    measured = rows.mapInPandas(_fit_rows(lexicon), "doc string, total double, words double, toxic int")
-    parts = measured.orderBy(F.xxhash64("doc"), "doc").limit(FIT_ROWS).toPandas()
+    sample = lowest(rows.withColumn("hash", F.xxhash64("doc")), F.col("hash"), n_toxic + n_clean, FIT_ROWS)
+    measured = sample.mapInPandas(_fit_rows(lexicon), "hash bigint, total double, words double, toxic int")
+    parts = measured.orderBy("hash", "toxic", "total").limit(FIT_ROWS).toPandas()
     x, y = _features(parts["total"].to_numpy(), parts["words"].to_numpy()), (parts["toxic"].to_numpy() > 0).astype(float)
     lexicon.logistic = fit_logistic(x, y)
     return lexicon
@@ -251,7 +252,7 @@ def _fit_rows(lexicon: Lexicon):
         table, automaton = Fold(), lexicon.automaton()
         for batch in batches:
             total, words = _measure(batch["text"], table, automaton)
-            yield pd.DataFrame({"doc": batch["doc"].astype(str), "total": total, "words": words, "toxic": batch["toxic"].astype("int32")})
+            yield pd.DataFrame({"hash": batch["hash"], "total": total, "words": words, "toxic": batch["toxic"].astype("int32")})
 
     return run
 

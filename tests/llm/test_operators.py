@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from logloom.llm import (
-    decontaminate, exact_dedup, html_extract, line_dedup, minhash, mixing, queries, sharding, suffix_dedup, token_count, toxicity,
+    common, decontaminate, exact_dedup, html_extract, line_dedup, minhash, mixing, queries, sharding, suffix_dedup, token_count, toxicity,
 )
 
 VOCABULARY = [f"w{i}" for i in range(400)]
@@ -172,6 +172,14 @@ def test_lexicon_leaves_out_chance_and_longer_patterns(spark):
     assert {r["pattern"] for r in toxicity.shortest(telling).collect()} == {" idiot ", " grim", f" {'x' * 60} "}
 
 
+def test_lowest_has_the_smallest_hashes(spark):
+    rows = spark.range(20_000).withColumn("hash", F.xxhash64("id"))
+    some = common.lowest(rows, F.col("hash"), 20_000, 300)
+    first = [r["id"] for r in rows.orderBy("hash").limit(300).collect()]
+    assert [r["id"] for r in some.orderBy("hash").limit(300).collect()] == first and some.count() < 1_000
+    assert common.lowest(rows, F.col("hash"), 20_000, 20_000).count() == 20_000
+
+
 def test_toxicity_learns_long_words(spark):
     rows = [f"some words of text {i} " + ("z" * 5000 if i % 5 == 0 else "") for i in range(200)]
     marks = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)], "doc_id bigint, toxic int")
