@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logloom.functions.scalars import format_bytes, iso_utc, parse_timestamp
+from logloom.functions.scalars import GEOHASH_DIGITS, format_bytes, iso_utc, parse_timestamp
 from logloom.operators import aggregates as A
 from logloom.operators import metrics as M
 from logloom.operators import paging as P
@@ -168,6 +168,54 @@ def validate_required(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.accepted(checked).agg(F.count(F.lit(1)).alias("accepted"))
 
 
+# Points in eight forms; every eighth is a geohash that may hold a character that is no digit.
+_HASH = "substr(md5(event_id::VARCHAR), 1, (1 + event_id % 12)::INT)"
+_BITS = f"""(((strpos('{GEOHASH_DIGITS}', hash[(p // 5 + 1)::INT]) - 1) >> (4 - p % 5)::INT) & 1)"""
+_CELLS = "range(0, 5 * len(hash))"
+
+
+@query(
+    "validate_points",
+    f"""WITH points AS (SELECT event_id, event_id % 8 AS form, (event_id % 200 - 100 + 0.5)::DOUBLE AS y,
+      (event_id * 7 % 400 - 200 + 0.25)::DOUBLE AS x,
+      CASE WHEN event_id % 8 = 7 THEN {_HASH} ELSE replace({_HASH}, 'a', 'g') END AS hash FROM events),
+    read AS (SELECT event_id,
+      CASE WHEN form < 5 THEN y WHEN contains(hash, 'a') THEN NULL ELSE
+        -90 + coalesce(list_sum([{_BITS} * 180.0::DOUBLE / (1 << (p // 2 + 1)) for p in {_CELLS} if p % 2 = 1]), 0) END AS lat,
+      CASE WHEN form < 5 THEN x WHEN contains(hash, 'a') THEN NULL ELSE
+        -180 + list_sum([{_BITS} * 360.0::DOUBLE / (1 << (p // 2 + 1)) for p in {_CELLS} if p % 2 = 0]) END AS lon
+      FROM points)
+    SELECT event_id::VARCHAR AS id, CASE WHEN fine THEN lat END AS lat, CASE WHEN fine THEN lon END AS lon,
+    CASE WHEN NOT fine THEN 'geo.location' END AS refused
+    FROM (SELECT *, lat IS NOT NULL AND abs(lat) <= 90 AND abs(lon) <= 180 AS fine FROM read)""",
+)
+def validate_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All forms of a point that the mapping takes, with limits and bad characters."""
+    n = F.col("event_id")
+    y, x = ((n % 200 - 100 + 0.5).cast("string"), (n * 7 % 400 - 200 + 0.25).cast("string"))
+    text = F.substring(F.md5(n.cast("string")), F.lit(1), (1 + n % 12).cast("int"))
+    good = F.translate(text, "a", "g")
+    point = (
+        F.when(n % 8 == 0, F.format_string('{"lat":%s,"lon":%s}', y, x))
+        .when(n % 8 == 1, F.format_string("[%s,%s]", x, y))
+        .when(n % 8 == 2, F.format_string('"%s, %s"', y, x))
+        .when(n % 8 == 3, F.format_string('"Point (%s %s 12.5)"', x, y))
+        .when(n % 8 == 4, F.format_string('{"type":"Point","coordinates":[%s,%s]}', x, y))
+        .when(n % 8 == 5, F.format_string('"%s"', good))
+        .when(n % 8 == 6, F.format_string('{"geohash":"%s"}', good))
+        .otherwise(F.format_string('"%s"', text))
+    )
+    line = F.format_string('{"id":"%s","geo":{"location":%s}}', n.cast("string"), point)
+    checked = validation.validate(load_events(spark, sf_dir).select(line.alias("value")))
+    fine = F.size("reject_reasons") == 0
+    return checked.select(
+        "id",
+        F.when(fine, F.col("geo.location.lat")).alias("lat"),
+        F.when(fine, F.col("geo.location.lon")).alias("lon"),
+        F.get("reject_reasons", F.lit(0))["field"].alias("refused"),
+    )
+
+
 @query(
     "missing_timestamp",
     f"WITH {RAW} SELECT count(*) AS n FROM raw WHERE fine AND read_ts IS NULL",

@@ -81,6 +81,36 @@ def valid_geo_point(lat: Column, lon: Column) -> Column:
     return lat.between(-90.0, 90.0) & lon.between(-180.0, 180.0)
 
 
+#: Fixed value: the digits of a geohash, in order.
+GEOHASH_DIGITS = "0123456789bcdefghjkmnpqrstuvwxyz"
+_BASE_32 = "0123456789abcdefghijklmnopqrstuv"
+_CELL_DIGITS = 12
+_NUMBER = r"([-+]?(?:\d+\.?\d*|\.\d+)(?:[eE][-+]?\d+)?)"
+_WKT_POINT = rf"(?i)^\s*point\s*(?:z\s*)?\(\s*{_NUMBER}\s+{_NUMBER}(?:\s+{_NUMBER})?\s*\)\s*$"
+
+
+def geohash_corner(c: Column | str) -> tuple[Column, Column]:
+    """Latitude and longitude of the south-western corner of a geohash cell.
+
+    Null for anything that is no geohash. The bits of the digits belong to
+    longitude and latitude in turn. Digits behind the twelfth name less than four
+    centimetres and change nothing.
+    """
+    text = F.when(col(c).rlike(f"^[{GEOHASH_DIGITS}]+$"), col(c))
+    digits = F.translate(F.rpad(F.substring(text, 1, _CELL_DIGITS), _CELL_DIGITS, "0"), GEOHASH_DIGITS, _BASE_32)
+    bits = F.lpad(F.conv(digits, 32, 2), 5 * _CELL_DIGITS, "0")
+    steps = float(2 ** (5 * _CELL_DIGITS // 2))
+    east = F.conv(F.regexp_replace(bits, "(.).", "$1"), 2, 10).cast("double")
+    north = F.conv(F.regexp_replace(bits, ".(.)", "$1"), 2, 10).cast("double")
+    return north * 180.0 / steps - 90.0, east * 360.0 / steps - 180.0
+
+
+def wkt_point(c: Column | str) -> tuple[Column, Column]:
+    """Latitude and longitude of ``POINT (lon lat)``, with or without a height; else null."""
+    lon, lat = (F.regexp_extract(col(c), _WKT_POINT, i).try_cast("double") for i in (1, 2))
+    return lat, lon
+
+
 def keyword(c: Column | str, ignore_above: int = 256) -> Column:
     """The exact-value form of a text field; longer values have none."""
     return F.when(F.length(col(c)) <= ignore_above, col(c))

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import parse_timestamp, valid_geo_point, valid_ip
+from ..functions.scalars import geohash_corner, parse_timestamp, valid_geo_point, valid_ip, wkt_point
 from ..schema import LEAF_TYPES, LOG_SCHEMA
 
 PARSING = "mapper_parsing_exception"
@@ -85,19 +85,44 @@ def _value_and_fault(path: str, kind: str) -> tuple[Column, Column]:
 
 
 def _location() -> tuple[Column, Column]:
-    """A point as an object, as ``[lon, lat]`` or as ``"lat,lon"``."""
+    """A point in any form of ``_coordinate``."""
     c = F.col("__location")
     lat, lon = F.col("__lat"), F.col("__lon")
     point = F.when(_present(c), F.struct(lat.alias("lat"), lon.alias("lon")))
     return point, _present(c) & ~F.coalesce(valid_geo_point(lat, lon), F.lit(False))
 
 
-def _coordinate(name: str, index: int, place: int) -> Column:
+def _coordinate(name: str) -> Column:
+    """Latitude or longitude of a point.
+
+    It may be an object with both, with a ``geohash``, or of type ``Point`` with
+    ``coordinates``; ``[lon, lat]``; or a text: ``"lat,lon"``, ``"POINT (lon lat)"``
+    or a geohash. A third coordinate is not kept, but has to be a number in a text.
+    """
     c = _at("geo.location", "variant")
+    place = 0 if name == "lat" else 1
+    index = 1 - place
+    text = F.try_variant_get(c, "$", "string")
+    parts = F.split(text, ",")
+    third = F.get(parts, 2).try_cast("double").isNotNull()
+    pair = F.when((F.size(parts) == 2) | ((F.size(parts) == 3) & third), F.get(parts, place).try_cast("double"))
+    named = F.when(
+        F.lower(F.try_variant_get(c, "$.type", "string")) == "point",
+        F.try_variant_get(c, f"$.coordinates[{index}]", "double"),
+    )
+    # a number is no geohash, though its digits may look like one
+    in_text = (
+        F.when(F.contains(F.lower(text), F.lit("point")), wkt_point(text)[place])
+        .when(F.contains(text, F.lit(",")), pair)
+        .when(_is(c, "STRING"), geohash_corner(text)[place])
+    )
+    whole = F.startswith(F.ltrim(text), F.lit("{")) | F.startswith(F.ltrim(text), F.lit("["))
     return F.coalesce(
         F.try_variant_get(c, f"$.{name}", "double"),
         F.try_variant_get(c, f"$[{index}]", "double"),
-        F.get(F.split(F.try_variant_get(c, "$", "string"), ","), place).try_cast("double"),
+        named,
+        geohash_corner(F.try_variant_get(c, "$.geohash", "string"))[place],
+        F.when(~whole, in_text),
     )
 
 
@@ -130,8 +155,8 @@ def validate(
             *[_at(o, "variant").alias(_name(o)) for o in _OBJECTS],
             _at("tags", "variant").alias("__tags"),
             _at("geo.location", "variant").alias("__location"),
-            _coordinate("lat", 1, 0).alias("__lat"),
-            _coordinate("lon", 0, 1).alias("__lon"),
+            _coordinate("lat").alias("__lat"),
+            _coordinate("lon").alias("__lon"),
         ],
     )
     values: dict[str, Column] = {}

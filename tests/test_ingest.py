@@ -26,6 +26,34 @@ def test_clean_record_is_accepted(lines):
     assert row["error"] is None and row["tags"] == ["api-gateway"]
 
 
+@pytest.mark.parametrize(
+    "point, lat, lon",
+    [
+        ("POINT (-71.34 41.12)", 41.12, -71.34),
+        ("  point z(1e1 -.5 7) ", -0.5, 10.0),
+        ("41.12,-71.34,5", 41.12, -71.34),
+        ({"type": "point", "coordinates": [-71.34, 41.12]}, 41.12, -71.34),
+        ([-71.34, 41.12], 41.12, -71.34),
+        ("s", 0.0, 0.0),
+        ("7zzzzzzzzzzz", -180.0 / 2**30, -360.0 / 2**30),
+        ({"geohash": "u4pruydqqvjz"}, 57.64911, 10.40744),
+        ("u4pruydqqvjzzzzz", 57.64911, 10.40744),
+    ],
+)
+def test_forms_of_a_point(lines, point, lat, lon):
+    found = validation.accepted(check(lines, entry(geo={"location": point}))).head()["geo"]["location"]
+    assert found["lat"] == pytest.approx(lat, abs=1e-5) and found["lon"] == pytest.approx(lon, abs=1e-5)
+
+
+@pytest.mark.parametrize(
+    "point",
+    ["", "POINT EMPTY", "POINT (200 1)", "POINT (1 2) x", "POINT (1d 2)", "LINESTRING (1 2, 3 4)", "1,2,3,4",
+     "1,2,x", "u4a", "U4", 12, True, {"type": "Line", "coordinates": [1, 2]}, {"geohash": "i"}, {}, []],
+)
+def test_points_that_are_refused(lines, point):
+    assert reasons(check(lines, entry(geo={"location": point}))) == [("geo.location", "mapper_parsing_exception")]
+
+
 def test_numbers_are_coerced(lines):
     doc = entry(
         metrics={"memory_mb": "12", "response_time_ms": 12.9, "db_query_time_ms": -3.7},
