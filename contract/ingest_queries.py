@@ -714,6 +714,51 @@ def resend_after_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _outcome(spark, layout)
 
 
+def _loaded(spark: SparkSession, sf_dir: str) -> IN.Layout:
+    """The logs, loaded in three batches of which one ran twice, with other input first."""
+    lines = load_logs(spark, sf_dir)
+    n = F.col("id").cast("bigint") % 3
+    layout = IN.Layout(_folder(spark, "loaded"))
+    for batch, rows in ((0, n == 0), (1, n < 2), (1, n == 1), (2, n == 2)):
+        IN.process_batch(lines.where(rows).select(ndjson.documents(lines).alias("value")), batch, layout)
+    return layout
+
+
+_MANIFEST = """SELECT 'logs-' || ts::DATE AS name, count(*) AS documents, {first} AS first, {last} AS last,
+    count(DISTINCT event_id % 3) AS batches, true AS same FROM logs {where} GROUP BY ts::DATE"""
+_SPAN = {"first": iso("min(ts)"), "last": iso("max(ts)")}
+
+
+def _manifest_rows(spark: SparkSession, layout: IN.Layout) -> DataFrame:
+    """The manifest by partition, and whether the footers of the table say the same."""
+    files = IN.read_manifest(spark, layout)
+    stats = MT.manifest_stats(files)
+    batches = files.groupBy("family", "log_date").agg(F.count_distinct("batch").alias("batches"))
+    batches = batches.select(tables.partition_name().alias("name"), "batches")
+    columns = ("documents", "files", "size_bytes")
+    found = MT.partition_stats(tables.read_table(spark, layout.logs))
+    found = found.select("name", F.struct(*columns).alias("found"))
+    both = stats.join(batches, "name").join(found, "name", "full")
+    same = F.struct(*columns).eqNullSafe(F.col("found")).alias("same")
+    return both.select("name", "documents", iso_utc("first").alias("first"), iso_utc("last").alias("last"), "batches", same)
+
+
+@query("manifest_stats", with_logs(_MANIFEST.format(where="", **_SPAN)))
+def manifest_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of partitions from the manifest that the loads have written."""
+    return _manifest_rows(spark, _loaded(spark, sf_dir))
+
+
+@query("manifest_retention", with_logs(_MANIFEST.format(where="WHERE ts::DATE >= DATE '2024-01-30' - 7", **_SPAN)))
+def manifest_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A clean-up planned from the manifest; carried out twice, the second time it finds all done."""
+    layout = _loaded(spark, sf_dir)
+    for _ in range(2):
+        plan = MT.retention_plan(MT.manifest_stats(IN.read_manifest(spark, layout)), 7, "2024-01-30")
+        MT.apply_retention(spark, layout.logs, plan, confirm=True, manifest_root=layout.manifest)
+    return _manifest_rows(spark, layout)
+
+
 @query(
     "batch_dedupe",
     f"""WITH {RAW} SELECT 'accepted' AS what, read_ts::DATE::VARCHAR AS day, count(*) AS n

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import date_bounds, format_bytes
-from ..sources import tables
+from ..sources import manifest, tables
 
 
 def partition_stats(table: DataFrame) -> DataFrame:
@@ -22,6 +23,18 @@ def partition_stats(table: DataFrame) -> DataFrame:
         "log_date",
         F.col("_metadata.file_path").alias("file"),
     ).agg(F.count(F.lit(1)).alias("rows"), F.max("_metadata.file_size").alias("bytes"))
+    return _by_partition(per_file)
+
+
+def manifest_stats(files: DataFrame) -> DataFrame:
+    """``partition_stats`` from the manifest, with the first and last time of each partition.
+
+    The table is not touched: neither listed nor opened.
+    """
+    return _by_partition(files, F.min("first").alias("first"), F.max("last").alias("last"))
+
+
+def _by_partition(per_file: DataFrame, *more: Column) -> DataFrame:
     return (
         per_file.groupBy("family", "log_date")
         .agg(
@@ -29,6 +42,7 @@ def partition_stats(table: DataFrame) -> DataFrame:
             F.count(F.lit(1)).alias("files"),
             F.sum("bytes").alias("size_bytes"),
             F.collect_set(F.regexp_replace("file", "/[^/]*$", "")).alias("folders"),
+            *more,
         )
         .withColumn("name", tables.partition_name())
         .withColumn("size", format_bytes("size_bytes"))
@@ -105,16 +119,22 @@ def _is_partition_of(root, folder) -> bool:
     )
 
 
+#: Folders that are deleted at the same time.
+DELETES = 16
+
+
 def apply_retention(
-    spark: SparkSession, path: str, plan: DataFrame, confirm: bool = False
+    spark: SparkSession, path: str, plan: DataFrame, confirm: bool = False, manifest_root: str | None = None
 ) -> Deleted:
     """Delete the planned partitions of the table at ``path``.
 
     Refuses unless ``confirm`` is set. A partition is a folder, so the work does
-    not grow with what is kept. The plan has one row per partition, which is all
-    that comes to the driver. The folders are those that the table's files were
-    found in, never built from values; one that is not a partition of this table
-    is left alone and counted as failed.
+    not grow with what is kept; several are deleted at a time. The plan has one
+    row per partition, which is all that comes to the driver. The folders are
+    those that the table's files were found in, never built from values; one that
+    is not a partition of this table is left alone and counted as failed. A folder
+    that is gone already counts as deleted, so that a plan can be carried out
+    again after a failure. With ``manifest_root`` the files are noted as removed.
     """
     if not confirm:
         raise PermissionError("nothing was deleted: pass confirm=True to delete")
@@ -123,18 +143,27 @@ def apply_retention(
     root = jvm.org.apache.hadoop.fs.Path(path)
     files = root.getFileSystem(conf)
     root = files.makeQualified(root)
-    deleted = failed = 0
-    for row in plan.select("folders").toLocalIterator():
-        done = True
-        for folder in row["folders"]:
-            where = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
+
+    def delete(folders: list[str]) -> list[str]:
+        """The folders of one partition that are gone."""
+        gone = []
+        for folder in folders:
             try:
+                where = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(folder))
                 below = _is_partition_of(root, files.makeQualified(where))
-                done = below and files.delete(where, True) and done
+                if below and (files.delete(where, True) or not files.exists(where)):
+                    gone.append(folder)
             except Exception:  # noqa: BLE001 - a partition that cannot be deleted is counted
-                done = False
-        deleted, failed = deleted + bool(done), failed + (not done)
-    return Deleted(deleted, failed)
+                pass
+        return gone
+
+    planned = [row["folders"] for row in plan.select("folders").toLocalIterator()]
+    with ThreadPoolExecutor(DELETES) as pool:
+        gone = list(pool.map(delete, planned))
+    if manifest_root is not None:
+        manifest.forget(spark, manifest_root, [folder for g in gone for folder in g])
+    deleted = sum(len(g) == len(p) for g, p in zip(gone, planned))
+    return Deleted(deleted, len(planned) - deleted)
 
 
 def compact(

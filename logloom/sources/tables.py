@@ -52,18 +52,20 @@ def write_table(
     )
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
+def read_table(spark: SparkSession, path: str, root: str | None = None) -> DataFrame:
     """The table, with the types of the partition columns as they were written.
 
     Left to itself Spark would guess them from the folder names, and take the
-    family ``007`` for a number.
+    family ``007`` for a number. ``path`` may be a pattern of folders of the table
+    at ``root``.
     """
-    found = spark.read.parquet(path).schema
+    reader = spark.read.option("basePath", root or path)
+    found = reader.parquet(path).schema
     types = {"family": T.StringType(), "log_date": T.DateType()}
     schema = T.StructType(
         [T.StructField(f.name, types.get(f.name, f.dataType), f.nullable) for f in found]
     )
-    return spark.read.schema(schema).parquet(path)
+    return reader.schema(schema).parquet(path)
 
 
 def _files(spark: SparkSession, path: str):
@@ -77,6 +79,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(where)
 
 
+def matches(spark: SparkSession, pattern: str) -> bool:
+    """Whether there is any path that a pattern names."""
+    files, where = _files(spark, pattern)
+    return bool(files.globStatus(where))
+
+
 def mark(spark: SparkSession, path: str) -> bool:
     """Leave an empty file at ``path``; whether it was not there before."""
     files, where = _files(spark, path)

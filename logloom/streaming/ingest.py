@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import metrics, postings, search, sketches
-from ..sources import ndjson, synthetic, tables, validation
+from ..sources import manifest, ndjson, synthetic, tables, validation
 
 
 @dataclass(frozen=True)
@@ -48,6 +48,10 @@ class Layout:
     def postings(self) -> str:
         return f"{self.root}/postings"
 
+    @property
+    def manifest(self) -> str:
+        return f"{self.root}/manifest"
+
     @property
     def checkpoint(self) -> str:
         return f"{self.root}/checkpoint"
@@ -62,7 +66,10 @@ def _begin(spark: SparkSession, layout: Layout, batch_id: int) -> None:
     """
     mark = f"{layout.root}/attempts/{batch_id}"
     if not tables.mark(spark, mark):
-        outputs = (layout.logs, layout.rejects, layout.metrics, layout.statistics, layout.sketches, layout.postings, layout.ledger)
+        outputs = (
+            layout.logs, layout.rejects, layout.metrics, layout.statistics, layout.sketches, layout.postings,
+            layout.manifest, layout.ledger,
+        )
         for path in outputs:
             below = ("", "/*", "/*/*")  # postings have a folder for each table, logs for family and day
             tables.remove(spark, *(f"{path}{b}/batch={batch_id}" for b in below))
@@ -145,6 +152,7 @@ def process_batch(
             family,
             extra_partitions=("batch",),
         )
+        manifest.record(spark, layout.logs, layout.manifest, batch_id)
         bad = validation.rejects(checked, "stream", F.lit(batch_id).cast("bigint"))
         _write_batch(bad, layout.rejects, batch_id, "json")
         _write_batch(metrics.partials(good), layout.metrics, batch_id)
@@ -283,6 +291,11 @@ def read_metrics(spark: SparkSession, layout: Layout) -> DataFrame:
     return metrics.merge(spark.read.parquet(layout.metrics).drop("batch"))
 
 
+def read_manifest(spark: SparkSession, layout: Layout) -> DataFrame:
+    """The files of the table as the loads have written them, without removed ones."""
+    return manifest.read(spark, layout.manifest)
+
+
 def read_sketches(spark: SparkSession, layout: Layout) -> DataFrame:
     """The quantile sketches of all batches so far, to be filtered and merged."""
     return spark.read.parquet(layout.sketches)
