@@ -18,6 +18,7 @@ from logloom.session import checkpoint_dir
 from logloom.sources import ndjson, synthetic, tables, validation
 from logloom.sources.events import load_events, load_logs
 from logloom.streaming import ingest as IN
+from logloom.streaming import late as LT
 from logloom.streaming import progress as PR
 from logloom import schema as S
 
@@ -888,6 +889,38 @@ def stream_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{root}/out").select(iso_utc("bucket").alias("timestamp"), "n")
 
 
+# Events of a tenth of the ids come in the last of three batches, the others in order of time.
+_LATE = """arrived AS (SELECT epoch_ms(ts) AS ms, CASE WHEN event_id % 10 = 0 THEN 2
+      WHEN ts < TIMESTAMP '2024-01-15' THEN 0 ELSE 1 END AS batch FROM events WHERE event_type <> 'view'),
+    latest AS (SELECT batch, max(ms) AS latest FROM arrived GROUP BY 1),
+    marked AS (SELECT a.*, (ms // 300000) * 300000 AS b,
+      (SELECT max(l.latest) - 600000 FROM latest l WHERE l.batch < a.batch) AS mark FROM arrived a),
+    counted AS (SELECT b, count(*) FILTER (mark IS NULL OR b + 300000 > mark) AS n,
+      count(*) FILTER (b + 300000 <= mark) AS late FROM marked GROUP BY 1)"""
+
+
+@query(
+    "stream_late",
+    f"""WITH {_LATE} SELECT {iso_ms('g.b')} AS timestamp, coalesce(n, 0) AS n, coalesce(late, 0) AS late,
+    g.b + 300000 <= (SELECT max(ms) - 600000 FROM arrived) AS closed
+    FROM (SELECT unnest(range(min(b), max(b) + 1, 300000)) AS b FROM counted) g LEFT JOIN counted USING (b)""",
+)
+def stream_late(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream that stops and goes on twice; late records are counted, empty buckets are shown."""
+    events = load_events(spark, sf_dir).where("event_type <> 'view'")
+    at = F.col("ts").cast("timestamp").alias("timestamp")
+    late = F.col("event_id") % 10 == 0
+    first = F.col("ts") < "2024-01-15"
+    root = _folder(spark, "late")
+    for part in (~late & first, ~late & ~first, late):
+        events.where(part).select(at).write.mode("append").parquet(f"{root}/incoming")
+        stream = spark.readStream.schema("timestamp timestamp").parquet(f"{root}/incoming")
+        LT.count_stream(stream, f"{root}/counts", f"{root}/checkpoint", "5m").awaitTermination()
+    return LT.histogram(spark, f"{root}/counts", "5m").withColumn("bucket", iso_utc("bucket")).withColumnRenamed(
+        "bucket", "timestamp"
+    )
+
+
 # -- synthetic records, one for each event ---------------------------------------------
 
 

@@ -152,11 +152,24 @@ def run(
 
     The records form a family of their own, so the queries read them only.
     """
+    return _run(spark, scenario_id, path, base_date, total, prefix, force)[0]
+
+
+def _run(
+    spark: SparkSession, scenario_id: str, path: str, base_date: str | date, total: int | None, prefix: str, force: bool
+) -> tuple[dict[str, DataFrame], int]:
+    """The planned queries, and how many rows the table has more of the scenario.
+
+    Both counts come from the file footers of its family. With ``force`` it is all
+    that the family has then.
+    """
     scenario = SCENARIOS[scenario_id]
     family = f"{prefix}-{scenario.suffix}"
+    below = f"{path}/family={family}"
+    before = 0 if force or not tables.matches(spark, below) else tables.read_table(spark, below, path).count()
     tables.write_table(records(spark, scenario, base_date, total), path, family, force)
     logs = tables.read_table(spark, path).where(F.col("family") == family)
-    return {name: query(logs) for name, query in scenario.queries.items()}
+    return {name: query(logs) for name, query in scenario.queries.items()}, logs.count() - before
 
 
 @dataclass(frozen=True)
@@ -189,8 +202,8 @@ def run_all(
     for scenario_id in ids or SCENARIOS:
         start = time.time()
         try:
-            planned = run(spark, scenario_id, path, base_date, total, prefix, force)
-            inserted, error = total or SCENARIOS[scenario_id].total, None
+            planned, inserted = _run(spark, scenario_id, path, base_date, total, prefix, force)
+            error = None
         except Exception as e:  # noqa: BLE001 - reported with the scenario
             planned, inserted, error = {}, 0, f"{type(e).__name__}: {e}"
         spent = int((time.time() - start) * 1000)

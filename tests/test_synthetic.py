@@ -88,3 +88,7 @@ def test_a_failing_scenario_does_not_stop_the_rest(spark, tmp_path):
     assert bad.error.startswith("KeyError") and not bad.queries and bad.inserted == 0
     assert good.error is None and good.inserted == 500 and good.rate > 0
     assert good.queries["missing timestamps"].head()["n"] > 0
+    more, = SC.run_all(spark, str(tmp_path / "t"), "2024-01-01", asked[1:], total=300)
+    assert more.inserted == 300
+    anew, = SC.run_all(spark, str(tmp_path / "t"), "2024-01-01", asked[1:], total=200, force=True)
+    assert anew.error is None and 200 <= anew.inserted <= 1000
