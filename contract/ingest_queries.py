@@ -453,6 +453,25 @@ def retention_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MT.partition_stats(tables.read_table(spark, path)).select("name", "documents")
 
 
+@query(
+    "clustered_table",
+    with_logs("""SELECT level, service, CAST(ts AS DATE)::VARCHAR AS day, count(*) AS n,
+      min(event_id) AS first_id, max(event_id) AS last_id FROM logs
+    WHERE level = 'error' OR month(ts) = 1 AND day(ts) = 5 GROUP BY ALL"""),
+)
+def clustered_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table rewritten along a curve through level, service and time: the same rows are found."""
+    path = _folder(spark, "table")
+    tables.write_table(load_logs(spark, sf_dir), path)
+    MT.compact(spark, path, cluster=MT.CLUSTER)
+    day = F.col("log_date").cast("string").alias("day")
+    number = F.col("id").cast("bigint")
+    found = tables.read_table(spark, path).where("level = 'error' OR log_date = DATE '2024-01-05'")
+    return found.groupBy("level", F.col("service.name").alias("service"), day).agg(
+        F.count(F.lit(1)).alias("n"), F.min(number).alias("first_id"), F.max(number).alias("last_id")
+    )
+
+
 @query(
     "retention_odd_names",
     """SELECT family, count(*) AS n FROM (SELECT CASE event_id % 4 WHEN 0 THEN 'a:b' WHEN 1 THEN '007'

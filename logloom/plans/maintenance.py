@@ -8,6 +8,7 @@ from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.scalars import date_bounds, format_bytes
 from ..sources import manifest, tables
@@ -167,13 +168,20 @@ def apply_retention(
 
 
 def compact(
-    spark: SparkSession, path: str, out: str | None = None, where: Column | None = None
+    spark: SparkSession,
+    path: str,
+    out: str | None = None,
+    where: Column | None = None,
+    cluster: tuple[str, ...] = (),
+    max_records: int = tables.MAX_RECORDS_PER_FILE,
 ) -> None:
     """Rewrite partitions as few, time-ordered files after a bulk load.
 
     In place, a partition is replaced only when its new files are complete. To a
     new folder, partition levels below the day (the batches of a stream) are
-    merged.
+    merged. With ``cluster``, such as ``CLUSTER``, the rows of a day are not in
+    order of time but along a curve through several columns, so that filters on
+    any of them skip files and row groups.
     """
     table = tables.read_table(spark, path)
     if where is not None:
@@ -181,19 +189,67 @@ def compact(
     if out is None:
         if "batch" in table.columns:
             raise ValueError("a table with batches is compacted to a new folder")
-        _rewrite(table, path)
+        _rewrite(table, path, cluster, max_records)
     else:
-        _rewrite(table.drop("batch"), out)
+        _rewrite(table.drop("batch"), out, cluster, max_records)
 
 
-def _rewrite(table: DataFrame, path: str) -> None:
+def _rewrite(table: DataFrame, path: str, cluster: tuple[str, ...], max_records: int) -> None:
     columns = tables.PARTITIONS
+    if cluster:
+        keyed = table.withColumn("__key", curve_position(table, cluster))
+        order = [*columns, "__key"]
+        # a day of any size is dealt to several tasks, each with a part of the curve
+        ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).drop("__key")
+    else:
+        ordered = table.hint("rebalance", *columns).sortWithinPartitions(*columns, "timestamp")
     (
-        table.hint("rebalance", *columns)
-        .sortWithinPartitions(*columns, "timestamp")
-        .write.mode("overwrite")
+        ordered.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
+        .option("maxRecordsPerFile", max_records)
+        .option("parquet.bloom.filter.enabled#id", "true")
+        .option("parquet.bloom.filter.adaptive.enabled", "true")
         .partitionBy(*columns)
         .parquet(path)
     )
+
+
+#: The columns that filters name most.
+CLUSTER = ("level", "service.name", "timestamp")
+_RANK_BITS = 6
+
+
+def _ordinal(table: DataFrame, name: str) -> Column:
+    """A number that grows with the value; of a text its first seven bytes."""
+    kind = table.select(F.col(name).alias("c")).schema["c"].dataType
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(name)
+    if isinstance(kind, T.StringType):
+        return F.conv(F.rpad(F.hex(F.encode(F.col(name), "UTF-8")), 14, "0"), 16, 10).cast("bigint")
+    if isinstance(kind, T.NumericType):
+        return F.col(name).cast("double")
+    raise ValueError(f"rows cannot be clustered by {name} of type {kind.simpleString()}")
+
+
+def curve_position(table: DataFrame, cluster: tuple[str, ...]) -> Column:
+    """Place of a row on a Morton curve through the columns.
+
+    Values are replaced by their rank among at most 63 approximate quantiles, so a
+    skewed column takes part like any other; the bits of the ranks are interleaved,
+    the first column's first. The quantiles take one scan of these columns and are
+    all that comes to the driver. A missing value has rank 0.
+    """
+    ordinals = [_ordinal(table, name) for name in cluster]
+    parts = [i / 2**_RANK_BITS for i in range(1, 2**_RANK_BITS)]
+    found = table.agg(*[F.percentile_approx(o, parts).alias(f"q{i}") for i, o in enumerate(ordinals)]).head()
+    position = F.lit(0).cast("bigint")
+    for i, (ordinal, bounds) in enumerate(zip(ordinals, found)):
+        # a value that fills several quantiles counts as often, which spreads the ranks of few values
+        limits = F.array(*[F.lit(b) for b in bounds or []])
+        rank = F.size(F.filter(limits, lambda b: b <= ordinal)) if bounds else F.lit(0)
+        for bit in range(_RANK_BITS):
+            at = bit * len(cluster) + len(cluster) - 1 - i
+            one = F.shiftright(rank, bit).bitwiseAND(F.lit(1)).cast("bigint")
+            position = position.bitwiseOR(F.shiftleft(one, at))
+    return position

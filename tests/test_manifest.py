@@ -2,6 +2,7 @@ import os
 
 import pytest
 from conftest import entry
+from pyspark.sql import functions as F
 
 from logloom.plans import maintenance as MT
 from logloom.sources import manifest, tables
@@ -61,3 +62,41 @@ def test_a_folder_outside_the_table_is_left_alone(spark, logs, tmp_path):
     assert other.exists()
     with pytest.raises(PermissionError):
         MT.apply_retention(spark, path, plan)
+
+
+def _files_that_may_hold(table, column, value):
+    """How many files cannot be skipped for a value by their least and greatest."""
+    spans = table.groupBy("_metadata.file_path").agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
+    return spans.where((F.col("lo") <= F.lit(value)) & (F.col("hi") >= F.lit(value))).count()
+
+
+def test_clustering_lets_filters_skip_files(spark, logs, tmp_path):
+    base = logs(entry()).drop("id", "timestamp", "level", "service")
+    n = F.col("n")
+    many = spark.range(6000).toDF("n").crossJoin(base).select(
+        n.cast("string").alias("id"),
+        F.timestamp_seconds(1704067200 + n * 14).alias("timestamp"),
+        F.element_at(F.array(*map(F.lit, ["info", "warn", "error", "debug"])), (n * 7 % 4 + 1).cast("int")).alias("level"),
+        F.struct(F.concat(F.lit("svc-"), (n * 31 % 8).cast("string")).alias("name")).alias("service"),
+        *base.columns,
+    )
+    plain, curved = str(tmp_path / "p"), str(tmp_path / "c")
+    tables.write_table(many, str(tmp_path / "t"))
+    MT.compact(spark, str(tmp_path / "t"), plain, max_records=200)
+    MT.compact(spark, str(tmp_path / "t"), curved, cluster=MT.CLUSTER, max_records=200)
+    a, b = tables.read_table(spark, plain), tables.read_table(spark, curved)
+    assert a.select("id", "level", "service.name").exceptAll(b.select("id", "level", "service.name")).isEmpty()
+    assert a.count() == b.count() == 6000
+    files = b.select("_metadata.file_path").distinct().count()
+    for column, value in (("level", "error"), ("service.name", "svc-3")):
+        assert _files_that_may_hold(b, column, value) < 0.7 * _files_that_may_hold(a, column, value)
+    assert _files_that_may_hold(b, "timestamp", "2024-01-01 12:00:00") < 0.7 * files
+
+
+def test_clustering_by_odd_columns(spark, logs, tmp_path):
+    path = str(tmp_path / "t")
+    tables.write_table(logs(day(1), day(1, level=None), day(1, metrics={"cpu_usage": None})), path)
+    MT.compact(spark, path, cluster=("error.code", "metrics.cpu_usage", "level"))  # a column without values, missing ones
+    assert tables.read_table(spark, path).count() == 3
+    with pytest.raises(ValueError):
+        MT.compact(spark, path, cluster=("tags",))
