@@ -62,8 +62,9 @@ GROUPS = {
 _NOISE = ("menu", "header", "footer", "side", "notice", "advert", "form", "social", "comment")
 _GROUP_OF = {word: k for k, words in enumerate(GROUPS.values()) for word in words.split()}
 
-_DROPPED = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
+_TEXTLESS = "script style noscript template svg iframe textarea select title".split()
+_DROP_BEGINS = re.compile(rf"<!--|<((?ai:{'|'.join(_TEXTLESS)}))\b")
+_DROP_ENDS = {tag: re.compile(rf"</(?ai:{tag})\s*>") for tag in _TEXTLESS}
 _BEGINS = re.compile(r"<[a-zA-Z/!?]")
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|<[!?/][^>]*>")
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -97,6 +98,31 @@ class Path:
         return Path(bits, self.depth + 1)
 
 
+def without_textless(html: str) -> str:
+    """The page without comments, scripts, styles and the like; one that does not end reaches to the end of the page.
+
+    Every search goes on behind the last or is the last of its kind, so the work grows with the length of the page.
+    """
+    kept: list[str] = []
+    done = 0
+    tags_end = html.rfind(">")
+    for begin in _DROP_BEGINS.finditer(html):
+        if begin.start() < done:
+            continue
+        if begin.group(1) is None:
+            end = html.find("-->", begin.end())
+            end = end + 3 if end >= 0 else len(html)
+        elif begin.end() > tags_end:
+            continue  # an unfinished tag
+        else:
+            found = _DROP_ENDS[begin.group(1).lower()].search(html, html.index(">", begin.end()) + 1)
+            end = found.end() if found else len(html)
+        kept.append(html[done : begin.start()])
+        done = end
+    kept.append(html[done:])
+    return "".join(kept)
+
+
 def blocks_of(html: str | None) -> list[tuple[str, Path, float]]:
     """(text, path, share of linked characters) of the leaf blocks in page order.
 
@@ -106,7 +132,7 @@ def blocks_of(html: str | None) -> list[tuple[str, Path, float]]:
     """
     if not html:
         return []
-    html = _DROPPED.sub("", html)
+    html = without_textless(html)
     unfinished = _BEGINS.search(html, html.rfind(">") + 1)
     if unfinished:
         html = html[: unfinished.start()]

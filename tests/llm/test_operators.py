@@ -3,6 +3,7 @@
 import datetime
 import hashlib
 import random
+import re
 import time
 import zlib
 from collections import Counter, defaultdict
@@ -236,6 +237,22 @@ def test_blocks_close_as_browsers_do():
     assert linked == [("ab cd ef", 5 / 8), ("gh", 0), ("ij", 1), ("kl", 0)]
 
 
+def test_parts_without_text_are_left_out():
+    """Equal to the plain pattern, whose searches run to the end of the page for each unfinished tag."""
+    names = "script|style|noscript|template|svg|iframe|textarea|select|title"
+    plain = re.compile(rf"<!--.*?(?:-->|\Z)|<((?ai:{names}))\b[^>]*>.*?(?:</(?ai:\1)\s*>|\Z)", re.S)
+    pieces = ["<script", "<SCRIPT", ">", "</script>", "</Script >", "</script", "<!--", "-->", "--", "-", "<title>", "</title>",
+              "a b", "<p>", "<style x='1'>", "</style\n>", "<scripts>", "<\u017ftyle>", "</\u017ftyle>"]
+    draw = random.Random(3)
+    for _ in range(20_000):
+        page = "".join(draw.choices(pieces, k=draw.randint(0, 12)))
+        assert html_extract.without_textless(page) == plain.sub("", page), page
+    for piece in ("<script ", "<title a ", "<!-- ", "<script></script ", "<p><script x>a</scrip "):
+        start = time.perf_counter()
+        assert [text for text, _, _ in html_extract.blocks_of("<p>x</p>" + piece * 200_000)] == ["x"]
+        assert time.perf_counter() - start < 20
+
+
 @pytest.mark.parametrize("piece", ["<div>a ", "<div>a </section>", "<p><td><button>a <h1>b</h1>", "<i><div><b>a </i>", "<a<a<a<a<a", "<li>a <table>"])
 def test_deep_pages_take_time_by_length(labeller, piece):
     page = piece * 20_000
