@@ -45,7 +45,8 @@ def phrase_frequency(terms: Column, slots: list[tuple[int, str]], slop: int) ->
 
     Each occurrence is moved back by the position its term has in the query, so
     an exact phrase collapses to one point. One pass over the occurrences keeps
-    the latest position of every query term.
+    the latest position of every query term. Of windows with the same end only the
+    narrowest is minimal.
     """
     words = sorted({t for _, t in slots})
     placed = F.filter(
@@ -72,6 +73,8 @@ def phrase_frequency_of(placed: Column, slots: list[tuple[int, str]], slop: int)
     start = F.struct(
         F.array(*[F.lit(None).cast("int") for _ in slots]).alias("latest"),
         F.lit(None).cast("int").alias("left"),
+        F.lit(None).cast("int").alias("end"),
+        F.lit(0.0).alias("last"),
         F.lit(0.0).alias("freq"),
     )
     shifts = F.array(*[F.lit(o) for o in offsets])
@@ -88,13 +91,15 @@ def phrase_frequency_of(placed: Column, slots: list[tuple[int, str]], slop: int)
         left = F.array_min(latest)
         fresh = complete & (state["left"].isNull() | (left > state["left"]))
         width = o["at"] - left
+        value = F.when(width <= slop, 1.0 / (1.0 + width)).otherwise(F.lit(0.0))
+        # several words may end at the same place; the last of them gives the narrowest window
+        ended = fresh & (state["end"].isNull() | (o["at"] > state["end"]))
         return F.struct(
             latest.alias("latest"),
             F.when(fresh, left).otherwise(state["left"]).alias("left"),
-            (
-                state["freq"]
-                + F.when(fresh & (width <= slop), 1.0 / (1.0 + width)).otherwise(F.lit(0.0))
-            ).alias("freq"),
+            F.when(fresh, o["at"]).otherwise(state["end"]).alias("end"),
+            F.when(fresh, value).otherwise(state["last"]).alias("last"),
+            (state["freq"] + F.when(ended, state["last"]).otherwise(F.lit(0.0))).alias("freq"),
         )
 
-    return F.aggregate(occurrences, start, merge, lambda s: s["freq"])
+    return F.aggregate(occurrences, start, merge, lambda s: s["freq"] + s["last"])
