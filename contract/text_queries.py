@@ -44,20 +44,20 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def term_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load_documents(spark, sf_dir)
-    # document frequency without a distinct: each text gives every term once
-    per_text = docs.select(analysis.present(analysis.analyze("text", False)).alias("terms")).select(
-        F.explode(
-            F.transform(
-                F.array_distinct("terms"),
-                lambda t: F.struct(
-                    t.alias("term"), (F.size("terms") - F.size(F.array_remove("terms", t))).alias("n")
-                ),
+    # each text gives its words as they stand, and every term once for the document frequency:
+    # work in proportion to its length
+    terms = analysis.present(analysis.analyze("text", False))
+    # however few row groups the file has, all cores take part in the analysis
+    per_text = docs.repartition("doc_id").select(terms.alias("terms")).select(
+        F.inline(
+            F.array(
+                F.struct(F.col("terms"), F.lit(True).alias("word")),
+                F.struct(F.array_distinct("terms").alias("terms"), F.lit(False).alias("word")),
             )
-        ).alias("x")
-    )
-    return per_text.groupBy(F.col("x.term").alias("term")).agg(
-        F.sum("x.n").alias("tf"), F.count(F.lit(1)).alias("df")
+        )
     )
+    counted = per_text.select("word", F.explode("terms").alias("term")).groupBy("term")
+    return counted.agg(F.count_if("word").alias("tf"), F.count_if(~F.col("word")).alias("df"))
 
 
 # -- stems -----------------------------------------------------------------------
