@@ -16,6 +16,22 @@ from ..schema import LEAF_TYPES, LOG_SCHEMA
 PARSING = "mapper_parsing_exception"
 _INT_MIN, _INT_MAX = -2147483648, 2147483647
 _OBJECTS = ["service", "error", "request", "business", "metrics", "geo"]
+_LEAVES = [(p, k) for p, k in LEAF_TYPES if k not in ("geo_point", "keyword[]")]
+# All fields of an object are read in one cast. A path that a document lacks ends, in
+# ``try_variant_get``, in an exception, and most documents lack most paths.
+_TOP = "struct<" + ", ".join(
+    [f"{p}: string" for p, _ in _LEAVES if "." not in p] + [f"{o}: variant" for o in [*_OBJECTS, "tags"]]
+) + ">"
+_PARTS = {
+    o: "struct<"
+    + ", ".join(
+        [f"{p.split('.')[1]}: string" for p, _ in _LEAVES if p.startswith(o + ".")]
+        + ["location: variant"] * (o == "geo")
+    )
+    + ">"
+    for o in _OBJECTS
+}
+_POINT = "struct<lat: double, lon: double, type: string, coordinates: array<double>, geohash: string>"
 
 
 def _name(path: str) -> str:
@@ -52,14 +68,22 @@ def _once(df: DataFrame, keep: list[str], made: list[Column]) -> DataFrame:
     """Add columns that are worked out once per row.
 
     In a plain projection a later filter on the reasons would be pushed below it
-    and take a second copy of all checks along.
+    and take a second copy of all checks along. The struct is made in a projection
+    of its own, which is compiled; the unfolding only takes it apart.
     """
-    return df.select(*keep, F.inline(F.array(F.struct(*made))))
+    whole = df.select(*keep, F.struct(*made).alias("__made"))
+    return whole.select(*keep, F.inline(F.array("__made")))
+
+
+def _text(path: str) -> Column:
+    """A leaf as text, as the casts of ``validate`` have read it."""
+    part, _, leaf = path.rpartition(".")
+    return F.col(f"{_name(part)}.{leaf}" if part else f"__top.{leaf}")
 
 
 def _value_and_fault(path: str, kind: str) -> tuple[Column, Column]:
     """The coerced value of a leaf, and whether the mapping refuses it."""
-    text = F.col(_name(path))
+    text = _text(path)
     number = text.try_cast("double")
     if kind == "integer":
         whole = number.try_cast("int")
@@ -99,17 +123,15 @@ def _coordinate(name: str) -> Column:
     ``coordinates``; ``[lon, lat]``; or a text: ``"lat,lon"``, ``"POINT (lon lat)"``
     or a geohash. A third coordinate is not kept, but has to be a number in a text.
     """
-    c = _at("geo.location", "variant")
+    c = F.col("__location")
     place = 0 if name == "lat" else 1
     index = 1 - place
+    point = F.col("__point")
     text = F.try_variant_get(c, "$", "string")
     parts = F.split(text, ",")
     third = F.get(parts, 2).try_cast("double").isNotNull()
     pair = F.when((F.size(parts) == 2) | ((F.size(parts) == 3) & third), F.get(parts, place).try_cast("double"))
-    named = F.when(
-        F.lower(F.try_variant_get(c, "$.type", "string")) == "point",
-        F.try_variant_get(c, f"$.coordinates[{index}]", "double"),
-    )
+    named = F.when(F.lower(point["type"]) == "point", F.get(point["coordinates"], index))
     # a number is no geohash, though its digits may look like one
     in_text = (
         F.when(F.contains(F.lower(text), F.lit("point")), wkt_point(text)[place])
@@ -118,23 +140,14 @@ def _coordinate(name: str) -> Column:
     )
     whole = F.startswith(F.ltrim(text), F.lit("{")) | F.startswith(F.ltrim(text), F.lit("["))
     return F.coalesce(
-        F.try_variant_get(c, f"$.{name}", "double"),
-        F.try_variant_get(c, f"$[{index}]", "double"),
+        point[name],
+        F.get(F.try_variant_get(c, "$", "array<double>"), index),
         named,
-        geohash_corner(F.try_variant_get(c, "$.geohash", "string"))[place],
+        geohash_corner(point["geohash"])[place],
         F.when(~whole, in_text),
     )
 
 
-def _is_object(name: str) -> Column:
-    """Whether a part is an object. With a leaf found in it, it must be one; only
-    an empty or unusual part is looked at closely, which costs far more."""
-    leaves = [F.col(_name(p)) for p, k in LEAF_TYPES if p.startswith(name + ".") and k != "geo_point"]
-    return F.when(F.coalesce(*leaves).isNotNull(), F.lit(True)).otherwise(
-        _is(F.col(_name(name)), "OBJECT")
-    )
-
-
 def validate(
     lines: DataFrame, column: str = "value", required: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -146,35 +159,35 @@ def validate(
     parsed = lines.select(
         "*", F.try_parse_json(F.col(column)).alias("__doc")
     )
-    leaves = [(p, k) for p, k in LEAF_TYPES if k not in ("geo_point", "keyword[]")]
-    read = _once(
-        parsed,
-        parsed.columns,
-        [
-            *[_at(p, "string").alias(_name(p)) for p, _ in leaves],
-            *[_at(o, "variant").alias(_name(o)) for o in _OBJECTS],
-            _at("tags", "variant").alias("__tags"),
-            _at("geo.location", "variant").alias("__location"),
-            _coordinate("lat").alias("__lat"),
-            _coordinate("lon").alias("__lon"),
-        ],
+    top = parsed.withColumn("__top", F.try_variant_get(F.col("__doc"), "$", _TOP))
+    parts = top.select(
+        *parsed.columns,
+        "__top",
+        *[F.try_variant_get(F.col(f"__top.{o}"), "$", kind).alias(_name(o)) for o, kind in _PARTS.items()],
+    )
+    located = parts.withColumn("__location", F.col("__geo.location")).withColumn(
+        "__point", F.try_variant_get(F.col("__location"), "$", _POINT)
     )
+    read = located.withColumn("__lat", _coordinate("lat")).withColumn("__lon", _coordinate("lon"))
     values: dict[str, Column] = {}
-    faults: list[Column] = []
+    faults: list[tuple[Column, Column]] = []
     whole = F.col("__doc").isNotNull() & F.startswith(F.ltrim(F.col(column)), F.lit("{"))
-    faults.append(F.when(~whole, _reason("_source", "malformed document")))
+    faults.append((~whole, _reason("_source", "malformed document")))
     for o in _OBJECTS:
-        c = F.col(_name(o))
-        wrong = _present(c) & ~_is_object(o)
+        # only an object can be read as a struct
+        wrong = _present(F.col(f"__top.{o}")) & F.col(_name(o)).isNull()
         text = f"object mapping for [{o}] tried to parse field [{o}] as object, but found a concrete value"
-        faults.append(F.when(wrong, _reason(o, text)))
-    for p, k in leaves:
+        faults.append((wrong, _reason(o, text)))
+    for p, k in _LEAVES:
         values[p], wrong = _value_and_fault(p, k)
-        faults.append(F.when(wrong, _reason(p, _failed(p, k))))
-    tags = F.col("__tags")
+        faults.append((wrong, _reason(p, _failed(p, k))))
+    tags = F.col("__top.tags")
     listed = F.try_variant_get(tags, "$", "array<variant>")
     objects = F.coalesce(F.exists(listed, lambda v: _is(v, "OBJECT")), _is(tags, "OBJECT"))
-    faults.append(F.when(_present(tags) & objects, _reason("tags", _failed("tags", "keyword"))))
+    # without a brace there is no object, and the items need no closer look
+    braced = F.contains(F.try_variant_get(tags, "$", "string"), F.lit("{"))
+    wrong = F.when(braced, objects).otherwise(F.lit(False))
+    faults.append((_present(tags) & wrong, _reason("tags", _failed("tags", "keyword"))))
     values["tags"] = F.when(
         _present(tags),
         F.coalesce(
@@ -183,10 +196,10 @@ def validate(
         ),
     )
     values["geo.location"], wrong = _location()
-    faults.append(F.when(wrong, _reason("geo.location", _failed("geo.location", "geo_point"))))
+    faults.append((wrong, _reason("geo.location", _failed("geo.location", "geo_point"))))
     for p in required:
         absent = values[p].isNull()
-        faults.append(F.when(whole & absent, _reason(p, f"field [{p}] is required")))
+        faults.append((whole & absent, _reason(p, f"field [{p}] is required")))
 
     def build(name: str) -> Column:
         inner = [p for p, _ in LEAF_TYPES if p.startswith(name + ".")]
@@ -194,12 +207,14 @@ def validate(
             return values[name].alias(name)
         fields = F.struct(*[values[p].alias(p.split(".", 1)[1]) for p in inner])
         # an empty object is kept apart from an absent one
-        return F.when(_present(F.col(_name(name))), fields).alias(name)
+        return F.when(_present(F.col(f"__top.{name}")), fields).alias(name)
 
     kept = [c for c in lines.columns if c != column]
     made = [build(f.name) for f in LOG_SCHEMA]
-    reasons = F.array_compact(F.array(*faults)).alias("reject_reasons")
-    checked = _once(read, [*kept, column], [*made, reasons])
+    # constant lists that are joined, and no filter of one list: a lambda would have all tests interpreted
+    none = F.array().cast("array<struct<field: string, type: string, reason: string>>")
+    reasons = F.concat(*[F.when(wrong, F.array(reason)).otherwise(none) for wrong, reason in faults])
+    checked = _once(read, [*kept, column], [*made, reasons.alias("reject_reasons")])
     return checked.withColumnRenamed(column, "document")
 
 
