@@ -26,17 +26,19 @@ _WORD = r"\p{L}\p{M}\p{N}_"
 _JOIN_LETTERS = r".:'’‘·"
 _JOIN_DIGITS = r".,;'’‘"
 _JOINS = r".:,;'’‘·"
+# Most characters are letters: the first range and the look at the joins spare them the long tests.
 SEPARATOR = (
-    rf"[^{_WORD}{_JOINS}]"
-    rf"|(?!(?<=[\p{{L}}\p{{M}}])[{_JOIN_LETTERS}]\p{{L}}|(?<=\p{{N}})[{_JOIN_DIGITS}]\p{{N}})[{_JOINS}]"
+    rf"[^a-z{_WORD}{_JOINS}]"
+    rf"|(?=[{_JOINS}])(?!(?<=[\p{{L}}\p{{M}}])[{_JOIN_LETTERS}]\p{{L}}|(?<=\p{{N}})[{_JOIN_DIGITS}]\p{{N}})[{_JOINS}]"
 )
 _HAS_WORD_CHAR = r"[\p{L}\p{N}]"
 
 
 # A text is plain when no run of 256 characters lacks a blank, so that no word
 # can be too long, and no underscore or mark stands without a letter or digit.
+# Runs are looked for from their first character only.
 _NOT_PLAIN = (
-    rf"\S{{{MAX_TOKEN_LENGTH + 1}}}|(?<![{_WORD}])[_\p{{M}}]+(?![{_WORD}])"
+    rf"(?:^|\s)\S{{{MAX_TOKEN_LENGTH + 1}}}|(?=[_\p{{M}}])(?<![{_WORD}])[_\p{{M}}]+(?![{_WORD}])"
 )
 
 

@@ -37,6 +37,15 @@ def _within(a: Column, b: Column, k: int) -> Column:
     return F.levenshtein(a, b, k) >= 0
 
 
+def may_be_near(term: Column, query: str, k: int) -> Column:
+    """Cheap test that every word within ``k`` edits passes: its length is near, and
+    at most ``k`` of its letters are foreign to the query."""
+    if k == 0:
+        return term == query
+    foreign = F.length(F.translate(term, "".join(sorted(set(query))), ""))
+    return F.length(term).between(len(query) - k, len(query) + k) & (foreign <= k)
+
+
 def edit_distance(term: Column, query: str, k: int) -> Column:
     """Edits between a column and a literal, up to ``k`` (0 to 2), else null.
 
@@ -47,23 +56,15 @@ def edit_distance(term: Column, query: str, k: int) -> Column:
     out = F.when(term == q, 0)
     if k == 0:
         return out
-    # Cheap tests that every word within k edits passes: its length is near, at
-    # most k of its letters are foreign to the query, and, as an exchange is two
-    # plain edits, it is within 2k plain edits.
-    foreign = F.length(F.translate(term, "".join(sorted(set(query))), ""))
-    near = (
-        (F.abs(F.length(term) - F.lit(len(query))) <= k)
-        & (foreign <= k)
-        & _within(term, q, 2 * k)
-    )
-    one = _within(term, q, 1) | F.array_contains(_swapped(query), term)
-    out = out.when(near & one, 1)
+    # An exchange is two plain edits, so a word within k edits is within 2k plain ones.
+    near = may_be_near(term, query, k) & _within(term, q, 2 * k)
+    few = F.when(_within(term, q, 1) | F.array_contains(_swapped(query), term), 1)
     if k >= 2:
-        two = (
-            _within(term, q, 2)
-            | F.exists(_swapped(query), lambda v: _within(v, term, 1))
+        # beside an exchange, one more edit leaves a word that passes the test for one
+        exchanged = may_be_near(term, query, 1) & (
+            F.exists(_swapped(query), lambda v: _within(v, term, 1))
             | F.exists(swaps(term), lambda v: _within(v, q, 1))
             | F.arrays_overlap(_swapped(query), swaps(term))
         )
-        out = out.when(near & two, 2)
-    return out
+        few = few.when(_within(term, q, 2) | exchanged, 2)
+    return out.when(near, few)

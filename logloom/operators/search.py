@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import analysis
-from ..functions.fuzzy import allowed_edits, edit_distance
+from ..functions.fuzzy import allowed_edits, edit_distance, may_be_near
 from ..functions.scoring import (
     frequency,
     idf,
@@ -329,7 +329,11 @@ def _fuzzy_hits(i: int, words: list[str]) -> Column:
             ]
         )
 
-    fitting = F.filter(F.array_distinct(F.col(f"__t{i}")), _reach(words))
+    # edits are worked out for the few terms that pass the cheap tests
+    fitting = F.filter(
+        F.array_distinct(F.col(f"__t{i}")),
+        lambda t: reduce(Column.__or__, [may_be_near(t, w, allowed_edits(w)) for w in words]),
+    )
     return F.filter(F.flatten(F.transform(fitting, near)), lambda h: h["weight"] > 0)
 
 
