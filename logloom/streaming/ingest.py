@@ -262,6 +262,8 @@ def generate(
     if partitions:
         reader = reader.option("numPartitions", partitions)
     rows = reader.load().where(F.col("value") < total).select(F.col("value").alias("seq"))
+    # only the numbers are dealt out, however few partitions the source has: all cores make and check records
+    rows = rows.repartition(max(partitions or 1, spark.sparkContext.defaultParallelism), "seq")
     records = synthetic.synthesize(rows, base_date, seed)
     if profile is not None:
         records = records.transform(profile)
