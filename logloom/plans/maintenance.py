@@ -197,7 +197,7 @@ def compact(
 def _rewrite(table: DataFrame, path: str, cluster: tuple[str, ...], max_records: int) -> None:
     columns = tables.PARTITIONS
     if cluster:
-        keyed = table.withColumn("__key", curve_position(table, cluster))
+        keyed = on_curve(table, cluster, "__key")
         order = [*columns, "__key"]
         # a day of any size is dealt to several tasks, each with a part of the curve
         ordered = keyed.repartitionByRange(*order).sortWithinPartitions(*order).drop("__key")
@@ -232,8 +232,8 @@ def _ordinal(table: DataFrame, name: str) -> Column:
     raise ValueError(f"rows cannot be clustered by {name} of type {kind.simpleString()}")
 
 
-def curve_position(table: DataFrame, cluster: tuple[str, ...]) -> Column:
-    """Place of a row on a Morton curve through the columns.
+def on_curve(table: DataFrame, cluster: tuple[str, ...], key: str) -> DataFrame:
+    """The table with the place of each row on a Morton curve through the columns, as ``key``.
 
     Values are replaced by their rank among at most 63 approximate quantiles, so a
     skewed column takes part like any other; the bits of the ranks are interleaved,
@@ -243,13 +243,26 @@ def curve_position(table: DataFrame, cluster: tuple[str, ...]) -> Column:
     ordinals = [_ordinal(table, name) for name in cluster]
     parts = [i / 2**_RANK_BITS for i in range(1, 2**_RANK_BITS)]
     found = table.agg(*[F.percentile_approx(o, parts).alias(f"q{i}") for i, o in enumerate(ordinals)]).head()
+    # columns of a projection of their own: each is worked out once and then compared a few times
+    named = [f"__ordinal{i}" for i in range(len(cluster))]
+    kept = table.columns
+    table = table.select("*", *[o.alias(n) for o, n in zip(ordinals, named)])
+
+    def spread(rank: int, i: int) -> int:
+        """The bits of a rank at the places of column ``i``."""
+        last = len(cluster) - 1 - i
+        return sum((rank >> bit & 1) << (bit * len(cluster) + last) for bit in range(_RANK_BITS))
+
+    def place(i: int, bounds: list, low: int, high: int) -> Column:
+        """The spread rank, known to be between two ranks, by halving."""
+        if low == high:
+            return F.lit(spread(low, i)).cast("bigint")
+        middle = (low + high) // 2
+        above = F.col(named[i]) >= F.lit(bounds[middle])
+        return F.when(above, place(i, bounds, middle + 1, high)).otherwise(place(i, bounds, low, middle))
+
+    # a value that fills several quantiles counts as often, which spreads the ranks of few values
     position = F.lit(0).cast("bigint")
-    for i, (ordinal, bounds) in enumerate(zip(ordinals, found)):
-        # a value that fills several quantiles counts as often, which spreads the ranks of few values
-        limits = F.array(*[F.lit(b) for b in bounds or []])
-        rank = F.size(F.filter(limits, lambda b: b <= ordinal)) if bounds else F.lit(0)
-        for bit in range(_RANK_BITS):
-            at = bit * len(cluster) + len(cluster) - 1 - i
-            one = F.shiftright(rank, bit).bitwiseAND(F.lit(1)).cast("bigint")
-            position = position.bitwiseOR(F.shiftleft(one, at))
-    return position
+    for i, bounds in enumerate(found):
+        position = position.bitwiseOR(place(i, bounds or [], 0, len(bounds or [])))
+    return table.select(*kept, position.alias(key))

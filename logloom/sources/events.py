@@ -164,6 +164,18 @@ def load_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs_from_events(load_events(spark, sf_dir))
 
 
+def dealt_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events on all cores, however few row groups their file has.
+
+    For jobs with much work on each row; only the narrow events are shuffled.
+    """
+    return load_events(spark, sf_dir).repartition("event_id")
+
+
+def dealt_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs_from_events(dealt_events(spark, sf_dir))
+
+
 def load_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The text corpus."""
     columns = ["doc_id", "text", "lang", "source"]

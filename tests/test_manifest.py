@@ -100,3 +100,24 @@ def test_clustering_by_odd_columns(spark, logs, tmp_path):
     assert tables.read_table(spark, path).count() == 3
     with pytest.raises(ValueError):
         MT.compact(spark, path, cluster=("tags",))
+
+
+def test_place_on_the_curve_is_worked_out_without_lambdas(spark, logs):
+    docs = [entry(id=str(i), level=["info", "warn", "error"][i % 3], service={"name": f"svc-{i % 7}"}) for i in range(50)]
+    docs += [entry(id="none", level=None, metrics={"cpu_usage": None})]
+    table = logs(*docs)
+    for cluster in (MT.CLUSTER, ("metrics.cpu_usage", "level")):
+        placed = MT.on_curve(table, cluster, "place")
+        assert "lambda" not in placed._jdf.queryExecution().optimizedPlan().toString()
+        assert placed.columns == [*table.columns, "place"]
+        # the rank of a value is the number of quantiles up to it, and its bits take turns with those of the others
+        ordinals = [MT._ordinal(table, c) for c in cluster]
+        parts = [i / 64 for i in range(1, 64)]
+        found = table.agg(*[F.percentile_approx(o, parts) for o in ordinals]).head()
+        for row in placed.select("place", *[o.alias(f"o{i}") for i, o in enumerate(ordinals)]).collect():
+            want = 0
+            for i, bounds in enumerate(found):
+                value = row[f"o{i}"]
+                rank = 0 if value is None else sum(b <= value for b in bounds or [])
+                want |= sum((rank >> bit & 1) << (bit * len(cluster) + len(cluster) - 1 - i) for bit in range(6))
+            assert row["place"] == want
