@@ -127,30 +127,67 @@ def term_statistics(logs: DataFrame, fields: list[TextField] | None = None) -> D
     each load writes its own, and searches need no scan to weigh their terms.
     """
 
-    def entry(f: TextField, term: Column, length: Column) -> Column:
-        return F.struct(F.lit(f.path).alias("field"), term.alias("term"), length.alias("length"))
-
-    def entries(f: TextField) -> Column:
-        terms = _terms(logs, f)
-        known = F.coalesce(F.array_distinct(analysis.present(terms)), F.array().cast("array<string>"))
-        return F.concat(
-            F.transform(known, lambda t: entry(f, t, F.lit(None).cast("bigint"))),
-            F.array(entry(f, F.lit(None).cast("string"), _length(terms, f).cast("bigint"))),
+    each = list(fields or dict.fromkeys([*SEARCH_FIELDS, *SIMILAR_FIELDS]))
+    day = F.to_date("timestamp") if "timestamp" in logs.columns else F.lit(None).cast("date")
+
+    def source(f: TextField) -> Column:
+        """What the terms of a field are made of: a text, or a list of terms."""
+        listed = f.stored in logs.columns or f.multi
+        value = F.col(f.stored if f.stored in logs.columns else f.path)
+        return F.struct(
+            F.lit(f.path).alias("field"),
+            (F.lit(None) if listed else value).cast("string").alias("text"),
+            (value if listed else F.lit(None)).cast("array<string>").alias("list"),
         )
 
-    rows = [entries(f) for f in fields or dict.fromkeys([*SEARCH_FIELDS, *SIMILAR_FIELDS])]
-    day = F.to_date("timestamp") if "timestamp" in logs.columns else F.lit(None).cast("date")
+    # many records say the same: each text is analyzed once for a day, however often it occurs
+    distinct = (
+        logs.select(day.alias("log_date"), F.inline(F.array(*map(source, each))))
+        .groupBy("log_date", "field", "text", "list").agg(F.count(F.lit(1)).alias("rows"))
+    )
+    terms = _distinct_terms(each, logs.columns)
+    measured = distinct.select("log_date", "field", "rows", terms.alias("terms"))
+    keyword = F.col("field").isin([f.path for f in each if f.keyword])
+    known = F.coalesce(F.array_distinct(analysis.present(F.col("terms"))), F.array().cast("array<string>"))
+    size = F.when(keyword, F.size("terms")).otherwise(F.size(analysis.present(F.col("terms"))))
+    length = F.when(F.col("terms").isNotNull(), size).otherwise(0).cast("bigint")
+
+    def entry(term: Column, length: Column) -> Column:
+        return F.struct(term.alias("term"), length.alias("length"))
+
+    entries = F.concat(
+        F.transform(known, lambda t: entry(t, F.lit(None).cast("bigint"))),
+        F.array(entry(F.lit(None).cast("string"), length)),
+    )
     return (
-        logs.select(day.alias("log_date"), F.inline(F.concat(*rows)))
+        measured.select("log_date", "field", "rows", F.inline(entries))
         .groupBy(*STATISTICS)
         .agg(
-            F.count(F.lit(1)).alias("df"),
-            F.count_if(F.col("length") > 0).alias("n"),
-            F.sum("length").alias("total"),
+            F.sum("rows").alias("df"),
+            F.coalesce(F.sum(F.when(F.col("length") > 0, F.col("rows"))), F.lit(0)).alias("n"),
+            F.sum(F.col("length") * F.col("rows")).alias("total"),
         )
     )
 
 
+def _distinct_terms(fields: list[TextField], columns: list[str]) -> Column:
+    """The terms of a row ``(field, text, list)``, by the rules of its field."""
+    field, text, listed = F.col("field"), F.col("text"), F.col("list")
+    terms = F.lit(None).cast("array<string>")
+    for f in fields:
+        if f.stored not in columns and (f.keyword or f.multi):
+            own = F.array_distinct(listed) if f.multi else F.when(text.isNotNull(), F.array(text))
+            terms = F.when(field == f.path, own).otherwise(terms)
+    for stem in (True, False):
+        paths = [f.path for f in fields if f.stored not in columns and not (f.keyword or f.multi) and f.stem == stem]
+        if paths:
+            # the stemmer sees null for the rows of other fields
+            own = analysis.analyze(F.when(field.isin(paths), text), stem)
+            terms = F.when(field.isin(paths), own).otherwise(terms)
+    stored = [f.path for f in fields if f.stored in columns]
+    return F.when(field.isin(stored), listed).otherwise(terms) if stored else terms
+
+
 def merged(statistics: DataFrame) -> DataFrame:
     """Statistics of any number of loads as one, by day."""
     return statistics.groupBy(*STATISTICS).agg(

@@ -167,9 +167,10 @@ def load_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def dealt_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events on all cores, however few row groups their file has.
 
-    For jobs with much work on each row; only the narrow events are shuffled.
+    For jobs with much work on each row; only the narrow events are shuffled. A kept
+    table has as many parts as are named here, so there is one for each core.
     """
-    return load_events(spark, sf_dir).repartition("event_id")
+    return load_events(spark, sf_dir).repartition(spark.sparkContext.defaultParallelism, "event_id")
 
 
 def dealt_logs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -136,7 +136,10 @@ def process_batch(
     start = time.time()
     spark = lines.sparkSession
     _begin(spark, layout, batch_id)
-    checked = validation.validate(lines, required=required).persist()
+    checked = validation.validate(lines, required=required)
+    # only a refused document is written out again; those of accepted records would be half of what is kept
+    refused = F.when(F.size("reject_reasons") > 0, F.col("document"))
+    checked = checked.withColumn("document", refused).persist()
     good = validation.accepted(checked)
     if remember_ids:
         good = new_documents(good, layout, batch_id, remember_ids)

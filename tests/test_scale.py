@@ -165,3 +165,46 @@ def test_statistics_of_batches(spark, tmp_path, lines):
         IN.process_batch(lines(*docs), batch, layout)
     rows = IN.read_statistics(spark, layout).where("field = 'message'").collect()
     assert {r["term"]: r["df"] for r in rows} == {None: 12, "payment": 12, "timeout": 6, "done": 6}
+
+
+def test_statistics_analyze_each_distinct_text_once(spark, logs):
+    docs = [entry(id=str(i), message="the running runs of it", tags=["a", "b"]) for i in range(20)]
+    docs += [entry(id="x", message=None), entry(id="y", message="", request={"path": "/p"}), entry(id="z", message="Runs")]
+    table = logs(*docs)
+    fields = [*S.SEARCH_FIELDS, S.TAGS]
+    found = S.term_statistics(table, fields)
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    python = next(i for i, x in enumerate(plan) if "EvalPython" in x)
+    assert any("Aggregate" in x for x in plan[python:])  # below the stemmer
+    got = {(r["field"], r["term"]): (r["df"], r["n"], r["total"]) for r in found.collect()}
+    assert got[("message", "run")] == (21, 0, None)
+    assert got[("message", None)] == (23, 21, 41)
+    assert got[("tags", "a")] == (20, 0, None) and got[("tags", None)] == (23, 23, 43)
+    assert got[("request.path", "/p")] == (1, 0, None) and got[("request.path", None)] == (23, 1, 1)
+    assert got[("error.message", None)] == (23, 0, 0)
+    # the same from stored terms
+    stored = S.term_statistics(S.store_terms(table, [S.MESSAGE, S.TAGS]), fields)
+    assert {tuple(r) for r in stored.collect()} == {tuple(r) for r in found.collect()}
+
+
+def test_events_of_one_row_group_are_dealt_to_all_cores(spark, sf_dir):
+    from logloom.sources.events import dealt_events, load_events
+
+    assert load_events(spark, sf_dir).rdd.getNumPartitions() == 1
+    dealt = dealt_events(spark, sf_dir)
+    # a kept table keeps the number
+    kept = dealt.select("event_id").persist()
+    assert kept.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert kept.count() == load_events(spark, sf_dir).count()
+    kept.unpersist()
+
+
+def test_only_refused_documents_are_kept(spark, lines, tmp_path, monkeypatch):
+    seen = []
+    whole = validation.rejects
+    monkeypatch.setattr(validation, "rejects", lambda checked, *more: seen.append(checked) or whole(checked, *more))
+    layout = IN.Layout(str(tmp_path / "l"))
+    IN.process_batch(lines(entry(), "{oops"), 1, layout)
+    kept = {r["document"] for r in seen[0].select("document").collect()}
+    assert kept == {None, "{oops"}
+    assert [r["details"]["document"] for r in IN.read_rejects(spark, layout).collect()] == ["{oops"]
