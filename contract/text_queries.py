@@ -14,7 +14,7 @@ from logloom.operators import search as S
 from logloom.operators.filters import LogFilters, apply_filters
 from logloom.plans import api
 from logloom.session import checkpoint_dir
-from logloom.sources.events import load_documents, load_logs
+from logloom.sources.events import dealt_logs, load_documents, load_logs
 from logloom.sources.synthetic import search_profile
 
 from .registry import ORACLE, query
@@ -560,7 +560,7 @@ def similar_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, PO.Index]:
     """The log table, and its postings written in two loads."""
-    logs = _search_logs(spark, sf_dir)
+    logs = search_profile(dealt_logs(spark, sf_dir), F.col("id").cast("bigint"))
     path = f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
     for half in (0, 1):
         PO.write(logs.where(F.col("id").cast("bigint") % 2 == half), path, batch_id=half)

@@ -17,6 +17,7 @@ few remains of a query word finds every candidate; edit distances are worked out
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
@@ -60,11 +61,45 @@ def row_hash(fields: list[TextField] = FIELDS) -> Column:
 # -- writing ---------------------------------------------------------------------------
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _placed(terms: Column) -> Column:
+    """Each term of a list once, as structs of (term, positions).
+
+    A list that repeats a term is sorted and cut where the term changes, so the work follows its length.
+    """
+
+    def entry(term: Column, positions: Column) -> Column:
+        return F.struct(term.alias("term"), positions.alias("positions"))
+
+    def cut(words: Column, starts: Column) -> Column:
+        def one(start: Column, k: Column) -> Column:
+            own = F.slice(words, start + 1, F.coalesce(F.get(starts, k + 1), F.size(words)) - start)
+            return entry(F.get(words, start)["term"], own["position"])
+
+        return F.transform(starts, one)
+
+    def starts_of(words: Column) -> Column:
+        changes = F.transform(
+            words, lambda w, i: F.when((i == 0) | ~w["term"].eqNullSafe(F.get(words, i - 1)["term"]), i)
+        )
+        return F.filter(changes, lambda i: i.isNotNull())
+
+    words = F.sort_array(F.transform(terms, lambda t, i: F.struct(t.alias("term"), i.alias("position"))))
+    gathered = _bound(words, lambda w: _bound(starts_of(w), lambda starts: cut(w, starts)))
+    repeats = F.size(F.array_distinct(terms)) < F.size(terms)
+    return F.when(repeats, gathered).otherwise(F.transform(terms, lambda t, i: entry(t, F.array(i))))
+
+
 def postings(logs: DataFrame, fields: list[TextField] = FIELDS) -> DataFrame:
     """All postings of the records, with their ``bucket``.
 
-    The words of a record are unfolded with their places and gathered by record and
-    term; the one shuffle deals them out by bucket and a part of the record's hash.
+    The words of a record are gathered by term where the record is; the one shuffle deals the
+    postings out by bucket and a part of the record's hash. A record that a load has twice
+    has its postings twice, as one that two loads have; readers count them once.
     """
     entries = []
     for f in fields:
@@ -74,16 +109,11 @@ def postings(logs: DataFrame, fields: list[TextField] = FIELDS) -> DataFrame:
         )
     day = F.to_date("timestamp").alias("log_date")
     unfolded = logs.select("id", day, "timestamp", row_hash(fields).alias("row"), F.inline(F.array(*entries)))
-    words = unfolded.select(
-        *ROW, "field", "length", F.posexplode("terms").alias("position", "term")
-    ).where(F.col("term").isNotNull())
-    slice_ = F.pmod("row", F.lit(SLICES)).cast("int")
+    gathered = unfolded.select(*ROW, "field", "length", F.inline(_placed(F.col("terms")))).where(F.col("term").isNotNull())
+    bucket = bucket_of(F.col("term"))
     return (
-        words.select("*", bucket_of(F.col("term")).alias("bucket"), slice_.alias("slice"))
-        .repartition("bucket", "slice")
-        .groupBy("bucket", "slice", "field", "term", *ROW)
-        .agg(F.array_sort(F.collect_set("position")).alias("positions"), F.max("length").alias("length"))
-        .drop("slice")
+        gathered.select("field", "term", *ROW, "positions", "length", bucket.alias("bucket"))
+        .repartition("bucket", F.pmod("row", F.lit(SLICES)).cast("int"))
     )
 
 
@@ -121,20 +151,23 @@ def variants(statistics: DataFrame) -> DataFrame:
 
 def write(logs: DataFrame, path: str, fields: list[TextField] = FIELDS, batch_id: int | None = None) -> None:
     """Append the postings of a load, its term statistics and its vocabulary's remains below ``path``."""
-    kept = [] if batch_id is None else ["batch"]
+
+    # a load has a folder of its own; as a column of one value the batch would make the writer sort anew, by folder only
+    load = "" if batch_id is None else f"/batch={batch_id}"
 
     def save(df: DataFrame, name: str, order: list[str]) -> None:
-        if batch_id is not None:
-            df = df.withColumn("batch", F.lit(batch_id))
-        by = [*kept, "bucket"] if "bucket" in df.columns else kept
+        by = ["bucket"] if "bucket" in df.columns else []
         (
             df.sortWithinPartitions(*by, *order).write.mode("append").option("compression", "zstd")
-            .partitionBy(*by).parquet(f"{path}/{name}")
+            .partitionBy(*by).parquet(f"{path}/{name}{load}")
         )
 
-    statistics = search.term_statistics(logs, fields)
     save(postings(logs, fields), "postings", ["field", "term", "log_date"])
+    statistics = search.term_statistics(logs, fields)
     save(statistics, "statistics", ["field", "term"])
+    if load:
+        # the load's own, as just written, not counted once more
+        statistics = logs.sparkSession.read.schema(statistics.schema).parquet(f"{path}/statistics{load}")
     save(variants(statistics).repartition("bucket"), "variants", ["field", "variant"])
 
 

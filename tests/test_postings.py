@@ -116,3 +116,52 @@ def test_sketches_merge_over_batches(spark, logs):
     assert sorted((str(r["log_date"]), r["n"], r["value"]) for r in days) == [("2024-01-01", 100, 198.0), ("2024-01-02", 100, 199.0)]
     nothing = SK.value_sketches(logs(entry(metrics=None)))
     assert nothing.count() == 0
+
+
+def test_postings_are_gathered_in_the_record(spark, logs):
+    rows = logs(
+        entry(id="a", message="error payment error the error", tags=["x", "retry"]),
+        entry(id="b", message=""), entry(id="c", message=None, tags=None), entry(id="d", message="the a"),
+        entry(id="e", message=" ".join(["error", "user", "the"] * 400)),
+    )
+    found = PO.postings(rows)
+    got = {(r["id"], r["field"], r["term"]): (r["positions"], r["length"]) for r in found.collect()}
+    message = {k: v for k, v in got.items() if k[1] == "message"}
+    assert message == {
+        ("a", "message", "error"): ([0, 2, 4], 4), ("a", "message", "payment"): ([1], 4),
+        ("e", "message", "error"): (list(range(0, 1200, 3)), 800), ("e", "message", "user"): (list(range(1, 1200, 3)), 800),
+    }
+    assert {k[2]: v for k, v in got.items() if k[:2] == ("a", "tags")} == {"x": ([0], 2), "retry": ([1], 2)}
+    # words of one record are together already: no aggregate, one shuffle
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("RepartitionByExpression") == 1
+
+
+@pytest.mark.parametrize("batch_id", [None, 3])
+def test_written_buckets_are_sorted_by_term(spark, logs, tmp_path, batch_id):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    PO.write(make_logs(logs), str(tmp_path / "i"), batch_id=batch_id)
+    files = glob.glob(f"{tmp_path}/i/postings/**/*.parquet", recursive=True)
+    assert files
+    several = 0
+    for path in files:
+        table = pq.ParquetFile(path).read(columns=["field", "term"]).to_pydict()
+        keys = list(zip(table["field"], table["term"]))
+        assert keys == sorted(keys)
+        several += len(set(keys)) > 1
+    assert several
+    if batch_id is not None:
+        assert all(f"/batch={batch_id}/bucket=" in path for path in files)
+        batches = PO.Index.read(spark, str(tmp_path / "i"))
+        for table in (batches.postings, batches.statistics, batches.variants):
+            assert [r["batch"] for r in table.select("batch").distinct().collect()] == [batch_id]
+
+
+def test_the_index_deals_its_events_out(spark, sf_dir):
+    from contract.text_queries import _index
+
+    logs, _ = _index(spark, sf_dir)
+    assert "RepartitionByExpression" in logs._jdf.queryExecution().optimizedPlan().toString()
