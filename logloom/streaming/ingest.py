@@ -52,6 +52,10 @@ class Layout:
     def manifest(self) -> str:
         return f"{self.root}/manifest"
 
+    @property
+    def working(self) -> str:
+        return f"{self.root}/working"
+
     @property
     def checkpoint(self) -> str:
         return f"{self.root}/checkpoint"
@@ -68,7 +72,7 @@ def _begin(spark: SparkSession, layout: Layout, batch_id: int) -> None:
     if not tables.mark(spark, mark):
         outputs = (
             layout.logs, layout.rejects, layout.metrics, layout.statistics, layout.sketches, layout.postings,
-            layout.manifest, layout.ledger,
+            layout.manifest, layout.ledger, layout.working,
         )
         for path in outputs:
             below = ("", "/*", "/*/*")  # postings have a folder for each table, logs for family and day
@@ -85,32 +89,64 @@ ALWAYS = "always"
 MAX_DAYS = 4000
 
 
+#: Number of a row in the working folder of its batch.
+ROW = "__row"
+#: Rows of a batch up to which the marks of the new ones, a bit for each row, are sent to every task.
+MAX_MARKED = 1 << 26
+
+
+def _numbered(checked: DataFrame, layout: Layout, batch_id: int) -> DataFrame:
+    """The checked rows, written to the working folder and read again, each with a number that stays.
+
+    The files are far smaller than a cached table would be on disk.
+    """
+    path = f"{layout.working}/batch={batch_id}"
+    rows = checked.withColumn(ROW, F.monotonically_increasing_id())
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def new_documents(good: DataFrame, layout: Layout, batch_id: int, remember: str) -> DataFrame:
-    """Accepted records whose id was not stored under the same day by an earlier batch, each once.
+    """Accepted, numbered records whose id was not stored under the same day by an earlier batch, each once.
 
     ``remember`` limits the earlier batches to those that ended within an
     interval before now. Only the id column of the days that occur here is read.
     Records without an id are all new. Refused documents are not stored and so
-    do not keep out their corrected version.
+    do not keep out their corrected version. Only ids, days and numbers are
+    shuffled; the records are picked by the marks of their numbers.
     """
     spark = good.sparkSession
-    day = F.to_date("timestamp")
-    named = good.where(F.col("id").isNotNull()).withColumn("__day", day).dropDuplicates(["id", "__day"])
-    nameless = good.where(F.col("id").isNull())
-    if tables.exists(spark, layout.logs) and tables.exists(spark, layout.ledger):
+    named = good.where(F.col("id").isNotNull()).select("id", F.to_date("timestamp").alias("day"), ROW)
+    seen = named
+    if tables.matches(spark, f"{layout.logs}/family=*") and tables.exists(spark, layout.ledger):
         earlier = spark.read.parquet(layout.ledger).where(F.col("batch_id") != batch_id)
         if remember != ALWAYS:
             earlier = earlier.where(F.col("finished") >= F.current_timestamp() - F.expr(f"INTERVAL {remember}"))
-        stored = tables.read_table(spark, layout.logs).select("id", "log_date", "batch")
-        days = [r["__day"] for r in named.select("__day").distinct().limit(MAX_DAYS + 1).collect()]
+        stored = tables.read_table(spark, layout.logs).where(F.col("id").isNotNull()).select("id", "log_date", "batch")
+        days = [r["day"] for r in named.select("day").distinct().limit(MAX_DAYS + 1).collect()]
         if len(days) <= MAX_DAYS:
             known = [d for d in days if d is not None]
             stored = stored.where(F.col("log_date").isin(known) | F.col("log_date").isNull())
         stored = stored.join(earlier.select(F.col("batch_id").alias("batch")), "batch", "left_semi")
-        stored = stored.select(F.col("id").alias("__id"), "log_date")
-        same = (F.col("id") == F.col("__id")) & F.col("__day").eqNullSafe(F.col("log_date"))
-        named = named.join(stored, same, "left_anti")
-    return named.drop("__day").unionByName(nameless)
+        seen = named.unionByName(stored.select("id", F.col("log_date").alias("day"), F.lit(None).cast("bigint").alias(ROW)))
+    # a stored record has no number
+    first = seen.groupBy("id", "day").agg(F.min(ROW).alias(ROW), F.count_if(F.col(ROW).isNull()).alias("stored"))
+    new = first.where("stored = 0").select(ROW).unionByName(good.where(F.col("id").isNull()).select(ROW))
+    word = F.shiftright(ROW, 6)
+    marks = new.groupBy(word.alias("__word")).agg(F.expr(f"bit_or(shiftleft(1L, int({ROW} & 63)))").alias("__marks"))
+    if good.select(ROW).count() <= MAX_MARKED:
+        marks = F.broadcast(marks)
+    marked = good.withColumn("__word", word).join(marks, "__word")
+    return marked.where(F.expr(f"getbit(__marks, int({ROW} & 63)) = 1")).select(*[c for c in good.columns if c != ROW])
+
+
+def _stored_rows(good: DataFrame, layout: Layout, batch_id: int) -> DataFrame:
+    """The rows of ``good`` as this batch has stored them."""
+    spark = good.sparkSession
+    below = f"{layout.logs}/family=*/log_date=*/batch={batch_id}"
+    if not tables.matches(spark, below):
+        return spark.createDataFrame([], good.schema)
+    return tables.read_table(spark, below, layout.logs).select(*good.columns)
 
 
 def process_batch(
@@ -127,11 +163,12 @@ def process_batch(
 
     ``lines`` may be a batch of a stream or any table of lines. A batch that
     runs again, after a failure or with corrected input, takes the place of all
-    its first run left, in every output. The checked and the stored rows are kept
-    while the outputs are written; lost pieces are computed again from the input.
+    its first run left, in every output. The checked rows are kept while the
+    outputs are written; lost pieces are computed again from the input.
     With ``remember_ids`` accepted documents that are stored already are left out
-    (``new_documents``); ``with_postings`` also writes the search index. ``inserted`` counts the rows that this and ``prepare``
-    leave, which are those of the table and of the metrics.
+    (``new_documents``), and the checked rows are kept in the working folder;
+    ``with_postings`` also writes the search index. ``inserted`` counts the rows that this and ``prepare``
+    leave, which are those of the table and of the metrics; these are read from the table.
     """
     start = time.time()
     spark = lines.sparkSession
@@ -139,16 +176,14 @@ def process_batch(
     checked = validation.validate(lines, required=required)
     # only a refused document is written out again; those of accepted records would be half of what is kept
     refused = F.when(F.size("reject_reasons") > 0, F.col("document"))
-    checked = checked.withColumn("document", refused).persist()
-    good = validation.accepted(checked)
-    if remember_ids:
-        good = new_documents(good, layout, batch_id, remember_ids)
-    if prepare is not None:
-        good = good.transform(prepare)
-    changed = bool(remember_ids) or prepare is not None
-    if changed:
-        good = good.persist()
+    checked = checked.withColumn("document", refused)
     try:
+        checked = _numbered(checked, layout, batch_id) if remember_ids else checked.persist()
+        good = validation.accepted(checked)
+        if remember_ids:
+            good = new_documents(good, layout, batch_id, remember_ids)
+        if prepare is not None:
+            good = good.transform(prepare)
         tables.write_table(
             good.withColumn("batch", F.lit(batch_id)),
             layout.logs,
@@ -156,6 +191,8 @@ def process_batch(
             extra_partitions=("batch",),
         )
         manifest.record(spark, layout.logs, layout.manifest, batch_id)
+        if remember_ids or prepare is not None:
+            good = _stored_rows(good, layout, batch_id)
         bad = validation.rejects(checked, "stream", F.lit(batch_id).cast("bigint"))
         _write_batch(bad, layout.rejects, batch_id, "json")
         _write_batch(metrics.partials(good), layout.metrics, batch_id)
@@ -179,9 +216,8 @@ def process_batch(
         )
         _write_batch(row, layout.ledger, batch_id)
     finally:
-        if changed:
-            good.unpersist()
         checked.unpersist()
+        tables.remove(spark, f"{layout.working}/batch={batch_id}")
 
 
 def load(
