@@ -80,7 +80,10 @@ def _begin(spark: SparkSession, layout: Layout, batch_id: int) -> None:
 
 
 def _write_batch(df: DataFrame, path: str, batch_id: int, kind: str = "parquet") -> None:
-    df.withColumn("batch", F.lit(batch_id)).write.mode("append").partitionBy("batch").format(kind).save(path)
+    out = df.withColumn("batch", F.lit(batch_id)).write.mode("append").partitionBy("batch").format(kind)
+    if kind == "json":  # refused documents are written out whole
+        out = out.option("compression", "gzip")
+    out.save(path)
 
 
 #: Ids of every batch so far, as ``remember_ids``.
